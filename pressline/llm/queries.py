@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .quality_rules import OP3_SQL, op3_quality_rules
+from .simhash import op7_simhash_near_dedup
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
 ORACLE_SQL = {
