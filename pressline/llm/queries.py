@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .quality_rules import OP3_SQL, op3_quality_rules
 from .simhash import op7_simhash_near_dedup
+from .secret_scan import op2_secret_scan
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op2_secret_scan": op2_secret_scan,
 }
 
 ORACLE_SQL = {
