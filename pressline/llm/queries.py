@@ -6,12 +6,14 @@ from .quality_rules import OP3_SQL, op3_quality_rules
 from .simhash import op7_simhash_near_dedup
 from .secret_scan import op2_secret_scan
 from .mixing import op8_mixing
+from .decontaminate import op4_decontamination
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op8_mixing": op8_mixing,
+    "op4_decontamination": op4_decontamination,
 }
 
 ORACLE_SQL = {
