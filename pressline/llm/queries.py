@@ -7,6 +7,7 @@ from .simhash import op7_simhash_near_dedup
 from .secret_scan import op2_secret_scan
 from .mixing import op8_mixing
 from .decontaminate import op4_decontamination
+from .lm_score import op6_lm_scoring
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op8_mixing": op8_mixing,
     "op4_decontamination": op4_decontamination,
+    "op6_lm_scoring": op6_lm_scoring,
 }
 
 ORACLE_SQL = {
