@@ -8,6 +8,7 @@ from .secret_scan import op2_secret_scan
 from .mixing import op8_mixing
 from .decontaminate import op4_decontamination
 from .lm_score import op6_lm_scoring
+from .html_extract import op5_html_extraction
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
@@ -16,6 +17,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op4_decontamination": op4_decontamination,
     "op6_lm_scoring": op6_lm_scoring,
+    "op5_html_extraction": op5_html_extraction,
 }
 
 ORACLE_SQL = {
