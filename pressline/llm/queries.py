@@ -9,6 +9,7 @@ from .mixing import op8_mixing
 from .decontaminate import op4_decontamination
 from .lm_score import op6_lm_scoring
 from .html_extract import op5_html_extraction
+from .language_id import op9_language_id
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op6_lm_scoring": op6_lm_scoring,
     "op5_html_extraction": op5_html_extraction,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL = {
