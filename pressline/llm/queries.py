@@ -10,6 +10,7 @@ from .decontaminate import op4_decontamination
 from .lm_score import op6_lm_scoring
 from .html_extract import op5_html_extraction
 from .language_id import op9_language_id
+from .token_counts import op10_token_counts
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_lm_scoring": op6_lm_scoring,
     "op5_html_extraction": op5_html_extraction,
     "op9_language_id": op9_language_id,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL = {
