@@ -11,6 +11,7 @@ from .lm_score import op6_lm_scoring
 from .html_extract import op5_html_extraction
 from .language_id import op9_language_id
 from .token_counts import op10_token_counts
+from .suffix_dedup import op1_suffix_array_dedup
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
@@ -22,6 +23,7 @@ QUERIES = {
     "op5_html_extraction": op5_html_extraction,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
 }
 
 ORACLE_SQL = {
