@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut_lineage, find_words, table
@@ -203,3 +203,190 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ---- near copies by shingle similarity, for filtering a corpus ------------------
+
+#: Five-word shingles and the Jaccard similarity from which texts count as near copies.
+COPY_SHINGLE, SIMILARITY = 5, 0.8
+#: Min-wise bands and rows: two texts at the similarity miss each other with 2 in 10,000.
+BANDS, BAND_ROWS = 16, 4
+#: Members of one band key that are all compared; keys with more are cut by the other bands.
+COMPARED = 32
+
+
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the five-word shingles (of the whole sequence, if shorter)."""
+    words = [w.encode("utf-8", "surrogatepass") for w in find_words(ascii_lower(text or ""))]
+    joined = b" ".join(words)
+    if len(words) <= COPY_SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[:-1].tolist()]
+    stops = (ends[COPY_SHINGLE - 1 :] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64))
+
+
+def _band_keys(hashes: np.ndarray) -> list[int]:
+    rng = np.random.default_rng(SEED)
+    factors = rng.integers(1, 1 << 62, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    lows = np.full(len(factors), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(hashes), 4096):
+        lows = np.minimum(lows, ((hashes[at : at + 4096, None] * factors) >> np.uint64(32)).astype(np.uint32).min(axis=0))
+    bands = lows.reshape(BANDS, BAND_ROWS)
+    return [int.from_bytes(xxhash.xxh64_digest(b.tobytes(), i), "big", signed=True) for i, b in enumerate(bands)]
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, node (hash of the shingle set), fp, bands of every row."""
+
+    def run(it):
+        for b in it:
+            node, fp, bands = [], [], []
+            for text in b.column(1).to_pylist():
+                h = shingle_hashes(text)
+                node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                fp.append(fingerprint(text, COPY_SHINGLE))
+                bands.append(_band_keys(h))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "node", "fp", "bands"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, fp long, bands array<long>")
+
+
+def _candidate_runs(limit: int, chain: bool):
+    """Over rows (key, node) sorted by key: all pairs of runs up to ``limit`` (kind 0);
+    members of longer runs go out as hot (kind 1), or, with ``chain``, are paired
+    with the ``limit`` members after them."""
+
+    def run(it):
+        held_k, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def work(k, n):
+            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            sizes = np.diff(np.r_[starts, len(k)])
+            hot = np.repeat(sizes > limit, sizes) & (not chain)
+            if hot.any():
+                yield 1, k[hot], n[hot], n[hot]
+            k, n = k[~hot], n[~hot]
+            for d in range(1, limit + 1):
+                if len(k) <= d:
+                    break
+                same = np.flatnonzero((k[d:] == k[:-d]) & (n[d:] != n[:-d]))
+                if not len(same):
+                    break
+                yield 0, k[same], np.minimum(n[same], n[same + d]), np.maximum(n[same], n[same + d])
+
+        def rows(found):
+            for kind, k, a, b in found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(a), pa.array(b)], names=["kind", "key", "a", "b"])
+
+        for batch in it:
+            k = np.concatenate([held_k, batch.column(0).to_numpy(zero_copy_only=False)])
+            n = np.concatenate([held_n, batch.column(1).to_numpy(zero_copy_only=False)])
+            if not len(k):
+                continue
+            last = int(np.searchsorted(k, k[-1]))
+            if last == 0 and len(k) > 8 * limit:  # one key throughout: pass its members on, keep enough to go on with
+                if chain:
+                    yield from rows(work(k, n))
+                    held_k, held_n = k[-limit:].copy(), n[-limit:].copy()
+                else:
+                    yield from rows([(1, k[:-limit - 1], n[:-limit - 1], n[:-limit - 1])])
+                    held_k, held_n = k[-limit - 1 :].copy(), n[-limit - 1 :].copy()
+                continue
+            held_k, held_n = k[last:].copy(), n[last:].copy()
+            yield from rows(work(k[:last], n[:last]))
+        yield from rows(work(held_k, held_n))
+
+    return run
+
+
+def _copy_candidates(nodes: DataFrame, compared: int) -> DataFrame:
+    """a, b: pairs of nodes that share a band. A key with very many nodes is cut by
+    pairs and then triples of bands; nodes that share three bands, twelve min-wise
+    values, are so alike that each is compared with its nearest in a chain."""
+    out = []
+    level = nodes.select(F.explode("bands").alias("key"), "node")
+    for depth in range(3):
+        dealt = level.repartition("key").sortWithinPartitions("key", "node").select("key", "node")
+        found = cut_lineage(dealt.mapInArrow(_candidate_runs(compared, depth == 2), "kind int, key long, a long, b long"))
+        out.append(found.where("kind = 0").select("a", "b"))
+        hot = found.where("kind = 1").select("key", F.col("a").alias("node")).distinct()
+        if depth == 2 or hot.isEmpty():
+            break
+        level = hot.join(nodes, "node").select("node", F.explode(F.expr("transform(bands, b -> xxhash64(key, b))")).alias("key"))
+    pairs = out[0]
+    for more in out[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs
+
+
+def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int = COMPARED) -> DataFrame:
+    """doc_id, node, root for every row: rows with equal roots are copies or near
+    copies, chained by pairs of at least ``similarity``. Candidates are fingerprints
+    within two bits, found by their deletion variants, and, as 64 bits cannot reach
+    down to the similarity, texts that share a min-wise band. Every candidate is
+    verified on the whole shingle sets."""
+    found = cut_lineage(sketches(docs))
+    nodes = cut_lineage(found.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    by_fp = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
+    near = links(by_fp.select("fp"))
+    reps_a, reps_b = by_fp.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), by_fp.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
+    by_bits = near.join(reps_a, "a").join(reps_b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    same = nodes.join(by_fp, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    candidates = cut_lineage(_copy_candidates(nodes, compared).unionByName(by_bits).unionByName(same).distinct())
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def sets(it):
+        for b in it:
+            out = [shingle_hashes(x) for x in b.column(0).to_pylist()]
+            keys = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in out], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([h.tobytes() for h in out], pa.binary())], names=["node", "shingles"])
+
+    chosen = found.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id")).alias("c")).join(wanted, "node").select(F.col("c.doc_id").alias("_c"), F.col("node").alias("_n"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen.select("_c").distinct(), F.col("doc_id").eqNullSafe(F.col("_c")), "left_semi").select("text")
+    shingles = cut_lineage(texts.mapInArrow(sets, "node long, shingles binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+
+    def verify(it):
+        for b in it:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                small, large = (len(x), len(y)) if len(x) < len(y) else (len(y), len(x))
+                shared = len(np.intersect1d(x, y, assume_unique=True)) if small >= similarity * large else 0
+                keep.append(shared >= similarity * (len(x) + len(y) - shared))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+
+    linked = candidates.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+    roots = components(linked)
+    return found.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+
+
+def drop_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of near copies: the one with the lowest id, and of
+    repeated rows one. Rows with equal ids but different texts are judged by text."""
+    groups = copy_groups(docs, similarity)
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node")).alias("k")).select("k.doc_id", "k.node")
+
+    def nodes(it):
+        at = names.index("text")
+        for b in it:
+            keys = [xxhash.xxh64_intdigest(shingle_hashes(x).tobytes(), SEED) for x in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(keys, np.uint64).view(np.int64))], names=[*b.schema.names, "_node"])
+
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    names = docs.columns
+    kept = best.select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"))
+    few = docs.join(kept.select("_d").distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left_semi")
+    marked = few.mapInArrow(nodes, StructType([*docs.schema.fields, StructField("_node", LongType())]))
+    same = marked.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_node") == F.col("_n")), "left_semi")
+    one = F.row_number().over(Window.partitionBy("doc_id", "_node").orderBy(F.col("text").asc_nulls_last(), *(F.col(c).cast("string").asc_nulls_last() for c in names if c not in ("doc_id", "text"))))
+    return same.withColumn("_one", one).where("_one = 1").select(*names)
