@@ -103,7 +103,7 @@ def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     known = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(11), "doc_id", "text").alias("h"))
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.lit(2.0) * sample / F.col("n") + F.lit(50.0) / F.col("n")
-    few = known.join(sizes, "lang").where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < share)
+    few = known.join(F.broadcast(sizes), "lang").where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_003)), "h"))
     return few.withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "text")
 
