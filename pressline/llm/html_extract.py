@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut_lineage, table
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -55,6 +55,8 @@ CLOSES_PARAGRAPH = frozenset("address article aside blockquote center details di
 #: tag -> open tags that it closes, up to the given barrier.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPE = frozenset("article section div td th li table body main aside header footer nav form blockquote html button caption object".split())
+#: Hosts whose winning paths are sent to every task.
+SENT_HOSTS = 100_000
 #: Weight of a block for its parent, grandparent and so on.
 DECAY = (1.0, 0.75, 0.55, 0.4, 0.25, 0.15)
 
@@ -265,7 +267,13 @@ def main_text(pages: DataFrame) -> DataFrame:
             )
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of().alias("host"))
-    joined = rows.join(host_paths(pages), "host", "left").select("page_id", "url", "html", "path")
+    # pages are the large side and one host may hold a third of them: the winners are
+    # sent to the pages if they are few, and only a larger table is joined by shuffle,
+    # where Spark splits the partitions of large hosts
+    winners = cut_lineage(host_paths(pages))
+    if winners.count() <= SENT_HOSTS:
+        winners = F.broadcast(winners)
+    joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "path")
     return joined.mapInArrow(run, "page_id long, url string, path string, text string, n_chars long")
 
 
