@@ -31,6 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +40,9 @@ from .common import cut_lineage, mix64, table
 LENGTH = 200
 GRAM = 32
 #: Different pieces of one anchor in one suffix array.
-MAX_PIECES = 12_000
+MAX_PIECES = 4_000
 #: Bytes of pieces in one suffix array.
-SHARD_BYTES = 3_000_000
+SHARD_BYTES = 1_200_000
 #: Occurrences folded at a time in a map task.
 FOLD_ROWS = 400_000
 #: Bytes of one text that are scanned at a time.
@@ -119,8 +120,9 @@ def piece_hashes(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return out
 
 
-OCCURRENCES = "anchor long, piece long, size int, rows array<struct<d:long,t:long,at:int>>"
-_ROW = pa.struct([("d", pa.int64()), ("t", pa.int64()), ("at", pa.int32())])
+OCCURRENCES = "anchor long, piece long, size int, rows binary"
+#: One occurrence: the document's two keys and the place, as 16 bytes.
+ROW = np.dtype([("d", ">i8"), ("t", ">i4"), ("at", ">i4")])
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -135,11 +137,14 @@ def occurrences(docs: DataFrame) -> DataFrame:
             order = np.lexsort((at, d, piece, anchor))
             anchor, piece, size, d, t, at = (x[order] for x in (anchor, piece, size, d, t, at))
             first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])])
-            rows = pa.StructArray.from_arrays([pa.array(d), pa.array(t), pa.array(at.astype(np.int32))], fields=list(_ROW))
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(anchor)].astype(np.int32)), rows)
+            packed = np.empty(len(d), ROW)
+            packed["d"], packed["t"], packed["at"] = d, t, at
+            raw = packed.tobytes()
+            ends = np.r_[first, len(anchor)] * ROW.itemsize
             for lo in range(0, len(first), 10_000):
                 f = first[lo : lo + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[f]), pa.array(piece[f]), pa.array(size[f].astype(np.int32)), lists[lo : lo + 10_000]], names=["anchor", "piece", "size", "rows"])
+                rows = pa.array([raw[x:y] for x, y in zip(ends[lo : lo + len(f)].tolist(), ends[lo + 1 : lo + len(f) + 1].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[f]), pa.array(piece[f]), pa.array(size[f].astype(np.int32)), rows], names=["anchor", "piece", "size", "rows"])
 
         for b in it:
             for d, t, text in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -342,6 +347,35 @@ def _shard(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
 # ---- the job ------------------------------------------------------------------
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, d, t, z: the texts compressed, as they are shuffled."""
+
+    def run(it):
+        z = zstandard.ZstdCompressor(level=3)
+        for b in it:
+            texts = [z.compress(x.encode("utf-8", "surrogatepass")) for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(texts, pa.binary())], names=["doc_id", "d", "t", "z"])
+
+    return docs.select("doc_id", "d", "t", "text").mapInArrow(run, "doc_id long, d long, t int, z binary")
+
+
+def _spread(runs: DataFrame) -> DataFrame:
+    """d, t, a, b: the repeated spans of every occurrence."""
+
+    def run(it):
+        for b in it:
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for rows, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                r = np.frombuffer(rows, ROW)
+                for x in found:
+                    at = r["at"].astype(np.int64)
+                    for c, v in zip(out, (r["d"].astype(np.int64), r["t"].astype(np.int32), at + x["a"], at + x["b"] + LENGTH - 1)):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["d", "t", "a", "b"])
+
+    return runs.select("rows", "runs").mapInArrow(run, "d long, t int, a long, b long")
+
+
 def _fetch(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """The bytes of one occurrence of each piece, cut out of its document."""
     wanted = reps.groupBy("d", "t").agg(F.collect_list(F.struct("at", "size", "anchor", "piece", "copies", "kinds")).alias("cuts"))
@@ -350,27 +384,27 @@ def _fetch(reps: DataFrame, docs: DataFrame) -> DataFrame:
         for b in it:
             rows = []
             for text, cuts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = (text or "").encode("utf-8", "surrogatepass")
+                data = zstandard.ZstdDecompressor().decompress(text)
                 rows += [(c["anchor"], c["piece"], c["size"], c["copies"], c["kinds"], data[c["at"] : c["at"] + c["size"] + LENGTH - 1]) for c in cuts]
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], names=["anchor", "piece", "size", "copies", "kinds", "bytes"])
 
-    return docs.join(wanted, ["d", "t"]).select("text", "cuts").mapInArrow(run, "anchor long, piece long, size int, copies long, kinds long, bytes binary")
+    return packed(docs).join(wanted, ["d", "t"]).select("z", "cuts").mapInArrow(run, "anchor long, piece long, size int, copies long, kinds long, bytes binary")
 
 
 def repeated_runs(docs: DataFrame, max_pieces: int = MAX_PIECES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """d, t, spans: for every document with repeated bytes, the spans [a, b) they fill.
-    ``docs`` has d and t (the id and a hash of the text) and text."""
+    ``docs`` has doc_id, d and t (the id and a hash of the text) and text."""
     spread = occurrences(docs).repartition("anchor")
     by_anchor = Window.partitionBy("anchor")
-    total = F.sum(F.size("rows")).over(by_anchor)
-    several = cut_lineage(spread.withColumn("total", total).where("total > 1").drop("total"))
-    lowest = F.array_min("rows")
-    reps = several.groupBy("anchor", "piece").agg(F.min(lowest).alias("r"), F.first("size").alias("size"), F.sum(F.size("rows")).cast("long").alias("copies"))
-    reps = reps.withColumn("kinds", F.count("*").over(by_anchor)).select("anchor", "piece", "size", "copies", "kinds", "r.*")
+    number = F.expr(f"cast(length(rows) div {ROW.itemsize} as bigint)")
+    several = cut_lineage(spread.withColumn("total", F.sum(number).over(by_anchor)).where("total > 1").drop("total"))
+    reps = several.groupBy("anchor", "piece").agg(F.min(F.substring("rows", 1, ROW.itemsize)).alias("r"), F.first("size").alias("size"), F.sum(number).alias("copies"))
+    part = lambda at, n, kind: F.expr(f"cast(conv(hex(substring(r, {at}, {n})), 16, -10) as {kind})")
+    reps = reps.withColumn("kinds", F.count("*").over(by_anchor)).select("anchor", "piece", "size", "copies", "kinds", part(1, 8, "bigint").alias("d"), part(9, 4, "int").alias("t"), part(13, 4, "int").alias("at"))
     pieces = _fetch(reps, docs)
     size = several.agg(F.sum(F.lit(LENGTH) + F.col("size"))).first()[0] or 0
-    shards = max(1, math.ceil(size / 2 / shard_bytes))
+    shards = max(1, math.ceil(size / shard_bytes))
     # the usual case: one shard, one side. Hot anchors: sub-shards, met in pairs.
     parts = F.ceil(F.col("kinds") / F.lit(max_pieces)).cast("int")
     mine = F.pmod(F.xxhash64("piece"), F.col("parts")).cast("int")
@@ -381,9 +415,8 @@ def repeated_runs(docs: DataFrame, max_pieces: int = MAX_PIECES, shard_bytes: in
     dealt = dealt.withColumn("pair", F.explode(pairs)).withColumn("shard", F.when(F.col("parts") <= 1, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.col("anchor")))
     dealt = dealt.select("shard", "pair.*", "anchor", "piece", "size", "copies", "bytes")
     found = dealt.groupBy("shard", "lo", "hi").applyInArrow(_shard, FOUND)
-    joined = several.join(found, ["anchor", "piece"])
-    spans = joined.select(F.explode("rows").alias("r"), "runs").select("r.d", "r.t", F.explode(F.expr(f"transform(runs, x -> named_struct('a', r.at + x.a, 'b', r.at + x.b + {LENGTH - 1}))")).alias("s"))
-    return spans.groupBy("d", "t").agg(F.collect_list("s").alias("spans"))
+    spans = _spread(several.join(found, ["anchor", "piece"]))
+    return spans.groupBy("d", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -400,8 +433,8 @@ def dedup(docs: DataFrame, keep_text: bool = False, **limits) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with
     ``keep_text`` the spans and the remaining bytes."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = keyed.withColumn("d", F.coalesce("doc_id", F.lit(-1).cast("long"))).withColumn("t", F.xxhash64("text"))
-    marked = keyed.join(repeated_runs(keyed.select("d", "t", "text"), **limits), ["d", "t"], "left")
+    keyed = keyed.withColumn("d", F.coalesce("doc_id", F.lit(-1).cast("long"))).withColumn("t", F.expr("cast(xxhash64(text) & 2147483647 as int)"))
+    marked = packed(keyed).join(repeated_runs(keyed, **limits), ["d", "t"], "left")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans", "kept"] if keep_text else [])]
     types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.list_(pa.int64())), pa.binary()]
 
@@ -409,7 +442,7 @@ def dedup(docs: DataFrame, keep_text: bool = False, **limits) -> DataFrame:
         for b in it:
             rows = []
             for doc_id, text, spans in zip(*(b.column(i).to_pylist() for i in range(3))):
-                data = text.encode("utf-8", "surrogatepass")
+                data = zstandard.ZstdDecompressor().decompress(text)
                 cut = merged([(s["a"], s["b"]) for s in spans or ()])
                 parts, at = [], 0
                 for a, e in cut:
@@ -420,7 +453,7 @@ def dedup(docs: DataFrame, keep_text: bool = False, **limits) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<array<long>>, kept binary" if keep_text else "")
-    return marked.select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return marked.select("doc_id", "z", "spans").mapInArrow(run, schema)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
