@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from pressline.plans import events, sql_events
+
+MODULES = (events,)
+SQL = (sql_events,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in SQL for k, v in m.SQL.items()}
