@@ -207,8 +207,7 @@ def lifecycle(status: Column, credibility_level: Column) -> Column:
         F.when((credibility_level == "officially_confirmed") & status.isin("unconfirmed", "developing", "disputed", "stale"), "confirmed")
         .when(credibility_level == "denied", "denied")
         .when(credibility_level == "disputed", "disputed")
-        .when((credibility_level != "officially_confirmed") & status.isin("confirmed", "denied", "disputed"), "developing")
-        .when((credibility_level == "officially_confirmed") & status.isin("denied"), "developing")
+        .when(status.isin("confirmed", "denied", "disputed"), "developing")
         .otherwise(status)
     )
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pressline.plans import events, sql_events
+from pressline.plans import events, messages, sql_events
 
-MODULES = (events,)
-SQL = (sql_events,)
+MODULES = (events, messages)
+SQL = (sql_events, messages)
 
 
 def queries() -> dict:

@@ -61,7 +61,7 @@ snap as (select id mention_id, case id % 5 when 0 then 'confirmed' when 1 then '
 l1 as (select m.event_id, coalesce(s.st, 'developing') st, row_number() over (partition by event_id order by time_us desc, id desc) rn from mention m join snap s on s.mention_id = m.id where materiality = 'material_update'),
 l2 as (select b.event_id, coalesce(l1.st, case when b.m then 'developing' else 'stale' end) status from (select event_id, bool_or(materiality = 'material_update') m from mention group by 1) b left join l1 on l1.event_id = b.event_id and rn = 1),
 life as (select l2.event_id, case when credibility_level = 'officially_confirmed' and status in ('unconfirmed', 'developing', 'disputed', 'stale') then 'confirmed' when credibility_level = 'denied' then 'denied' when credibility_level = 'disputed' then 'disputed'
-   when status in ('confirmed', 'denied', 'disputed') and not (credibility_level = 'officially_confirmed' and status = 'confirmed') then 'developing'
+   when status in ('confirmed', 'denied', 'disputed') then 'developing'
    else status end lifecycle from l2 join cred using (event_id))"""
 
 
