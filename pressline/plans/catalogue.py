@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pressline.plans import events, messages, sql_events
+from pressline.plans import events, ingest, messages, sql_events
 
-MODULES = (events, messages)
-SQL = (sql_events, messages)
+MODULES = (events, messages, ingest)
+SQL = (sql_events, messages, ingest)
 
 
 def queries() -> dict:
