@@ -211,8 +211,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: Min-wise bands and rows: two texts at the similarity miss each other with 2 in 10,000.
 BANDS, BAND_ROWS = 16, 4
-#: Members of one band key that are all compared; keys with more are cut by the other bands.
+#: Members of one band key that are all compared with each other.
 COMPARED = 32
+#: Hubs of a stretch of a larger key, and its length.
+HUBS, STRETCH = 4, 2048
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -257,10 +259,9 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, fp long, bands array<long>")
 
 
-def _candidate_runs(limit: int, chain: bool):
+def _candidate_runs(limit: int):
     """Over rows (key, node) sorted by key: all pairs of runs up to ``limit`` (kind 0);
-    members of longer runs go out as hot (kind 1), or, with ``chain``, are paired
-    with the ``limit`` members after them."""
+    members of longer runs go out as hot (kind 1)."""
 
     def run(it):
         held_k, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -268,11 +269,11 @@ def _candidate_runs(limit: int, chain: bool):
         def work(k, n):
             starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             sizes = np.diff(np.r_[starts, len(k)])
-            hot = np.repeat(sizes > limit, sizes) & (not chain)
+            hot = np.repeat(sizes > limit, sizes)
             if hot.any():
                 yield 1, k[hot], n[hot], n[hot]
             k, n = k[~hot], n[~hot]
-            for d in range(1, limit + 1):
+            for d in range(1, limit):
                 if len(k) <= d:
                     break
                 same = np.flatnonzero((k[d:] == k[:-d]) & (n[d:] != n[:-d]))
@@ -290,13 +291,9 @@ def _candidate_runs(limit: int, chain: bool):
             if not len(k):
                 continue
             last = int(np.searchsorted(k, k[-1]))
-            if last == 0 and len(k) > 8 * limit:  # one key throughout: pass its members on, keep enough to go on with
-                if chain:
-                    yield from rows(work(k, n))
-                    held_k, held_n = k[-limit:].copy(), n[-limit:].copy()
-                else:
-                    yield from rows([(1, k[:-limit - 1], n[:-limit - 1], n[:-limit - 1])])
-                    held_k, held_n = k[-limit - 1 :].copy(), n[-limit - 1 :].copy()
+            if last == 0 and len(k) > 8 * limit:  # one key throughout: pass its members on, keep enough to know it again
+                yield from rows([(1, k[: -limit - 1], n[: -limit - 1], n[: -limit - 1])])
+                held_k, held_n = k[-limit - 1 :].copy(), n[-limit - 1 :].copy()
                 continue
             held_k, held_n = k[last:].copy(), n[last:].copy()
             yield from rows(work(k[:last], n[:last]))
@@ -305,24 +302,60 @@ def _candidate_runs(limit: int, chain: bool):
     return run
 
 
+def _hub_runs(hubs: int, chunk: int):
+    """Over rows (key, node, rest) of large keys, sorted: each node with its successor
+    and with the hubs of its stretch, the nodes that agree most with the stretch's
+    commonest bands."""
+
+    def pairs(k, n, rest):
+        out = [np.stack([n[:-1], n[1:]])[:, k[1:] == k[:-1]]]
+        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(k)]):
+            agree = np.zeros(b - a, np.int64)
+            for column in rest[a:b].T:
+                _, at, times = np.unique(column, return_inverse=True, return_counts=True)
+                agree += at == times.argmax()
+            for h in np.argsort(-agree, kind="stable")[:hubs]:
+                out.append(np.stack([np.full(b - a, n[a + h]), n[a:b]]))
+        p = np.concatenate(out, axis=1)
+        p = np.unique(np.sort(p[:, p[0] != p[1]], axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
+
+    def run(it):
+        k, n, rest = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS - 1), np.int64)
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            k = np.concatenate([k, batch.column(0).to_numpy(zero_copy_only=False)])
+            n = np.concatenate([n, batch.column(1).to_numpy(zero_copy_only=False)])
+            rest = np.concatenate([rest, batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS - 1)])
+            while len(k) > 2 * chunk:
+                yield pairs(k[:chunk], n[:chunk], rest[:chunk])
+                k, n, rest = k[chunk - 1 :], n[chunk - 1 :], rest[chunk - 1 :]
+        if len(k):
+            yield pairs(k, n, rest)
+
+    return run
+
+
 def _copy_candidates(nodes: DataFrame, compared: int) -> DataFrame:
-    """a, b: pairs of nodes that share a band. A key with very many nodes is cut by
-    pairs and then triples of bands; nodes that share three bands, twelve min-wise
-    values, are so alike that each is compared with its nearest in a chain."""
-    out = []
+    """a, b: pairs of nodes that share a band. All pairs of a key with up to
+    ``compared`` nodes. The nodes of a larger key are ordered by their other bands;
+    each is paired with its successor and with a few hubs of its stretch. So a text of
+    a very large group meets its nearest, and the group's most typical texts, in up to
+    16 orders, at a cost that grows with the group and not with its square."""
     level = nodes.select(F.explode("bands").alias("key"), "node")
-    for depth in range(3):
-        dealt = level.repartition("key").sortWithinPartitions("key", "node").select("key", "node")
-        found = cut_lineage(dealt.mapInArrow(_candidate_runs(compared, depth == 2), "kind int, key long, a long, b long"))
-        out.append(found.where("kind = 0").select("a", "b"))
-        hot = found.where("kind = 1").select("key", F.col("a").alias("node")).distinct()
-        if depth == 2 or hot.isEmpty():
-            break
-        level = hot.join(nodes, "node").select("node", F.explode(F.expr("transform(bands, b -> xxhash64(key, b))")).alias("key"))
-    pairs = out[0]
-    for more in out[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs
+    dealt = level.repartition("key").sortWithinPartitions("key", "node").select("key", "node")
+    found = cut_lineage(dealt.mapInArrow(_candidate_runs(compared), "kind int, key long, a long, b long"))
+    pairs = found.where("kind = 0").select("a", "b")
+    hot = found.where("kind = 1").select("key", F.col("a").alias("node")).distinct()
+    if hot.isEmpty():
+        return pairs
+    at = F.array_position("bands", F.col("key")).cast("int")
+    rest = F.concat(F.slice("bands", at + 1, F.lit(BANDS)), F.slice("bands", F.lit(1), at - 1))
+    # ranges of (key, other bands) split the key of a large group over many tasks
+    ordered = hot.join(nodes, "node").select("key", rest.alias("rest"), "node").repartitionByRange("key", "rest").sortWithinPartitions("key", "rest", "node")
+    return pairs.unionByName(ordered.select("key", "node", "rest").mapInArrow(_hub_runs(HUBS, STRETCH), "a long, b long"))
 
 
 def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int = COMPARED) -> DataFrame:
@@ -330,7 +363,7 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int =
     copies, chained by pairs of at least ``similarity``. Candidates are fingerprints
     within two bits, found by their deletion variants, and, as 64 bits cannot reach
     down to the similarity, texts that share a min-wise band. Every candidate is
-    verified on the whole shingle sets."""
+    verified on the whole shingle sets (32-bit hashes)."""
     found = cut_lineage(sketches(docs))
     nodes = cut_lineage(found.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     by_fp = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
@@ -345,7 +378,7 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int =
         for b in it:
             out = [shingle_hashes(x) for x in b.column(0).to_pylist()]
             keys = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in out], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([h.tobytes() for h in out], pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in out], pa.binary())], names=["node", "shingles"])
 
     chosen = found.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id")).alias("c")).join(wanted, "node").select(F.col("c.doc_id").alias("_c"), F.col("node").alias("_n"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen.select("_c").distinct(), F.col("doc_id").eqNullSafe(F.col("_c")), "left_semi").select("text")
@@ -357,7 +390,7 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int =
         for b in it:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 small, large = (len(x), len(y)) if len(x) < len(y) else (len(y), len(x))
                 shared = len(np.intersect1d(x, y, assume_unique=True)) if small >= similarity * large else 0
                 keep.append(shared >= similarity * (len(x) + len(y) - shared))
