@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pressline.plans import events, ingest, messages, sql_events
+from pressline.plans import events, ingest, messages, sql_events, streams
 
-MODULES = (events, messages, ingest)
-SQL = (sql_events, messages, ingest)
+MODULES = (events, messages, ingest, streams)
+SQL = (sql_events, messages, ingest, streams)
 
 
 def queries() -> dict:
