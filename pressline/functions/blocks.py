@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pressline.functions.text import strip
+
 BLOCK = "struct<id:string,type:string,text:string,level:int,items:array<string>,ordered:boolean,author:string,source_url:string,storage_path:string,alt_text:string,caption:string,mime_type:string,embed_kind:string>"
 FIELDS = "id type text level items ordered author source_url storage_path alt_text caption mime_type embed_kind".split()
 TEXT_TYPES = ("heading", "paragraph", "quote", "list")
@@ -13,10 +15,10 @@ TYPES = (*TEXT_TYPES, "image", "embed")
 
 def block_error(b: Column) -> Column:
     """What is wrong with a raw block; null if nothing."""
-    kind = F.lower(F.trim(F.coalesce(b["type"], F.lit(""))))
+    kind = F.lower(strip(F.coalesce(b["type"], F.lit(""))))
     kind = F.when(kind == "video", "embed").otherwise(kind)
-    empty = F.trim(F.coalesce(b["text"], F.lit(""))) == ""
-    no_items = F.size(F.filter(F.coalesce(b["items"], F.array().cast("array<string>")), lambda x: F.trim(x) != "")) == 0
+    empty = strip(F.coalesce(b["text"], F.lit(""))) == ""
+    no_items = F.size(F.filter(F.coalesce(b["items"], F.array().cast("array<string>")), lambda x: strip(x) != "")) == 0
     return (
         F.when(~kind.isin(*TYPES), "unsupported type")
         .when(kind.isin("heading", "paragraph", "quote") & empty, "text required")
@@ -36,10 +38,10 @@ def normalize_blocks(blocks: Column) -> Column:
     ``first_error``: an array with an error is to be rejected."""
 
     def one(b, i):
-        raw = F.lower(F.trim(b["type"]))
+        raw = F.lower(strip(b["type"]))
         kind = F.when(raw == "video", "embed").otherwise(raw)
-        text = F.trim(b["text"])
-        items = F.when(b["items"].isNotNull(), F.filter(F.transform(b["items"], F.trim), lambda x: x != "")).otherwise(F.array(text))
+        text = strip(b["text"])
+        items = F.when(b["items"].isNotNull(), F.filter(F.transform(b["items"], strip), lambda x: x != "")).otherwise(F.array(text))
         return F.struct(
             F.format_string("b%04d", i + 1).alias("id"), kind.alias("type"), F.when(kind.isin("heading", "paragraph", "quote"), text).alias("text"),
             F.when(kind == "heading", F.least(F.greatest(F.coalesce(b["level"], F.lit(2)), F.lit(1)), F.lit(6))).alias("level"),
@@ -53,7 +55,7 @@ def normalize_blocks(blocks: Column) -> Column:
 
 def block_text(blocks: Column) -> Column:
     """Text of the text blocks: list items by line, blocks by empty line."""
-    parts = F.transform(blocks, lambda b: F.when(b["type"] == "list", F.array_join(F.filter(b["items"], lambda x: F.trim(x) != ""), "\n")).when(b["type"].isin("heading", "paragraph", "quote"), F.trim(b["text"])))
+    parts = F.transform(blocks, lambda b: F.when(b["type"] == "list", F.array_join(F.filter(b["items"], lambda x: strip(x) != ""), "\n")).when(b["type"].isin("heading", "paragraph", "quote"), strip(b["text"])))
     return F.array_join(F.filter(parts, lambda p: F.coalesce(p != "", F.lit(False))), "\n\n")
 
 
@@ -62,7 +64,7 @@ def has_quoted_post(blocks: Column) -> Column:
 
 
 def _lines(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"(?m)[ \t\r\f\x0B]+$", ""))
+    return strip(F.regexp_replace(x, r"(?m)[ \t\r\f\x0B]+$", ""))
 
 
 def content_hash(blocks: Column) -> Column:

@@ -20,7 +20,7 @@ def _table(pairs: dict) -> Column:
 
 
 def canonical_type(kind: Column) -> Column:
-    k = F.lower(F.trim(F.coalesce(kind, F.lit("unknown"))))
+    k = F.lower(T.strip(F.coalesce(kind, F.lit("unknown"))))
     return F.coalesce(_table(ALIASES)[k], k)
 
 
@@ -28,7 +28,7 @@ def fold_width(x: Column) -> Column:
     """Full-width ASCII and the wide space to their plain forms, the part of
     compatibility folding that names of this kind need."""
     wide = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
-    return F.trim(F.translate(x, wide, "".join(map(chr, range(0x21, 0x7F))) + " "))
+    return T.strip(F.translate(x, wide, "".join(map(chr, range(0x21, 0x7F))) + " "))
 
 
 def canonical_name(kind: Column, name: Column) -> Column:
@@ -39,7 +39,7 @@ def canonical_name(kind: Column, name: Column) -> Column:
     for c in reversed(COMPETITIONS):
         code = F.when(low.rlike(f"(^|[^a-z]){c}($|[^a-z])"), c).otherwise(code)
     contest = F.when(code.isNotNull(), code).when(F.size(latin) == 1, F.get(latin, F.lit(0))).otherwise(n)
-    short = F.trim(F.regexp_replace(n, TEAM_SUFFIX, ""))
+    short = T.strip(F.regexp_replace(n, TEAM_SUFFIX, ""))
     team_latin = F.regexp_extract_all(F.lower(short), F.lit(LATIN), F.lit(1))
     team = F.when((F.size(team_latin) > 0) & short.rlike(HAN), F.get(team_latin, F.lit(0))).otherwise(short)
     own = F.regexp_extract_all(n, F.lit(LATIN), F.lit(1))

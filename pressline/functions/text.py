@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 MEANINGFUL = r"[A-Za-z0-9一-鿿]"
 
 
+def strip(x: Column) -> Column:
+    """Without leading and trailing white space of any kind."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
 def clean_text(x: Column) -> Column:
     """NULs dropped, blanks other than line feeds collapsed, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"\x00", ""), r"[ \t\r\f\x0B]+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(x, r"\x00", ""), r"[ \t\r\f\x0B]+", " "))
 
 
 def word_set(x: Column) -> Column:
@@ -35,7 +40,7 @@ def detect_language(x: Column) -> Column:
 
 def first_line(x: Column) -> Column:
     """First line with text, blanks collapsed."""
-    lines = F.filter(F.transform(F.split(x, r"\r\n|[\n\r]"), lambda v: F.trim(F.regexp_replace(v, r"(?U)\s+", " "))), lambda v: v != "")
+    lines = F.filter(F.transform(F.split(x, r"\r\n|[\n\r]"), lambda v: strip(F.regexp_replace(v, r"(?U)\s+", " "))), lambda v: v != "")
     return F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
 
 
@@ -45,7 +50,7 @@ def clip(x: Column, n: int) -> Column:
 
 def display_title(native: Column, author: Column, text: Column, n: int = 500) -> Column:
     """The native title, else author and first line, else either; clipped."""
-    name, line, own = F.trim(F.coalesce(author, F.lit(""))), first_line(F.coalesce(text, F.lit(""))), F.trim(F.coalesce(native, F.lit("")))
+    name, line, own = strip(F.coalesce(author, F.lit(""))), first_line(F.coalesce(text, F.lit(""))), strip(F.coalesce(native, F.lit("")))
     value = F.when(own != "", own).when((name != "") & (line != ""), F.concat(name, F.lit("："), line)).otherwise(F.concat(name, line))
     return F.when(value != "", clip(value, n))
 

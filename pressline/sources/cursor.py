@@ -11,7 +11,7 @@ import os
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 
 def next_cursor(cursor: dict, ids: list[str], times: list[int], truncated: bool, skipped: list[str] = ()) -> dict:
@@ -62,13 +62,14 @@ class _Reader(SimpleDataSourceStreamReader):
         return iter([(n, str(r["id"]), r.get("published_us"), json.dumps(r, ensure_ascii=False)) for r in batch["records"]])
 
     def read(self, start: dict):
-        n = start["batch"]
-        batch = self._batch(n)
-        if batch is None:
-            return iter([]), start
-        records = batch["records"]
-        cursor = next_cursor(json.loads(start["cursor"]), [r["id"] for r in records], [r["published_us"] for r in records if r.get("published_us") is not None], batch.get("truncated", False))
-        return self._rows(n, batch), {"batch": n + 1, "cursor": json.dumps(cursor)}
+        """All batches that are there now, and the offset behind them."""
+        n, cursor, rows = start["batch"], json.loads(start["cursor"]), []
+        while (batch := self._batch(n)) is not None:
+            records = batch["records"]
+            cursor = next_cursor(cursor, [r["id"] for r in records], [r["published_us"] for r in records if r.get("published_us") is not None], batch.get("truncated", False))
+            rows += self._rows(n, batch)
+            n += 1
+        return iter(rows), {"batch": n, "cursor": json.dumps(cursor)}
 
     def readBetweenOffsets(self, start: dict, end: dict):
         for n in range(start["batch"], end["batch"]):
@@ -76,9 +77,6 @@ class _Reader(SimpleDataSourceStreamReader):
             if batch is not None:
                 yield from self._rows(n, batch)
 
-    def partitions(self, start, end):
-        return [InputPartition((start, end))]
-
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ReplaySource)

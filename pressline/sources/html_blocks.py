@@ -45,7 +45,7 @@ class _Blocks(HTMLParser):
             self.muted += 1
         elif tag in TEXT_TAGS and self.tag is None:
             self.tag, self.depth = tag, 1
-        elif tag == self.tag == "p":
+        elif tag in TEXT_TAGS and self.tag == "p":  # a text block ends an open paragraph
             self._close()
             self.tag, self.depth = tag, 1
         elif tag == self.tag:
