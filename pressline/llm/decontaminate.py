@@ -6,7 +6,8 @@ the test items and of the documents is hashed under each mask; equal hashes give
 a diagonal on which both texts are aligned, and the overlap around the hit is
 verified: the best-scoring segment with at least four equal tokens in five.
 
-Test items shorter than the masks are hashed whole. The test side is sent to the
+Test items shorter than the masks are hashed whole; those of fewer than five tokens
+only match documents that consist of the same tokens. The test side is sent to the
 tasks only if its token count is under ``BROADCAST_TOKENS``; a larger one is joined
 by hash through Spark, with the same results.
 
@@ -31,6 +32,8 @@ TOKEN = re.compile(r"[^\W_]+")
 #: 1: the token at this position counts.
 MASKS = ("110110010111", "111001101011", "101110110101")
 SPAN = 12
+#: Test items with fewer tokens than this match whole documents only.
+SHORTEST = 5
 #: Least overlap, in tokens (or the whole item, if shorter).
 MIN_OVERLAP = 10
 #: A mismatch costs as much as four matches earn: segments keep 80 % equal tokens.
@@ -65,7 +68,7 @@ def seeds(tokens: np.ndarray, masks: tuple[str, ...]) -> list[np.ndarray]:
         if n <= 0:
             out.append(np.zeros(0, np.uint64))
             continue
-        h = np.full(n, len(mask) * 1000 + m if len(mask) != SPAN else m, np.uint64)
+        h = np.full(n, m if len(mask) == SPAN else 1000 * len(mask), np.uint64)  # masks of one length differ by number
         for i, bit in enumerate(mask):
             if bit == "1":
                 h = (h ^ tokens[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
@@ -74,6 +77,11 @@ def seeds(tokens: np.ndarray, masks: tuple[str, ...]) -> list[np.ndarray]:
     return out
 
 
+def document_masks(n: int, lengths: list[int]) -> tuple[str, ...]:
+    """Masks for a document of n tokens, given the lengths of the short test items."""
+    return (*MASKS, *("1" * k for k in lengths if k >= SHORTEST or k == n))
+
+
 def item_masks(n: int) -> tuple[str, ...]:
     return MASKS if n >= SPAN else (("1" * n,) if n else ())
 
@@ -102,8 +110,7 @@ class TestSide:
     def __init__(self, items: list[tuple[int, str | None]]):
         hashes = TokenHashes()
         self.tokens = [(i, t) for i, t in ((i, hashes.of(x)) for i, x in items) if len(t)]
-        short = sorted({len(t) for _, t in self.tokens if len(t) < SPAN})
-        self.masks = (*MASKS, *("1" * n for n in short))
+        self.short = sorted({len(t) for _, t in self.tokens if len(t) < SPAN})
         rows = []
         for k, (_, t) in enumerate(self.tokens):
             own = item_masks(len(t))
@@ -119,7 +126,7 @@ class TestSide:
     def hits(self, doc: np.ndarray) -> set[tuple[int, int]]:
         """(item number, diagonal) of all equal hashes."""
         out: set[tuple[int, int]] = set()
-        for h in seeds(doc, self.masks):
+        for h in seeds(doc, document_masks(len(doc), self.short)):
             at = np.flatnonzero(self.bits[h >> self.shift])
             if not len(at):
                 continue
@@ -160,7 +167,6 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The same through an equality join on the seed hashes."""
     seeded = "id long, row long, h long, pos long"
     lengths = [r[0] for r in items.select(F.explode(_short_lengths()(F.col("text"))).alias("n")).distinct().collect()]  # under SPAN rows
-    masks = (*MASKS, *("1" * n for n in sorted(lengths)))
 
     def emit(of_item: bool):
         def run(it):
@@ -168,7 +174,7 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
             for b in it:
                 for i, row, text in zip(*(b.column(k).to_pylist() for k in range(3))):
                     t = hashes.of(text)
-                    for h in seeds(t, item_masks(len(t)) if of_item else masks):
+                    for h in seeds(t, item_masks(len(t)) if of_item else document_masks(len(t), sorted(lengths))):
                         if len(h):
                             yield pa.RecordBatch.from_arrays([pa.array([i] * len(h), pa.int64()), pa.array([row] * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(np.arange(len(h)))], names=["id", "row", "h", "pos"])
 
