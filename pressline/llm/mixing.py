@@ -31,6 +31,8 @@ SEED = 20240101
 BUCKETS = 256
 #: The knapsack's budget, in lengths of the longest document.
 SLACK = 4
+#: Words of a source up to which a second fit is tried.
+REFIT = 200_000
 
 
 def targets(totals: DataFrame) -> DataFrame:
@@ -54,15 +56,16 @@ def targets(totals: DataFrame) -> DataFrame:
 
 def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many documents of each length to take so that the sum comes nearest to
-    ``budget`` from below: bounded-knapsack dynamic programming over the set of
-    reachable sums, kept as the bits of an integer."""
+    ``budget`` (of two equally near ones, to the lower): bounded-knapsack dynamic
+    programming over the set of reachable sums, kept as the bits of an integer."""
     taken = [0] * len(lengths)
-    if budget <= 0:
+    if budget <= 0 or not lengths:
         return taken
+    top = budget + max(lengths)
     reach, steps = 1, []
-    limit = (1 << (budget + 1)) - 1
+    limit = (1 << (top + 1)) - 1
     for i, (length, count) in enumerate(zip(lengths, counts)):
-        left, chunk = min(count, budget // length) if length else 0, 1
+        left, chunk = min(count, top // length) if length else 0, 1
         while left:
             n = min(chunk, left)
             steps.append((i, n, reach))
@@ -71,7 +74,12 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             chunk *= 2
         if reach >> budget & 1:
             break
-    at = reach.bit_length() - 1
+    at = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    above = reach >> (budget + 1)
+    if above:
+        over = (above & -above).bit_length()  # how far the lowest reachable sum above lies
+        if over < budget - at:
+            at = budget + over
     for i, n, before in reversed(steps):
         if not before >> at & 1:
             taken[i] += n
@@ -79,16 +87,30 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     return taken
 
 
-def plan_source(lengths: list[int], counts: list[int], target: float) -> tuple[int, list[int]]:
-    """Whole passes, and for each length the number of documents taken once more."""
+def plan_source(lengths: list[int], counts: list[int], target: float) -> tuple[list[int], list[int]]:
+    """For each length: whole passes over its documents, and how many are taken once more."""
     total = sum(a * b for a, b in zip(lengths, counts))
     none = [0] * len(lengths)
     if total == 0:
-        return 0, none
+        return none, none
     passes = min(MAX_PASSES, int((target + 0.5) // total))
     rest = round(target) - passes * total
     if passes == MAX_PASSES or rest <= 0:
-        return passes, none
+        return [passes] * len(lengths), none
+    extra = _spread(lengths, counts, rest)
+    missed = abs(rest - sum(a * e for a, e in zip(lengths, extra)))
+    if missed and passes and total <= REFIT:
+        # a small source may come nearer if a pass is given up and documents repeat instead
+        again = fit(lengths, [2 * n for n in counts], rest + total)
+        if abs(rest + total - sum(a * e for a, e in zip(lengths, again))) < missed:
+            passes, extra = passes - 1, again
+    return [passes + (e // n if n else 0) for e, n in zip(extra, counts)], [e % n if n else 0 for e, n in zip(extra, counts)]
+
+
+def _spread(lengths: list[int], counts: list[int], rest: int) -> list[int]:
+    """The same share of every length, then the longest ones down to a few documents'
+    worth, then the knapsack."""
+    total = sum(a * b for a, b in zip(lengths, counts))
     extra = [n * rest // total for n in counts]
     left = [n - e for n, e in zip(counts, extra)]
     rest -= sum(a * e for a, e in zip(lengths, extra))
@@ -101,10 +123,9 @@ def plan_source(lengths: list[int], counts: list[int], target: float) -> tuple[i
             left[i] -= n
             rest -= n * lengths[i]
     order.reverse()
-    more = fit([lengths[i] for i in order], [left[i] for i in order], rest)
-    for i, n in zip(order, more):
+    for i, n in zip(order, fit([lengths[i] for i in order], [left[i] for i in order], rest)):
         extra[i] += n
-    return passes, extra
+    return extra
 
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
