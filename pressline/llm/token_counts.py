@@ -188,7 +188,7 @@ def counts(docs: DataFrame, edits: DataFrame | None = None, tokenizer: str = TOK
     if edits is None:
         rows = rows.withColumn("edits", F.expr("cast(null as array<struct<start:int,end:int,replacement:string>>)"))
     else:
-        grouped = edits.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("int"), F.col("end").cast("int"), F.coalesce("replacement", F.lit("")).alias("replacement"))).alias("edits"))
+        grouped = edits.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.coalesce("replacement", F.lit("")).alias("replacement"))).alias("edits"))
         rows = rows.join(grouped, "doc_id", "left").withColumn("edits", F.coalesce("edits", F.expr("cast(array() as array<struct<start:int,end:int,replacement:string>>)")))
 
     def run(it):
