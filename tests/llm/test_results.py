@@ -1,0 +1,291 @@
+"""Operators against brute force, round trips and held-out accuracy."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from pressline.llm import decontaminate, html_extract, language_id, lm_score, mixing, quality_rules, secret_scan, simhash, suffix_dedup, token_counts
+from pressline.llm.queries import ORACLE_SQL, QUERIES
+from tests.conftest import canonical
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, duck, name):
+    df = QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    assert canonical(df.select(*columns).collect()) == canonical(duck.sql(ORACLE_SQL[name]).select(*(f'"{c}"' for c in columns)).fetchall())
+
+
+def brute_dedup(texts):
+    data = [(t or "").encode() for t in texts]
+    times = Counter(d[i : i + 200] for d in data for i in range(len(d) - 199))
+    out = []
+    for d in data:
+        cover = np.zeros(len(d) + 1, np.int64)
+        for i in range(len(d) - 199):
+            if times[d[i : i + 200]] > 1:
+                cover[i] += 1
+                cover[i + 200] -= 1
+        gone = np.cumsum(cover[:-1]) > 0
+        kept = np.frombuffer(d, np.uint8)[~gone].tobytes() if d else b""
+        out.append((len(d), int(gone.sum()), int((np.diff(np.r_[False, gone].astype(int)) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_pieces": 5, "shard_bytes": 5000}])
+def test_suffix_dedup(spark, limits):
+    rng = random.Random(3)
+    para = lambda n: " ".join(rng.choice("alpha beta gamma délta eps zz qq the of".split()) + str(rng.randint(0, 50)) for _ in range(n))
+    shared = [para(60) for _ in range(6)]
+    texts = [" ".join([para(rng.randint(0, 60)), rng.choice(shared), para(rng.randint(0, 40)), rng.choice(shared)[rng.randint(0, 100) :]]) for _ in range(50)]
+    texts += [texts[0], texts[0], None, "", "a" * 1000, "ab" * 400, "a" * 199, "a" * 200, texts[3][:-3] + "xyz" + para(50), shared[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = sorted(tuple(r) for r in suffix_dedup.dedup(df, **limits).collect())
+    assert got == [(i, *b) for i, b in enumerate(brute_dedup(texts))]
+
+
+def test_secrets(spark):
+    token = hashlib.sha256(b"1").hexdigest()
+    rng = random.Random(1)
+    blob = "".join(rng.choice(secret_scan.ENCODINGS[3][1]) for _ in range(40))
+    texts = [f'API_KEY = "{token[:20]}" and AKIA{"A1" * 8} then {token}', f"see {blob} end", "token=token:abcdefgh", "internationalization-of-documentation plainwordsonlyverylong"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    r = {x.doc_id: x for x in secret_scan.find_secrets(df).collect()}
+    assert (r[0].n_assign, r[0].n_access, r[0].n_hex) == (1, 1, 1) and r[0].spans.startswith("assign:0:")
+    assert r[2].n_assign == 0 and r[3].spans == "" and r[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    redacted = {x.doc_id: x.text for x in secret_scan.redact(df).collect()}
+    assert token not in redacted[0] and redacted[3] == texts[3]
+
+
+def test_randomness_is_calibrated():
+    rng = random.Random(2)
+    ps = []
+    for name, alphabet in secret_scan.ENCODINGS:
+        for n in (24, 40, 64):
+            for _ in range(60):
+                s = "".join(rng.choice(alphabet) for _ in range(n)).strip("=-_")
+                ps.append(secret_scan.randomness(s, secret_scan.infer_encoding(s)))
+    assert 0.35 < np.mean(ps) < 0.7 and np.mean(np.array(ps) < 0.001) < 0.05
+    assert secret_scan.randomness("someLongCamelCaseIdentifierName", 3) < 0.001
+
+
+def test_repeated_words():
+    assert quality_rules.repeated_words("a b c d e a b c d e".split()) == 10
+    assert quality_rules.repeated_words("x x x x x x".split()) == 6
+    assert quality_rules.repeated_words("a b c d e f".split()) == 0
+
+
+def test_ablations(spark):
+    entries = quality_rules.ledger(spark.createDataFrame([(1, "one"), (2, "a b c d e f g h i j k"), (3, "### " * 30)], "doc_id long, text string"))
+    r = {x.rule: x for x in quality_rules.ablations(entries).collect()}
+    assert r["too_few_words"].n_failing == 1 == r["too_few_words"].n_only_this
+    assert r["symbol_density"].n_kept_by_rule_alone == 2
+
+
+def test_decontamination_tolerates_substitutions(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    item = [word() for _ in range(30)]
+    changed = list(item)
+    for i in (4, 13, 22):
+        changed[i] = word()
+    noise = [word() for _ in range(100)]
+    docs = spark.createDataFrame([(1, " ".join(noise[:50] + changed + noise[50:])), (2, " ".join(noise)), (3, " ".join(noise[:9] + item[:9]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item).upper() + "!")], "item_id long, text string")
+    for tokens in (2_000_000, 0):
+        got = [tuple(r) for r in decontaminate.contaminated(docs, bench, tokens).collect()]
+        assert got == [(1, 7, 30, 27, 50, 30)]
+
+
+def test_extraction():
+    page = """<html><body><div id='cookie-notice'>We use cookies</div><header>Top</header><div class='menu'><a href=x>Home</a></div>
+    <div class='post-content'><h1>T&eacute;st &amp; more</h1><p>One two   three<p>Four <a href=y>five</a> six<ul><li>a<li>b</ul><div class=ad>buy</div></div>
+    <div class=comments><p>Nice article, I love it very much and so on and on</p></div><footer>c</footer></body></html>"""
+    assert html_extract.extract(page, None) == "Tést & more\nOne two three\nFour five six\na\nb"
+
+
+def test_host_consensus(spark):
+    body = lambda text, side: f"<html><body><div class='side1'><p>{side}</p></div><div class='c9'><p>{text}</p></div></body></html>"
+    rows = [(i, f"http://h.example/{i}", body("long text " * 40, "x")) for i in range(9)] + [(9, "http://h.example/9", body("short main", "a much longer side text than usual " * 3))]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == "short main"
+
+
+def test_lm(spark):
+    rng = random.Random(6)
+    texts = [(i, " ".join(rng.choice("a b c d e f g".split()) for _ in range(rng.randint(0, 40)))) for i in range(300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm_score.score_documents(df).collect()}
+    train = Counter(w for i, t in texts if zlib.crc32(str(i).encode()) % 10 for w in [*t.split(), "</s>"])
+    n, v = sum(train.values()), len(train)
+    for i, t in texts:
+        words = [*t.split(), "</s>"]
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 10 == 0, len(words), sum(train[w] > 0 for w in words), n)
+        assert math.isclose(r.base_score, sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words), abs_tol=1e-6)
+        assert -60 * len(words) < r.score < 0
+    again = {r.doc_id: r.score for r in lm_score.score_documents(df, order=3, shard_entries=50).collect()}
+    assert len(again) == 300
+
+
+def test_lm_mixture_is_a_distribution():
+    """Probabilities of all words after a context sum to one (with one unknown word)."""
+    tokens = [1, 2, 1, 3, 1, 2]
+    counts, pairs = Counter(tokens), Counter(zip(tokens, tokens[1:]))
+    w = np.array([0.5, 0.3, 0.2])
+    ctx = sum(c for (a, _), c in pairs.items() if a == 1)
+    total = sum(w @ np.array([pairs[1, x] / ctx, counts[x] / 6, 1 / 4]) for x in (1, 2, 3, 99))
+    assert math.isclose(total, 1.0)
+
+
+def brute_components(fps, ids):
+    n = len(fps)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
+    label = np.arange(n)
+    while True:
+        new = np.array([label[near[i]].min() for i in range(n)])
+        if (new == label).all():
+            break
+        label = new
+    low = {}
+    for i in range(n):
+        low[label[i]] = min(low.get(label[i], 1 << 60), ids[i])
+    return [low[x] for x in label]
+
+
+def test_simhash_contract(spark):
+    rows = QUERIES["op7_simhash_near_dedup"](spark, SF).collect()
+    fps, ids = np.array([int(r.fingerprint, 16) for r in rows], np.uint64), [r.doc_id for r in rows]
+    assert [r.component_id for r in rows] == brute_components(fps, ids)
+
+
+@pytest.mark.parametrize("paired", [2, 8, 256])
+def test_simhash_links(spark, paired):
+    rng = random.Random(1)
+    f = [rng.getrandbits(64) for _ in range(100)]
+    for _ in range(3):
+        base = rng.getrandbits(64)
+        for _ in range(150):
+            x = base
+            for _ in range(rng.randint(0, 4)):
+                x ^= 1 << rng.randrange(64)
+            f.append(x)
+    f = np.unique(np.array(f, np.uint64))
+    df = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp long")
+    root = {r.node: r.root for r in simhash.components(simhash.links(df, paired)).collect()}
+    signed = f.view(np.int64).tolist()
+    want = brute_components(f, list(range(len(f))))
+    assert len({root.get(x, x) for x in signed}) == len(set(want))
+    assert len({(root.get(x, x), w) for x, w in zip(signed, want)}) == len(set(want))
+
+
+def test_near_copies(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    docs = []
+    for g in range(20):
+        base = [rng.choice(vocabulary) for _ in range(120)]
+        for k in range(4):
+            w = list(base)
+            for _ in range(k):
+                w[rng.randrange(120)] = rng.choice(vocabulary)
+            docs.append((g * 10 + k, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(116)} for i, t in docs}
+    root = {r.doc_id: r.root for r in simhash.copy_groups(df).collect()}
+    for a, _ in docs:
+        for b, _ in docs:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                assert root[a] == root[b]
+    assert len({root[i] for i in range(0, 200, 10)}) == 20
+
+
+def test_fit_is_exact():
+    rng = random.Random(9)
+    for _ in range(200):
+        lengths = [rng.randint(1, 12) for _ in range(rng.randint(1, 5))]
+        counts = [rng.randint(0, 4) for _ in lengths]
+        budget = rng.randint(0, 60)
+        reach = {0}
+        for a, n in zip(lengths, counts):
+            reach = {s + k * a for s in reach for k in range(n + 1)}
+        taken = mixing.fit(lengths, counts, budget)
+        assert all(0 <= t <= n for t, n in zip(taken, counts))
+        assert sum(a * t for a, t in zip(lengths, taken)) == min(reach, key=lambda s: (abs(s - budget), s))
+
+
+def test_mixing(spark):
+    rows = QUERIES["op8_mixing"](spark, SF)
+    r = rows.toPandas()
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source").toPandas()
+    g = r.merge(d, on="doc_id").groupby("source").agg(target=("target", "first"), size=("size", "sum"), taken=("taken", "sum")).reset_index()
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(g["source"]))}
+    want, left, total = {}, set(weights), float(g["size"].sum())
+    size = dict(zip(g["source"], g["size"]))
+    while left:
+        share = total / sum(weights[s] for s in left)
+        full = {s for s in left if share * weights[s] >= 3 * size[s]}
+        for s in full or left:
+            want[s] = float(3 * size[s]) if full else share * weights[s]
+        total -= sum(want[s] for s in full)
+        left = left - full if full else set()
+    assert all(math.isclose(t, want[s], rel_tol=1e-9) for s, t in zip(g["source"], g["target"]))
+    assert (abs(g["taken"] - g["target"]) <= 25).all() and (r["taken"] <= 3 * r["size"]).all()
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, QUERIES["op8_mixing"](spark, SF).collect()))
+
+
+def test_language(spark):
+    sf = "/root/testdata/sf0.01"
+    r = QUERIES["op9_language_id"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
+    assert (r["lang"] == r["lang_pred"]).mean() > 0.97 and r["score"].between(0, 1).all()
+    assert language_id.Classifier({"families": {"x": ["en"]}, "machines": {}}).predict("12 34") == ("und", 0.0)
+
+
+def test_token_edits():
+    encoder, rng = token_counts.Encoder(), random.Random(5)
+    leaf, token_counts.LEAF = token_counts.LEAF, 4
+    try:
+        for _ in range(800):
+            text = "".join(rng.choice("ab  \n\n\t'sé1,. ") for _ in range(rng.randint(0, 120)))
+            tree = token_counts.build(text, encoder)
+            assert tree.total == len(encoder._bpe.encode_ordinary(text))
+            edits = []
+            for _ in range(rng.randint(0, 4)):
+                a = rng.randint(0, len(text))
+                edits.append((a, min(len(text), a + rng.randint(0, 6)), "".join(rng.choice("ab \n's1") for _ in range(rng.randint(0, 8)))))
+            edits = token_counts.usable(text, edits)
+            after, _ = token_counts.edit(text, tree, edits, encoder)
+            for a, b, new in reversed(edits):
+                text = text[:a] + new + text[b:]
+            assert after == text and tree.total == len(encoder._bpe.encode_ordinary(text)) and tree.chars[1] == len(text)
+    finally:
+        token_counts.LEAF = leaf
+
+
+def test_token_edits_from_a_table(spark):
+    docs = spark.createDataFrame([(1, "hello world " * 500), (2, None)], "doc_id long, text string")
+    edits = spark.createDataFrame([(1, 6, 11, "there"), (1, 8, 9, "overlaps"), (1, 99999, 100000, "outside")], "doc_id long, start int, end int, replacement string")
+    r = {x.doc_id: x for x in token_counts.counts(docs, edits).collect()}
+    text = "hello there " + "hello world " * 499
+    assert (r[1].n_edits, r[1].n_tokens_after) == (1, len(token_counts.Encoder()._bpe.encode_ordinary(text))) and r[1].n_reencoded < 200 and r[2].n_tokens == 0
+
+
+def test_pipeline(spark):
+    cp = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = cp.run(spark, SF)
+    assert out.columns == [*docs.columns, "copies"]
+    rows = out.collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert rows and len({r.doc_id for r in rows}) == len(rows)
+    for r in rows:
+        assert quality_rules.measure(texts[r.doc_id])[0] >= 10
+        assert not re.search(r"[0-9a-f]{32}", r.text)
