@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pressline.plans import events, ingest, messages, sql_events, streams
+from pressline.plans import events, ingest, layout, messages, sql_events, streams
 
-MODULES = (events, messages, ingest, streams)
-SQL = (sql_events, messages, ingest, streams)
+MODULES = (events, messages, ingest, streams, layout)
+SQL = (sql_events, messages, ingest, streams, layout)
 
 
 def queries() -> dict:

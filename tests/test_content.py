@@ -160,3 +160,58 @@ def test_search_parameters(spark):
         search.search_published(items, sort_by="nope")
     with pytest.raises(ValueError):
         search.search_published(items, limit=101)
+
+
+def test_visual_rows_against_loop(spark):
+    import random
+
+    from pressline.operators import layout
+
+    rng = random.Random(3)
+    lines = [(1 + i % 2, i, f"t{i}", rng.randint(0, 300), y := rng.randint(0, 60), 0, y + 10, 1000, 1400) for i in range(60)]
+    df = spark.createDataFrame(lines, "image_id int, line int, text string, x0 int, y0 int, x1 int, y1 int, width int, height int")
+    got = {(r.image_id, r.row): r.text for r in layout.visual_rows(df, ["image_id"]).collect()}
+    for image in (1, 2):
+        rows = []
+        for cy, x, t in sorted(((r[4] + r[6]) / 2, float(r[3]), r[2]) for r in lines if r[0] == image):
+            if rows and abs(cy - sum(c for c, _, _ in rows[-1]) / len(rows[-1])) <= 5.6:
+                rows[-1].append((cy, x, t))
+            else:
+                rows.append([(cy, x, t)])
+        want = {(image, i): "  ".join(t for _, t in sorted((x, t) for _, x, t in r)) for i, r in enumerate(rows)}
+        assert {k: v for k, v in got.items() if k[0] == image} == want
+
+
+def test_packing(spark):
+    from pressline.functions import packing
+
+    texts = ["a" * 10, "b" * 20, "c" * 500, "d", "e"]
+    got = one(spark, packing.chunk_numbers(F.array(*map(F.lit, texts)), 2, 300))
+    assert got == [0, 0, 1, 2, 2]
+    picked = one(spark, packing.pick_within(F.array(*map(F.lit, ["none here", "has Term", "x" * 30])), F.array(F.lit("term")), 20))
+    assert picked == "none here\nhas Term\nx"[:20]
+
+
+def test_files(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from pressline.sources import files
+
+    (tmp_path / "a.jsonl").write_text('{"case_id":"1","task":"event","dataset_version":"v","expected":"x"}\n{broken\n{"case_id":"2"}\n{"case_id":"3","task":"nope","dataset_version":"v","expected":"x"}\n')
+    valid, rejected = files.read_cases(spark, str(tmp_path / "a.jsonl"))
+    assert [r.case_id for r in valid.collect()] == ["1"] and sorted(r.reason for r in rejected.collect()) == ["invalid JSON", "missing key", "unsupported task"]
+    path = str(tmp_path / "report")
+    files.overwrite_days(spark.createDataFrame([("d1", 1), ("d2", 2)], "report_date string, id int"), path)
+    files.overwrite_days(spark.createDataFrame([("d2", 3)], "report_date string, id int"), path)
+    assert sorted((str(r.report_date), r.id) for r in spark.read.parquet(path).collect()) == [("d1", 1), ("d2", 3)]
+    a, b = T.StructType.fromDDL("x int, s struct<a:int,b:int>"), T.StructType.fromDDL("x long, s struct<a:int>, y int")
+    assert files.schema_difference(a, b) == ["- s.b", "~ x: int / bigint", "+ y"]
+    assert files.markdown_table(spark.createDataFrame([(1, "a|b")], "i int, t string")).endswith("| 1 | a\\|b |")
+
+
+def test_trace_totals(spark):
+    from pressline.sources import files
+
+    rows = [(1, '{"a": {"model": "m", "usage": {"total_tokens": 5}, "latency_ms": 10, "inner": {"model": "n"}}, "b": {"c": {"prompt_name": "p", "latency_ms": 30}}}'), (2, '{"x": [1, 2], "y": "text"}')]
+    r = files.trace_totals(spark.createDataFrame(rows, "id int, snapshot string")).first()
+    assert (r.calls, r.tokens, r.latency_ms) == (2, 5, 20.0)
