@@ -56,14 +56,13 @@ def base_weight() -> Column:
     )
 
 
-def heat_contributions(mentions: DataFrame, as_of: Column) -> DataFrame:
-    """Per counted message: weight, half-life decay of 12 hours, and a factor that falls
-    with each earlier message of the same source within six hours."""
-    ref = as_of.cast("long")
+def _with_contribution(kept: DataFrame, ref: Column) -> DataFrame:
+    """Weight, decay (half-life 12 hours) and repeat factor of each row; rows older than
+    seven days are marked and neither count nor repeat."""
     seen = F.col("seen_us")
-    rows = distinct_evidence(mentions).where(seen >= ref - 7 * DAY)
-    by_time = Window.partitionBy("event_id", "source_id").orderBy("seen_us")
-    peers = Window.partitionBy("event_id", "source_id", "seen_us")
+    rows = kept.withColumn("_eligible", seen >= ref - 7 * DAY)
+    by_time = Window.partitionBy("event_id", "source_id", "_eligible").orderBy("seen_us")
+    peers = Window.partitionBy("event_id", "source_id", "_eligible", "seen_us")
     earlier = F.count("*").over(by_time.rangeBetween(-6 * HOUR, 0)) - F.count("*").over(peers) + F.row_number().over(peers.orderBy("item_id")) - 1
     factor = F.when(earlier == 0, 1.0).when(earlier == 1, 0.5).when(earlier == 2, 0.25).otherwise(0.1)
     age = F.greatest(F.lit(0.0), (ref - seen) / F.lit(float(HOUR)))
@@ -71,27 +70,34 @@ def heat_contributions(mentions: DataFrame, as_of: Column) -> DataFrame:
     return rows.withColumn("contribution", F.col("base_weight") * F.col("time_decay") * F.col("source_repeat_factor"))
 
 
-def event_heat(mentions: DataFrame, as_of: Column) -> DataFrame:
-    """event_id, heat_raw, heat_score, heat_level, message and source counts."""
+def heat_contributions(mentions: DataFrame, as_of: Column) -> DataFrame:
+    """Per counted message: weight, half-life decay of 12 hours, and a factor that falls
+    with each earlier message of the same source within six hours."""
+    return _with_contribution(distinct_evidence(mentions), as_of.cast("long")).where("_eligible").drop("_eligible")
+
+
+def _heat_core(mentions: DataFrame, as_of: Column) -> DataFrame:
+    """Heat and counts of the distinct evidence, in one grouping."""
     ref = as_of.cast("long")
     day = F.col("seen_us").between(ref - DAY, ref)
-    kept = distinct_evidence(mentions).groupBy("event_id").agg(
-        F.count("*").alias("message_count_total"),
-        F.countDistinct(F.when(day, F.col("item_id"))).alias("message_count_24h"),
-        F.countDistinct(F.when(day, F.col("source_id"))).alias("unique_sources_24h"),
-    )
-    raw = heat_contributions(mentions, as_of).groupBy("event_id").agg(F.sum("contribution").alias("raw"))
-    every = mentions.groupBy("event_id").agg(F.count("*").alias("n"))
+    rows = _with_contribution(distinct_evidence(mentions), ref)
+    core = rows.groupBy("event_id").agg(
+        F.sum(F.when(F.col("_eligible"), F.col("contribution"))).alias("raw"), F.count("*").alias("message_count_total"),
+        F.count_if(day).alias("message_count_24h"), F.countDistinct(F.when(day, F.col("source_id"))).alias("unique_sources_24h"),
+    )
     score = F.round(1 - F.exp(-F.coalesce("raw", F.lit(0.0)) / 6), 6)
-    return (
-        every.join(kept, "event_id").join(raw, "event_id", "left")
-        .select(
-            "event_id", F.round(F.coalesce("raw", F.lit(0.0)), 6).alias("heat_raw"), score.alias("heat_score"), level(score, V.HEAT_LEVELS).alias("heat_level"),
-            "message_count_total", "message_count_24h", "unique_sources_24h", (F.col("n") - F.col("message_count_total")).alias("deduplicated_count"),
-        )
+    return core.select(
+        "event_id", F.round(F.coalesce("raw", F.lit(0.0)), 6).alias("heat_raw"), score.alias("heat_score"), level(score, V.HEAT_LEVELS).alias("heat_level"),
+        "message_count_total", "message_count_24h", "unique_sources_24h",
     )
 
 
+def event_heat(mentions: DataFrame, as_of: Column) -> DataFrame:
+    """event_id, heat_raw, heat_score, heat_level, message and source counts."""
+    every = mentions.groupBy("event_id").agg(F.count("*").alias("n"))
+    return _heat_core(mentions, as_of).join(every, "event_id").withColumn("deduplicated_count", F.col("n") - F.col("message_count_total")).drop("n")
+
+
 # ---- credibility ----------------------------------------------------------------
 
 
@@ -173,21 +179,29 @@ def importance_ignored(mentions: DataFrame) -> DataFrame:
 # ---- times, references, lifecycle --------------------------------------------------
 
 
-def event_times(mentions: DataFrame) -> DataFrame:
+def _times() -> list[Column]:
     t = F.col("time_us")
-    return mentions.groupBy("event_id").agg(F.min(t).alias("first_seen_us"), F.max(t).alias("last_seen_us"), F.max(F.when(F.col("materiality") == "material_update", t)).alias("last_material_us"))
+    return [F.min(t).alias("first_seen_us"), F.max(t).alias("last_seen_us"), F.max(F.when(F.col("materiality") == "material_update", t)).alias("last_material_us")]
 
 
-def event_references(mentions: DataFrame) -> DataFrame:
-    """Origin and latest material message, best primary source, best with media."""
+def _references() -> list[Column]:
     t, i, rank = F.col("time_us"), F.col("id"), role_rank(F.col("source_role"))
     material, positive = F.col("materiality") == "material_update", F.col("relation").isin(*V.POSITIVE_RELATIONS)
-    return mentions.groupBy("event_id").agg(
+    return [
         F.min_by("item_id", F.when(material, F.struct(t, i))).alias("origin_item"),
         F.max_by("item_id", F.when(material, F.struct(t, i))).alias("latest_item"),
         F.max_by("item_id", F.when(positive, F.struct(rank.alias("r"), "reliability", (-t).alias("t"), (-i).alias("i")))).alias("primary_item"),
         F.max_by("item_id", F.when(F.col("has_media"), F.struct(rank.alias("r"), material.alias("m"), t.alias("t"), i.alias("i")))).alias("media_item"),
-    )
+    ]
+
+
+def event_times(mentions: DataFrame) -> DataFrame:
+    return mentions.groupBy("event_id").agg(*_times())
+
+
+def event_references(mentions: DataFrame) -> DataFrame:
+    """Origin and latest material message, best primary source, best with media."""
+    return mentions.groupBy("event_id").agg(*_references())
 
 
 def restored_status(mentions: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
@@ -218,9 +232,26 @@ def event_lifecycle(mentions: DataFrame, snapshots: DataFrame | None = None) ->
 
 
 def refresh_event_metrics(mentions: DataFrame, as_of: Column, snapshots: DataFrame | None = None) -> DataFrame:
-    """The gold row of every event: scores, levels, counts, times and references. All
-    parts group by the event, so one shuffle of the mentions serves them."""
-    credibility = event_credibility(mentions)
-    out = event_times(mentions).join(event_heat(mentions, as_of), "event_id").join(credibility, "event_id")
-    out = out.join(event_importance(mentions).drop("evidence_items"), "event_id").join(event_references(mentions), "event_id").join(restored_status(mentions, snapshots), "event_id")
-    return out.withColumn("lifecycle", lifecycle(F.col("status"), F.col("credibility_level"))).drop("status")
+    """The gold row of every event: scores, levels, counts, times and references.
+
+    Times, references, importance and counts are one aggregation with partial sums
+    before its shuffle; heat and credibility, which group twice, are two more. The
+    mentions are read once per group, so callers whose mentions are themselves a join
+    should materialise them first."""
+    score, counts = F.round("importance_score", 4), importance_reason().isNull()
+    best = F.max_by(F.struct(score.alias("s"), F.col("importance_profile").alias("p"), F.col("item_id").alias("i")), F.when(counts, F.struct(score.alias("s"), (-F.col("item_id")).alias("i"), (-F.col("item_revision")).alias("r"), (-F.col("mention_index")).alias("m"))))
+    material = F.col("materiality") == "material_update"
+    base = mentions.groupBy("event_id").agg(
+        *_times(), *_references(), F.count("*").alias("_n"), F.count_if(counts).alias("contributions"), F.count_if(~counts).alias("ignored"), best.alias("_best"), F.bool_or(material).alias("_material"),
+    )
+    value = F.coalesce("_best.s", F.lit(0.0))
+    base = base.withColumns({"importance_score": value, "importance_level": level(value, V.IMPORTANCE_LEVELS), "dominant_profile": F.col("_best.p"), "dominant_item_id": F.col("_best.i")}).drop("_best")
+    out = base.join(_heat_core(mentions, as_of), "event_id").join(event_credibility(mentions), "event_id")
+    status = F.when(F.col("_material"), "developing").otherwise("stale")
+    if snapshots is not None:
+        own = mentions.where(material).join(snapshots, mentions.id == snapshots.mention_id)
+        restored = own.groupBy("event_id").agg(F.max_by(F.coalesce("lifecycle_status", F.lit("developing")), F.struct("time_us", "id")).alias("_snap"))
+        out = out.join(restored, "event_id", "left")
+        status = F.coalesce("_snap", status)
+    out = out.withColumn("lifecycle", lifecycle(status, F.col("credibility_level"))).withColumn("deduplicated_count", F.col("_n") - F.col("message_count_total"))
+    return out.drop("_n", "_material", "_snap")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressline.functions.lineage import materialised
 from pressline.operators import events as E
 from pressline.sources.adapter import view
 
@@ -13,14 +14,9 @@ def _mentions(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "mention")
 
 
-def _with_as_of(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions beside the reference time (one row, so the join only adds a column)."""
-    return _mentions(spark, d).crossJoin(F.broadcast(view(spark, d, "latest_us")))
-
-
-def _snapshots(spark: SparkSession, d: str) -> DataFrame:
+def _snapshots(spark: SparkSession, d: str, mentions: DataFrame | None = None) -> DataFrame:
     status = F.element_at(F.array(*map(F.lit, ("confirmed", "resolved", "denied", None, "developing"))), (F.col("id") % 5 + 1).cast("int"))
-    return _mentions(spark, d).where("id % 3 = 0").select(F.col("id").alias("mention_id"), status.alias("lifecycle_status"))
+    return (_mentions(spark, d) if mentions is None else mentions).where("id % 3 = 0").select(F.col("id").alias("mention_id"), status.alias("lifecycle_status"))
 
 
 def as_of(spark: SparkSession, d: str):
@@ -33,6 +29,11 @@ def heat_contributions(spark, d):
     return E.heat_contributions(_mentions(spark, d), as_of(spark, d)).select("event_id", "item_id", "base_weight", "source_repeat_factor", *rounded)
 
 
+def refresh_all(spark, d):
+    mentions = materialised(_mentions(spark, d))
+    return E.refresh_event_metrics(mentions, as_of(spark, d), _snapshots(spark, d, mentions))
+
+
 QUERIES = {
     "event_heat": lambda s, d: E.event_heat(_mentions(s, d), as_of(s, d)),
     "event_heat_contributions": heat_contributions,
@@ -42,5 +43,5 @@ QUERIES = {
     "event_times": lambda s, d: E.event_times(_mentions(s, d)),
     "event_references": lambda s, d: E.event_references(_mentions(s, d)),
     "event_lifecycle": lambda s, d: E.event_lifecycle(_mentions(s, d), _snapshots(s, d)),
-    "event_refresh_all": lambda s, d: E.refresh_event_metrics(_mentions(s, d), as_of(s, d), _snapshots(s, d)),
+    "event_refresh_all": refresh_all,
 }
