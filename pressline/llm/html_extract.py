@@ -34,6 +34,9 @@ SPACE = re.compile(r"[\s​﻿]+")
 NUMBER = re.compile(r"\d+")
 WORD = re.compile(r"[a-z]+|\d+")
 
+#: Classes that tell a state of the layout, as in has-sidebar, and not what the element is.
+STATE = re.compile(r"(?:has|with|without|no|is|js|not)[-_]")
+
 # Fixed values of HTML and of common page templates.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas textarea title noembed noframes xmp".split())
@@ -76,7 +79,7 @@ class Node:
     def _read(self, attributes: str) -> None:
         at = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
         classes = at.get("class", "").split()
-        names = [*classes, at.get("id", "")]
+        names = [n for n in (*classes, at.get("id", "")) if not STATE.match(n)]
         words = {w for n in names for w in WORD.findall(n)}
         role, prop = at.get("role", ""), at.get("itemprop", "")
         self.main = self.main or role == "main" or prop == "articlebody" or bool(words & MAIN_WORDS and not words & DROPPED_WORDS)
@@ -159,6 +162,9 @@ class Page:
             if m[2]:
                 self._close(tag)
                 continue
+            if tag == "br":  # white space inside its block
+                self._add(" ")
+                continue
             if tag not in INLINE:
                 self._flush()
                 self._implied(tag)
