@@ -113,24 +113,46 @@ def priority(score: Column, content_form: Column, audience_region: Column) -> Co
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score + delta)), 4)
 
 
+def published_labels(df: DataFrame) -> DataFrame:
+    """What is published of message_type, topics, importance and priority: a message that
+    is media or a link only has unknown labels and zero scores."""
+    bare = F.col("content_form").isin("media_only", "link_only")
+    return df.withColumns({
+        "message_type": F.when(bare, "unknown").otherwise(F.col("message_type")), "topics": F.when(bare, F.array(F.lit("unknown"))).otherwise(F.col("topics")),
+        "importance": F.when(bare, 0.0).otherwise(F.col("importance")), "priority": F.when(bare, 0.0).otherwise(F.col("priority")),
+    })
+
+
+PREVIEW_ACCOUNT = "riotphroxzon"
+
+
+def is_patch_preview(has_media: Column, title: Column, text: Column, connector: Column, account: Column) -> Column:
+    """Whether a message's images are previews of a patch: by its words and its account."""
+    words = F.lower(F.concat_ws("\n", title, text))
+    named = words.contains("preview") | words.contains("micropatch") | words.contains("hotfix")
+    return F.coalesce(has_media & named & (connector == "x_twitter") & (F.lower(account) == PREVIEW_ACCOUNT), F.lit(False))
+
+
 # ---- classification ---------------------------------------------------------------
 
+#: Texts of the rules (fixed values).
 ERRORS = {
-    "source_kind": "source_kind has an unsupported value",
-    "product_count": "products must be 1 to 3 distinct values",
-    "product_value": "products has an unsupported value",
-    "product_order": "products must follow the catalogue order",
-    "product_unknown": "product unknown excludes other products",
-    "form_value": "content_form has an unsupported value",
-    "form_products": "media or link only messages have product unknown",
-    "type_value": "message_type has an unsupported value",
-    "topic_count": "topics must be at least one distinct value",
-    "topic_value": "topics has an unsupported value",
-    "topic_order": "topics must follow the catalogue order",
-    "topic_unknown": "topic unknown excludes other topics",
-    "form_type": "media or link only messages have type and topics unknown",
-    "type_product": "message_type does not apply to the products",
-    "type_source": "message_type does not apply to the source",
+    "source_kind": "source_kind 包含不受支持的值",
+    "product_count": "products 必须包含 1-3 个不重复值",
+    "product_value": "products 包含不受支持的值",
+    "product_order": "products 必须按受控目录顺序输出",
+    "product_unknown": "unknown product 不能与其他产品并列",
+    "form_value": "content_form 包含不受支持的值",
+    "form_products": "纯媒体或纯链接消息的 products 必须为 unknown",
+    "type_value": "message_type 包含不受支持的值",
+    "topic_count": "topics 必须包含至少一个不重复值",
+    "topic_value": "topics 包含不受支持的值",
+    "topic_order": "topics 必须按受控目录顺序输出",
+    "topic_unknown": "unknown topic 不能与其他主题并列",
+    "form_type": "纯媒体或纯链接消息的 message_type 和 topics 必须为 unknown",
+    "type_product": "message_type 不适用于所选 products",
+    "type_source": "message_type 不适用于当前信源性质",
+    "topic_product": "topic={} 不适用于所选 products",
 }
 
 
@@ -170,7 +192,7 @@ def classification_error(products: Column, content_form: Column, message_type: C
         .when(bare, F.when((message_type != "unknown") | (topics != none), e["form_type"]))
         .when((message_type != "unknown") & ~fits, e["type_product"])
         .when((message_type != "unknown") & ~side, e["type_source"])
-        .when(stray.isNotNull(), F.concat(F.lit("topic does not apply to the products: "), stray))
+        .when(stray.isNotNull(), F.replace(e["topic_product"], F.lit("{}"), stray))
     )
 
 

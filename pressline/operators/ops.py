@@ -103,3 +103,19 @@ def evidence_projection(mentions: DataFrame) -> DataFrame:
         F.countDistinct(F.when(F.col("relation").isin("reports", "supports", "confirms", "corrects"), F.col("independence_group"))).alias("supporting_groups"),
         F.coalesce(F.bool_or(F.col("source_role") == "responsible_official"), F.lit(False)).alias("has_official"), F.max(F.when(material, F.col("time_us"))).alias("material_us"),
     )
+
+
+def next_run(now_us: Column, enabled: Column, succeeded: Column, truncated: Column, interval_min: Column, retry_min: Column, truncated_min: int = 1) -> Column:
+    """When a collection schedule is due again: soon after a truncated fetch, at its
+    interval after a whole one, at its retry delay after a failure; never if disabled."""
+    delay = F.when(succeeded, F.when(truncated, F.lit(truncated_min)).otherwise(interval_min)).otherwise(retry_min)
+    return F.when(enabled, now_us + delay * 60_000_000)
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each table, as one result."""
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n") for name, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -174,3 +174,13 @@ def status_counts(statuses: DataFrame) -> DataFrame:
     """All statuses in one pass."""
     one = lambda s: F.count_if(F.col("process_status") == s).alias(s)
     return statuses.agg(F.count("*").alias("all"), one("failed"), one("processing"), one("completed"), one("pending"))
+
+
+def raw_status(raws: DataFrame, items: DataFrame, runs: DataFrame) -> DataFrame:
+    """id, status of every raw item: that of its latest run while it is open or failed,
+    else analyzed if a message of it is published, else pending."""
+    r = latest_by(runs, "raw_item_id", "status").select(F.col("raw_item_id").alias("id"), F.col("status").alias("run"))
+    live = items.where("status = 'published'").select("id", F.lit(True).alias("live"))
+    rows = raws.select("id").join(r, "id", "left").join(live, "id", "left")
+    status = F.when(F.col("run").isin("running", "awaiting_review", "failed"), F.col("run")).when(F.col("live"), "analyzed").otherwise("pending")
+    return rows.select("id", status.alias("status"))

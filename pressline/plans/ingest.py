@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pressline.functions import blocks as B
 from pressline.functions import entities as N
 from pressline.functions import vocab as V
-from pressline.operators import ingest, ops, recall
+from pressline.operators import ingest, messages, ops, recall, search
 from pressline.plans.events import _mentions
 from pressline.plans.sql_events import q
 from pressline.sources import html_blocks, platforms
@@ -134,6 +134,24 @@ def cursor_advance(spark, d):
     return ingest.advance_cursor(b.withColumn("truncated", (F.col("batch") + F.col("source")) % 3 != 0))
 
 
+def published_labels(spark, d):
+    i = view(spark, d, "item").withColumns({"topics": F.array("topic"), "importance": F.col("importance_score"), "priority": F.col("priority_score")})
+    return messages.published_labels(i).select("id", "message_type", F.array_join("topics", ",").alias("topics"), "importance", "priority")
+
+
+def patch_previews(spark, d):
+    i, account = view(spark, d, "item"), F.when(F.col("source_id") % 2 == 0, "RiotPhroxzon").otherwise("other")
+    found = messages.is_patch_preview(F.col("id") % 2 == 0, F.col("title"), F.col("content"), F.lit("x_twitter"), account)
+    return i.where(found).select("id")
+
+
+def schedule_next_run(spark, d):
+    """The next run of each collection, from the runs of its source."""
+    r = view(spark, d, "job")
+    due = ops.next_run(F.col("created_us"), F.col("id") % 10 > 0, F.col("status") == "completed", F.col("attempts") == 0, F.lit(30), F.col("attempts") * 5)
+    return r.select("id", due.alias("next_us"))
+
+
 QUERIES = {
     "candidate_recall": candidate_recall,
     "content_revisions": content_revisions,
@@ -165,6 +183,11 @@ QUERIES = {
     "memberships": memberships,
     "membership_conflicts": lambda s, d: ingest.membership_conflicts(view(s, d, "mention_all").select("item_id", "item_revision", "mention_index", "policy", F.lit("attach").alias("action"), "event_id")),
     "cursor_advance": cursor_advance,
+    "raw_item_status": lambda s, d: search.raw_status(view(s, d, "raw"), view(s, d, "item"), view(s, d, "run").where("raw_item_id % 3 > 0")),
+    "published_labels": published_labels,
+    "patch_previews": patch_previews,
+    "schedule_next_run": schedule_next_run,
+    "table_counts": lambda s, d: ops.table_counts({n: view(s, d, n) for n in ("raw", "item", "mention", "story")}),
 }
 
 _words = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+|[一-鿿]'))"
@@ -198,6 +221,11 @@ _site = ", ".join(f"('{s}', {o})" for s, o in SITES)
 REP = "rp as (select i.id, i.content_form, i.source_id, i.id % 6 in (0, 3) is_official, p.url upstream from item i left join pages p on p.page_id = i.id % (select count(*) from pages))"
 _host = r"lower(regexp_extract(upstream, '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
 SQL = {
+    "raw_item_status": q("r as (select raw_item_id id, arg_max(status, id) st from run where raw_item_id % 3 > 0 group by 1)", "select w.id, case when st in ('running', 'awaiting_review', 'failed') then st when i.status = 'published' then 'analyzed' else 'pending' end status from raw w left join r on r.id = w.id left join item i on i.id = w.id"),
+    "published_labels": q("b as (select *, content_form in ('media_only', 'link_only') bare from item)", "select id, case when bare then 'unknown' else message_type end message_type, case when bare then 'unknown' else topic end topics, case when bare then 0 else importance_score end importance, case when bare then 0 else priority_score end priority from b"),
+    "patch_previews": q("z as (select 1)", "select id from item where id % 2 = 0 and source_id % 2 = 0 and regexp_matches(lower(title || chr(10) || content), 'preview|micropatch|hotfix')"),
+    "schedule_next_run": q("z as (select 1)", "select id, case when id % 10 > 0 then created_us + 60000000 * (case when status = 'completed' then (case when attempts = 0 then 1 else 30 end) else attempts * 5 end) end next_us from job"),
+    "table_counts": q("z as (select 1)", "select 'raw' as \"table\", count(*) n from raw union all select 'item', count(*) from item union all select 'mention', count(*) from mention union all select 'story', count(*) from story"),
     "candidate_recall": q(RECALL, "select item_id, event_id, round(score, 4) score, position from r where position <= 12"),
     "content_revisions": f"{ARR} select key, arrival, case when not c then 'skip' when revision = 1 then 'create' else 'revise' end as action, revision, case when c then prev end supersedes, content_hash from r",
     "supersede_cascade": q("o as (select distinct supersedes as id from raw where supersedes is not null), a as (select raw_item_id id, count(*) n from job where status in ('queued', 'running') group by 1)", "select o.id, case when i.status = 'withdrawn' then 'withdrawn' else 'superseded' end item_status, coalesce(a.n, 0) cancelled_jobs from o left join item i on i.id = o.id left join a on a.id = o.id"),

@@ -213,7 +213,7 @@ cls as (select id, coalesce(case when len(pr) > 3 or len(list_distinct(pr)) < le
   when content_form in ('media_only', 'link_only') and pr <> ['unknown'] then {E['form_products']} when len(list_distinct(tps)) < len(tps) then {E['topic_count']} when tor <> tps then {E['topic_order']} when list_contains(tps, 'unknown') and len(tps) > 1 then {E['topic_unknown']}
   when content_form in ('media_only', 'link_only') then (case when message_type <> 'unknown' or tps <> ['unknown'] then {E['form_type']} end)
   when message_type <> 'unknown' and not list_has_any(mps, pr) then {E['type_product']} when message_type <> 'unknown' and kind <> 'unknown' and side not in ('any', kind) then {E['type_source']}
-  when stray is not null then 'topic does not apply to the products: ' || stray end, '') error from c2)"""
+  when stray is not null then replace({E['topic_product']}, '{{}}', stray) end, '') error from c2)"""
 _pf = ", ".join(f"('{p}', '{f}', {V.EVENT_FAMILIES.index(f)})" for p, fs in V.PRODUCT_EVENT_FAMILIES.items() for f in fs.split())
 _tf = ", ".join(f"('{t}', '{f}')" for t, fs in V.TOPIC_EVENT_FAMILIES.items() for f in fs.split())
 ROUTING = f"""
