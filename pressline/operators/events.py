@@ -37,14 +37,21 @@ def role_rank(role: Column) -> Column:
 # ---- heat -----------------------------------------------------------------------
 
 
-def distinct_evidence(mentions: DataFrame) -> DataFrame:
-    """The newest mention of each (source, fingerprint), all without a fingerprint, and
-    of those one per message: one without a fingerprint if there is one, then the latest id."""
+def _marked(mentions: DataFrame) -> DataFrame:
+    """Adds ``_kept``: the newest mention of each (source, fingerprint), all without a
+    fingerprint, and of those one per message: one without a fingerprint if there is
+    one, then the latest id. Rows are marked, not dropped, so that one grouping can
+    count both sides."""
     has = F.coalesce(F.length("fingerprint") > 0, F.lit(False))
     newest = F.row_number().over(Window.partitionBy("event_id", "source_id", "fingerprint").orderBy(F.col("seen_us").desc(), "id"))
-    kept = mentions.withColumn("_fp", has).withColumn("_n", newest).where(~F.col("_fp") | (F.col("_n") == 1))
-    last = F.row_number().over(Window.partitionBy("event_id", "item_id").orderBy("_fp", F.col("id").desc()))
-    return kept.withColumn("_n", last).where("_n = 1").drop("_n", "_fp")
+    first = mentions.withColumn("_fp", has).withColumn("_first", ~F.col("_fp") | (newest == 1))
+    last = F.row_number().over(Window.partitionBy("event_id", "item_id", "_first").orderBy("_fp", F.col("id").desc()))
+    return first.withColumn("_kept", F.col("_first") & (last == 1)).drop("_fp", "_first")
+
+
+def distinct_evidence(mentions: DataFrame) -> DataFrame:
+    """The mentions that count, see ``_marked``."""
+    return _marked(mentions).where("_kept").drop("_kept")
 
 
 def base_weight() -> Column:
@@ -56,11 +63,11 @@ def base_weight() -> Column:
     )
 
 
-def _with_contribution(kept: DataFrame, ref: Column) -> DataFrame:
-    """Weight, decay (half-life 12 hours) and repeat factor of each row; rows older than
-    seven days are marked and neither count nor repeat."""
+def _with_contribution(marked: DataFrame, ref: Column) -> DataFrame:
+    """Weight, decay (half-life 12 hours) and repeat factor of each row; rows that are not
+    kept or older than seven days are marked and neither count nor repeat."""
     seen = F.col("seen_us")
-    rows = kept.withColumn("_eligible", seen >= ref - 7 * DAY)
+    rows = marked.withColumn("_eligible", F.col("_kept") & (seen >= ref - 7 * DAY))
     by_time = Window.partitionBy("event_id", "source_id", "_eligible").orderBy("seen_us")
     peers = Window.partitionBy("event_id", "source_id", "_eligible", "seen_us")
     earlier = F.count("*").over(by_time.rangeBetween(-6 * HOUR, 0)) - F.count("*").over(peers) + F.row_number().over(peers.orderBy("item_id")) - 1
@@ -73,31 +80,24 @@ def _with_contribution(kept: DataFrame, ref: Column) -> DataFrame:
 def heat_contributions(mentions: DataFrame, as_of: Column) -> DataFrame:
     """Per counted message: weight, half-life decay of 12 hours, and a factor that falls
     with each earlier message of the same source within six hours."""
-    return _with_contribution(distinct_evidence(mentions), as_of.cast("long")).where("_eligible").drop("_eligible")
+    return _with_contribution(_marked(mentions), as_of.cast("long")).where("_eligible").drop("_eligible", "_kept")
 
 
-def _heat_core(mentions: DataFrame, as_of: Column) -> DataFrame:
-    """Heat and counts of the distinct evidence, in one grouping."""
+def event_heat(mentions: DataFrame, as_of: Column) -> DataFrame:
+    """event_id, heat_raw, heat_score, heat_level, message and source counts; one grouping."""
     ref = as_of.cast("long")
-    day = F.col("seen_us").between(ref - DAY, ref)
-    rows = _with_contribution(distinct_evidence(mentions), ref)
-    core = rows.groupBy("event_id").agg(
-        F.sum(F.when(F.col("_eligible"), F.col("contribution"))).alias("raw"), F.count("*").alias("message_count_total"),
+    day = F.col("_kept") & F.col("seen_us").between(ref - DAY, ref)
+    core = _with_contribution(_marked(mentions), ref).groupBy("event_id").agg(
+        F.sum(F.when(F.col("_eligible"), F.col("contribution"))).alias("raw"), F.count("*").alias("n"), F.count_if("_kept").alias("message_count_total"),
         F.count_if(day).alias("message_count_24h"), F.countDistinct(F.when(day, F.col("source_id"))).alias("unique_sources_24h"),
     )
     score = F.round(1 - F.exp(-F.coalesce("raw", F.lit(0.0)) / 6), 6)
     return core.select(
         "event_id", F.round(F.coalesce("raw", F.lit(0.0)), 6).alias("heat_raw"), score.alias("heat_score"), level(score, V.HEAT_LEVELS).alias("heat_level"),
-        "message_count_total", "message_count_24h", "unique_sources_24h",
+        "message_count_total", "message_count_24h", "unique_sources_24h", (F.col("n") - F.col("message_count_total")).alias("deduplicated_count"),
     )
 
 
-def event_heat(mentions: DataFrame, as_of: Column) -> DataFrame:
-    """event_id, heat_raw, heat_score, heat_level, message and source counts."""
-    every = mentions.groupBy("event_id").agg(F.count("*").alias("n"))
-    return _heat_core(mentions, as_of).join(every, "event_id").withColumn("deduplicated_count", F.col("n") - F.col("message_count_total")).drop("n")
-
-
 # ---- credibility ----------------------------------------------------------------
 
 
@@ -112,21 +112,20 @@ def strength(role: Column, reliability: Column) -> Column:
 
 def event_credibility(mentions: DataFrame) -> DataFrame:
     """Strongest voice of each independence group and polarity, folded per event."""
-    group = F.col("independence_group")
-    rows = mentions.where((F.length(group) > 0) & (F.col("relation") != "mentions")).withColumn("s", strength(F.col("source_role"), F.col("reliability")))
-    denies, positive = F.col("relation") == "denies", F.col("relation").isin(*V.POSITIVE_RELATIONS) & (F.col("s") > 0)
+    counts = (F.length("independence_group") > 0) & (F.col("relation") != "mentions")
+    rows = mentions.withColumn("s", strength(F.col("source_role"), F.col("reliability")))
+    denies, positive = counts & (F.col("relation") == "denies"), counts & F.col("relation").isin(*V.POSITIVE_RELATIONS) & (F.col("s") > 0)
     per_group = rows.groupBy("event_id", "independence_group").agg(
         F.max(F.when(positive, F.col("s"))).alias("pos"),
         F.max(F.when(denies, F.col("s"))).alias("neg"),
         F.coalesce(F.bool_or(positive & (F.col("source_role") == "responsible_official")), F.lit(False)).alias("official"),
         F.coalesce(F.bool_or(denies & F.col("source_role").isin("responsible_official", "direct_subject")), F.lit(False)).alias("authority"),
     )
-    folded = per_group.groupBy("event_id").agg(
+    every = per_group.groupBy("event_id").agg(
         F.max("pos").alias("pos"), F.max("neg").alias("neg"), F.count("pos").alias("positives"), F.count("neg").alias("negatives"),
         F.count_if("official").alias("officials"), F.count_if("authority").alias("denials"), F.count_if(F.col("official") | F.col("authority")).alias("any_official"),
         F.count_if(F.col("pos").isNotNull() | F.col("neg").isNotNull()).alias("independent"),
     )
-    every = mentions.select("event_id").distinct().join(folded, "event_id", "left").na.fill(0, ["positives", "negatives", "officials", "denials", "any_official", "independent"])
     pos, neg = F.coalesce("pos", F.lit(0.0)), F.coalesce("neg", F.lit(0.0))
     disputed = ((F.col("officials") > 0) & (F.col("denials") > 0)) | ((pos >= 70) & (neg >= 70))
     open_points = F.least(F.lit(95.0), F.greatest(F.lit(0.0), pos + 8 * F.least(F.greatest(F.col("positives") - 1, F.lit(0)), F.lit(3)) - 15 * F.least("negatives", F.lit(2))))
@@ -160,13 +159,14 @@ def event_importance(mentions: DataFrame, evidence: int = 10) -> DataFrame:
     rows = mentions.withColumn("reason", importance_reason())
     counts = F.col("reason").isNull()
     entry = F.struct((-F.round("importance_score", 4)).alias("neg"), "item_id", "item_revision", "mention_index", F.col("importance_profile").alias("profile"))
-    # the leading entries of each event by rank, so that no long list is built
-    rank = F.row_number().over(Window.partitionBy("event_id").orderBy(F.round("importance_score", 4).desc(), "item_id", "item_revision", "mention_index"))
-    top = rows.where(counts).withColumn("n", rank).where(F.col("n") <= evidence).groupBy("event_id").agg(F.array_sort(F.collect_list(entry)).alias("top"))
-    folded = rows.groupBy("event_id").agg(F.count_if(counts).alias("contributions"), F.count_if(~counts).alias("ignored"))
+    # only the leading entries of each event go into its list
+    rank = F.row_number().over(Window.partitionBy("event_id", counts).orderBy(F.round("importance_score", 4).desc(), "item_id", "item_revision", "mention_index"))
+    folded = rows.withColumn("n", rank).groupBy("event_id").agg(
+        F.count_if(counts).alias("contributions"), F.count_if(~counts).alias("ignored"), F.array_sort(F.collect_list(F.when(counts & (F.col("n") <= evidence), entry))).alias("top"),
+    )
     first = F.get("top", F.lit(0))
     score = F.coalesce(-first["neg"], F.lit(0.0))
-    return folded.join(top, "event_id", "left").select(
+    return folded.select(
         "event_id", score.alias("importance_score"), level(score, V.IMPORTANCE_LEVELS).alias("importance_level"), first["profile"].alias("dominant_profile"), first["item_id"].alias("dominant_item_id"),
         "contributions", "ignored", F.array_join(F.transform("top", lambda x: x["item_id"].cast("string")), ",").alias("evidence_items"),
     )
@@ -242,16 +242,15 @@ def refresh_event_metrics(mentions: DataFrame, as_of: Column, snapshots: DataFra
     best = F.max_by(F.struct(score.alias("s"), F.col("importance_profile").alias("p"), F.col("item_id").alias("i")), F.when(counts, F.struct(score.alias("s"), (-F.col("item_id")).alias("i"), (-F.col("item_revision")).alias("r"), (-F.col("mention_index")).alias("m"))))
     material = F.col("materiality") == "material_update"
     base = mentions.groupBy("event_id").agg(
-        *_times(), *_references(), F.count("*").alias("_n"), F.count_if(counts).alias("contributions"), F.count_if(~counts).alias("ignored"), best.alias("_best"), F.bool_or(material).alias("_material"),
+        *_times(), *_references(), F.count_if(counts).alias("contributions"), F.count_if(~counts).alias("ignored"), best.alias("_best"), F.bool_or(material).alias("_material"),
     )
     value = F.coalesce("_best.s", F.lit(0.0))
     base = base.withColumns({"importance_score": value, "importance_level": level(value, V.IMPORTANCE_LEVELS), "dominant_profile": F.col("_best.p"), "dominant_item_id": F.col("_best.i")}).drop("_best")
-    out = base.join(_heat_core(mentions, as_of), "event_id").join(event_credibility(mentions), "event_id")
+    out = base.join(event_heat(mentions, as_of), "event_id").join(event_credibility(mentions), "event_id")
     status = F.when(F.col("_material"), "developing").otherwise("stale")
     if snapshots is not None:
         own = mentions.where(material).join(snapshots, mentions.id == snapshots.mention_id)
         restored = own.groupBy("event_id").agg(F.max_by(F.coalesce("lifecycle_status", F.lit("developing")), F.struct("time_us", "id")).alias("_snap"))
         out = out.join(restored, "event_id", "left")
         status = F.coalesce("_snap", status)
-    out = out.withColumn("lifecycle", lifecycle(status, F.col("credibility_level"))).withColumn("deduplicated_count", F.col("_n") - F.col("message_count_total"))
-    return out.drop("_n", "_material", "_snap")
+    return out.withColumn("lifecycle", lifecycle(status, F.col("credibility_level"))).drop("_material", "_snap")
