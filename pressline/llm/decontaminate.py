@@ -211,13 +211,23 @@ def _short_lengths():
     return short
 
 
+def test_side(benchmark: DataFrame, broadcast_tokens: int) -> tuple[DataFrame, list[tuple[int, str]] | None]:
+    """The test items, and also as a list if they are small enough to be sent to the
+    tasks (four characters a token are assumed)."""
+    t = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    size = t.agg(F.sum(F.length("text"))).first()[0] or 0
+    return t, [tuple(r) for r in t.collect()] if size <= 4 * broadcast_tokens else None
+
+
+test_side.__test__ = False  # type: ignore[attr-defined]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """One row per document and test item that overlap: the best segment's length,
     equal tokens and first document token."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    t = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    size = t.agg(F.sum(F.length("text"))).first()[0] or 0
-    found = _by_broadcast(d, [tuple(r) for r in t.collect()]) if size <= 4 * broadcast_tokens else _by_join(d, t)
+    t, items = test_side(benchmark, broadcast_tokens)
+    found = _by_join(d, t) if items is None else _by_broadcast(d, items)
     key = F.struct("n_matched", "n_tokens", (-F.col("first_token")).alias("f"))
     best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_tokens", "n_matched", "first_token", "item_tokens"), key).alias("b"))
     return best.select("doc_id", "item_id", "b.*")
@@ -227,8 +237,26 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no test item. The verdict is joined back by id;
-    a null id stays unless its own text overlaps."""
-    leaks = contaminated(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs.doc_id.cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+    """The documents that overlap no test item. With a test side that fits the tasks
+    every row is judged where it is read; else the verdict is joined back by id, so
+    that rows with equal ids go together."""
+    _, items = test_side(benchmark, broadcast_tokens)
+    if items is None:
+        leaks = contaminated(docs, benchmark, broadcast_tokens).select(F.col("doc_id").alias("_leak")).distinct()
+        return docs.join(leaks, docs.doc_id.cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+    sent, at = docs.sparkSession.sparkContext.broadcast(items), docs.columns.index("text")
+
+    def run(it):
+        side, hashes = TestSide(sent.value), TokenHashes()
+        for b in it:
+            keep = []
+            for text in b.column(at).to_pylist():
+                doc = hashes.of(text)
+                by_item: dict[int, list[int]] = {}
+                for k, d in side.hits(doc):
+                    by_item.setdefault(k, []).append(d)
+                keep.append(not any(verified(doc, side.tokens[k][1], ds) for k, ds in by_item.items()))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -51,8 +51,9 @@ def test_decontamination_edges(spark):
     assert hits == {(8, 1): 12, (9, 1): 12, (4, 4): 1}
     assert decontaminate.contaminated(documents(spark, True), benchmark(spark)).count() == 0
     assert decontaminate.contaminated(documents(spark), benchmark(spark).limit(0)).count() == 0
-    kept = decontaminate.clean(documents(spark), benchmark(spark))
-    assert kept.count() == len(IDS) - 3 and kept.columns == documents(spark).columns
+    for tokens in (2_000_000, 0):
+        kept = decontaminate.clean(documents(spark), benchmark(spark), tokens)
+        assert kept.count() == len(IDS) - 3 and kept.columns == documents(spark).columns
 
 
 def test_html_edges(spark):
