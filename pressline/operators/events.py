@@ -168,7 +168,7 @@ def event_importance(mentions: DataFrame, evidence: int = 10) -> DataFrame:
     score = F.coalesce(-first["neg"], F.lit(0.0))
     return folded.select(
         "event_id", score.alias("importance_score"), level(score, V.IMPORTANCE_LEVELS).alias("importance_level"), first["profile"].alias("dominant_profile"), first["item_id"].alias("dominant_item_id"),
-        "contributions", "ignored", F.array_join(F.transform("top", lambda x: x["item_id"].cast("string")), ",").alias("evidence_items"),
+        "contributions", "ignored", F.when(F.size("top") > 0, F.array_join(F.transform("top", lambda x: x["item_id"].cast("string")), ",")).alias("evidence_items"),
     )
 
 
