@@ -211,10 +211,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: Min-wise bands and rows: two texts at the similarity miss each other with 2 in 10,000.
 BANDS, BAND_ROWS = 16, 4
-#: Members of one band key that are all compared with each other.
+#: Members of one band key that go out as candidate pairs; the pairs of larger keys are compared in blocks.
 COMPARED = 32
 #: Hubs of a stretch of a larger key, and its length.
 HUBS, STRETCH = 4, 2048
+#: Bytes of shingle sets, and texts, of a block of a large key (on average; blocks are dealt by hash).
+BLOCK_BYTES, BLOCK_NODES = 4 << 20, 1024
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -338,24 +340,104 @@ def _hub_runs(hubs: int, chunk: int):
     return run
 
 
-def _copy_candidates(nodes: DataFrame, compared: int) -> DataFrame:
-    """a, b: pairs of nodes that share a band. All pairs of a key with up to
-    ``compared`` nodes. The nodes of a larger key are ordered by their other bands;
-    each is paired with its successor and with a few hubs of its stretch. So a text of
-    a very large group meets its nearest, and the group's most typical texts, in up to
-    16 orders, at a cost that grows with the group and not with its square."""
+def _copy_candidates(nodes: DataFrame, compared: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): pairs of nodes that share a band, and (key, node): the members of the
+    keys of which these are not all pairs. All pairs of a key with up to ``compared``
+    nodes. The nodes of a larger key are ordered by their other bands; each is paired
+    with its successor and with a few hubs of its stretch. That joins most of a large
+    group at a cost that grows with the group and not with its square; the pairs it
+    leaves are for ``_links_between``."""
     level = nodes.select(F.explode("bands").alias("key"), "node")
     dealt = level.repartition("key").sortWithinPartitions("key", "node").select("key", "node")
     found = cut_lineage(dealt.mapInArrow(_candidate_runs(compared), "kind int, key long, a long, b long"))
     pairs = found.where("kind = 0").select("a", "b")
     hot = found.where("kind = 1").select("key", F.col("a").alias("node")).distinct()
     if hot.isEmpty():
-        return pairs
+        return pairs, hot
     at = F.array_position("bands", F.col("key")).cast("int")
     rest = F.concat(F.slice("bands", at + 1, F.lit(BANDS)), F.slice("bands", F.lit(1), at - 1))
     # ranges of (key, other bands) split the key of a large group over many tasks
     ordered = hot.join(nodes, "node").select("key", rest.alias("rest"), "node").repartitionByRange("key", "rest").sortWithinPartitions("key", "rest", "node")
-    return pairs.unionByName(ordered.select("key", "node", "rest").mapInArrow(_hub_runs(HUBS, STRETCH), "a long, b long"))
+    return pairs.unionByName(ordered.select("key", "node", "rest").mapInArrow(_hub_runs(HUBS, STRETCH), "a long, b long")), hot
+
+
+def _block_links(similarity: float):
+    """Over rows (key, i, j, block, node, root, shingles) sorted by (key, i, j): links
+    between the nodes of the blocks i and j. Every pair of different roots is compared
+    on the whole sets until a link has made the roots equal, so what goes out spans
+    the true links and has fewer rows than there are nodes."""
+
+    def links(within, block, node, root, sets):
+        sets = [np.frombuffer(x, np.uint32) for x in sets]
+        order = np.argsort([len(x) for x in sets], kind="stable")
+        block, node = block[order], node[order]
+        sizes = np.array([len(sets[i]) for i in order], np.int64)
+        _, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+        label = np.unique(root[order], return_inverse=True)[1]
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        present = np.zeros(len(ids), np.uint8)
+        stops = np.searchsorted(similarity * sizes, sizes, side="right")  # beyond, texts are too long to be similar
+        a, b = [], []
+        for x in range(len(node) - 1):
+            other = label[x + 1 : stops[x]] != label[x]
+            if not within:
+                other &= block[x + 1 : stops[x]] != block[x]
+            ys = x + 1 + np.flatnonzero(other)
+            if not len(ys):
+                continue
+            own = ids[starts[x] : ends[x]]
+            present[own] = 1
+            if 4 * len(ys) > stops[x] - x:
+                first, last = ys[0], ys[-1]
+                shared = np.add.reduceat(present[ids[starts[first] : ends[last]]], starts[first : last + 1] - starts[first], dtype=np.int64)[ys - first]
+            else:
+                shared = np.array([np.count_nonzero(present[ids[starts[y] : ends[y]]]) for y in ys])
+            present[own] = 0
+            for y in ys[shared >= similarity * (sizes[x] + sizes[ys] - shared)]:
+                if label[y] != label[x]:
+                    a.append(node[x])
+                    b.append(node[y])
+                    label[label == label[y]] = label[x]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(it):
+        held = None
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([batch])
+            whole = whole if held is None else pa.concat_tables([held, whole])
+            key = np.stack([whole.column(c).to_numpy() for c in range(3)])
+            cuts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]).tolist()
+            for x, y in zip(cuts, cuts[1:]):
+                yield unit(whole.slice(x, y - x))
+            held = whole.slice(cuts[-1])
+        if held is not None:
+            yield unit(held)
+
+    def unit(t):
+        return links(t.column(1)[0] == t.column(2)[0], *(t.column(c).to_numpy() for c in (3, 4, 5)), t.column(6).to_pylist())
+
+    return run
+
+
+def _links_between(groups: DataFrame, roots: DataFrame, shingles: DataFrame, similarity: float, block: tuple[int, int] = (BLOCK_BYTES, BLOCK_NODES)) -> DataFrame | None:
+    """a, b: links within the groups (key, node) that join what ``roots`` (node, root)
+    has not joined, as a set that spans them; None if every group is joined. A group is
+    dealt into blocks by hash, and each pair of blocks is a unit of work of its own."""
+    members = groups.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    open_keys = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    members = cut_lineage(members.join(open_keys, "key"))
+    if members.isEmpty():
+        return None
+    sized = members.join(shingles.select("node", F.length("shingles").alias("bytes")), "node")
+    blocks = sized.groupBy("key").agg(F.greatest(F.ceil(F.sum("bytes") / block[0]), F.ceil(F.count("*") / block[1])).cast("long").alias("blocks"))
+    dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    units = dealt.select("key", "block", "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
+    units = units.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "root")
+    rows = units.join(shingles, "node").select("key", "i", "j", "block", "node", "root", "shingles")
+    return cut_lineage(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_block_links(similarity), "a long, b long"))
 
 
 def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int = COMPARED) -> DataFrame:
@@ -363,7 +445,8 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int =
     copies, chained by pairs of at least ``similarity``. Candidates are fingerprints
     within two bits, found by their deletion variants, and, as 64 bits cannot reach
     down to the similarity, texts that share a min-wise band. Every candidate is
-    verified on the whole shingle sets (32-bit hashes)."""
+    verified on the whole shingle sets (32-bit hashes). Band keys of more than
+    ``compared`` nodes are then compared in all pairs that are not joined yet."""
     found = cut_lineage(sketches(docs))
     nodes = cut_lineage(found.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     by_fp = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
@@ -371,8 +454,9 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int =
     reps_a, reps_b = by_fp.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), by_fp.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
     by_bits = near.join(reps_a, "a").join(reps_b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
     same = nodes.join(by_fp, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    candidates = cut_lineage(_copy_candidates(nodes, compared).unionByName(by_bits).unionByName(same).distinct())
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    by_bands, hot = _copy_candidates(nodes, compared)
+    candidates = cut_lineage(by_bands.unionByName(by_bits).unionByName(same).distinct())
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).unionByName(hot.select("node")).distinct()
 
     def sets(it):
         for b in it:
@@ -398,7 +482,10 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int =
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
     linked = candidates.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
-    roots = components(linked)
+    roots = cut_lineage(components(linked))
+    more = _links_between(hot, roots, shingles, similarity)
+    if more is not None:
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return found.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 

@@ -208,6 +208,70 @@ def test_near_copies(spark):
     assert len({root[i] for i in range(0, 200, 10)}) == 20
 
 
+def similar_classes(docs, joined=lambda a, b: True):
+    """Classes of the closure over all pairs (that ``joined`` admits) of similarity 0.8, by brute force."""
+    sets = {i: frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and find(a) != find(b) and joined(a, b) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[find(b)] = find(a)
+    return {i: find(i) for i in sets}
+
+
+def hard_group(n, words=200, most=6, seed=3):
+    """Texts with up to ``most`` words of one text changed."""
+    rng = random.Random(seed)
+    base, docs = [f"w{rng.randrange(3000)}" for _ in range(words)], []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(most - 2, most)):
+            w[rng.randrange(words)] = f"w{rng.randrange(3000)}"
+        docs.append((i, " ".join(w)))
+    return docs
+
+
+def twins(n, seed=3):
+    """Pairs of near copies, all made from one text: a pair shares most of its shingles,
+    two texts of different pairs too few, but enough to meet under the same bands."""
+    rng = random.Random(seed)
+    base, docs = [f"w{rng.randrange(3000)}" for _ in range(200)], []
+    for i in range(n):
+        x = list(base)
+        at = rng.randrange(180)
+        x[at : at + 20] = [f"w{rng.randrange(3000)}" for _ in range(20)]
+        y = list(x)
+        at = (at + 20 + rng.randrange(140)) % 188
+        y[at : at + 12] = [f"w{rng.randrange(3000)}" for _ in range(12)]
+        docs += [(2 * i, " ".join(x)), (2 * i + 1, " ".join(y))]
+    return docs
+
+
+def test_large_groups_of_near_copies(spark):
+    docs = twins(150)
+    want = similar_classes(docs)
+    got = {r.doc_id: r.root for r in simhash.copy_groups(spark.createDataFrame(docs, "doc_id long, text string"), compared=8).collect()}
+    assert len(set(got.values())) == len(set(want.values())) == len({(got[i], want[i]) for i in want})
+
+
+def test_links_between_blocks(spark):
+    docs = hard_group(150, most=7)
+    want = similar_classes(docs)
+    rows = [(1, i, np.unique((simhash.shingle_hashes(t) >> np.uint64(32)).astype(np.uint32)).tobytes()) for i, t in docs]
+    df = spark.createDataFrame(rows, "key long, node long, shingles binary")
+    none = spark.createDataFrame([], "node long, root long")
+    for block in ((1 << 22, 1024), (20_000, 40)):
+        links = simhash._links_between(df.select("key", "node"), none, df.select("node", "shingles"), 0.8, block)
+        root = {r.node: r.root for r in simhash.components(links).collect()}
+        assert len({root.get(i, i) for i in want}) == len(set(want.values())) == len({(root.get(i, i), want[i]) for i in want})
+
+
 def test_fit_is_exact():
     rng = random.Random(9)
     for _ in range(200):
