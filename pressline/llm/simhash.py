@@ -446,7 +446,9 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int =
     within two bits, found by their deletion variants, and, as 64 bits cannot reach
     down to the similarity, texts that share a min-wise band. Every candidate is
     verified on the whole shingle sets (32-bit hashes). Band keys of more than
-    ``compared`` nodes are then compared in all pairs that are not joined yet."""
+    ``compared`` nodes, and components of fingerprints within two bits, are then
+    compared in all pairs that are not joined yet: the links of ``links`` only span
+    the components, and of texts of one fingerprint only one is paired."""
     found = cut_lineage(sketches(docs))
     nodes = cut_lineage(found.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     by_fp = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
@@ -483,7 +485,9 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int =
 
     linked = candidates.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
     roots = cut_lineage(components(linked))
-    more = _links_between(hot, roots, shingles, similarity)
+    alike = components(near).select(F.col("node").alias("fp"), F.col("root").alias("key"))
+    by_component = nodes.join(alike, "fp", "left").select(F.coalesce("key", "fp").alias("key"), "node")
+    more = _links_between(hot.unionByName(by_component), roots, shingles, similarity)
     if more is not None:
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return found.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))

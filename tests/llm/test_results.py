@@ -260,6 +260,20 @@ def test_large_groups_of_near_copies(spark):
     assert len(set(got.values())) == len(set(want.values())) == len({(got[i], want[i]) for i in want})
 
 
+def test_all_pairs_of_close_fingerprints(spark, monkeypatch):
+    """Pairs that only the fingerprints bring together, away from the smallest node."""
+    from pyspark.sql import functions as F
+
+    docs = twins(20)
+    real = simhash.sketches
+    apart = F.transform(F.sequence(F.lit(1), F.lit(simhash.BANDS)), lambda i: F.xxhash64("node", i))
+    want = similar_classes(docs)
+    for bits in (F.lit(5), F.expr("shiftleft(1L, cast(pmod(doc_id, 30) as int))")):
+        monkeypatch.setattr(simhash, "sketches", lambda d: real(d).withColumn("fp", bits.cast("long")).withColumn("bands", apart))
+        got = {r.doc_id: r.root for r in simhash.copy_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert len(set(got.values())) == len(set(want.values())) == len({(got[i], want[i]) for i in want})
+
+
 def test_links_between_blocks(spark):
     docs = hard_group(150, most=7)
     want = similar_classes(docs)
