@@ -4,21 +4,24 @@ A fixed mask picks some positions of a window of tokens and ignores the others,
 so a window still hits after substitutions at ignored positions. Every window of
 the test items and of the documents is hashed under each mask; equal hashes give
 a diagonal on which both texts are aligned, and the overlap around the hit is
-verified: the best-scoring segment with at least four equal tokens in five.
+verified: the segment with the most equal tokens among those with at least four
+equal tokens in five.
 
-Test items shorter than the masks are hashed whole; those of fewer than five tokens
-only match documents that consist of the same tokens. The test side is sent to the
+Test items shorter than the masks have masks of their own length, of which one hits
+wherever a fifth of the tokens is substituted; items of fewer than five tokens only
+match documents that consist of the same tokens. The test side is sent to the
 tasks only if its token count is under ``BROADCAST_TOKENS``; a larger one is joined
 by hash through Spark, with the same results.
 
 Defined cases: null and tokenless texts never match; repeated rows are reported
-once per (doc_id, item_id); ties between segments go to the longest, then the
+once per (doc_id, item_id); ties between segments go to the shortest, then the
 first; empty tables give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +37,9 @@ MASKS = ("110110010111", "111001101011", "101110110101")
 SPAN = 12
 #: Test items with fewer tokens than this match whole documents only.
 SHORTEST = 5
-#: Least overlap, in tokens (or the whole item, if shorter).
+#: Least overlap, in equal tokens (or four in five of the whole item, if fewer).
 MIN_OVERLAP = 10
-#: A mismatch costs as much as four matches earn: segments keep 80 % equal tokens.
+#: A mismatch costs as much as four matches earn: segments that score zero or more keep 80 % equal tokens.
 MISMATCH = 4
 BROADCAST_TOKENS = 2_000_000
 
@@ -63,12 +66,12 @@ class TokenHashes(dict):
 def seeds(tokens: np.ndarray, masks: tuple[str, ...]) -> list[np.ndarray]:
     """For each mask the hashes of all windows of its length."""
     out = []
-    for m, mask in enumerate(masks):
+    for mask in masks:
         n = len(tokens) - len(mask) + 1
         if n <= 0:
             out.append(np.zeros(0, np.uint64))
             continue
-        h = np.full(n, m if len(mask) == SPAN else 1000 * len(mask), np.uint64)  # masks of one length differ by number
+        h = np.full(n, len(mask) << 16 | int(mask, 2), np.uint64)  # differs by mask
         for i, bit in enumerate(mask):
             if bit == "1":
                 h = (h ^ tokens[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
@@ -79,27 +82,45 @@ def seeds(tokens: np.ndarray, masks: tuple[str, ...]) -> list[np.ndarray]:
 
 def document_masks(n: int, lengths: list[int]) -> tuple[str, ...]:
     """Masks for a document of n tokens, given the lengths of the short test items."""
-    return (*MASKS, *("1" * k for k in lengths if k >= SHORTEST or k == n))
+    return (*MASKS, *(m for k in lengths if k >= SHORTEST or k == n for m in item_masks(k)))
+
+
+def least_equal(n: int) -> int:
+    """Equal tokens of n that are four in five."""
+    return -(-MISMATCH * n // (MISMATCH + 1))
 
 
 def item_masks(n: int) -> tuple[str, ...]:
-    return MASKS if n >= SPAN else (("1" * n,) if n else ())
+    """Masks for an item of n tokens. Those of a short item leave out the parts of a
+    division, one or two at a time, so that each substitution it may bear is left out by one."""
+    if n >= SPAN:
+        return MASKS
+    if n < SHORTEST:
+        return ("1" * n,) if n else ()
+    out = n - least_equal(n)
+    parts = 4 if out > 1 else n if n < 7 else 3
+    return tuple("".join("01"[i * parts // n not in gone] for i in range(n)) for gone in combinations(range(parts), out))
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
     """(length, matches, first document token) of the best segment on a diagonal,
-    where document token i stands against item token i - diagonal."""
+    where document token i stands against item token i - diagonal. For each end the
+    earliest start with no higher score gives the longest segment with four equal
+    tokens in five, and so the most equal ones."""
     a, b = max(diagonal, 0), min(len(doc), len(item) + diagonal)
     same = doc[a:b] == item[a - diagonal : b - diagonal]
     score = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
-    low = np.minimum.accumulate(score)
-    gain = score - low
-    best = gain.max()
-    if best <= 0:
+    equal = np.concatenate([[0], np.cumsum(same)])
+    start = np.searchsorted(-np.minimum.accumulate(score), -score)
+    matched = equal - equal[start]
+    if not matched.any():
         return 0, 0, a
-    end = int(np.flatnonzero(gain == best)[-1])
-    start = int(np.flatnonzero(score[: end + 1] == low[end])[0])
-    return end - start, int(same[start:end].sum()), a + start
+    end = np.flatnonzero(matched == matched.max())
+    # different tokens at the ends add nothing
+    first = np.searchsorted(equal, equal[start[end]], side="right") - 1
+    last = np.searchsorted(equal, equal[end])
+    at = int(np.argmin(last - first))
+    return int(last[at] - first[at]), int(matched[end[at]]), a + int(first[at])
 
 
 class TestSide:
@@ -138,8 +159,8 @@ class TestSide:
 
 def verified(doc: np.ndarray, item: np.ndarray, diagonals) -> tuple[int, int, int] | None:
     """The best segment over the diagonals, if it is long enough."""
-    best = max((overlap(doc, item, d) for d in sorted(diagonals)), key=lambda s: (s[1], s[0], -s[2]))
-    return best if best[1] >= min(MIN_OVERLAP, len(item)) else None
+    best = max((overlap(doc, item, d) for d in sorted(diagonals)), key=lambda s: (s[1], -s[0], -s[2]))
+    return best if best[1] >= min(MIN_OVERLAP, least_equal(len(item))) else None
 
 
 def _by_broadcast(docs: DataFrame, items: list[tuple[int, str | None]]) -> DataFrame:
@@ -228,7 +249,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_tokens: int =
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     t, items = test_side(benchmark, broadcast_tokens)
     found = _by_join(d, t) if items is None else _by_broadcast(d, items)
-    key = F.struct("n_matched", "n_tokens", (-F.col("first_token")).alias("f"))
+    key = F.struct("n_matched", (-F.col("n_tokens")).alias("n"), (-F.col("first_token")).alias("f"))
     best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_tokens", "n_matched", "first_token", "item_tokens"), key).alias("b"))
     return best.select("doc_id", "item_id", "b.*")
 

@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -105,6 +106,28 @@ def test_decontamination_tolerates_substitutions(spark):
         assert got == [(1, 7, 30, 27, 50, 30)]
 
 
+def test_decontamination_finds_whole_items(spark):
+    """Whole items with four equal tokens in five, also where substitutions lie close together."""
+    changes = {20: (6, 9, 13), 14: (3, 6), 11: (2, 8), 10: (0, 5), 9: (4,), 7: (3,), 6: (1,), 5: (2,)}
+    docs, items = [], []
+    for n, gone in changes.items():
+        item = [f"t{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        text = [f"a{n}"] * 30 + ["other" if i in gone else t for i, t in enumerate(item)] + [f"b{n}"] * 30
+        docs.append((n, " ".join(text)))
+        docs.append((100 + n, " ".join(["other" if i in (*gone, n - 1, n - 3) else t for i, t in enumerate(item)]) if n < 12 else "none"))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for tokens in (2_000_000, 0):
+        got = {(r.doc_id, r.item_id): r.n_matched for r in decontaminate.contaminated(docs, items, tokens).collect()}
+        assert got == {(n, n): n - len(gone) for n, gone in changes.items()}
+
+
+def test_short_item_masks():
+    for n in range(decontaminate.SHORTEST, decontaminate.SPAN):
+        masks, out = decontaminate.item_masks(n), n - decontaminate.least_equal(n)
+        assert all(any(all(m[i] == "0" for i in gone) for m in masks) for gone in itertools.combinations(range(n), out))
+
+
 def test_extraction():
     page = """<html><body><div id='cookie-notice'>We use cookies</div><header>Top</header><div class='menu'><a href=x>Home</a></div>
     <div class='post-content'><h1>T&eacute;st &amp; more</h1><p>One two   three<p>Four <a href=y>five</a> six<ul><li>a<li>b</ul><div class=ad>buy</div></div>
