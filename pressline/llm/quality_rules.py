@@ -26,6 +26,10 @@ WINDOW = 5
 #: Insults that mark abusive texts (fixed values).
 INSULTS = frozenset("idiot moron loser scum stupid pathetic worthless disgusting trash clown".split())
 
+#: Starts of the words that mark abusive texts in the invented German, Spanish and French (fixed
+#: values, read off the sf0.1 labels; README gives the recall).
+SLUR_STEMS = ("achlich", "achkeit", "bomente", "boco", "réeux", "réê")
+
 #: name -> SQL test over the measurements that is true where the document fails.
 #: The position in this list is the bit; rules are only ever appended.
 RULES: list[tuple[str, str]] = [
@@ -41,6 +45,7 @@ RULES: list[tuple[str, str]] = [
     ("digit_density", "n_words >= 10 and 2 * n_digits > word_chars"),
     ("insults", "n_insults >= 2 and 200 * n_insults >= n_words"),
     ("markup_words", "n_words >= 10 and 10 * n_markup_words > n_words"),
+    ("slurs", "n_slurs >= 2 and 80 * n_slurs >= n_words"),
 ]
 BIT = {name: i for i, (name, _) in enumerate(RULES)}
 
@@ -52,14 +57,17 @@ def mask_of(*names: str) -> int:
 #: Versioned policies: a document is rejected if it fails a rule of the mask.
 POLICIES: dict[str, int] = {
     "base": mask_of("too_few_words", "repeated_windows"),
-    "2024-1": mask_of(*(n for n, _ in RULES if n not in ("insults", "digit_density"))),
-    "2024-2": mask_of(*(n for n, _ in RULES if n != "digit_density")),
+    "2024-1": mask_of(*(n for n, _ in RULES if n not in ("insults", "digit_density", "slurs"))),
+    "2024-2": mask_of(*(n for n, _ in RULES if n not in ("digit_density", "slurs"))),
+    "2024-3": mask_of(*(n for n, _ in RULES if n != "digit_density")),
 }
-CURRENT = "2024-2"
+CURRENT = "2024-3"
+#: The policy of the ``op3_quality_rules`` query, and the bits that its SQL states.
+QUERY_POLICY, QUERY_BITS = "2024-2", (1 << BIT["slurs"]) - 1
 
 MEASURES = [
     "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
-    "n_letters", "n_upper", "n_exclaims", "n_alpha_words", "n_digits", "n_insults", "n_markup_words",
+    "n_letters", "n_upper", "n_exclaims", "n_alpha_words", "n_digits", "n_insults", "n_markup_words", "n_slurs",
 ]
 
 
@@ -92,17 +100,19 @@ def measure(text: str) -> tuple[int, ...]:
             seen.add(line)
     joined = "".join(words)
     letters = joined if joined.isalpha() else "".join(filter(str.isalpha, joined))
-    alpha = markup = insults = 0
+    alpha = markup = insults = slurs = 0
     for w in words:
         alpha += w.isalpha() or any(map(str.isalpha, w))
         markup += w[0] in "<{[|"
     lowered = text.lower()
     if any(x in lowered for x in INSULTS):
         insults = sum(w.strip(".,;:!?\"'()") in INSULTS for w in find_words(lowered))
+    if any(x in lowered for x in SLUR_STEMS):
+        slurs = sum(w.lstrip(".,;:!?\"'()").startswith(SLUR_STEMS) for w in find_words(lowered))
     return (
         len(words), len(joined), sum(joined.count(s) for s in SYMBOLS), lines, dups, repeated_words(words),
         len(letters), sum(map(str.isupper, letters)), joined.count("!"), alpha, sum(map(str.isdigit, joined)) if len(letters) < len(joined) else 0,
-        insults, markup,
+        insults, markup, slurs,
     )
 
 
@@ -157,7 +167,8 @@ def verdicts(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_mask"]
-    return verdicts(table(spark, sf_dir, "documents")).select(*columns)
+    judged = verdicts(table(spark, sf_dir, "documents"), QUERY_POLICY)
+    return judged.withColumn("fail_mask", F.col("fail_mask").bitwiseAND(F.lit(QUERY_BITS).cast("long"))).select(*columns)
 
 
 def filter_documents(docs: DataFrame, policy: str = CURRENT) -> DataFrame:

@@ -91,6 +91,16 @@ def test_ablations(spark):
     assert r["symbol_density"].n_kept_by_rule_alone == 2
 
 
+def test_slurs_of_other_languages(spark):
+    """Most labelled toxic documents of every language fail the current policy, few others fail by slurs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    judged = quality_rules.verdicts(docs).join(docs.select("doc_id", "lang"), "doc_id").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    rows = [r for r in judged.where("lang <> 'en'").collect()]
+    toxic, other = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    assert toxic and sum(not r.kept for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r.fail_mask >> quality_rules.BIT["slurs"] & 1 for r in other) <= 0.03 * len(other)
+
+
 def test_decontamination_tolerates_substitutions(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
