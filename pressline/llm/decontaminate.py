@@ -185,7 +185,7 @@ def _by_broadcast(docs: DataFrame, items: list[tuple[int, str | None]]) -> DataF
 
 
 def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same through an equality join on the seed hashes."""
+    """The same through an equality join on the seed hashes, with the document's row key (row)."""
     seeded = "id long, row long, h long, pos long"
     lengths = [r[0] for r in items.select(F.explode(_short_lengths()(F.col("text"))).alias("n")).distinct().collect()]  # under SPAN rows
 
@@ -208,19 +208,19 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     hits = cut_lineage(hits)
     texts = d.dropDuplicates(["id", "row"])
     item_texts = t.dropDuplicates(["id", "row"]).select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("text").alias("item_text"))
-    joined = hits.join(texts, (hits.row == texts.row) & hits.id.eqNullSafe(texts.id)).select(hits.id, "text", "item_id", "item_row", "diagonals").join(item_texts, ["item_id", "item_row"])
+    joined = hits.join(texts, (hits.row == texts.row) & hits.id.eqNullSafe(texts.id)).select(hits.id, hits.row, "text", "item_id", "item_row", "diagonals").join(item_texts, ["item_id", "item_row"])
 
     def check(it):
         hashes = TokenHashes()
         for b in it:
             rows = []
-            for doc_id, item_id, text, item_text, diagonals in zip(*(b.column(k).to_pylist() for k in range(5))):
+            for doc_id, row, item_id, text, item_text, diagonals in zip(*(b.column(k).to_pylist() for k in range(6))):
                 item = hashes.of(item_text)
                 if found := verified(hashes.of(text), item, diagonals):
-                    rows.append((doc_id, item_id, *found, len(item)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(_HIT))], schema=_HIT)
+                    rows.append((doc_id, item_id, *found, len(item), row))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * (len(_HIT) + 1))], names=[*_HIT.names, "row"])
 
-    return joined.select("id", "item_id", "text", "item_text", "diagonals").mapInArrow(check, HIT_SCHEMA)
+    return joined.select("id", "row", "item_id", "text", "item_text", "diagonals").mapInArrow(check, HIT_SCHEMA + ", row long")
 
 
 def _short_lengths():
@@ -260,12 +260,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """The documents that overlap no test item. With a test side that fits the tasks
-    every row is judged where it is read; else the verdict is joined back by id, so
-    that rows with equal ids go together."""
-    _, items = test_side(benchmark, broadcast_tokens)
+    every row is judged where it is read; else the verdict is joined back by id and
+    text, with the same rows."""
+    t, items = test_side(benchmark, broadcast_tokens)
     if items is None:
-        leaks = contaminated(docs, benchmark, broadcast_tokens).select(F.col("doc_id").alias("_leak")).distinct()
-        return docs.join(leaks, docs.doc_id.cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+        doc_id, text = docs.doc_id.cast("long"), docs.text.cast("string")
+        leaks = _by_join(docs.select(doc_id.alias("doc_id"), text.alias("text")), t).select(F.col("doc_id").alias("_leak"), F.col("row").alias("_row")).distinct()
+        return docs.join(leaks, doc_id.eqNullSafe(F.col("_leak")) & (F.xxhash64(doc_id, text) == F.col("_row")), "left_anti")
     sent, at = docs.sparkSession.sparkContext.broadcast(items), docs.columns.index("text")
 
     def run(it):

@@ -56,6 +56,14 @@ def test_decontamination_edges(spark):
         assert kept.count() == len(IDS) - 3 and kept.columns == documents(spark).columns
 
 
+def test_clean_judges_rows(spark):
+    """Rows that share an id, or have none, are judged by their own texts on both paths."""
+    bad = "lorem ipsum dolor sit amet " * 4
+    docs = spark.createDataFrame([(1, bad), (1, "fine"), (None, bad), (None, "good"), (None, None)], "doc_id long, text string")
+    for tokens in (2_000_000, 0):
+        assert sorted(str(r.text) for r in decontaminate.clean(docs, benchmark(spark), tokens).collect()) == ["None", "fine", "good"]
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, None, None, 1), (2, "", "", 1), (3, "http://h/1", "plain", 1), (4, "http://h/2", "<p>" + "x " * 100000, 1), (4, "http://h/2", "<p>" + "x " * 100000, 1), (5, "nonsense", "<div", 1), (6, "http://h/3", "<<a b=<p>c", 1)], "page_id long, url string, html string, host int")
     got = sorted((r.page_id, r.n_chars) for r in html_extract.main_text(pages).collect())
