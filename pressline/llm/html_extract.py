@@ -8,13 +8,17 @@ is extracted again from the containers on its host's winning path. A page withou
 that path uses its own best container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are left out by their element or by the words of their class, id
-and role. Everything else of the container is kept, in page order, one line a block.
+reader comments are left out by their element, or by a class, id or role all of
+whose words say so: ``comment-list`` is left out, ``social-history`` is not. The
+header of an article and the footer of a quotation belong to the text. Everything
+else of the container is kept, in page order, one line a block.
 
 Defined cases: null or empty html gives an empty text; pages without a usable url
-vote as one host; a page without elements is its own container; ties between
-paths go to the smallest path; repeated rows are extracted row by row; an empty
-table gives an empty result; further columns are ignored.
+vote as one host; a page without elements is its own container; a quote that is never
+closed ends with its tag; nesting may have any depth and a page any length (both cost
+time in proportion); ties between paths go to the path met by the smallest name;
+repeated rows are extracted row by row; an empty table gives an empty result; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,73 +27,122 @@ import html
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, table
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
+#: Inside a tag: a quoted value that holds a > must be followed by what may follow a value,
+#: else its quote is a stray one. The possessive repeats keep the match linear.
+_IN_TAG = r"""((?:[^>"']++|"[^">]*+"|'[^'>]*+'|"[^"]*+"(?=[\s/>]|\Z)|'[^']*+'(?=[\s/>]|\Z)|["'])*+)"""
+MARKUP = re.compile(rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*){_IN_TAG}(?:>|\Z)", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-SPACE = re.compile(r"[\s​﻿]+")
 NUMBER = re.compile(r"\d+")
-WORD = re.compile(r"[a-z]+|\d+")
+WORD = re.compile(r"[a-z]+")
 
 #: Classes that tell a state of the layout, as in has-sidebar, and not what the element is.
 STATE = re.compile(r"(?:has|with|without|no|is|js|not)[-_]")
 
 # Fixed values of HTML and of common page templates.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas textarea title noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source nobr".split())
-DROPPED = RAW | frozenset("nav header footer aside form button select option fieldset dialog menu head input datalist audio video map".split())
+#: Elements whose content is no markup.
+RAW = frozenset("script style noscript iframe textarea title noembed noframes xmp".split())
+#: Elements that begin and end a block; all others stand within one.
+BLOCK = frozenset("""
+#root html body head address article aside blockquote caption center col colgroup dd details dialog dir div dl dt fieldset
+figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li listing main menu nav ol optgroup
+option p pre search section summary table tbody td tfoot th thead tr ul xmp
+""".split())
+DROPPED = frozenset("""
+nav header footer aside form button select option fieldset dialog menu head input datalist audio video map
+svg object canvas template annotation annotation-xml search
+""".split())
 DROPPED_WORDS = frozenset("""
 nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar
 ad ads adv advert adverts advertisement advertising adsense adslot banner promo promotion promoted sponsor sponsored
-cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall newsletter subscribe subscription signup login
+cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay paywall
+newsletter subscribe subscription signup login
 comment comments disqus respond reply replies discussion share sharing social related recommended recommendations
-teaser widget pagination pager search skip copyright disclaimer
+teaser teasers widget widgets pagination pager search skip copyright disclaimer
+""".split())
+#: Of these, the words that also hold for elements within a line.
+INLINE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored".split())
+#: Words that say nothing on what an element is.
+NEUTRAL = frozenset("""
+area articles bar block bottom box btn button buttons card cards col column container content desktop element fixed form
+global google group header heading icon icons inner item items left link links list main mobile module outer page panel
+post posts primary reader region right row secondary section site slot small sticky stories text title to top unit user
+users view wp wrap wrapper
 """.split())
 #: Class or id values that are page headers; an article's own heading block is none.
 HEADERS = frozenset("header site-header page-header top-header main-header global-header siteheader pageheader header-top header-wrapper".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 MAIN = frozenset("article main".split())
 MAIN_WORDS = frozenset("article articlebody content post entry story body main text".split())
-CLOSES_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+CLOSES_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul xmp".split())
 #: tag -> open tags that it closes, up to the given barrier.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Elements that keep a paragraph outside from being closed.
 SCOPE = frozenset("article section div td th li table body main aside header footer nav form blockquote html button caption object".split())
+#: An end tag inside one of these closes nothing outside, unless it is of the table.
+TABLE_SCOPE, TABLE_TAGS = frozenset("table td th caption object template".split()), frozenset("table tbody thead tfoot tr td th caption body html object template".split())
+#: Blocks that count for the element around them.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td dd dt".split())
 #: Hosts whose winning paths are sent to every task.
 SENT_HOSTS = 100_000
 #: Weight of a block for its parent, grandparent and so on.
 DECAY = (1.0, 0.75, 0.55, 0.4, 0.25, 0.15)
+#: Labels of a path that are written out; the key tells longer ones apart.
+SHOWN = 32
+
+KEPT, IN_FORM, LEFT_OUT = 0, 1, 2
+
+
+def _tells_boilerplate(name: str, known: frozenset[str]) -> bool:
+    """Every word of a class or id that says something is of page furniture."""
+    telling = [w for w in WORD.findall(name) if w not in NEUTRAL]
+    return bool(telling) and all(w in known for w in telling)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "label", "dropped", "main", "score", "blocks")
-
-    def __init__(self, tag: str, parent: Node | None, attributes: str):
-        self.tag, self.parent = tag, parent
-        self.dropped = (parent is not None and parent.dropped) or tag in DROPPED
-        self.label, self.main = tag, tag in MAIN
-        self.score = 0.0
-        self.blocks: list[str] | None = None
+    """An element: its place (key, a hash of the labels from the root), whether its text
+    is left out, and what its children inherit."""
+
+    __slots__ = ("tag", "parent", "label", "key", "state", "main", "article", "block", "in_paragraph", "in_quote", "linked", "score", "hit")
+
+    def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
+        self.tag, self.parent, self.label, self.main, self.score, self.hit = tag, parent, tag, tag in MAIN, 0.0, False
+        self.block = self if tag in BLOCK or parent is None else parent.block
+        self.linked = tag == "a" or (parent is not None and parent.linked and self.block is not self)
+        self.in_paragraph = tag == "p" or (parent is not None and parent.in_paragraph and tag not in SCOPE)
+        self.in_quote = tag == "blockquote" or (parent is not None and parent.in_quote)
+        self.article = tag in MAIN or (parent is not None and parent.article)
+        self.state = KEPT if parent is None else parent.state
+        if tag in DROPPED and not (tag == "header" and self.article) and not (tag == "footer" and self.in_quote):
+            self.state = max(self.state, IN_FORM if tag == "form" else LEFT_OUT)
+        elif tag in MAIN and self.state == IN_FORM:  # a form around the whole page
+            self.state = KEPT
         if attributes and not attributes.isspace():
             self._read(attributes)
+        self.key = xxhash.xxh64_intdigest(self.label, parent.key if parent is not None else 0)
 
     def _read(self, attributes: str) -> None:
         at = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
         classes = at.get("class", "").split()
-        names = [n for n in (*classes, at.get("id", "")) if not STATE.match(n)]
-        words = {w for n in names for w in WORD.findall(n)}
+        names = [n for n in (*classes, at.get("id", "")) if n and not STATE.match(n)]
+        furniture = any(_tells_boilerplate(n, DROPPED_WORDS if self.block is self else INLINE_WORDS) for n in names)
+        furniture = furniture or (self.block is self and not self.article and bool(HEADERS & set(names)))
         role, prop = at.get("role", ""), at.get("itemprop", "")
-        self.main = self.main or role == "main" or prop == "articlebody" or bool(words & MAIN_WORDS and not words & DROPPED_WORDS)
-        if self.tag not in ("html", "body") and (words & DROPPED_WORDS or HEADERS & set(names) or role in DROPPED_ROLES or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", "")):
-            self.dropped = self.dropped or self.tag not in MAIN or bool(words & {"comment", "comments", "ad", "ads", "related", "teaser", "sponsored"})
+        self.main = self.main or role == "main" or prop == "articlebody" or (not furniture and any(w in MAIN_WORDS for n in names for w in WORD.findall(n)))
+        hidden = "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", "")
+        if hidden or (self.tag not in ("html", "body") and (furniture or role in DROPPED_ROLES)):
+            self.state = LEFT_OUT
         self.label = ".".join([self.tag, *sorted(NUMBER.sub("#", c) for c in classes)])
 
     def path(self) -> str:
         out, node = [], self
-        while node is not None:
+        while node is not None and len(out) < SHOWN:
             out.append(node.label)
             node = node.parent
         return ">".join(reversed(out))
@@ -99,43 +152,47 @@ class Page:
     """Blocks of text of one page, each with the block element that holds it."""
 
     def __init__(self, source: str):
-        self.root = Node("#root", None, "")
+        self.nodes = [Node("#root", None)]
         self.blocks: list[tuple[Node, str, int]] = []
-        self.stack = [self.root]
+        self.stack = [self.nodes[0]]
+        self._open: dict[str, int] = {}
         self._text: list[str] = []
         self._linked = 0
         self._read(source)
 
-    def _holder(self) -> Node:
-        return next(n for n in reversed(self.stack) if n.tag not in INLINE)
-
     def _flush(self) -> None:
         if self._text:
-            text = SPACE.sub(" ", "".join(self._text)).strip()
+            text = " ".join("".join(self._text).split())
             if text:
-                self.blocks.append((self._holder(), text, self._linked))
+                self.blocks.append((self.stack[-1].block, text, self._linked))
             self._text, self._linked = [], 0
 
-    def _add(self, raw: str) -> None:
-        if self.stack[-1].dropped:
-            return
-        self._text.append(html.unescape(raw) if "&" in raw else raw)
-        if any(n.tag == "a" for n in self.stack[-3:]):
-            self._linked += len(raw)
+    def _add(self, text: str) -> None:
+        top = self.stack[-1]
+        if top.state == KEPT:
+            self._text.append(text)
+            if top.linked:
+                self._linked += len(text)
+
+    def _push(self, tag: str, attributes: str) -> None:
+        node = Node(tag, self.stack[-1], attributes)
+        self.nodes.append(node)
+        self.stack.append(node)
+        self._open[tag] = self._open.get(tag, 0) + 1
 
     def _pop_to(self, i: int) -> None:
+        for node in self.stack[i:]:
+            self._open[node.tag] -= 1
         del self.stack[i:]
 
     def _implied(self, tag: str) -> None:
-        if tag in CLOSES_PARAGRAPH:
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i].tag == "p":
-                    self._pop_to(i)
-                    break
-                if self.stack[i].tag in SCOPE:
-                    break
+        """Close what a start tag closes by itself: an open paragraph, list items, cells."""
+        if tag in CLOSES_PARAGRAPH and self.stack[-1].in_paragraph:
+            self._pop_to(next(i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].tag == "p"))
         if tag in IMPLIED:
             closes, barrier = IMPLIED[tag]
+            if not any(self._open.get(t) for t in closes):
+                return
             for i in range(len(self.stack) - 1, 0, -1):
                 if self.stack[i].tag in barrier:
                     break
@@ -148,98 +205,89 @@ class Page:
         at, end = 0, len(source)
         while at < end:
             m = MARKUP.search(source, at)
+            text = source[at : m.start() if m else end]
+            if text:
+                self._add(html.unescape(text) if "&" in text else text)
             if m is None:
-                self._add(source[at:])
                 break
-            if m.start() > at:
-                self._add(source[at : m.start()])
             at = m.end()
             if m[1] is not None:
-                self._text.append(m[1])
+                self._add(m[1])
             if m[3] is None:
                 continue
             tag = m[3].lower()
-            if m[2]:
-                self._close(tag)
-                continue
             if tag == "br":  # white space inside its block
                 self._add(" ")
-                continue
-            if tag not in INLINE:
-                self._flush()
-                self._implied(tag)
-            if tag in VOID:
-                continue
-            if m[4].endswith("/") and tag in ("svg", "path", "math"):
-                continue
-            if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, at)
+            elif m[2]:
+                self._close(tag)
+            elif tag in RAW:
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
+                if tag == "xmp":
+                    self._flush()
+                    self._add(source[at : close.start() if close else end])
+                    self._flush()
                 at = close.end() if close else end
-                continue
-            self.stack.append(Node(tag, self.stack[-1], m[4]))
+            else:
+                if tag in BLOCK:
+                    self._flush()
+                    self._implied(tag)
+                if tag not in VOID and not (m[4].endswith("/") and tag in ("svg", "math")):
+                    self._push(tag, m[4])
         self._flush()
 
     def _close(self, tag: str) -> None:
-        if tag not in INLINE:
+        if tag in BLOCK:
             self._flush()
+        if not self._open.get(tag):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
+            open_tag = self.stack[i].tag
+            if open_tag == tag:
                 self._pop_to(i)
                 return
-            if tag in INLINE and self.stack[i].tag not in INLINE:
+            if (tag not in BLOCK and open_tag in BLOCK) or (open_tag in TABLE_SCOPE and tag not in TABLE_TAGS):
                 return
 
     def best(self) -> Node | None:
         """The container with the highest score; the first of equals."""
         first: Node | None = None
-        seen: list[Node] = []
         for holder, text, linked in self.blocks:
             worth = max(len(text) - linked, 0)
-            node = holder.parent if holder.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "dd", "dt") and holder.parent is not None else holder
+            node = holder.parent if holder.tag in LINES and holder.parent is not None else holder
             for d in DECAY:
                 if node is None:
                     break
-                if not node.score:
-                    seen.append(node)
                 node.score += d * worth * (1.5 if node.main else 1.0)
                 node = node.parent
-        for node in seen:
-            if node.tag not in INLINE and (first is None or node.score > first.score):
+        for node in self.nodes:
+            if node.block is node and node.score and (first is None or node.score > first.score):
                 first = node
         return first
 
-    def text_of(self, path: str | None) -> str | None:
-        """Blocks inside the containers on ``path``; None if the page has none."""
-        out, known, paths = [], {}, {}
-
-        def inside(node: Node | None) -> bool:
-            if node is None:
-                return False
-            k = id(node)
-            if k not in known:
-                if node.parent is not None and id(node.parent) not in paths:
-                    inside(node.parent)
-                paths[k] = (paths[id(node.parent)] + ">" if node.parent is not None else "") + node.label
-                known[k] = paths[k] == path or (node.parent is not None and known[id(node.parent)])
-            return known[k]
-
-        for holder, text, _ in self.blocks:
-            if inside(holder):
-                out.append(text)
+    def text_of(self, key: int) -> str | None:
+        """Blocks inside the containers with that key; None if the page has none."""
+        for node in self.nodes:  # parents come before their children
+            node.hit = node.key == key or (node.parent is not None and node.parent.hit)
+        out = [text for holder, text, _ in self.blocks if holder.hit]
         return "\n".join(out) if out else None
 
 
-def vote(source: str | None) -> tuple[str, float] | None:
+def _signed(key: int) -> int:
+    return key - (1 << 64) if key >> 63 else key
+
+
+def vote(source: str | None) -> tuple[int | None, str | None, float]:
+    """Key, path and score of the page's best container."""
     best = Page(source or "").best()
-    return (best.path(), best.score) if best is not None and best.score > 0 else None
+    return (_signed(best.key), best.path(), best.score) if best is not None and best.score > 0 else (None, None, 0.0)
 
 
-def extract(source: str | None, path: str | None) -> str:
+def extract(source: str | None, key: int | None) -> str:
     page = Page(source or "")
-    text = page.text_of(path) if path else None
+    text = page.text_of(key & 0xFFFFFFFFFFFFFFFF) if key is not None else None
     if text is None:
         best = page.best()
-        text = page.text_of(best.path()) if best is not None else None
+        text = page.text_of(best.key) if best is not None else None
     return text or ""
 
 
@@ -248,17 +296,18 @@ def host_of(url: str = "url"):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path: the container path with the most votes; a page's votes are its
+    """host, key, path: the container path with the most votes; a page's votes are its
     score's logarithm, so that no single long page decides."""
 
     def run(it):
         for b in it:
-            votes = [vote(x) or (None, 0.0) for x in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array([v[0] for v in votes], pa.string()), pa.array([v[1] for v in votes], pa.float64())], names=["host", "path", "score"])
+            votes = [vote(x) for x in b.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("host"), *(pa.array([v[i] for v in votes], t) for i, t in enumerate((pa.int64(), pa.string(), pa.float64())))], names=["host", "key", "path", "score"])
 
-    voted = pages.select(host_of().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, path string, score double").where("path is not null")
-    summed = voted.groupBy("host", "path").agg(F.sum(F.round(F.log2(1 + F.col("score")), 3).cast("decimal(38,3)")).alias("votes"))
-    return summed.groupBy("host").agg(F.min_by("path", F.struct((-F.col("votes")).alias("v"), "path")).alias("path"))
+    voted = pages.select(host_of().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, key long, path string, score double").where("key is not null")
+    summed = voted.groupBy("host", "key").agg(F.min("path").alias("path"), F.sum(F.round(F.log2(1 + F.col("score")), 3).cast("decimal(38,3)")).alias("votes"))
+    best = F.min_by(F.struct("key", "path"), F.struct((-F.col("votes")).alias("v"), "path", "key"))
+    return summed.groupBy("host").agg(best.alias("b")).select("host", "b.key", "b.path")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -266,7 +315,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def run(it):
         for b in it:
-            texts = [extract(h, p) for h, p in zip(b.column("html").to_pylist(), b.column("path").to_pylist())]
+            texts = [extract(h, k) for h, k in zip(b.column("html").to_pylist(), b.column("key").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), b.column("path"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "path", "text", "n_chars"],
@@ -279,7 +328,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     winners = cut_lineage(host_paths(pages))
     if winners.count() <= SENT_HOSTS:
         winners = F.broadcast(winners)
-    joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "path")
+    joined = rows.join(winners, "host", "left").select("page_id", "url", "html", "key", "path")
     return joined.mapInArrow(run, "page_id long, url string, path string, text string, n_chars long")
 
 
