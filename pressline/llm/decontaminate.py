@@ -7,20 +7,24 @@ a diagonal on which both texts are aligned, and the overlap around the hit is
 verified: the segment with the most equal tokens among those with at least four
 equal tokens in five.
 
-Test items shorter than the masks have masks of their own length, of which one hits
-wherever a fifth of the tokens is substituted; items of fewer than five tokens only
-match documents that consist of the same tokens. The test side is sent to the
-tasks only if its token count is under ``BROADCAST_TOKENS``; a larger one is joined
-by hash through Spark, with the same results.
-
-Defined cases: null and tokenless texts never match; repeated rows are reported
-once per (doc_id, item_id); ties between segments go to the shortest, then the
-first; empty tables give an empty result; further columns are ignored.
+The four masks pick six of ten positions such that, however two substitutions fall
+on twelve tokens, one mask at one of the three places still hits. Test items of 5 to
+11 tokens have masks of their own length, of which one hits wherever a fifth of the
+tokens is substituted; items of fewer than five tokens only match documents that
+consist of the same tokens. The test side is sent to the tasks only if its token
+count is under ``BROADCAST_TOKENS``; a larger one is joined by hash through Spark,
+with the same results.
+
+Defined cases: null and tokenless texts never match; texts of any length are compared
+whole; repeated rows are reported once per (doc_id, item_id); ties between segments
+go to the shortest, then the first; empty tables give an empty result; further columns
+are ignored by ``contaminated`` and kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from itertools import combinations
 
 import numpy as np
@@ -33,7 +37,8 @@ from .common import cut_lineage, mix64, table
 
 TOKEN = re.compile(r"[^\W_]+")
 #: 1: the token at this position counts.
-MASKS = ("110110010111", "111001101011", "101110110101")
+MASKS = ("1001110101", "1001101011", "1000011111", "1111010001")
+#: Test items with fewer tokens than this have masks of their own.
 SPAN = 12
 #: Test items with fewer tokens than this match whole documents only.
 SHORTEST = 5
@@ -42,6 +47,8 @@ MIN_OVERLAP = 10
 #: A mismatch costs as much as four matches earn: segments that score zero or more keep 80 % equal tokens.
 MISMATCH = 4
 BROADCAST_TOKENS = 2_000_000
+#: Diagonals of one document and item that are verified in one row of the join's result.
+DIAGONALS = 1 << 16
 
 _HIT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_tokens", pa.int64()), ("n_matched", pa.int64()), ("first_token", pa.int64()), ("item_tokens", pa.int64())])
 HIT_SCHEMA = "doc_id long, item_id long, n_tokens long, n_matched long, first_token long, item_tokens long"
@@ -109,6 +116,8 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
     tokens in five, and so the most equal ones."""
     a, b = max(diagonal, 0), min(len(doc), len(item) + diagonal)
     same = doc[a:b] == item[a - diagonal : b - diagonal]
+    if np.count_nonzero(same) < min(MIN_OVERLAP, least_equal(len(item))):
+        return 0, 0, a
     score = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
     equal = np.concatenate([[0], np.cumsum(same)])
     start = np.searchsorted(-np.minimum.accumulate(score), -score)
@@ -144,16 +153,23 @@ class TestSide:
         self.bits = np.zeros(1 << int(64 - int(self.shift)), bool)
         self.bits[self.h >> self.shift] = True
 
-    def hits(self, doc: np.ndarray) -> set[tuple[int, int]]:
-        """(item number, diagonal) of all equal hashes."""
-        out: set[tuple[int, int]] = set()
+    def hits(self, doc: np.ndarray) -> dict[int, list[int]]:
+        """item number -> diagonals of all equal hashes."""
+        found = []
         for h in seeds(doc, document_masks(len(doc), self.short)):
             at = np.flatnonzero(self.bits[h >> self.shift])
             if not len(at):
                 continue
             lo, hi = np.searchsorted(self.h, h[at], "left"), np.searchsorted(self.h, h[at], "right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                out.update((int(k), p - int(q)) for k, q in zip(self.item[a:b], self.pos[a:b]))
+            times = hi - lo
+            if not times.any():
+                continue
+            row = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            found.append(np.stack([self.item[row], np.repeat(at, times) - self.pos[row]]))
+        out: dict[int, list[int]] = {}
+        if found:
+            for k, d in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist():
+                out.setdefault(k, []).append(d)
         return out
 
 
@@ -163,19 +179,27 @@ def verified(doc: np.ndarray, item: np.ndarray, diagonals) -> tuple[int, int, in
     return best if best[1] >= min(MIN_OVERLAP, least_equal(len(item))) else None
 
 
+_sides: dict[str, TestSide] = {}
+
+
+def _side(name: str, items) -> TestSide:
+    """The hash table of the test items, built once a worker."""
+    if name not in _sides:
+        _sides.clear()
+        _sides[name] = TestSide(items.value)
+    return _sides[name]
+
+
 def _by_broadcast(docs: DataFrame, items: list[tuple[int, str | None]]) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+    sent, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(it):
-        side, hashes = TestSide(sent.value), TokenHashes()
+        side, hashes = _side(name, sent), TokenHashes()
         for b in it:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 doc = hashes.of(text)
-                by_item: dict[int, list[int]] = {}
-                for k, d in side.hits(doc):
-                    by_item.setdefault(k, []).append(d)
-                for k, diagonals in by_item.items():
+                for k, diagonals in side.hits(doc).items():
                     item_id, item = side.tokens[k]
                     if found := verified(doc, item, diagonals):
                         rows.append((doc_id, item_id, *found, len(item)))
@@ -204,7 +228,9 @@ def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     keyed = lambda df: df.withColumn("row", F.xxhash64("id", "text")).select("id", "row", "text")
     d, t = keyed(docs.toDF("id", "text")), keyed(items.toDF("id", "text"))
     left, right = d.mapInArrow(emit(False), seeded).alias("d"), t.mapInArrow(emit(True), seeded).alias("t")
-    hits = left.join(right, "h").groupBy(F.col("d.id").alias("id"), F.col("d.row").alias("row"), F.col("t.id").alias("item_id"), F.col("t.row").alias("item_row")).agg(F.collect_set(F.col("d.pos") - F.col("t.pos")).alias("diagonals"))
+    diagonal = F.col("d.pos") - F.col("t.pos")
+    by = [F.col("d.id").alias("id"), F.col("d.row").alias("row"), F.col("t.id").alias("item_id"), F.col("t.row").alias("item_row"), F.floor(diagonal / DIAGONALS).alias("part")]
+    hits = left.join(right, "h").groupBy(*by).agg(F.collect_set(diagonal).alias("diagonals"))
     hits = cut_lineage(hits)
     texts = d.dropDuplicates(["id", "row"])
     item_texts = t.dropDuplicates(["id", "row"]).select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("text").alias("item_text"))
@@ -264,21 +290,18 @@ def clean(docs: DataFrame, benchmark: DataFrame, broadcast_tokens: int = BROADCA
     text, with the same rows."""
     t, items = test_side(benchmark, broadcast_tokens)
     if items is None:
-        doc_id, text = docs.doc_id.cast("long"), docs.text.cast("string")
+        doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
         leaks = _by_join(docs.select(doc_id.alias("doc_id"), text.alias("text")), t).select(F.col("doc_id").alias("_leak"), F.col("row").alias("_row")).distinct()
-        return docs.join(leaks, doc_id.eqNullSafe(F.col("_leak")) & (F.xxhash64(doc_id, text) == F.col("_row")), "left_anti")
-    sent, at = docs.sparkSession.sparkContext.broadcast(items), docs.columns.index("text")
+        return docs.join(leaks, doc_id.eqNullSafe(leaks["_leak"]) & (F.xxhash64(doc_id, text) == leaks["_row"]), "left_anti")
+    sent, name, at = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex, docs.columns.index("text")
 
     def run(it):
-        side, hashes = TestSide(sent.value), TokenHashes()
+        side, hashes = _side(name, sent), TokenHashes()
         for b in it:
             keep = []
             for text in b.column(at).to_pylist():
                 doc = hashes.of(text)
-                by_item: dict[int, list[int]] = {}
-                for k, d in side.hits(doc):
-                    by_item.setdefault(k, []).append(d)
-                keep.append(not any(verified(doc, side.tokens[k][1], ds) for k, ds in by_item.items()))
+                keep.append(not any(verified(doc, side.tokens[k][1], ds) for k, ds in side.hits(doc).items()))
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

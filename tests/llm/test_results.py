@@ -116,6 +116,63 @@ def test_decontamination_tolerates_substitutions(spark):
         assert got == [(1, 7, 30, 27, 50, 30)]
 
 
+def brute_overlaps(doc, item):
+    """Most equal tokens of a segment with four equal tokens in five, over all diagonals."""
+    best = 0
+    for shift in range(-len(doc) + 1, len(item)):
+        same = [doc[i] == item[i + shift] for i in range(len(doc)) if 0 <= i + shift < len(item)]
+        for a in range(len(same)):
+            equal = 0
+            for b in range(a, len(same)):
+                equal += same[b]
+                if 5 * equal >= 4 * (b - a + 1):
+                    best = max(best, equal)
+    return best
+
+
+@pytest.mark.parametrize("tokens", [2_000_000, 0])
+def test_decontamination_against_all_diagonals(spark, tokens):
+    """What is found is exact, and of what there is hardly anything is missed."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    words = [word(3) for _ in range(60)]
+    items = [[rng.choice(words) for _ in range(n)] for n in (*range(5, 31), 40, 50)]
+    docs = []
+    for item in items:
+        for _ in range(4):
+            lo = rng.randint(0, max(0, len(item) - 14))
+            part = [w if rng.random() > 0.17 else rng.choice(words) for w in item[lo:]]
+            docs.append([rng.choice(words) for _ in range(rng.randint(0, 20))] + part + [rng.choice(words) for _ in range(rng.randint(0, 20))])
+    found = decontaminate.contaminated(
+        spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"), tokens,
+    )
+    got = {(r.doc_id, r.item_id): r.n_matched for r in found.collect()}
+    true = {}
+    for i, d in enumerate(docs):
+        for k, t in enumerate(items):
+            n = brute_overlaps(d, t)
+            if n >= min(10, -(-4 * len(t) // 5)):
+                true[i, k] = n
+    assert len(true) > 40 and all(true.get(key) is not None and n <= true[key] for key, n in got.items())
+    assert sum(got.get(key) == n for key, n in true.items()) >= 0.98 * len(true)
+
+
+@pytest.mark.parametrize("n", [5, 8, 10, 11, 12, 13, 14, 15, 17, 20, 30, 50])
+def test_decontamination_recall_at_a_fifth_substituted(n):
+    rng = random.Random(n)
+    side = decontaminate.TestSide([(1, " ".join(f"w{i}" for i in range(n)))])
+    item, gone = side.tokens[0][1], n - decontaminate.least_equal(n)
+    hit = 0
+    for _ in range(200):
+        doc = np.array([rng.getrandbits(64) for _ in range(n + 20)], np.uint64)
+        doc[10 : 10 + n] = item
+        doc[[10 + i for i in rng.sample(range(n), gone)]] = 7
+        found = side.hits(doc)
+        hit += bool(found) and decontaminate.verified(doc, item, found[0]) is not None
+    assert hit >= 0.98 * 200
+
+
 def test_decontamination_finds_whole_items(spark):
     """Whole items with four equal tokens in five, also where substitutions lie close together."""
     changes = {20: (6, 9, 13), 14: (3, 6), 11: (2, 8), 10: (0, 5), 9: (4,), 7: (3,), 6: (1,), 5: (2,)}
