@@ -8,13 +8,18 @@ the middle of the alphabet, and the lag-one serial correlation. The combined
 p-value is uniform for random strings and near zero for words.
 
 Which p-values to accept is decided per encoding and length band over the whole
-table: the upper half of the p-values tells how many random strings a band holds,
-and the lowest threshold is taken at which the share of other strings among the
+table: the p-values of a band are a mixture of random strings, with a flat
+distribution, and of others, whose p-values crowd near zero the more the longer the
+strings are. The mixture is fitted by expectation-maximisation from a prior measured
+on joined words, which decides where a band holds few strings and fades where it holds
+many. The lowest threshold is taken at which the share of other strings among the
 accepted ones is estimated to stay under ``FALSE_SHARE``. Equal strings count once.
 
-Defined cases: a null text is empty and has no span; a span never overlaps one of
-a known shape; repeated rows are reported row by row; an empty table gives an
-empty result; further input columns are ignored (``redact`` keeps them).
+Defined cases: a null text is empty and has no span; texts of any length are scanned
+whole, in time that grows with the length; a span never overlaps one of a known shape;
+equal strings are treated alike wherever they stand; repeated rows are reported row by
+row; an empty table gives an empty result; further input columns are ignored, whatever
+their names (``redact`` keeps them and reads the texts twice, once for the thresholds).
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +47,25 @@ ENCODINGS = (
     ("hex", "0123456789abcdef"),
     ("hex_upper", "0123456789ABCDEF"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("base32_lower", "abcdefghijklmnopqrstuvwxyz234567"),
+    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("base36_upper", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
+#: From this encoding on, a dash may be a symbol.
+WITH_DASHES = [name for name, _ in ENCODINGS].index("base62")
 #: Lower ends of the length bands.
 BANDS = (20, 24, 32, 48, 64, 96)
 THRESHOLDS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
 FALSE_SHARE = 0.05
+#: Prior of the p-values of other strings, measured on joined words: the share above the
+#: lowest threshold by length band, and what part of it lies above each threshold.
+OTHERS_ABOVE = (0.03, 0.015, 0.003, 0.001, 0.001, 0.001)
+OTHERS_TAIL = (1.0, 0.85, 0.72, 0.67, 0.58, 0.45, 0.35, 0.27, 0.18, 0.11, 0.07)
+#: Strings that the prior weighs as much as, and rounds of the fit.
+PRIOR_STRINGS, ROUNDS = 50.0, 100
 REDACTED = "[SECRET]"
 
 
@@ -109,25 +126,46 @@ def randomness(token: str, encoding: int) -> float:
     return min(1.0, math.exp(-half) * (1 + half + half**2 / 2 + half**3 / 6))
 
 
+def joined_spans(known: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans in order, overlapping ones joined."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in known:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def candidates(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, float]]:
-    """(start, end, encoding, band, p) of long tokens outside the known spans."""
+    """(start, end, encoding, band, p) of long tokens outside the known spans. Groups
+    set off by dashes, as in a UUID, are tested without the dashes."""
     out = []
+    starts, ends = joined_spans(known)
     for m in TOKEN.finditer(text):
         a, b = m.span()
         token = m[0]
         if token.isalpha() and (token.islower() or token[1:].islower() or token.isupper()):
             continue  # one word in one case
-        if any(s < b and a < e for s, _, e in known):
+        before = bisect_right(starts, b - 1) - 1
+        if before >= 0 and ends[before] > a:
             continue
         core = token.strip("=-_")
-        if len(core) < BANDS[0]:
+        bare = core.replace("-", "")
+        if len(bare) < BANDS[0]:
+            bare = core
+        if len(bare) < BANDS[0]:
             continue
-        encoding = infer_encoding(core)
+        encoding = infer_encoding(bare)
+        if encoding is None or (bare != core and encoding >= WITH_DASHES):
+            bare, encoding = core, infer_encoding(core)
         if encoding is None:
             continue
         a += token.index(core)
-        band = sum(len(core) >= low for low in BANDS) - 1
-        out.append((a, a + len(core), encoding, band, randomness(core, encoding)))
+        band = sum(len(bare) >= low for low in BANDS) - 1
+        out.append((a, a + len(core), encoding, band, randomness(bare, encoding)))
     return out
 
 
@@ -165,6 +203,25 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def lowest_accepted(above: np.ndarray, band: int) -> float | None:
+    """The threshold for a band with ``above[i]`` distinct strings of p over THRESHOLDS[i - 1]
+    (all of them at 0); None if none is good enough."""
+    cells = -np.diff(above, append=0).astype(np.float64)
+    flat = -np.diff(np.concatenate([[1.0], 1 - np.array(THRESHOLDS), [0.0]]))
+    prior = -np.diff(np.concatenate([[1.0], OTHERS_ABOVE[band] * np.array(OTHERS_TAIL), [0.0]]))
+    share, others = 0.5, prior
+    for _ in range(ROUNDS):
+        random = cells * (share * flat) / (share * flat + (1 - share) * others)
+        share = (random.sum() + 1) / (cells.sum() + 2)
+        rest = cells - random
+        others = (rest + PRIOR_STRINGS * prior) / (rest.sum() + PRIOR_STRINGS)
+    for i, t in enumerate(THRESHOLDS, 1):
+        false, true = (1 - share) * others[i:].sum(), share * flat[i:].sum()
+        if false <= FALSE_SHARE * (false + true):
+            return t
+    return None
+
+
 def thresholds(scanned: DataFrame) -> dict[tuple[int, int], float]:
     """(encoding, band) -> lowest accepted p-value. Reads the histogram of p-values
     of distinct strings, which has a fixed number of cells."""
@@ -172,19 +229,11 @@ def thresholds(scanned: DataFrame) -> dict[tuple[int, int], float]:
     strings = scanned.where("size(candidates) > 0").select(c).select("c.*").groupBy("encoding", "band", "digest").agg(F.max("p").alias("p"))
     cell = F.size(F.filter(F.array(*map(F.lit, THRESHOLDS)), lambda t: F.col("p") > t)).alias("cell")
     rows = strings.groupBy("encoding", "band", cell).count().collect()  # at most encodings x bands x thresholds
-    above: dict[tuple[int, int], list[int]] = {}
+    above: dict[tuple[int, int], np.ndarray] = {}
     for r in rows:
-        v = above.setdefault((r["encoding"], r["band"]), [0] * len(THRESHOLDS))
-        for i in range(r["cell"]):
-            v[i] += r["count"]
-    out = {}
-    for key, v in above.items():
-        random = v[-1] / (1 - THRESHOLDS[-1])
-        for t, n in zip(THRESHOLDS, v):
-            if n and 1 - (1 - t) * random / n <= FALSE_SHARE:
-                out[key] = t
-                break
-    return out
+        above.setdefault((r["encoding"], r["band"]), np.zeros(len(THRESHOLDS) + 1, np.int64))[: r["cell"] + 1] += r["count"]
+    found = {key: lowest_accepted(v, key[1]) for key, v in above.items()}
+    return {key: t for key, t in found.items() if t is not None}
 
 
 def accepted(limits: dict[tuple[int, int], float]):
