@@ -38,9 +38,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, and how often (copies)."""
-    mixed = mixing.mix(docs).where("_copies > 0")
-    return mixed.select(*docs.columns, F.col("_copies").alias("copies"))
+    """The documents that the mix takes, and how often (copies, which replaces a column
+    of that name)."""
+    own = [F.col("document")[c].alias(c) for c in docs.columns if c.lower() != "copies"]
+    return mixing.mix(docs).where("copies > 0").select(*own, "copies")
 
 
 STAGES = [

@@ -4,17 +4,22 @@ A text is a vector of square-root frequencies of hashed byte n-grams of its lett
 Linear support vector machines, one versus one, first choose the language family
 and then the language within it, where close relatives only compete with each
 other. Each pair of classes is trained in its own Spark task on a sample of at most
-``SAMPLE`` labelled documents per language, chosen by the hash of the id.
-
-Defined cases: a null text and one without letters are ``und`` with score 0; so is
-every text if nothing can be learned; with a single language that one is predicted;
-null labels and held-out documents teach nothing; repeated rows are predicted row
-by row; an empty table gives an empty result; further columns are ignored.
+``SAMPLE`` labelled documents per class, chosen by the hash of the id; a family's share
+is divided evenly among its languages. So a task holds at most twice ``SAMPLE`` vectors,
+however many languages there are.
+
+Defined cases: a null text and one without letters (Unicode categories L*) are ``und``
+with score 0; so is every text if nothing can be learned; with a single language that
+one is predicted; null labels and held-out documents teach nothing; texts of any length
+are read whole, piece by piece; ties go to the larger sum of margins, then by name;
+repeated rows are predicted row by row; an empty table gives an empty result; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +32,7 @@ from .common import crc_bucket, cut_lineage, table
 
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
-#: Bound of the labelled documents per language that the machines are fitted on.
+#: Bound of the labelled documents per class (language or family) that a machine is fitted on.
 SAMPLE = 1000
 DIM = 1 << 13
 EPOCHS = 150
@@ -48,7 +53,9 @@ FAMILIES = {
     "iranian": "fa ku ps tg",
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Characters that count as part of a word and are no letters, such as fractions and Roman numerals.
+_NUMBERS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def family(lang: str) -> str:
@@ -96,7 +103,7 @@ def train_pair(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """lang, text: at most ``sample`` training documents of each language, those
+    """lang, rank, text: at most ``sample`` training documents of each language, those
     with the lowest hash. A filter by each language's count comes first, so that
     the ranking sees a few times the sample only."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_bucket("doc_id", FOLDS) != HELD_OUT))
@@ -105,7 +112,7 @@ def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     share = F.lit(2.0) * sample / F.col("n") + F.lit(50.0) / F.col("n")
     few = known.join(F.broadcast(sizes), "lang").where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < share)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_003)), "h"))
-    return few.withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "text")
+    return few.withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "rank", "text")
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
@@ -121,16 +128,18 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     model = {"families": families, "machines": {}}
     if not pairs:
         return model
-    wanted: dict[str, list[tuple[str, str, str, int]]] = {lang: [] for lang in langs}
+    # by language the duels it takes part in, and up to which rank its documents do
+    wanted: dict[str, list[tuple[int, tuple[str, str, str, int]]]] = {lang: [] for lang in langs}
     for level, a, b in pairs:
         for lang in langs:
             name = family(lang) if level == "family" else lang
             if name in (a, b):
-                wanted[lang].append((level, a, b, 1 if name == a else -1))
+                limit = sample if level == "lang" else -(-sample // len(families[name]))
+                wanted[lang].append((limit, (level, a, b, 1 if name == a else -1)))
 
     def deal(it):
         for batch in it:
-            rows = [(*w, x) for lang, x in zip(*(batch.column(i).to_pylist() for i in (0, 1))) for w in wanted[lang]]
+            rows = [(*w, x) for lang, rank, x in zip(*(batch.column(i).to_pylist() for i in range(3))) for limit, w in wanted[lang] if rank <= limit]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary()))] if rows else [pa.array([], t) for t in (pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary())], names=["level", "a", "b", "y", "x"])
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -148,10 +157,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
 def _vectors(texts: DataFrame) -> DataFrame:
     def run(it):
         for b in it:
-            x = [None if f is None else f.astype(np.float16).tobytes() for f in map(features, b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], names=["lang", "x"])
+            x = [None if f is None else f.astype(np.float16).tobytes() for f in map(features, b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], names=["lang", "rank", "x"])
 
-    return texts.mapInArrow(run, "lang string, x binary").where("x is not null")
+    return texts.mapInArrow(run, "lang string, rank int, x binary").where("x is not null")
 
 
 class Classifier:

@@ -2,12 +2,13 @@
 
 Every rule is evaluated once per document. The ledger keeps the measurements and
 one failure bit per rule; a policy is a versioned mask over those bits, so a new
-policy or an ablation reads the ledger and never the texts again. Ablations are
+policy or an ablation reads the stored ledger and never the texts again. Ablations are
 bitwise aggregations over the distinct masks.
 
-Defined cases: a null text is an empty one (no words, ``too_few_words`` fails);
-repeated rows are judged row by row; an empty table gives an empty ledger; other
-columns of the input are ignored, also if they bear a name of a ledger column.
+Defined cases: a null text is an empty one (no words, ``too_few_words`` fails); texts of
+any length are measured whole; repeated rows are judged row by row, and a row on a
+threshold passes; an empty table gives an empty ledger; further columns, whatever their
+names, are ignored by ``ledger`` and kept by ``filter_documents``.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import find_words, table
+from .common import cut_lineage, find_words, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -62,9 +64,6 @@ POLICIES: dict[str, int] = {
     "2024-3": mask_of(*(n for n, _ in RULES if n != "digit_density")),
 }
 CURRENT = "2024-3"
-#: The policy of the ``op3_quality_rules`` query, and the bits that its SQL states.
-QUERY_POLICY, QUERY_BITS = "2024-2", (1 << BIT["slurs"]) - 1
-
 MEASURES = [
     "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
     "n_letters", "n_upper", "n_exclaims", "n_alpha_words", "n_digits", "n_insults", "n_markup_words", "n_slurs",
@@ -111,7 +110,7 @@ def measure(text: str) -> tuple[int, ...]:
         slurs = sum(w.lstrip(".,;:!?\"'()").startswith(SLUR_STEMS) for w in find_words(lowered))
     return (
         len(words), len(joined), sum(joined.count(s) for s in SYMBOLS), lines, dups, repeated_words(words),
-        len(letters), sum(map(str.isupper, letters)), joined.count("!"), alpha, sum(map(str.isdigit, joined)) if len(letters) < len(joined) else 0,
+        len(letters), sum(map(str.isupper, letters)), joined.count("!"), alpha, sum(map(str.isdecimal, joined)) if len(letters) < len(joined) else 0,
         insults, markup, slurs,
     )
 
@@ -125,18 +124,29 @@ def fail_mask() -> Column:
     return mask
 
 
+def _measured(rows: DataFrame) -> DataFrame:
+    """The columns of ``rows`` (text last), without the text, and the measurements."""
+    kept = rows.schema.fields[:-1]
+
+    def run(it):
+        for b in it:
+            found = [measure(x or "") for x in b.column(len(kept)).to_pylist()]
+            cols = list(zip(*found)) if found else [()] * len(MEASURES)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, pa.int64()) for c in cols)], names=[*(f.name for f in kept), *MEASURES])
+
+    return rows.mapInArrow(run, StructType([*kept, *(StructField(m, LongType()) for m in MEASURES)]))
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements, and ``fail_mask`` of each document. One narrow
     pass; only the id and the text are read."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _measured(rows).withColumn("fail_mask", fail_mask())
 
-    def run(it):
-        for b in it:
-            rows = [measure(x or "") for x in b.column("text").to_pylist()]
-            cols = list(zip(*rows)) if rows else [()] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", *MEASURES])
 
-    schema = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema).withColumn("fail_mask", fail_mask())
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger, written to the shared folder: policies and ablations read it from there."""
+    return cut_lineage(ledger(docs))
 
 
 def passes(policy: str, mask: Column) -> Column:
@@ -159,69 +169,63 @@ def ablations(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
     )
 
 
-def verdicts(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    base = F.lit(POLICIES["base"]).cast("long")
-    failed = F.col("fail_mask").bitwiseAND(base) != 0
-    return ledger(docs).withColumn("base_failed", failed).withColumn("kept", ~failed & passes(policy, F.col("fail_mask")))
+def verdicts(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """The ledger's rows with base_failed and kept under a policy."""
+    failed = ~passes("base", F.col("fail_mask"))
+    return entries.withColumn("base_failed", failed).withColumn("kept", ~failed & passes(policy, F.col("fail_mask")))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_mask"]
-    judged = verdicts(table(spark, sf_dir, "documents"), QUERY_POLICY)
-    return judged.withColumn("fail_mask", F.col("fail_mask").bitwiseAND(F.lit(QUERY_BITS).cast("long"))).select(*columns)
+    return verdicts(stored_ledger(table(spark, sf_dir, "documents")))
 
 
-def filter_documents(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The documents that the policy keeps, with their own columns. The verdict is
-    made beside each row, so no join is needed."""
-    schema = docs.schema
-    text_at = docs.columns.index("text")
-    limit = POLICIES[policy] | POLICIES["base"]
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, alone and beside the others."""
+    return ablations(stored_ledger(table(spark, sf_dir, "documents")))
 
-    def run(it):
-        for b in it:
-            rows = [measure(x or "") for x in b.column(text_at).to_pylist()]
-            cols = list(zip(*rows)) if rows else [()] * len(MEASURES)
-            packed = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=MEASURES)
-            yield pa.RecordBatch.from_arrays([*b.columns, packed], names=[*b.schema.names, "_measured"])
 
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    out = StructType([*schema.fields, StructField("_measured", StructType([StructField(m, LongType()) for m in MEASURES]))])
-    measured = docs.mapInArrow(run, out)
-    judged = measured.select("*", "_measured.*") if not set(MEASURES) & set(docs.columns) else None
-    if judged is None:  # a column of the documents bears a measurement's name
-        renamed = measured.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_row"), "_measured.*")
-        return renamed.where(fail_mask().bitwiseAND(F.lit(limit).cast("long")) == 0).select("_row.*")
-    return judged.where(fail_mask().bitwiseAND(F.lit(limit).cast("long")) == 0).select(*docs.columns)
+def filter_documents(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """The documents that the policy keeps, with their own columns. The ledger's entry
+    is made beside each row, so no join is needed."""
+    entries = _measured(docs.select(F.struct("*").alias("document"), F.col("text").cast("string").alias("text"))).withColumn("fail_mask", fail_mask())
+    return verdicts(entries, policy).where("kept").select("document.*")
 
 
-#: DuckDB: the same measurements with list functions.
-OP3_SQL = r"""
+#: DuckDB: the same measurements with list functions, and the failure bits.
+_LEDGER_SQL = r"""
 with d as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
 l as (select doc_id, t, w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ln,
-      array_to_string(w, '') j, lower(t) lt from d),
+      array_to_string(w, '') j, regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+') lw from d),
 g as (select doc_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) gs, len(w) nw from l),
 e as (select doc_id, unnest(gs) gram, unnest(range(1, nw - 3)) pos from g),
 r as (select doc_id, pos, count(*) over (partition by doc_id, gram) c from e),
 p as (select doc_id, pos, lead(pos) over (partition by doc_id order by pos) nx from r where c > 1),
 rep as (select doc_id, sum(least(5, coalesce(nx - pos, 5)))::bigint n from p group by doc_id),
-m as (select l.doc_id, j, len(w)::bigint n_words, length(j)::bigint word_chars,
+m as (select l.doc_id, len(w)::bigint n_words, length(j)::bigint word_chars,
    length(regexp_replace(j, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols, len(ln)::bigint n_lines,
    (len(ln) - len(list_distinct(ln)))::bigint n_dup_lines, coalesce(rep.n, 0)::bigint n_repeat_words,
-   length(regexp_replace(j, '[^\p{L}]', '', 'g')) n_letters, length(regexp_replace(j, '[^\p{Lu}]', '', 'g')) n_upper,
-   length(regexp_replace(j, '[^!]', '', 'g')) n_exclaims, len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) n_alpha_words,
-   len(list_filter(regexp_extract_all(lt, '[^\x20\x09-\x0D]+'), lambda x: trim(x, '.,;:!?"''()') in ('idiot','moron','loser','scum','stupid','pathetic','worthless','disgusting','trash','clown'))) n_insults,
-   len(list_filter(w, lambda x: x[1] in ('<', '{', '[', '|'))) n_markup_words
+   length(regexp_replace(j, '[^\p{L}]', '', 'g'))::bigint n_letters, length(regexp_replace(j, '[^\p{Lu}]', '', 'g'))::bigint n_upper,
+   length(regexp_replace(j, '[^!]', '', 'g'))::bigint n_exclaims, len(list_filter(w, lambda x: regexp_matches(x, '\p{L}')))::bigint n_alpha_words,
+   length(regexp_replace(j, '[^\p{Nd}]', '', 'g'))::bigint n_digits,
+   len(list_filter(lw, lambda x: trim(x, '.,;:!?"''()') in ('idiot','moron','loser','scum','stupid','pathetic','worthless','disgusting','trash','clown')))::bigint n_insults,
+   len(list_filter(w, lambda x: x[1] in ('<', '{', '[', '|')))::bigint n_markup_words,
+   len(list_filter(lw, lambda x: regexp_matches(ltrim(x, '.,;:!?"''()'), '^(achlich|achkeit|bomente|boco|réeux|réê)')))::bigint n_slurs
    from l left join rep on l.doc_id = rep.doc_id),
-f as (select *, (case when n_words < 10 then 1 else 0 end) | (case when 100 * n_repeat_words > 20 * n_words then 2 else 0 end)
+f as (select *, ((case when n_words < 10 then 1 else 0 end) | (case when 100 * n_repeat_words > 20 * n_words then 2 else 0 end)
    | (case when 10 * n_symbols > n_words then 4 else 0 end) | (case when n_dup_lines > 2 and 10 * n_dup_lines > 4 * n_lines then 8 else 0 end)
    | (case when n_letters >= 20 and 2 * n_upper > n_letters then 16 else 0 end) | (case when n_words >= 10 and 2 * n_exclaims > n_words then 32 else 0 end)
    | (case when n_words >= 10 and 2 * word_chars < 3 * n_words then 64 else 0 end) | (case when n_words >= 10 and word_chars > 20 * n_words then 128 else 0 end)
-   | (case when n_words >= 10 and 10 * n_alpha_words < 6 * n_words then 256 else 0 end)
-   | (case when n_words >= 10 and 2 * length(regexp_replace(j, '[^\p{Nd}]', '', 'g')) > word_chars then 512 else 0 end)
-   | (case when n_insults >= 2 and 200 * n_insults >= n_words then 1024 else 0 end)
-   | (case when n_words >= 10 and 10 * n_markup_words > n_words then 2048 else 0 end) k from m)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (k & 3) <> 0 base_failed,
-  (k & 3) = 0 and (k & 3583) = 0 kept, k::bigint fail_mask from f
+   | (case when n_words >= 10 and 10 * n_alpha_words < 6 * n_words then 256 else 0 end) | (case when n_words >= 10 and 2 * n_digits > word_chars then 512 else 0 end)
+   | (case when n_insults >= 2 and 200 * n_insults >= n_words then 1024 else 0 end) | (case when n_words >= 10 and 10 * n_markup_words > n_words then 2048 else 0 end)
+   | (case when n_slurs >= 2 and 80 * n_slurs >= n_words then 4096 else 0 end))::bigint fail_mask from m)
+"""
+#: All bits but that of digit_density.
+OP3_SQL = _LEDGER_SQL + "select *, (fail_mask & 3) <> 0 base_failed, (fail_mask & 7679) = 0 kept from f"
+ABLATIONS_SQL = _LEDGER_SQL + """
+, k as (select fail_mask & 7679 m, count(*) n from f group by 1),
+rules as (select unnest(['too_few_words', 'repeated_windows', 'symbol_density', 'duplicate_lines', 'shouting', 'exclamations', 'short_words',
+  'long_words', 'few_alphabetic_words', 'insults', 'markup_words', 'slurs']) as rule, unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 1024, 2048, 4096]) bit)
+select rule, coalesce(sum(n) filter ((m & bit) <> 0), 0)::bigint n_failing, coalesce(sum(n) filter (m = bit), 0)::bigint n_only_this,
+  coalesce(sum(n) filter ((m & bit) = 0), 0)::bigint n_kept_by_rule_alone
+from k, rules group by rule
 """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import OP3_SQL, op3_quality_rules
+from .quality_rules import ABLATIONS_SQL, OP3_SQL, op3_quality_rules, quality_ablations
 from .simhash import op7_simhash_near_dedup
 from .secret_scan import op2_secret_scan
 from .mixing import op8_mixing
@@ -15,6 +15,7 @@ from .suffix_dedup import op1_suffix_array_dedup
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "quality_ablations": quality_ablations,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op8_mixing": op8_mixing,
@@ -28,4 +29,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_quality_rules": OP3_SQL,
+    "quality_ablations": ABLATIONS_SQL,
 }

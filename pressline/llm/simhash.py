@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .common import ascii_lower, cut_lineage, find_words, table
 
@@ -171,6 +172,20 @@ def links(distinct: DataFrame, paired: int = PAIRED) -> DataFrame:
     return out.distinct()
 
 
+#: Parts in which the neighbours of one node are dealt.
+SALTS = 64
+
+
+def _beside_minimum(pairs: DataFrame) -> DataFrame:
+    """u, v, m: each pair beside the smallest v of its u. A node with very many
+    neighbours is dealt in ``SALTS`` parts: minima of the parts first, and the minimum
+    goes back to those parts that have rows."""
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).repartition("u", "salt")
+    parts = dealt.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    low = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
+    return dealt.join(low.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: connected components by alternating large-star and small-star
     steps; root is the smallest node. Each step is a grouped minimum and a join."""
@@ -178,10 +193,9 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        large = _beside_minimum(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        near = _beside_minimum(large)
+        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.where("v = m").select("u", "v"))
         edges = cut_lineage(small.where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
@@ -242,23 +256,33 @@ def _band_keys(hashes: np.ndarray) -> list[int]:
     return [int.from_bytes(xxhash.xxh64_digest(b.tobytes(), i), "big", signed=True) for i, b in enumerate(bands)]
 
 
+ROW_KEYS = ("k1", "k2")
+
+
+def _with_row_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, text, document (the row) and two hashes of the whole row (but for maps)."""
+    parts = [F.col(f.name) for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    keys = (F.xxhash64(F.lit(i), *parts).alias(k) for i, k in enumerate(ROW_KEYS))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("document"), *keys)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node (hash of the shingle set), fp, bands of every row."""
+    """doc_id, row keys, node (hash of the shingle set), fp, bands of every row."""
 
     def run(it):
         for b in it:
             node, fp, bands = [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(3).to_pylist():
                 h = shingle_hashes(text)
                 node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 fp.append(fingerprint(text, COPY_SHINGLE))
                 bands.append(_band_keys(h))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "node", "fp", "bands"],
+                [*b.columns[:3], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", *ROW_KEYS, "node", "fp", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, fp long, bands array<long>")
+    return _with_row_keys(docs).select("doc_id", *ROW_KEYS, "text").mapInArrow(run, "doc_id long, k1 long, k2 long, node long, fp long, bands array<long>")
 
 
 def _candidate_runs(limit: int):
@@ -441,7 +465,7 @@ def _links_between(groups: DataFrame, roots: DataFrame, shingles: DataFrame, sim
 
 
 def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int = COMPARED) -> DataFrame:
-    """doc_id, node, root for every row: rows with equal roots are copies or near
+    """doc_id, row keys, node, root for every row: rows with equal roots are copies or near
     copies, chained by pairs of at least ``similarity``. Candidates are fingerprints
     within two bits, found by their deletion variants, and, as 64 bits cannot reach
     down to the similarity, texts that share a min-wise band. Every candidate is
@@ -490,27 +514,16 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int =
     more = _links_between(hot.unionByName(by_component), roots, shingles, similarity)
     if more is not None:
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    return found.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    return found.join(roots, "node", "left").select("doc_id", *ROW_KEYS, "node", F.coalesce("root", "node").alias("root"))
 
 
 def drop_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of near copies: the one with the lowest id, and of
-    repeated rows one. Rows with equal ids but different texts are judged by text."""
-    groups = copy_groups(docs, similarity)
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node")).alias("k")).select("k.doc_id", "k.node")
-
-    def nodes(it):
-        at = names.index("text")
-        for b in it:
-            keys = [xxhash.xxh64_intdigest(shingle_hashes(x).tobytes(), SEED) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(keys, np.uint64).view(np.int64))], names=[*b.schema.names, "_node"])
-
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    names = docs.columns
-    kept = best.select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"))
-    few = docs.join(kept.select("_d").distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left_semi")
-    marked = few.mapInArrow(nodes, StructType([*docs.schema.fields, StructField("_node", LongType())]))
-    same = marked.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_node") == F.col("_n")), "left_semi")
-    one = F.row_number().over(Window.partitionBy("doc_id", "_node").orderBy(F.col("text").asc_nulls_last(), *(F.col(c).cast("string").asc_nulls_last() for c in names if c not in ("doc_id", "text"))))
-    return same.withColumn("_one", one).where("_one = 1").select(*names)
+    repeated rows one. Rows with equal ids but different texts are judged by text.
+    Columns of any name are kept as they are. The rows themselves are shuffled once,
+    by the hashes of the rows that stay."""
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node", *ROW_KEYS))
+    best = copy_groups(docs, similarity).groupBy("root").agg(lowest.alias("best")).select(*(F.col(f"best.{k}").alias(k) for k in ROW_KEYS))
+    kept = _with_row_keys(docs).select("document", *ROW_KEYS).join(best, list(ROW_KEYS), "left_semi")
+    one = F.row_number().over(Window.partitionBy(*ROW_KEYS).orderBy(*ROW_KEYS))
+    return kept.select("document", one.alias("one")).where("one = 1").select("document.*")

@@ -25,10 +25,10 @@ def benchmark(spark):
 PER_ROW = {
     "suffix": lambda s, d: suffix_dedup.dedup(d),
     "secrets": lambda s, d: secret_scan.find_secrets(d),
-    "quality": lambda s, d: quality_rules.verdicts(d),
+    "quality": lambda s, d: quality_rules.verdicts(quality_rules.ledger(d)),
     "lm": lambda s, d: lm_score.score_documents(d),
     "simhash": lambda s, d: simhash.near_duplicates(d),
-    "mixing": lambda s, d: mixing.mix(d),
+    "mixing": lambda s, d: mixing.mix(d).select("document.doc_id"),
     "language": lambda s, d: language_id.identify(d, language_id.train(d)),
     "tokens": lambda s, d: token_counts.counts(d),
     "copies": lambda s, d: simhash.copy_groups(d),
@@ -80,3 +80,38 @@ def test_filters_keep_columns(spark):
         assert stage(documents(spark, True)).count() == 0
     assert simhash.drop_copies(d).where(F.col("doc_id") == 5).count() == 1
     assert simhash.drop_copies(d).where(F.col("doc_id").isin(8, 9)).count() == 1  # five of six shingles are shared
+
+
+#: Names that the operators use inside, as further columns of the documents.
+GOOD = "The house by the river was sold last year, and nobody in the village knows who will live there when the summer comes."
+INNER = ["passes", "_quota", "quota", "_node", "node", "root", "_measured", "fail_mask", "copies", "_size", "_one", "_order", "order", "bucket", "edge", "_bucket", "_d", "_n", "_leak", "_row", "row", "kept", "document", "target", "source_size", "z"]
+
+
+def test_clashing_names(spark):
+    """Further columns that bear inner names are kept as they are, and do no harm."""
+    good = spark.createDataFrame([(20, GOOD, "en", "s1")], "doc_id long, text string, lang string, source string")
+    d = documents(spark).select(*good.columns).unionByName(good).select("*", *(F.lit(f"own {c}").alias(c) for c in INNER))
+    own = [f"own {c}" for c in INNER]
+    for stage in (quality_rules.filter_documents, simhash.drop_copies, secret_scan.redact, *(lambda x, n=n: decontaminate.clean(x, benchmark(spark), n) for n in (2_000_000, 0))):
+        out = stage(d)
+        rows = out.collect()
+        assert out.columns == d.columns and rows and all(list(r[4:]) == own for r in rows)
+    mixed = mixing.mix(d).collect()
+    assert len(mixed) == len(IDS) + 1 and all(list(r.document[4:]) == own for r in mixed)
+    for name in sorted(PER_ROW):
+        assert PER_ROW[name](spark, d).count() == len(IDS) + 1
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """The five stages on nulls, clashing names and an empty table."""
+    import corpus_pipeline
+
+    for empty in (False, True):
+        folder = tmp_path / str(empty)
+        good = spark.createDataFrame([(20 + i, GOOD + f" {i}" * i, "en", "s1", None) for i in range(0 if empty else 5)], "doc_id long, text string, lang string, source string, n_chars long")
+        d = documents(spark, empty).select(*good.columns).unionByName(good).select("*", *(F.lit(1).alias(c) for c in INNER))
+        d.write.parquet(str(folder / "documents.parquet"))
+        benchmark(spark).write.parquet(str(folder / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(folder))
+        assert sorted(out.columns) == sorted(d.columns)
+        assert bool(out.collect()) != empty

@@ -141,7 +141,7 @@ def test_ablations(spark):
 def test_slurs_of_other_languages(spark):
     """Most labelled toxic documents of every language fail the current policy, few others fail by slurs."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    judged = quality_rules.verdicts(docs).join(docs.select("doc_id", "lang"), "doc_id").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    judged = quality_rules.verdicts(quality_rules.ledger(docs)).join(docs.select("doc_id", "lang"), "doc_id").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     rows = [r for r in judged.where("lang <> 'en'").collect()]
     toxic, other = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
     assert toxic and sum(not r.kept for r in toxic) >= 0.9 * len(toxic)
@@ -324,6 +324,16 @@ def test_simhash_links(spark, paired):
     assert len({(root.get(x, x), w) for x, w in zip(signed, want)}) == len(set(want))
 
 
+def test_components_of_hubs_and_chains(spark):
+    """Stars with very many neighbours, chains and repeated links."""
+    rng = random.Random(4)
+    links = [(7, 1000 + i) for i in range(900)] + [(i, i + 1) for i in range(3000, 3060)] + [(5, 7), (5, 7), (8, 8), (1500, 3010)]
+    rng.shuffle(links)
+    root = {r.node: r.root for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    nodes = {n for link in links for n in link if link[0] != link[1]}
+    assert root == {n: 5 for n in nodes if n != 5}
+
+
 def test_near_copies(spark):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(2000)]
@@ -437,6 +447,26 @@ def test_fit_is_exact():
         assert sum(a * t for a, t in zip(lengths, taken)) == min(reach, key=lambda s: (abs(s - budget), s))
 
 
+def test_fit_stays_small():
+    """Even lengths and an odd budget: no sum is exact, and no list of all steps is kept."""
+    import tracemalloc
+
+    lengths = [2 * k for k in range(1, 400)] + [1_000_000]
+    tracemalloc.start()
+    taken = mixing.fit(lengths, [3] * len(lengths), 1_999_999)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs(sum(a * t for a, t in zip(lengths, taken)) - 1_999_999) == 1 and peak < 100 << 20
+
+
+def test_plan_of_few_long_documents():
+    """A pass is given up where that comes nearer, whatever the size of the source."""
+    for unit in (1, 1000, 300_000):
+        passes, extra = mixing.plan_source([3 * unit, 4 * unit], [1, 1], 9.0 * unit)
+        taken = sum(length * (p + e) for length, p, e in zip([3 * unit, 4 * unit], passes, extra))
+        assert abs(taken - 9 * unit) <= unit and max(p + e for p, e in zip(passes, extra)) <= 3
+
+
 def test_mixing(spark):
     rows = QUERIES["op8_mixing"](spark, SF)
     r = rows.toPandas()
@@ -461,7 +491,8 @@ def test_language(spark):
     sf = "/root/testdata/sf0.01"
     r = QUERIES["op9_language_id"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     assert (r["lang"] == r["lang_pred"]).mean() > 0.97 and r["score"].between(0, 1).all()
-    assert language_id.Classifier({"families": {"x": ["en"]}, "machines": {}}).predict("12 34") == ("und", 0.0)
+    one = language_id.Classifier({"families": {"x": ["en"]}, "machines": {}})
+    assert one.predict("12 34") == one.predict("½ ² ① Ⅷ ٣ _ !") == one.predict(None) == ("und", 0.0) and one.predict("½ a") == ("en", 1.0)
 
 
 def test_token_edits():
