@@ -172,35 +172,37 @@ def links(distinct: DataFrame, paired: int = PAIRED) -> DataFrame:
     return out.distinct()
 
 
-#: Parts in which the neighbours of one node are dealt.
-SALTS = 64
+#: Parts in which the neighbours of one node are dealt, and links that one task should get.
+SALTS, TASK_LINKS = 64, 200_000
 
 
-def _beside_minimum(pairs: DataFrame) -> DataFrame:
+def _beside_minimum(pairs: DataFrame, tasks: int) -> DataFrame:
     """u, v, m: each pair beside the smallest v of its u. A node with very many
     neighbours is dealt in ``SALTS`` parts: minima of the parts first, and the minimum
     goes back to those parts that have rows."""
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).repartition("u", "salt")
-    parts = dealt.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).repartition(tasks, "u", "salt")
+    parts = dealt.groupBy("u", "salt").agg(F.min("v").alias("m")).repartition(tasks, "u")
     low = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
-    return dealt.join(low.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"]).select("u", "v", "m")
+    back = low.select("u", "m", F.explode("salts").alias("salt")).repartition(tasks, "u", "salt")
+    return dealt.join(back, ["u", "salt"]).select("u", "v", "m")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: connected components by alternating large-star and small-star
-    steps; root is the smallest node. Each step is a grouped minimum and a join."""
+    steps; root is the smallest node. Each step is a grouped minimum and a join, in as
+    many tasks as the links that are left ask for."""
     edges = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _beside_minimum(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        near = _beside_minimum(large)
-        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.where("v = m").select("u", "v"))
-        edges = cut_lineage(small.where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        if now == state or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+        state, tasks = now, -(-now[0] // TASK_LINKS)
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _beside_minimum(both, tasks).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        near = _beside_minimum(large, tasks)
+        small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.where("v = m").select("u", "v"))
+        edges = cut_lineage(small.where("u <> v").repartition(tasks, "u", "v").distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -267,22 +269,23 @@ def _with_row_keys(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, row keys, node (hash of the shingle set), fp, bands of every row."""
+    """doc_id, row keys, node (hash of the shingle set), size (its shingles), fp, bands of every row."""
 
     def run(it):
         for b in it:
-            node, fp, bands = [], [], []
+            node, size, fp, bands = [], [], [], []
             for text in b.column(3).to_pylist():
                 h = shingle_hashes(text)
                 node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                size.append(len(h))
                 fp.append(fingerprint(text, COPY_SHINGLE))
                 bands.append(_band_keys(h))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", *ROW_KEYS, "node", "fp", "bands"],
+                [*b.columns[:3], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", *ROW_KEYS, "node", "size", "fp", "bands"],
             )
 
-    return _with_row_keys(docs).select("doc_id", *ROW_KEYS, "text").mapInArrow(run, "doc_id long, k1 long, k2 long, node long, fp long, bands array<long>")
+    return _with_row_keys(docs).select("doc_id", *ROW_KEYS, "text").mapInArrow(run, "doc_id long, k1 long, k2 long, node long, size long, fp long, bands array<long>")
 
 
 def _candidate_runs(limit: int):
@@ -386,38 +389,35 @@ def _copy_candidates(nodes: DataFrame, compared: int) -> tuple[DataFrame, DataFr
 
 
 def _block_links(similarity: float):
-    """Over rows (key, i, j, block, node, root, shingles) sorted by (key, i, j): links
-    between the nodes of the blocks i and j. Every pair of different roots is compared
-    on the whole sets until a link has made the roots equal, so what goes out spans
-    the true links and has fewer rows than there are nodes."""
+    """Over rows (key, i, j, side, node, root, shingles) sorted by (key, i, j): links
+    between the nodes of side 1 and those of side 0. Pairs of different roots are
+    compared on the whole sets until a link has made the roots equal, so what goes out
+    spans the true links and has fewer rows than there are nodes."""
 
-    def links(within, block, node, root, sets):
+    def links(side, node, root, sets):
         sets = [np.frombuffer(x, np.uint32) for x in sets]
         order = np.argsort([len(x) for x in sets], kind="stable")
-        block, node = block[order], node[order]
+        side, node = side[order], node[order]
         sizes = np.array([len(sets[i]) for i in order], np.int64)
         _, ids = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
         label = np.unique(root[order], return_inverse=True)[1]
         ends = np.cumsum(sizes)
         starts = ends - sizes
         present = np.zeros(len(ids), np.uint8)
-        stops = np.searchsorted(similarity * sizes, sizes, side="right")  # beyond, texts are too long to be similar
+        others = np.flatnonzero(side == 0)
         a, b = [], []
-        for x in range(len(node) - 1):
-            other = label[x + 1 : stops[x]] != label[x]
-            if not within:
-                other &= block[x + 1 : stops[x]] != block[x]
-            ys = x + 1 + np.flatnonzero(other)
+        for x in np.flatnonzero(side == 1):
+            # of the others, those of a length that allows the similarity
+            lo = np.searchsorted(sizes[others], similarity * sizes[x] - 1e-6)
+            hi = np.searchsorted(sizes[others], sizes[x] / similarity + 1e-6)
+            ys = others[lo:hi]
+            ys = ys[label[ys] != label[x]]
             if not len(ys):
                 continue
-            own = ids[starts[x] : ends[x]]
-            present[own] = 1
-            if 4 * len(ys) > stops[x] - x:
-                first, last = ys[0], ys[-1]
-                shared = np.add.reduceat(present[ids[starts[first] : ends[last]]], starts[first : last + 1] - starts[first], dtype=np.int64)[ys - first]
-            else:
-                shared = np.array([np.count_nonzero(present[ids[starts[y] : ends[y]]]) for y in ys])
-            present[own] = 0
+            present[ids[starts[x] : ends[x]]] = 1
+            spans = np.repeat(starts[ys] - np.concatenate([[0], np.cumsum(sizes[ys])[:-1]]), sizes[ys]) + np.arange(sizes[ys].sum())
+            shared = np.add.reduceat(present[ids[spans]], np.cumsum(sizes[ys]) - sizes[ys], dtype=np.int64)
+            present[ids[starts[x] : ends[x]]] = 0
             for y in ys[shared >= similarity * (sizes[x] + sizes[ys] - shared)]:
                 if label[y] != label[x]:
                     a.append(node[x])
@@ -441,26 +441,31 @@ def _block_links(similarity: float):
             yield unit(held)
 
     def unit(t):
-        return links(t.column(1)[0] == t.column(2)[0], *(t.column(c).to_numpy() for c in (3, 4, 5)), t.column(6).to_pylist())
+        return links(*(t.column(c).to_numpy() for c in (3, 4, 5)), t.column(6).to_pylist())
 
     return run
 
 
-def _links_between(groups: DataFrame, roots: DataFrame, shingles: DataFrame, similarity: float, block: tuple[int, int] = (BLOCK_BYTES, BLOCK_NODES)) -> DataFrame | None:
+def _links_between(groups: DataFrame, roots: DataFrame, nodes: DataFrame, shingles: DataFrame, similarity: float, block: tuple[int, int] = (BLOCK_BYTES, BLOCK_NODES)) -> DataFrame | None:
     """a, b: links within the groups (key, node) that join what ``roots`` (node, root)
-    has not joined, as a set that spans them; None if every group is joined. A group is
-    dealt into blocks by hash, and each pair of blocks is a unit of work of its own."""
-    members = groups.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    members = cut_lineage(members.join(open_keys, "key"))
-    if members.isEmpty():
+    has not joined, as a set that spans them; None if every group is joined. The members
+    outside the commonest root of their group meet all members of the group: both are
+    dealt into blocks by hash, and each pair of blocks is a unit of work of its own. So
+    a large group that is joined but for a few members costs in proportion to its size."""
+    members = groups.join(roots, "node", "left").join(nodes.select("node", "size"), "node")
+    members = members.select("key", "node", F.coalesce("root", "node").alias("root"), "size")
+    by_root = members.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    commonest = F.max_by("root", F.struct("n", F.col("root")))
+    parts = lambda size, n: F.greatest(F.ceil(size * 4 / block[0]), F.ceil(n / block[1])).cast("long")
+    keys = by_root.groupBy("key").agg(commonest.alias("common"), F.sum("n").alias("n"), F.sum("size").alias("s"), F.max("n").alias("n0"), F.max_by("size", F.struct("n", "root")).alias("s0"))
+    keys = keys.where("n > n0").select("key", "common", parts(F.col("s"), F.col("n")).alias("whole"), parts(F.col("s") - F.col("s0"), F.col("n") - F.col("n0")).alias("outside"))
+    dealt = cut_lineage(members.join(keys, "key").withColumn("h", F.xxhash64("node")))
+    if dealt.isEmpty():
         return None
-    sized = members.join(shingles.select("node", F.length("shingles").alias("bytes")), "node")
-    blocks = sized.groupBy("key").agg(F.greatest(F.ceil(F.sum("bytes") / block[0]), F.ceil(F.count("*") / block[1])).cast("long").alias("blocks"))
-    dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    units = dealt.select("key", "block", "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
-    units = units.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "root")
-    rows = units.join(shingles, "node").select("key", "i", "j", "block", "node", "root", "shingles")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    all_ = dealt.select("key", upto("outside").alias("i"), F.pmod("h", "whole").alias("j"), F.lit(0).alias("side"), "node", "root")
+    outside = dealt.where("root <> common").select("key", F.pmod("h", "outside").alias("i"), upto("whole").alias("j"), F.lit(1).alias("side"), "node", "root")
+    rows = all_.unionByName(outside).join(shingles, "node").select("key", "i", "j", "side", "node", "root", "shingles")
     return cut_lineage(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_block_links(similarity), "a long, b long"))
 
 
@@ -474,7 +479,7 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int =
     compared in all pairs that are not joined yet: the links of ``links`` only span
     the components, and of texts of one fingerprint only one is paired."""
     found = cut_lineage(sketches(docs))
-    nodes = cut_lineage(found.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    nodes = cut_lineage(found.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     by_fp = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
     near = links(by_fp.select("fp"))
     reps_a, reps_b = by_fp.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), by_fp.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
@@ -511,7 +516,7 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int =
     roots = cut_lineage(components(linked))
     alike = components(near).select(F.col("node").alias("fp"), F.col("root").alias("key"))
     by_component = nodes.join(alike, "fp", "left").select(F.coalesce("key", "fp").alias("key"), "node")
-    more = _links_between(hot.unionByName(by_component), roots, shingles, similarity)
+    more = _links_between(hot.unionByName(by_component), roots, nodes, shingles, similarity)
     if more is not None:
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return found.join(roots, "node", "left").select("doc_id", *ROW_KEYS, "node", F.coalesce("root", "node").alias("root"))

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pressline.llm import decontaminate, html_extract, language_id, lm_score, mixing, quality_rules, secret_scan, simhash, suffix_dedup, token_counts
 from pressline.llm.queries import ORACLE_SQL, QUERIES
@@ -426,11 +427,17 @@ def test_links_between_blocks(spark):
     want = similar_classes(docs)
     rows = [(1, i, np.unique((simhash.shingle_hashes(t) >> np.uint64(32)).astype(np.uint32)).tobytes()) for i, t in docs]
     df = spark.createDataFrame(rows, "key long, node long, shingles binary")
-    none = spark.createDataFrame([], "node long, root long")
-    for block in ((1 << 22, 1024), (20_000, 40)):
-        links = simhash._links_between(df.select("key", "node"), none, df.select("node", "shingles"), 0.8, block)
-        root = {r.node: r.root for r in simhash.components(links).collect()}
-        assert len({root.get(i, i) for i in want}) == len(set(want.values())) == len({(root.get(i, i), want[i]) for i in want})
+    nodes = df.select("node", (F.length("shingles") / 4).cast("long").alias("size"))
+    alone = spark.createDataFrame([], "node long, root long")
+    # some classes joined already, as after the first pass: the largest, and half of each
+    largest = Counter(want.values()).most_common(1)[0][0]
+    joined = spark.createDataFrame([(i, c) for i, c in want.items() if c == largest or i % 2], "node long, root long")
+    for known in (alone, joined):
+        for block in ((1 << 22, 1024), (20_000, 40)):
+            links = simhash._links_between(df.select("key", "node"), known, nodes, df.select("node", "shingles"), 0.8, block)
+            links = links.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            root = {r.node: r.root for r in simhash.components(links).collect()}
+            assert len({root.get(i, i) for i in want}) == len(set(want.values())) == len({(root.get(i, i), want[i]) for i in want})
 
 
 def test_fit_is_exact():
