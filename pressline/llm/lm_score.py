@@ -2,8 +2,8 @@
 
 An n-gram's probability is a mixture of maximum-likelihood estimates of every
 order and the uniform distribution. The weights depend on how often the context
-was seen: contexts fall into buckets by the logarithm of their count, and each
-bucket's weights are learned by expectation-maximisation on held-out counts, a
+was seen: the longest seen context and the logarithm of its count make a bucket, and
+each bucket's weights are learned by expectation-maximisation on held-out counts, a
 tenth of the training documents against the counts of the others. The final
 estimates use the counts of all training documents.
 
@@ -11,13 +11,16 @@ How it runs: documents are packed into blocks; each block sends its distinct
 n-gram hashes with their counts, sorted, to the shard that owns them; a shard adds
 up what all blocks send and answers each block in the order it asked, so the way
 back carries counts alone. An n-gram that fills the corpus costs one entry a block.
-Only a histogram of fixed size (estimates and buckets, in steps) reaches the driver
-for the weights.
-
-Defined cases: a null text is empty, its one token is the end; repeated rows are
-scored and learned row by row; a null doc_id counts as the empty text for the
-split; without training documents every estimate falls back to the uniform one;
-an empty table gives an empty result; further columns are ignored.
+Beyond ``FAN_IN`` blocks the exchange has two levels: groups of blocks are merged
+first, and only merged lists go to the shards, so that a row always holds hundreds of
+n-grams. Only a histogram of bounded size (estimates and buckets, in steps, with the
+mean estimates of each cell) reaches the driver for the weights.
+
+Defined cases: a null text is empty, its one token is the end; a very long text is a
+block of its own; repeated rows are scored and learned row by row; a null doc_id counts
+as the empty text for the split; without training documents every estimate falls back
+to the uniform one; an empty table gives an empty result; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -35,17 +38,19 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut_lineage, find_words, mix64, table
 
-ORDER = 2
+ORDER = 3
 TEST_OF, TEST_IS, TUNE_IS = 10, 0, 9
 ALPHA = 0.1
 #: Characters of text in a block; a longer document is a block of its own.
 BLOCK_CHARS = 6_000_000
 #: n-gram entries that a shard should get.
 SHARD_ENTRIES = 1_500_000
+#: Blocks, or merged groups of blocks, that one shard hears.
+FAN_IN = 4096
+#: Steps of the logarithm of a context's count.
 BUCKETS = 24
-#: Steps per power of two of the estimates in the histogram for the weights.
-STEPS = 4
-LEVELS = 40 * STEPS
+#: Levels of an estimate in the histogram for the weights: zero, and powers of two.
+LEVELS = 32
 ROUNDS = 60
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 KINDS = ("test", "train", "tune")
@@ -180,37 +185,114 @@ def requests(packed: DataFrame, order: int, shards: int) -> DataFrame:
     return packed.mapInArrow(run, "block string, kind int, shard int, n int, hashes binary, counts binary")
 
 
-def _answer(key: tuple[pa.Scalar, ...], tables: pa.Table) -> pa.Table:
-    """All requests of one shard and order: summed counts, and for each block the
-    counts of the n-grams it asked for (all training documents, and without the
-    tuning part for blocks of that part). One row more carries the totals."""
-    kinds = tables.column("kind").to_pylist()
+ANSWERS = "block string, kind int, shard int, n int, counts binary, main binary, totals array<long>"
+
+
+def _merged(tables: pa.Table):
+    """All requests of one shard and order: the distinct hashes, their counts in the
+    training documents, in those without the tuning part, and each request's places."""
     asked = [unpack_hashes(x) for x in tables.column("hashes").to_pylist()]
-    counts = [_unpack(x) for x in tables.column("counts").to_pylist()]
     every = np.unique(np.concatenate(asked))
     all_, main = np.zeros(len(every), np.uint64), np.zeros(len(every), np.uint64)
     places = []
-    for kind, h, c in zip(kinds, asked, counts):
+    for kind, h, c in zip(tables.column("kind").to_pylist(), asked, tables.column("counts").to_pylist()):
         at = np.searchsorted(every, h)
         places.append(at)
         if kind:
+            c = _unpack(c)
             all_[at] += c
-        if kind == 1:
-            main[at] += c
-    first = key[1].as_py() == 1
-    totals = [int(all_.sum()), int((all_ > 0).sum()), int(main.sum()), int((main > 0).sum())] if first else [0, 0, 0, 0]
-    n = len(kinds)
+            if kind == 1:
+                main[at] += c
+    return every, all_, main, places
+
+
+def _totals(all_: np.ndarray, main: np.ndarray, n: int) -> list[int]:
+    """Training tokens and types, also without the tuning part; unigrams alone count."""
+    return [int(all_.sum()), int((all_ > 0).sum()), int(main.sum()), int((main > 0).sum())] if n == 1 else [0, 0, 0, 0]
+
+
+def _replies(tables: pa.Table, places, all_: np.ndarray, main: np.ndarray, totals: list[list[int]]) -> pa.Table:
+    """For each block the counts of the n-grams it asked for (all training documents, and
+    without the tuning part for blocks of that part); rows without a block carry totals."""
+    kinds, shard, order = tables.column("kind").to_pylist(), tables.column("shard")[0].as_py(), tables.column("n")[0].as_py()
+    n, more = len(kinds), len(totals)
     return pa.table({
-        "block": pa.array([*tables.column("block").to_pylist(), None], pa.string()),
-        "kind": pa.array([*kinds, None], pa.int32()),
-        "shard": pa.array([key[0].as_py()] * (n + 1), pa.int32()),
-        "n": pa.array([key[1].as_py()] * (n + 1), pa.int32()),
-        "counts": pa.array([*(_pack(all_[p]) for p in places), None], pa.binary()),
-        "main": pa.array([*(_pack(main[p]) if k == 2 else None for k, p in zip(kinds, places)), None], pa.binary()),
-        "totals": pa.array([*[None] * n, totals], pa.list_(pa.int64())),
+        "block": pa.array([*tables.column("block").to_pylist(), *[None] * more], pa.string()),
+        "kind": pa.array([*kinds, *[None] * more], pa.int32()),
+        "shard": pa.array([shard] * (n + more), pa.int32()),
+        "n": pa.array([order] * (n + more), pa.int32()),
+        "counts": pa.array([*(_pack(all_[p]) for p in places), *[None] * more], pa.binary()),
+        "main": pa.array([*(_pack(main[p]) if k == 2 else None for k, p in zip(kinds, places)), *[None] * more], pa.binary()),
+        "totals": pa.array([*[None] * n, *totals], pa.list_(pa.int64())),
     })
 
 
+def _answer(key: tuple[pa.Scalar, ...], tables: pa.Table) -> pa.Table:
+    """One shard of a one-level exchange."""
+    every, all_, main, places = _merged(tables)
+    return _replies(tables, places, all_, main, [_totals(all_, main, key[1].as_py())])
+
+
+def _range_cuts(shard: int, shards: int, parts: int) -> np.ndarray:
+    """Lower ends of equal parts of a shard's range of hashes, but for the first."""
+    low = np.concatenate([[0.0], (np.arange(1, shards) * (2.0**64 / shards))])[shard]
+    return (low + np.arange(1, parts) * (2.0**64 / shards / parts)).astype(np.uint64)
+
+
+def _two_levels(asked: DataFrame, shards: int, parts: int) -> DataFrame:
+    """The exchange over groups of blocks (column group): groups merge their requests for
+    a shard and ask its parts, and pass the replies on to their blocks."""
+
+    def ask(key: tuple[pa.Scalar, ...], tables: pa.Table) -> pa.Table:
+        group, shard, n = (k.as_py() for k in key)
+        every, all_, main, _ = _merged(tables)
+        ends = np.concatenate([[0], np.searchsorted(every, _range_cuts(shard, shards, parts)), [len(every)]])
+        rows = [(group, shard, p, n, pack_hashes(every[a:e]), _pack(all_[a:e]), _pack(main[a:e])) for p, (a, e) in enumerate(zip(ends[:-1], ends[1:])) if e > a]
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["group", "shard", "part", "n", "hashes", "all", "main"])
+
+    def add_up(key: tuple[pa.Scalar, ...], tables: pa.Table) -> pa.Table:
+        lists = [unpack_hashes(x) for x in tables.column("hashes").to_pylist()]
+        every = np.unique(np.concatenate(lists))
+        places = [np.searchsorted(every, h) for h in lists]
+        sums = []
+        for column in ("all", "main"):
+            total = np.zeros(len(every), np.uint64)
+            for at, c in zip(places, tables.column(column).to_pylist()):
+                total[at] += _unpack(c)
+            sums.append(total)
+        totals = [_totals(*sums, key[2].as_py()), *[[0, 0, 0, 0]] * (len(places) - 1)]
+        return pa.table({
+            **{c: tables.column(c) for c in ("group", "shard", "part", "n")},
+            "all": pa.array([_pack(sums[0][p]) for p in places], pa.binary()), "main": pa.array([_pack(sums[1][p]) for p in places], pa.binary()),
+            "totals": pa.array(totals, pa.list_(pa.int64())),
+        })
+
+    def pass_on(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        places = _merged(left)[3]
+        right = right.sort_by("part")
+        all_, main = (np.concatenate([_unpack(x) for x in right.column(c).to_pylist()]) for c in ("all", "main"))
+        return _replies(left, places, all_, main, right.column("totals").to_pylist())
+
+    by_group = asked.groupBy("group", "shard", "n")
+    sums = by_group.applyInArrow(ask, "group int, shard int, part int, n int, hashes binary, all binary, main binary").groupBy("shard", "part", "n")
+    sums = sums.applyInArrow(add_up, "group int, shard int, part int, n int, all binary, main binary, totals array<long>")
+    return by_group.cogroup(sums.groupBy("group", "shard", "n")).applyInArrow(pass_on, ANSWERS)
+
+
+def exchange(packed: DataFrame, order: int, shard_entries: int, fan_in: int) -> DataFrame:
+    """Each block's n-gram counts in the corpus, by shard and order."""
+    n_blocks, size = packed.agg(F.count("*"), F.sum(F.length("texts"))).first()
+    entries = (size or 0) * order / 4
+    groups = max(1, math.ceil(n_blocks / fan_in))
+    shards = max(1, math.ceil(entries / groups / shard_entries))
+    asked = requests(packed, order, shards)
+    if groups == 1:
+        return cut_lineage(asked.groupBy("shard", "n").applyInArrow(_answer, ANSWERS))
+    asked = cut_lineage(asked.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")))
+    return cut_lineage(_two_levels(asked, shards, groups))
+
+
 def counted(tokens, starts, order, answers, column: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each order: the count of the n-gram at each token, and that of its context."""
     by: dict[int, list] = {}
@@ -233,8 +315,13 @@ def counted(tokens, starts, order, answers, column: str) -> tuple[list[np.ndarra
     return grams, contexts
 
 
-def _bucket(context: np.ndarray) -> np.ndarray:
-    return np.minimum(np.where(context > 0, np.log2(np.maximum(context, 1)).astype(np.int64) + 1, 0), BUCKETS - 1)
+def _bucket(contexts: list[np.ndarray], n: int) -> np.ndarray:
+    """0 if no context was seen; else by the longest seen one and the logarithm of its count."""
+    out = np.zeros(n, np.int64)
+    for k, c in enumerate(contexts):
+        steps = np.minimum(np.log2(np.maximum(c, 1)).astype(np.int64), BUCKETS - 1)
+        out = np.where(c > 0, 1 + k * BUCKETS + steps, out)
+    return out
 
 
 def estimates(grams, contexts, total: float, types: float) -> np.ndarray:
@@ -245,50 +332,61 @@ def estimates(grams, contexts, total: float, types: float) -> np.ndarray:
     return np.stack(rows)
 
 
-def _level(p: np.ndarray) -> np.ndarray:
-    """Step of an estimate on a logarithmic scale; 0 for zero."""
+def histogram(bucket: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of bucket and levels of the estimates (without the uniform one): number of
+    the cell, tokens in it, and for each order the sum of the estimates."""
     with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.clip(LEVELS + np.rint(np.log2(p) * STEPS), 1, LEVELS), 0).astype(np.int64)
+        levels = np.where(p > 0, np.clip(LEVELS - 1 + np.floor(np.log2(p)), 1, LEVELS - 1), 0).astype(np.int64)
+    cell = bucket
+    for row in levels:
+        cell = cell * LEVELS + row
+    cells, at, n = np.unique(cell, return_inverse=True, return_counts=True)
+    return cells, n, np.stack([np.bincount(at, row, len(cells)) for row in p])
 
 
 def learn_weights(cells: pd.DataFrame, order: int, types: float) -> np.ndarray:
-    """Expectation-maximisation per bucket over (bucket, levels of the orders, held-out count)."""
-    weights = np.full((BUCKETS, order + 1), 1.0 / (order + 1))
-    for bucket, rows in cells.groupby("bucket"):
-        levels = np.array(rows["levels"].tolist(), np.float64)
-        p = np.where(levels > 0, 2.0 ** ((levels - LEVELS) / STEPS), 0.0)
-        p = np.column_stack([p, np.full(len(p), 1.0 / (types + 1))])
-        n = rows["n"].to_numpy(np.float64)[:, None]
-        w = weights[int(bucket)]
+    """Weights by bucket, by expectation-maximisation over the cells (cell, n, and the
+    sums of the estimates s0, s1, ...)."""
+    weights = np.full((1 + BUCKETS * (order - 1), order + 1), 1.0 / (order + 1))
+    n = cells["n"].to_numpy(np.float64)
+    p = np.column_stack([*(cells[f"s{k}"].to_numpy(np.float64) / n for k in range(order)), np.full(len(n), 1.0 / (types + 1))])
+    buckets = cells["cell"].to_numpy(np.int64) // LEVELS**order
+    for bucket in np.unique(buckets):
+        mine = buckets == bucket
+        w = weights[bucket]
         for _ in range(ROUNDS):
-            part = p * w
-            w = (n * part / part.sum(axis=1, keepdims=True)).sum(axis=0) / n.sum()
+            part = p[mine] * w
+            w = (n[mine, None] * part / part.sum(axis=1, keepdims=True)).sum(axis=0) / n[mine].sum()
         # a share for the uniform part keeps unseen words possible
-        weights[int(bucket)] = (w + 1e-6) / (w + 1e-6).sum()
+        weights[bucket] = (w + 1e-6) / (w + 1e-6).sum()
     return weights
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    packed = cut_lineage(blocks(docs))
-    size = packed.agg(F.sum(F.length("texts"))).first()[0] or 0
-    shards = max(1, math.ceil(size * order / (4 * shard_entries)))
-    answers = cut_lineage(requests(packed, order, shards).groupBy("shard", "n").applyInArrow(_answer, "block string, kind int, shard int, n int, counts binary, main binary, totals array<long>"))
+def model(packed: DataFrame, answers: DataFrame, order: int) -> tuple[np.ndarray, int, int]:
+    """Weights by bucket, training tokens, training types."""
     t = answers.where("totals is not null").select(*(F.sum(F.col("totals")[i]) for i in range(4))).first()
     total, types, total_main, types_main = (int(x or 0) for x in t)
-    own = answers.where("block is not null")
+    sums = [f"s{k}" for k in range(order)]
 
     def tune(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         tokens, starts = token_hashes(unpack_texts(left.column("texts")[0].as_py()), WordHashes())
         grams, contexts = counted(tokens, starts, order, right, "main")
-        p = estimates(grams, contexts, total_main, types_main)[:-1]
-        bucket = _bucket(contexts[-1]) if contexts else np.zeros(len(tokens), np.int64)
-        cells, n = np.unique(np.column_stack([bucket, *map(_level, p)]), axis=0, return_counts=True)
-        return pa.table({"bucket": pa.array(cells[:, 0]), "levels": pa.array(cells[:, 1:].tolist(), pa.list_(pa.int64())), "n": pa.array(n)})
+        cells, n, p = histogram(_bucket(contexts, len(tokens)), estimates(grams, contexts, total_main, types_main)[:-1])
+        return pa.table({"cell": pa.array(cells), "n": pa.array(n), **{c: pa.array(row) for c, row in zip(sums, p)}})
+
+    own = answers.where("block is not null and kind = 2")
+    tuned = packed.where("kind = 2").groupBy("block").cogroup(own.groupBy("block")).applyInArrow(tune, "cell long, n long, " + ", ".join(f"{c} double" for c in sums))
+    # sums of doubles in a fixed order and precision, so that reruns agree
+    exact = [F.sum(F.round(F.col(c), 9).cast("decimal(38,9)")).cast("double").alias(c) for c in sums]
+    cells = tuned.groupBy("cell").agg(F.sum("n").alias("n"), *exact).orderBy("cell").toPandas()
+    return learn_weights(cells, order, types_main), total, types
+
 
-    tuned = packed.where("kind = 2").groupBy("block").cogroup(own.where("kind = 2").groupBy("block")).applyInArrow(tune, "bucket long, levels array<long>, n long")
-    cells = tuned.groupBy("bucket", "levels").agg(F.sum("n").alias("n")).orderBy("bucket", "levels").toPandas()
-    weights = learn_weights(cells, order, types_main)
+def score_documents(docs: DataFrame, order: int = ORDER, shard_entries: int = SHARD_ENTRIES, fan_in: int = FAN_IN) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    packed = cut_lineage(blocks(docs))
+    answers = exchange(packed, order, shard_entries, fan_in)
+    weights, total, types = model(packed, answers, order)
 
     def score(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("ids")[0].as_py()
@@ -296,8 +394,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, shard_entries: int = SH
         tokens, starts = token_hashes(unpack_texts(left.column("texts")[0].as_py()), WordHashes())
         grams, contexts = counted(tokens, starts, order, right, "counts")
         p = estimates(grams, contexts, total, types)
-        bucket = _bucket(contexts[-1]) if contexts else np.zeros(len(tokens), np.int64)
-        logs = np.log10((weights[bucket].T * p).sum(axis=0))
+        logs = np.log10((weights[_bucket(contexts, len(tokens))].T * p).sum(axis=0))
         base = np.log10((grams[0] + ALPHA) / (total + ALPHA * (types + 1)))
         at = starts[:-1]
         return pa.table({
@@ -306,6 +403,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, shard_entries: int = SH
             "base_score": pa.array(np.add.reduceat(base, at)), "score": pa.array(np.add.reduceat(logs, at)),
         })
 
+    own = answers.where("block is not null")
     return packed.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

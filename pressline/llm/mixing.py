@@ -189,11 +189,13 @@ def mix(docs: DataFrame) -> DataFrame:
     )
     plan = cut_lineage(plan)
     q = (F.broadcast(plan) if plan.count() <= SENT_ROWS else plan).alias("q")
-    joined = d.join(q, F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.size") == F.col("q.size")))
+    # null-safe comparisons, as Spark would else count the words a second time to drop nulls
+    joined = d.join(q, F.col("d.source").eqNullSafe(F.col("q.source")) & F.col("d.size").eqNullSafe(F.col("q.size")))
+    at_edge = F.col("bucket").eqNullSafe(F.col("edge"))
     kept = ["document", F.col("q.size").alias("size"), "source_size", "target"]
-    decided = joined.where(F.col("bucket") != F.col("edge")).select(*kept, (F.col("passes") + (F.col("bucket") < F.col("edge")).cast("int")).alias("copies"))
+    decided = joined.where(~at_edge).select(*kept, (F.col("passes") + (F.col("bucket") < F.col("edge")).cast("int")).alias("copies"))
     rank = F.row_number().over(Window.partitionBy("q.source", "q.size").orderBy("order", F.col("document")["doc_id"]))
-    ranked = joined.where(F.col("bucket") == F.col("edge")).select(*kept, (F.col("passes") + (rank <= F.col("quota")).cast("int")).alias("copies"))
+    ranked = joined.where(at_edge).select(*kept, (F.col("passes") + (rank <= F.col("quota")).cast("int")).alias("copies"))
     return decided.unionByName(ranked)
 
 

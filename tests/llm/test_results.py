@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,18 +271,87 @@ def test_lm(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 10 == 0, len(words), sum(train[w] > 0 for w in words), n)
         assert math.isclose(r.base_score, sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words), abs_tol=1e-6)
         assert -60 * len(words) < r.score < 0
-    again = {r.doc_id: r.score for r in lm_score.score_documents(df, order=3, shard_entries=50).collect()}
-    assert len(again) == 300
+
+
+def brute_lm(texts, order):
+    """Per text and token: estimates from the highest order down, and the bucket, from
+    the counts of a set of documents given as a function of their remainder."""
+
+    def grams(words, k):
+        padded = ["<s>"] * (k - 1) + words
+        return [tuple(padded[i : i + k]) for i in range(len(words))]
+
+    def tables(admitted):
+        chosen = [t for i, t in texts if admitted(zlib.crc32(str(i).encode()) % 10)]
+        by_order = [Counter(g for t in chosen for g in grams([*t.split(), "</s>"], k)) for k in range(1, order + 1)]
+        return by_order, len(chosen)
+
+    def rows(admitted, which):
+        by_order, n_texts = tables(admitted)
+        total, types = sum(by_order[0].values()), len(by_order[0])
+        out = {}
+        for i, t in texts:
+            if not which(zlib.crc32(str(i).encode()) % 10):
+                continue
+            words, found = [*t.split(), "</s>"], []
+            all_grams = [grams(words, k) for k in range(1, order + 1)]
+            for at in range(len(words)):
+                p, bucket = [], 0
+                for k in range(order, 1, -1):
+                    context = all_grams[k - 1][at][:-1]
+                    seen = n_texts if set(context) == {"<s>"} else by_order[k - 2][context]
+                    p.append(by_order[k - 1][all_grams[k - 1][at]] / seen if seen else 0.0)
+                    if seen and not bucket:
+                        bucket = 1 + (k - 2) * lm_score.BUCKETS + min(int(math.log2(seen)), lm_score.BUCKETS - 1)
+                found.append((bucket, *p, by_order[0][all_grams[0][at]] / total, 1 / (types + 1)))
+            out[i] = found
+        return out
+
+    return rows
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_score_against_brute_force(spark, order):
+    """Scores from dictionaries of n-grams and from maximisation over single tokens, without histogram or hashes."""
+    rng = random.Random(8)
+    vocabulary = [f"w{int(40 * rng.random() ** 2)}" for _ in range(400)]
+    texts = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40)))) for i in range(300)]
+    texts += [(1000 + i, t) for i, t in texts[:60]]
+    rows = brute_lm(texts, order)
+    weights = {}
+    tuning = [x for found in rows(lambda r: r not in (0, 9), lambda r: r == 9).values() for x in found]
+    for bucket in {x[0] for x in tuning}:
+        p = np.array([x[1:] for x in tuning if x[0] == bucket])
+        w = np.full(order + 1, 1 / (order + 1))
+        for _ in range(lm_score.ROUNDS):
+            w = (p * w / (p * w).sum(axis=1, keepdims=True)).mean(axis=0)
+        weights[bucket] = w
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    packed = lm_score.cut_lineage(lm_score.blocks(df))
+    learned, _, _ = lm_score.model(packed, lm_score.exchange(packed, order, 10**6, 100), order)
+    got = {r.doc_id: r.score for r in lm_score.score_documents(df, order).collect()}
+    few = {r.doc_id: r.score for r in lm_score.score_documents(df, order, shard_entries=200, fan_in=1).collect()}
+    near = []
+    for i, found in rows(lambda r: r != 0, lambda r: True).items():
+        exact = sum(math.log10(sum(a * b for a, b in zip(learned[x[0]], x[1:]))) for x in found)
+        assert math.isclose(got[i], exact, rel_tol=1e-3, abs_tol=1e-3) and math.isclose(got[i], few[i], rel_tol=1e-2, abs_tol=1e-2)
+        free = sum(math.log10(sum(a * b for a, b in zip(weights.get(x[0], np.full(order + 1, 1 / (order + 1))), x[1:])) or 1e-9) for x in found)
+        near.append(abs(got[i] - free) <= 0.05 * abs(free) + 0.1)
+    assert np.mean(near) > 0.9
 
 
 def test_lm_mixture_is_a_distribution():
-    """Probabilities of all words after a context sum to one (with one unknown word)."""
-    tokens = [1, 2, 1, 3, 1, 2]
-    counts, pairs = Counter(tokens), Counter(zip(tokens, tokens[1:]))
-    w = np.array([0.5, 0.3, 0.2])
-    ctx = sum(c for (a, _), c in pairs.items() if a == 1)
-    total = sum(w @ np.array([pairs[1, x] / ctx, counts[x] / 6, 1 / 4]) for x in (1, 2, 3, 99))
-    assert math.isclose(total, 1.0)
+    """For a context, the estimates of all words and of one unseen word, mixed, add up to one."""
+    counts = {"a": 5, "b": 3, "c": 1}
+    after = {"a": 2, "b": 0, "c": 1, None: 0}
+    words = ["a", "b", "c", None]
+    grams = [np.array([counts.get(w, 0) for w in words], float), np.array([after[w] for w in words], float)]
+    p = lm_score.estimates(grams, [np.full(4, 3.0)], 9.0, 3.0)
+    cells, n, sums = lm_score.histogram(lm_score._bucket([np.full(4, 3.0)], 4), p[:-1])
+    frame = pd.DataFrame({"cell": cells, "n": n, **{f"s{k}": row for k, row in enumerate(sums)}})
+    weights = lm_score.learn_weights(frame, 2, 3.0)
+    mixed = (weights[lm_score._bucket([np.full(4, 3.0)], 4)].T * p).sum(axis=0)
+    assert math.isclose(mixed.sum(), 1.0, rel_tol=1e-9) and (mixed > 0).all()
 
 
 def brute_components(fps, ids):
