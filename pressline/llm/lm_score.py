@@ -5,7 +5,9 @@ order and the uniform distribution. The weights depend on how often the context
 was seen: the longest seen context and the logarithm of its count make a bucket, and
 each bucket's weights are learned by expectation-maximisation on held-out counts, a
 tenth of the training documents against the counts of the others. The final
-estimates use the counts of all training documents.
+estimates use the counts of all training documents, but for those of the document that
+is scored: a training document is scored as if it were held out, so that scores compare
+and a text that occurs again elsewhere stands out.
 
 How it runs: documents are packed into blocks; each block sends its distinct
 n-gram hashes with their counts, sorted, to the shard that owns them; a shard adds
@@ -293,28 +295,44 @@ def exchange(packed: DataFrame, order: int, shard_entries: int, fan_in: int) ->
     return cut_lineage(_two_levels(asked, shards, groups))
 
 
-def counted(tokens, starts, order, answers, column: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def counted(hashes: list[np.ndarray], starts, answers, column: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each order: the count of the n-gram at each token, and that of its context."""
     by: dict[int, list] = {}
     for s, n, blob in sorted((s, n, x) for s, n, x in zip(*(answers.column(c).to_pylist() for c in ("shard", "n", column)))):
         by.setdefault(n, []).append(_unpack(blob))
     grams = []
     ends = None
-    for n, h in enumerate(gram_hashes(tokens, starts, order), 1):
+    for n, h in enumerate(hashes, 1):
         u, inverse = np.unique(h, return_inverse=True)
         c = np.concatenate(by[n]).astype(np.float64)
         if n == 1:
             ends = c[np.searchsorted(u, mix64(np.array([END])))][0]
         grams.append(c[inverse])
     contexts: list[np.ndarray] = []
-    for k in range(1, order):
-        before = np.empty(len(tokens))
+    for k in range(1, len(hashes)):
+        before = np.empty(len(hashes[0]))
         before[1:] = grams[k - 1][:-1]
         before[starts[:-1]] = ends  # the padding alone: once a text
         contexts.append(before)
     return grams, contexts
 
 
+def own_counts(grams: list[np.ndarray], starts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """As ``counted``, from the token's own document alone; ``grams`` are hashes."""
+    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    own = []
+    for h in grams:
+        _, at, n = np.unique(h ^ mix64(doc.astype(np.uint64)), return_inverse=True, return_counts=True)
+        own.append(n[at].astype(np.float64))
+    contexts = []
+    for g in own[:-1]:
+        before = np.empty(len(g))
+        before[1:] = g[:-1]
+        before[starts[:-1]] = 1.0
+        contexts.append(before)
+    return own, contexts
+
+
 def _bucket(contexts: list[np.ndarray], n: int) -> np.ndarray:
     """0 if no context was seen; else by the longest seen one and the logarithm of its count."""
     out = np.zeros(n, np.int64)
@@ -324,10 +342,11 @@ def _bucket(contexts: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def estimates(grams, contexts, total: float, types: float) -> np.ndarray:
-    """Rows: maximum-likelihood estimates from the highest order down, then the uniform one."""
-    rows = [np.divide(g, c, out=np.zeros_like(g), where=c > 0) for g, c in zip(grams[:0:-1], contexts[::-1])]
-    rows.append(grams[0] / total if total else np.zeros_like(grams[0]))
+def estimates(grams, contexts, total, types: float) -> np.ndarray:
+    """Rows: maximum-likelihood estimates from the highest order down, then the uniform
+    one. ``total`` is one number, or one for each token."""
+    contexts = [np.broadcast_to(np.asarray(total, np.float64), grams[0].shape), *contexts]
+    rows = [np.divide(g, c, out=np.zeros_like(g), where=c > 0) for g, c in zip(grams[::-1], contexts[::-1])]
     rows.append(np.full_like(grams[0], 1.0 / (types + 1)))
     return np.stack(rows)
 
@@ -370,7 +389,7 @@ def model(packed: DataFrame, answers: DataFrame, order: int) -> tuple[np.ndarray
 
     def tune(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         tokens, starts = token_hashes(unpack_texts(left.column("texts")[0].as_py()), WordHashes())
-        grams, contexts = counted(tokens, starts, order, right, "main")
+        grams, contexts = counted(gram_hashes(tokens, starts, order), starts, right, "main")
         cells, n, p = histogram(_bucket(contexts, len(tokens)), estimates(grams, contexts, total_main, types_main)[:-1])
         return pa.table({"cell": pa.array(cells), "n": pa.array(n), **{c: pa.array(row) for c, row in zip(sums, p)}})
 
@@ -392,14 +411,21 @@ def score_documents(docs: DataFrame, order: int = ORDER, shard_entries: int = SH
         ids = left.column("ids")[0].as_py()
         kind = left.column("kind")[0].as_py()
         tokens, starts = token_hashes(unpack_texts(left.column("texts")[0].as_py()), WordHashes())
-        grams, contexts = counted(tokens, starts, order, right, "counts")
-        p = estimates(grams, contexts, total, types)
+        hashes = gram_hashes(tokens, starts, order)
+        grams, contexts = counted(hashes, starts, right, "counts")
+        known = grams[0]
+        seen_total = total
+        if kind:
+            own, own_contexts = own_counts(hashes, starts)
+            grams, contexts = ([a - b for a, b in zip(x, y)] for x, y in ((grams, own), (contexts, own_contexts)))
+            seen_total = total - np.repeat(np.diff(starts), np.diff(starts)).astype(np.float64)
+        p = estimates(grams, contexts, seen_total, types)
         logs = np.log10((weights[_bucket(contexts, len(tokens))].T * p).sum(axis=0))
-        base = np.log10((grams[0] + ALPHA) / (total + ALPHA * (types + 1)))
+        base = np.log10((known + ALPHA) / (total + ALPHA * (types + 1)))
         at = starts[:-1]
         return pa.table({
             "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([kind == 0] * len(ids)), "n_tokens": pa.array(np.diff(starts)),
-            "n_known": pa.array(np.add.reduceat((grams[0] > 0).astype(np.int64), at)), "train_tokens": pa.array(np.full(len(ids), total)),
+            "n_known": pa.array(np.add.reduceat((known > 0).astype(np.int64), at)), "train_tokens": pa.array(np.full(len(ids), total)),
             "base_score": pa.array(np.add.reduceat(base, at)), "score": pa.array(np.add.reduceat(logs, at)),
         })
 

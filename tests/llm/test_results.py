@@ -287,14 +287,18 @@ def brute_lm(texts, order):
         return by_order, len(chosen)
 
     def rows(admitted, which):
-        by_order, n_texts = tables(admitted)
-        total, types = sum(by_order[0].values()), len(by_order[0])
+        """Documents that were counted are looked at without their own counts."""
+        whole, n_whole = tables(admitted)
+        types = len(whole[0])
         out = {}
         for i, t in texts:
             if not which(zlib.crc32(str(i).encode()) % 10):
                 continue
             words, found = [*t.split(), "</s>"], []
             all_grams = [grams(words, k) for k in range(1, order + 1)]
+            mine = admitted(zlib.crc32(str(i).encode()) % 10)
+            by_order = [c - Counter(g) if mine else c for c, g in zip(whole, all_grams)]
+            n_texts, total = n_whole - mine, sum(by_order[0].values())
             for at in range(len(words)):
                 p, bucket = [], 0
                 for k in range(order, 1, -1):
