@@ -577,32 +577,60 @@ def test_language(spark):
 
 
 def test_token_edits():
-    encoder, rng = token_counts.Encoder(), random.Random(5)
+    encoder, rng = token_counts.Encoder(token_counts.rank_file()), random.Random(5)
     leaf, token_counts.LEAF = token_counts.LEAF, 4
     try:
         for _ in range(800):
             text = "".join(rng.choice("ab  \n\n\t'sé1,. ") for _ in range(rng.randint(0, 120)))
             tree = token_counts.build(text, encoder)
             assert tree.total == len(encoder._bpe.encode_ordinary(text))
-            edits = []
-            for _ in range(rng.randint(0, 4)):
-                a = rng.randint(0, len(text))
-                edits.append((a, min(len(text), a + rng.randint(0, 6)), "".join(rng.choice("ab \n's1") for _ in range(rng.randint(0, 8)))))
-            edits = token_counts.usable(text, edits)
-            after, _ = token_counts.edit(text, tree, edits, encoder)
-            for a, b, new in reversed(edits):
-                text = text[:a] + new + text[b:]
-            assert after == text and tree.total == len(encoder._bpe.encode_ordinary(text)) and tree.chars[1] == len(text)
+            for _ in range(3):  # the tree that an edit leaves is edited again
+                edits = []
+                for _ in range(rng.choice((0, 1, 2, 4, 12))):
+                    a = rng.randint(0, len(text))
+                    edits.append((a, min(len(text), a + rng.randint(0, 6)), "".join(rng.choice("ab \n's1") for _ in range(rng.choice((0, 1, 8, 90))))))
+                edits = token_counts.usable(text, edits)
+                after, tree, _ = token_counts.edit(text, tree, edits, encoder)
+                for a, b, new in reversed(edits):
+                    text = text[:a] + new + text[b:]
+                assert after == text and tree.total == len(encoder._bpe.encode_ordinary(text)) and tree.chars[1] == len(text)
     finally:
         token_counts.LEAF = leaf
 
 
+def test_many_edits_touch_little():
+    """Twenty thousand edits of half a megabyte take one pass; one edit encodes some leaves only."""
+    encoder = token_counts.Encoder(token_counts.rank_file())
+    text = "some words of a text " * 25_000
+    tree = token_counts.build(text, encoder)
+    edits = [(i, i + 3, "xyz") for i in range(5, len(text) - 10, 26)]
+    after, tree, _ = token_counts.edit(text, tree, edits, encoder)
+    assert tree.total == len(encoder._bpe.encode_ordinary(after))
+    again, tree, encoded = token_counts.edit(after, tree, [(250_000, 250_004, "")], encoder)
+    assert encoded < 4 * token_counts.LEAF and tree.total == len(encoder._bpe.encode_ordinary(again))
+
+
+def test_stored_trees(spark, tmp_path):
+    """Trees written and read again serve later edits, and what an edit leaves serves the next."""
+    encoder = token_counts.Encoder(token_counts.rank_file())
+    docs = spark.createDataFrame([(1, "alpha beta " * 300, "x"), (2, None, "y"), (2, "gamma", "z")], "doc_id long, text string, tree string")
+    token_counts.with_trees(docs).write.parquet(str(tmp_path / "trees"))
+    edits = spark.createDataFrame([(1, 6, 10, "delta"), (2, 0, 0, "new "), (None, 0, 1, "")], "doc_id long, start int, end int, replacement string")
+    first = token_counts.apply_edits(spark.read.parquet(str(tmp_path / "trees")), edits)
+    rows = {(r.document.doc_id, r.document.tree): r for r in first.collect()}
+    assert rows[1, "x"].text_after.startswith("alpha delta alpha") and rows[2, "y"].text_after == "new " and rows[2, "z"].text_after == "new gamma"
+    assert all(r.n_tokens_after == len(encoder._bpe.encode_ordinary(r.text_after)) for r in rows.values()) and rows[1, "x"].n_reencoded < 200
+    second = first.select(F.struct("document.doc_id", F.col("text_after").alias("text")).alias("document"), F.col("tree_after").alias("tree"))
+    for r in token_counts.apply_edits(second, edits).collect():
+        assert r.n_tokens_after == len(encoder._bpe.encode_ordinary(r.text_after))
+
+
 def test_token_edits_from_a_table(spark):
     docs = spark.createDataFrame([(1, "hello world " * 500), (2, None)], "doc_id long, text string")
     edits = spark.createDataFrame([(1, 6, 11, "there"), (1, 8, 9, "overlaps"), (1, 99999, 100000, "outside")], "doc_id long, start int, end int, replacement string")
     r = {x.doc_id: x for x in token_counts.counts(docs, edits).collect()}
     text = "hello there " + "hello world " * 499
-    assert (r[1].n_edits, r[1].n_tokens_after) == (1, len(token_counts.Encoder()._bpe.encode_ordinary(text))) and r[1].n_reencoded < 200 and r[2].n_tokens == 0
+    assert (r[1].n_edits, r[1].n_tokens_after) == (1, len(token_counts.Encoder(token_counts.rank_file())._bpe.encode_ordinary(text))) and r[1].n_reencoded < 200 and r[2].n_tokens == 0
 
 
 def test_pipeline(spark):
