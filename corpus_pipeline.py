@@ -2,19 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps; the next
 one reads what it wrote. All but the last return the columns of ``documents``; the
-last adds how often the mix takes a document.
+last adds how often the mix takes a document. Nulls, empty and very long texts, ties,
+repeated rows, empty tables and further columns, whatever their names, are treated as
+the operators' docstrings say; a column named copies is replaced by the mix's.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressline.llm import decontaminate, mixing, quality_rules, secret_scan, simhash
-from pressline.llm.common import table
+from pressline.llm.common import remove_folder, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,12 +59,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder of
-    spark.checkpoint.dir (a temporary one only where that is unset) and read again."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    base = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    spark.checkpoint.dir (a temporary one only in local mode) and read again. A result
+    is removed when the next one is written; the last stays."""
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, last = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{base}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            remove_folder(spark, last)
+        last = path
     return docs

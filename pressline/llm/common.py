@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 from collections.abc import Iterator
@@ -35,14 +34,28 @@ def batches(it: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[l
             yield [b.column(b.schema.get_field_index(c)).to_pylist() for c in columns]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir of the session; only where it is unset (tests, a
-    laptop) fall back to a temporary folder."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only in local mode (tests, a laptop) a
+    temporary folder may stand for it; a cluster without the setting is an error, as
+    executors would each write to a disk of their own."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
     path = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    if path:
+        return path.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results, on whatever file system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -15,13 +15,17 @@ depth of 200), then Kasai's common prefixes, run over all pieces side by side. A
 window is repeated if it shares 200 bytes with a neighbour in suffix order or if
 its piece has copies.
 
-An anchor with more than ``MAX_PIECES`` different pieces is dealt over several
-sub-shards. Each of those has its own suffix array, and they are merged pairwise:
-the windows of one are looked up in the suffix array of the other by binary search.
-
-Defined cases: null text counts as empty, texts under 200 bytes have no window;
-nothing matches across documents; repeated rows are each other's copies; ids may
-repeat or be null; an empty table gives an empty result; further columns are ignored.
+The pieces of an anchor with more than ``MAX_PIECES`` different ones are cut again by
+a second anchor, the lowest gram by another hash, and so on up to ``DEPTH`` times:
+texts that differ around a frequent gram part there, and equal cuts are folded. What
+is still larger is dealt over sub-shards. Each of those has its own suffix array, and
+they are merged pairwise: the windows of one are looked up in the suffix array of the
+other by binary search.
+
+Defined cases: null text counts as empty, texts under 200 bytes have no window; a very
+long text is scanned stretch by stretch and whole; nothing matches across documents;
+repeated rows are each other's copies; ids may repeat or be null; an empty table gives
+an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +45,12 @@ LENGTH = 200
 GRAM = 32
 #: Different pieces of one anchor in one suffix array.
 MAX_PIECES = 4_000
+#: Further anchors by which the pieces of a frequent one are cut.
+DEPTH = 3
+#: Anchors of that kind up to which they are sent to every task.
+SENT_ANCHORS = 100_000
+#: Parts over which a map task deals the pieces of an anchor that it has seen before.
+SALTS = 64
 #: Bytes of pieces in one suffix array.
 SHARD_BYTES = 1_200_000
 #: Occurrences folded at a time in a map task.
@@ -57,9 +67,9 @@ def _words(a: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(a, (len(a) - 7, 8), (1, 1)).copy().view("<u8").ravel()
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: bytes, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window start, number of windows, anchor hash) of the pieces of a text:
-    maximal runs of windows with the same leftmost lowest gram."""
+    maximal runs of windows with the same leftmost lowest gram by the seed's hash."""
     a = np.frombuffer(data, np.uint8)
     n_windows = len(a) - LENGTH + 1
     if n_windows <= 0:
@@ -68,12 +78,12 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if n_windows > SCAN_BYTES:
         parts = []
         for at in range(0, n_windows, SCAN_BYTES):
-            s, n, h = anchors(data[at : min(at + SCAN_BYTES, n_windows) + LENGTH - 1])
+            s, n, h = anchors(data[at : min(at + SCAN_BYTES, n_windows) + LENGTH - 1], seed)
             parts.append((s + at, n, h))
         return tuple(np.concatenate(c) for c in zip(*parts))  # type: ignore[return-value]
     v = _words(a)
     n_grams = len(a) - GRAM + 1
-    h = np.zeros(n_grams, np.uint64)
+    h = np.full(n_grams, (seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF, np.uint64)
     for j in range(0, GRAM, 8):
         h ^= v[j : j + n_grams]
         h *= np.uint64(0x9E3779B97F4A7C15)
@@ -120,13 +130,16 @@ def piece_hashes(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return out
 
 
-OCCURRENCES = "anchor long, piece long, size int, rows binary"
+OCCURRENCES = "anchor long, piece long, size int, rows binary, salt int, weight int"
 #: One occurrence: the document's two keys and the place, as 16 bytes.
 ROW = np.dtype([("d", ">i8"), ("t", ">i4"), ("at", ">i4")])
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """anchor, piece, size (windows), rows: the pieces of all texts, folded within each map task."""
+    """anchor, piece, size (windows), rows: the pieces of all texts, folded within each map
+    task. The first piece of an anchor in a task has salt 0 and as weight the number of
+    its occurrences there; the others, which are known to occur with it, are dealt by
+    their salt, so that a frequent anchor does not come together in one task."""
 
     def run(it):
         held: list[tuple] = []
@@ -141,10 +154,18 @@ def occurrences(docs: DataFrame) -> DataFrame:
             packed["d"], packed["t"], packed["at"] = d, t, at
             raw = packed.tobytes()
             ends = np.r_[first, len(anchor)] * ROW.itemsize
+            heads = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+            salt = 1 + (piece[first].view(np.uint64) % np.uint64(SALTS - 1)).astype(np.int32)
+            weight = np.full(len(first), 2, np.int32)
+            at_head = np.searchsorted(first, heads)  # every anchor begins with a piece
+            salt[at_head], weight[at_head] = 0, np.diff(np.r_[heads, len(anchor)])
             for lo in range(0, len(first), 10_000):
                 f = first[lo : lo + 10_000]
                 rows = pa.array([raw[x:y] for x, y in zip(ends[lo : lo + len(f)].tolist(), ends[lo + 1 : lo + len(f) + 1].tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[f]), pa.array(piece[f]), pa.array(size[f].astype(np.int32)), rows], names=["anchor", "piece", "size", "rows"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor[f]), pa.array(piece[f]), pa.array(size[f].astype(np.int32)), rows, pa.array(salt[lo : lo + len(f)].astype(np.int32)), pa.array(weight[lo : lo + len(f)])],
+                    names=["anchor", "piece", "size", "rows", "salt", "weight"],
+                )
 
         for b in it:
             for d, t, text in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -378,45 +399,94 @@ def _spread(runs: DataFrame) -> DataFrame:
 
 def _fetch(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """The bytes of one occurrence of each piece, cut out of its document."""
-    wanted = reps.groupBy("d", "t").agg(F.collect_list(F.struct("at", "size", "anchor", "piece", "copies", "kinds")).alias("cuts"))
+    wanted = reps.groupBy("d", "t").agg(F.collect_list(F.struct("at", "size", "anchor", "piece", "copies")).alias("cuts"))
 
     def run(it):
         for b in it:
             rows = []
             for text, cuts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 data = zstandard.ZstdDecompressor().decompress(text)
-                rows += [(c["anchor"], c["piece"], c["size"], c["copies"], c["kinds"], data[c["at"] : c["at"] + c["size"] + LENGTH - 1]) for c in cuts]
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], names=["anchor", "piece", "size", "copies", "kinds", "bytes"])
+                rows += [(c["anchor"], c["piece"], c["size"], c["copies"], data[c["at"] : c["at"] + c["size"] + LENGTH - 1]) for c in cuts]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["anchor", "piece", "size", "copies", "bytes"])
+
+    return packed(docs).join(wanted, ["d", "t"]).select("z", "cuts").mapInArrow(run, PIECES)
+
 
-    return packed(docs).join(wanted, ["d", "t"]).select("z", "cuts").mapInArrow(run, "anchor long, piece long, size int, copies long, kinds long, bytes binary")
+PIECES = "anchor long, piece long, size int, copies long, bytes binary"
+CUT = f"{PIECES}, of_anchor long, of_piece long, shift int"
+
+
+def _cut_again(seed: int):
+    """Pieces cut by the anchors of another hash: the rows of ``CUT``."""
+
+    def run(it):
+        for b in it:
+            rows = []
+            for anchor, piece, _, copies, data in zip(*(b.column(i).to_pylist() for i in range(5))):
+                starts, sizes, low = anchors(data, seed)
+                named = mix64(low ^ np.uint64(anchor & 0xFFFFFFFFFFFFFFFF)).view(np.int64).tolist()
+                hashes = piece_hashes(data, starts, sizes).view(np.int64).tolist()
+                rows += [(a, h, n, copies, data[at : at + n + LENGTH - 1], anchor, piece, at) for a, h, n, at in zip(named, hashes, sizes.tolist(), starts.tolist())]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+            names = ["anchor", "piece", "size", "copies", "bytes", "of_anchor", "of_piece", "shift"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], names=names)
+
+    return run
+
+
+def _frequent(pieces: DataFrame, max_pieces: int) -> DataFrame:
+    """anchor, kinds: the anchors of more than ``max_pieces`` different pieces."""
+    return cut_lineage(pieces.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > max_pieces))
+
+
+def _repeated(pieces: DataFrame, frequent: DataFrame, max_pieces: int, shard_bytes: int, shards: int, depth: int) -> DataFrame:
+    """The rows of ``FOUND`` of different pieces (``PIECES``)."""
+    n = frequent.count()
+    if not n:
+        return _by_shards(pieces.withColumn("parts", F.lit(1)), shards)
+    pieces = cut_lineage(pieces)
+    sent = F.broadcast(frequent) if n <= SENT_ANCHORS else frequent
+    rare = pieces.join(sent, "anchor", "left_anti").withColumn("parts", F.lit(1))
+    many = pieces.join(sent, "anchor")
+    if depth == DEPTH:
+        return _by_shards(rare.unionByName(many.withColumn("parts", F.ceil(F.col("kinds") / F.lit(max_pieces)).cast("int")).drop("kinds")), shards)
+    cut = cut_lineage(many.select("anchor", "piece", "size", "copies", "bytes").mapInArrow(_cut_again(depth + 1), CUT))
+    folded = cut.groupBy("anchor", "piece").agg(F.first("size").alias("size"), F.sum("copies").alias("copies"), F.first("bytes").alias("bytes"))
+    size = cut.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    deeper = _repeated(folded, _frequent(folded, max_pieces), max_pieces, shard_bytes, max(1, math.ceil(size / shard_bytes)), depth + 1)
+    shifted = F.expr("transform(runs, r -> named_struct('a', r.a + shift, 'b', r.b + shift))").alias("runs")
+    back = cut.select("anchor", "piece", "of_anchor", "of_piece", "shift").join(deeper, ["anchor", "piece"])
+    return _by_shards(rare, shards).unionByName(back.select(F.col("of_anchor").alias("anchor"), F.col("of_piece").alias("piece"), shifted))
+
+
+def _by_shards(pieces: DataFrame, shards: int) -> DataFrame:
+    """Suffix arrays over pieces dealt by anchor; those of an anchor with several parts
+    in sub-shards, met in pairs."""
+    mine = F.pmod(F.xxhash64("piece"), F.col("parts")).cast("int")
+    pairs = F.expr("""
+        case when parts <= 1 then array(named_struct('lo', -1, 'hi', -1, 'side', 0))
+             else transform(sequence(0, parts - 1), o -> named_struct('lo', least(mine, o), 'hi', greatest(mine, o), 'side', if(mine > o, 1, 0))) end""")
+    dealt = pieces.withColumn("mine", mine).withColumn("pair", F.explode(pairs))
+    dealt = dealt.withColumn("shard", F.when(F.col("parts") <= 1, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.col("anchor")))
+    return dealt.select("shard", "pair.*", "anchor", "piece", "size", "copies", "bytes").groupBy("shard", "lo", "hi").applyInArrow(_shard, FOUND)
 
 
 def repeated_runs(docs: DataFrame, max_pieces: int = MAX_PIECES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """d, t, spans: for every document with repeated bytes, the spans [a, b) they fill.
     ``docs`` has doc_id, d and t (the id and a hash of the text) and text."""
-    spread = occurrences(docs).repartition("anchor")
-    by_anchor = Window.partitionBy("anchor")
+    spread = occurrences(docs).repartition("anchor", "salt")
+    together = Window.partitionBy("anchor", "salt")
     number = F.expr(f"cast(length(rows) div {ROW.itemsize} as bigint)")
-    several = cut_lineage(spread.withColumn("total", F.sum(number).over(by_anchor)).where("total > 1").drop("total"))
+    several = cut_lineage(spread.withColumn("total", F.sum("weight").over(together)).where("total > 1").select("anchor", "piece", "size", "rows"))
     reps = several.groupBy("anchor", "piece").agg(F.min(F.substring("rows", 1, ROW.itemsize)).alias("r"), F.first("size").alias("size"), F.sum(number).alias("copies"))
     part = lambda at, n, kind: F.expr(f"cast(conv(hex(substring(r, {at}, {n})), 16, -10) as {kind})")
-    reps = reps.withColumn("kinds", F.count("*").over(by_anchor)).select("anchor", "piece", "size", "copies", "kinds", part(1, 8, "bigint").alias("d"), part(9, 4, "int").alias("t"), part(13, 4, "int").alias("at"))
-    pieces = _fetch(reps, docs)
+    located = reps.select("anchor", "piece", "size", "copies", part(1, 8, "bigint").alias("d"), part(9, 4, "int").alias("t"), part(13, 4, "int").alias("at"))
     size = several.agg(F.sum(F.lit(LENGTH) + F.col("size"))).first()[0] or 0
-    shards = max(1, math.ceil(size / shard_bytes))
-    # the usual case: one shard, one side. Hot anchors: sub-shards, met in pairs.
-    parts = F.ceil(F.col("kinds") / F.lit(max_pieces)).cast("int")
-    mine = F.pmod(F.xxhash64("piece"), F.col("parts")).cast("int")
-    dealt = pieces.withColumn("parts", parts).withColumn("mine", mine)
-    pairs = F.expr("""
-        case when parts <= 1 then array(named_struct('lo', -1, 'hi', -1, 'side', 0))
-             else transform(sequence(0, parts - 1), o -> named_struct('lo', least(mine, o), 'hi', greatest(mine, o), 'side', if(mine > o, 1, 0))) end""")
-    dealt = dealt.withColumn("pair", F.explode(pairs)).withColumn("shard", F.when(F.col("parts") <= 1, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.col("anchor")))
-    dealt = dealt.select("shard", "pair.*", "anchor", "piece", "size", "copies", "bytes")
-    found = dealt.groupBy("shard", "lo", "hi").applyInArrow(_shard, FOUND)
+    found = _repeated(_fetch(located, docs), _frequent(reps, max_pieces), max_pieces, shard_bytes, max(1, math.ceil(size / shard_bytes)), 0)
     spans = _spread(several.join(found, ["anchor", "piece"]))
-    return spans.groupBy("d", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    # a set, as rows of equal id and text say the same
+    return spans.groupBy("d", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

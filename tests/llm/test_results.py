@@ -43,7 +43,7 @@ def brute_dedup(texts):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_pieces": 5, "shard_bytes": 5000}])
+@pytest.mark.parametrize("limits", [{}, {"max_pieces": 5, "shard_bytes": 5000}, {"max_pieces": 2, "shard_bytes": 2000}])
 def test_suffix_dedup(spark, limits):
     rng = random.Random(3)
     para = lambda n: " ".join(rng.choice("alpha beta gamma délta eps zz qq the of".split()) + str(rng.randint(0, 50)) for _ in range(n))
