@@ -53,9 +53,10 @@ FAMILIES = {
     "iranian": "fa ku ps tg",
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
+NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Characters that count as part of a word and are no letters, such as fractions and Roman numerals.
-_NUMBERS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+NUMBERS = {c: " " for c in range(0x80, sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()}
+_NUMBERS = frozenset(map(chr, NUMBERS))
 
 
 def family(lang: str) -> str:
@@ -69,7 +70,8 @@ def features(text: str | None) -> np.ndarray | None:
     total = 0
     text = text or ""
     for at in range(0, len(text), PIECE):
-        letters = NOT_LETTERS.sub(" ", text[at : at + PIECE].lower()).strip()
+        letters = NOT_LETTERS.sub(" ", text[at : at + PIECE].lower())
+        letters = (letters if letters.isascii() or _NUMBERS.isdisjoint(letters) else letters.translate(NUMBERS)).strip()
         if not letters:
             continue
         b = np.frombuffer(f" {letters} ".encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
