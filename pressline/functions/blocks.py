@@ -13,44 +13,51 @@ TEXT_TYPES = ("heading", "paragraph", "quote", "list")
 TYPES = (*TEXT_TYPES, "image", "embed")
 
 
-def block_error(b: Column) -> Column:
-    """What is wrong with a raw block; null if nothing."""
-    kind = F.lower(strip(F.coalesce(b["type"], F.lit(""))))
-    kind = F.when(kind == "video", "embed").otherwise(kind)
-    empty = strip(F.coalesce(b["text"], F.lit(""))) == ""
-    no_items = F.size(F.filter(F.coalesce(b["items"], F.array().cast("array<string>")), lambda x: strip(x) != "")) == 0
-    return (
-        F.when(~kind.isin(*TYPES), "unsupported type")
-        .when(kind.isin("heading", "paragraph", "quote") & empty, "text required")
-        .when((kind == "list") & no_items & (b["items"].isNotNull() | empty), "item required")
-        .when((kind == "image") & b["source_url"].isNull() & b["storage_path"].isNull(), "source required")
-        .when((kind == "embed") & ~F.coalesce(b["source_url"].rlike(r"^https?://[^/]"), F.lit(False)), "url required")
-    )
-
-
-def first_error(blocks: Column) -> Column:
-    """The first block's error of a document, or null."""
-    return F.get(F.filter(F.transform(blocks, block_error), lambda e: e.isNotNull()), F.lit(0))
+def _trimmed(b: Column) -> Column:
+    """A raw block with its type, text and items trimmed once."""
+    return F.struct(
+        F.lower(strip(F.coalesce(b["type"], F.lit("")))).alias("raw"), strip(b["text"]).alias("text"),
+        F.filter(F.transform(b["items"], strip), lambda x: x != "").alias("items"), b.alias("b"),
+    )
 
 
-def normalize_blocks(blocks: Column) -> Column:
-    """Canonical blocks: numbered ids, folded types, trimmed text, defaults. Use beside
-    ``first_error``: an array with an error is to be rejected."""
+def checked_blocks(blocks: Column) -> Column:
+    """For each raw block: error (what is wrong with it, or null) and block (its canonical
+    form: numbered id, folded type, trimmed text, defaults). A document with an error is
+    to be rejected."""
 
-    def one(b, i):
-        raw = F.lower(strip(b["type"]))
+    def one(t, i):
+        b, raw, text, number = t["b"], t["raw"], t["text"], (i + 1).cast("string")
         kind = F.when(raw == "video", "embed").otherwise(raw)
-        text = strip(b["text"])
-        items = F.when(b["items"].isNotNull(), F.filter(F.transform(b["items"], strip), lambda x: x != "")).otherwise(F.array(text))
-        return F.struct(
-            F.format_string("b%04d", i + 1).alias("id"), kind.alias("type"), F.when(kind.isin("heading", "paragraph", "quote"), text).alias("text"),
-            F.when(kind == "heading", F.least(F.greatest(F.coalesce(b["level"], F.lit(2)), F.lit(1)), F.lit(6))).alias("level"),
-            F.when(kind == "list", items).alias("items"), F.when(kind == "list", F.coalesce(b["ordered"], F.lit(False))).alias("ordered"),
+        plain = raw.isin("heading", "paragraph", "quote")
+        empty = F.coalesce(text == "", F.lit(True))
+        error = (
+            F.when(~kind.isin(*TYPES), "unsupported type")
+            .when(plain & empty, "text required")
+            .when((raw == "list") & (F.coalesce(F.size(t["items"]), F.lit(0)) <= 0) & (b["items"].isNotNull() | empty), "item required")
+            .when((raw == "image") & b["source_url"].isNull() & b["storage_path"].isNull(), "source required")
+            .when((kind == "embed") & ~F.coalesce(b["source_url"].rlike(r"^https?://[^/]"), F.lit(False)), "url required")
+        )
+        block = F.struct(
+            F.concat(F.lit("b"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0"))).alias("id"), kind.alias("type"), F.when(plain, text).alias("text"),
+            F.when(raw == "heading", F.least(F.greatest(F.coalesce(b["level"], F.lit(2)), F.lit(1)), F.lit(6))).alias("level"),
+            F.when(raw == "list", F.coalesce(t["items"], F.array(text))).alias("items"), F.when(raw == "list", F.coalesce(b["ordered"], F.lit(False))).alias("ordered"),
             *(b[c].alias(c) for c in ("author", "source_url", "storage_path", "alt_text", "caption", "mime_type")),
-            F.when(raw == "video", F.coalesce(b["embed_kind"], F.lit("video"))).when(kind == "embed", b["embed_kind"]).alias("embed_kind"),
+            F.when(raw == "video", F.coalesce(b["embed_kind"], F.lit("video"))).when(raw == "embed", b["embed_kind"]).alias("embed_kind"),
         )
+        return F.struct(error.alias("error"), block.alias("block"))
+
+    return F.transform(F.transform(blocks, _trimmed), one)
+
 
-    return F.transform(blocks, one)
+def first_error(checked: Column) -> Column:
+    """The first error of ``checked_blocks``, or null."""
+    return F.get(F.filter(checked, lambda c: c["error"].isNotNull()), F.lit(0))["error"]
+
+
+def normalize_blocks(blocks: Column) -> Column:
+    """The canonical blocks alone."""
+    return F.transform(checked_blocks(blocks), lambda c: c["block"])
 
 
 def block_text(blocks: Column) -> Column:

@@ -6,11 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MEANINGFUL = r"[A-Za-z0-9一-鿿]"
+#: White space of Unicode and the separators among the control characters (fixed values).
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(x: Column) -> Column:
     """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.trim(x, F.lit(BLANKS))
 
 
 def clean_text(x: Column) -> Column:
@@ -24,8 +26,12 @@ def word_set(x: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_union(a, b))
-    return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(0.0)
+    """Of two arrays without repeats."""
+    return shared_share(F.size(a), F.size(b), F.size(F.array_intersect(a, b)))
+
+
+def shared_share(n: Column, m: Column, shared: Column) -> Column:
+    return F.when(n + m > 0, shared / (n + m - shared)).otherwise(0.0)
 
 
 def meaningful_chars(x: Column) -> Column:

@@ -27,18 +27,27 @@ def daily_report(items: DataFrame, mentions: DataFrame) -> DataFrame:
     """report_date, section, position, id. Within a day, messages in falling (score,
     time, id) are taken unless one of their events was taken before; a message that is
     left out blocks nothing. The scan of a day's messages is a fold over one array,
-    whose length is a day's eligible messages; ranks then cut the sections."""
-    events = mentions.groupBy("item_id").agg(F.collect_set("event_id").alias("event_ids"))
-    rows = eligible(items).join(events, F.col("id") == F.col("item_id"), "left").select(
+    whose length is a day's eligible messages, and which takes nothing more once all
+    sections are full; ranks then cut the sections."""
+    able = eligible(items)
+    events = mentions.join(able.select(F.col("id").alias("item_id")), "item_id", "left_semi").groupBy("item_id").agg(F.collect_set("event_id").alias("event_ids"))
+    rows = able.join(events, F.col("id") == F.col("item_id"), "left").select(
         "report_date", F.col("importance_score").alias("score"), "published_us", "id", report_section(F.col("products")).alias("section"),
         F.coalesce("event_ids", F.expr("cast(array() as array<bigint>)")).alias("event_ids"),
     )
     days = rows.groupBy("report_date").agg(F.sort_array(F.collect_list(F.struct("score", "published_us", "id", "section", "event_ids")), asc=False).alias("day"))
     start = F.expr("named_struct('seen', cast(array() as array<bigint>), 'kept', cast(array() as array<struct<id:bigint,section:string>>))")
 
+    def full(acc):
+        taken = F.transform(acc["kept"], lambda k: k["section"])
+        held = F.lit(True)
+        for section, most in V.REPORT_SECTIONS.items():
+            held &= F.size(F.array_remove(taken, section)) <= F.size(taken) - most
+        return held
+
     def step(acc, x):
         take = F.struct(F.array_union(acc["seen"], x["event_ids"]).alias("seen"), F.concat(acc["kept"], F.array(F.struct(x["id"].alias("id"), x["section"].alias("section")))).alias("kept"))
-        return F.when(F.arrays_overlap(acc["seen"], x["event_ids"]), acc).otherwise(take)
+        return F.when(full(acc) | F.arrays_overlap(acc["seen"], x["event_ids"]), acc).otherwise(take)
 
     kept = days.select("report_date", F.posexplode(F.aggregate("day", start, step)["kept"]).alias("ord", "k")).select("report_date", "ord", "k.id", "k.section")
     ranked = kept.withColumn("position", F.row_number().over(Window.partitionBy("report_date", "section").orderBy("ord")))

@@ -49,7 +49,8 @@ def _blocks(spark, d):
 
 
 def block_normalize(spark, d):
-    n = _blocks(spark, d).select("id", F.coalesce(B.first_error(F.col("blocks")), F.lit("")).alias("error"), F.explode(B.normalize_blocks(F.col("blocks"))).alias("b"))
+    checked = _blocks(spark, d).select("id", B.checked_blocks(F.col("blocks")).alias("checked"))
+    n = checked.select("id", F.coalesce(B.first_error(F.col("checked")), F.lit("")).alias("error"), F.explode("checked").alias("c")).select("id", "error", F.col("c.block").alias("b"))
     return n.select("id", "error", F.col("b.id").alias("block_id"), F.col("b.type").alias("type"), F.col("b.level").alias("level"), F.coalesce("b.text", F.array_join("b.items", "|")).alias("text"))
 
 

@@ -19,8 +19,14 @@ PHRASES = (
 
 
 class Dialect:
-    def __init__(self, spark: bool):
-        self.spark = spark
+    """How an engine writes what the views need. ``known`` holds counts and the latest
+    time as literals, so that Spark need not scan tables for them again in every view."""
+
+    def __init__(self, spark: bool, known: dict[str, int] | None = None):
+        self.spark, self.known = spark, known or {}
+
+    def scalar(self, name: str, sql: str) -> str:
+        return str(self.known[name]) if name in self.known else f"({sql})"
 
     def us(self, x: str) -> str:
         return f"unix_micros(cast({x} as timestamp))" if self.spark else f"epoch_us({x})"
@@ -41,7 +47,8 @@ def _values(rows: list[tuple], columns: str) -> str:
 def views(d: Dialect) -> dict[str, str]:
     types = [(p, i, len(V.legal_types(p)), t) for p in V.PRODUCTS for i, t in enumerate(V.legal_types(p))]
     topics = [(p, i, len(V.legal_topics(p)), t) for p in V.PRODUCTS for i, t in enumerate(V.legal_topics(p))]
-    doc_count = "(select count(*) from documents)"
+    doc_count, event_count = d.scalar("documents", "select count(*) from documents"), d.scalar("events", "select count(*) from events")
+    latest = d.scalar("latest_us", f"select max({d.us('ts')}) from events")
     return {
         "ptype": _values(types, "product, ord, n, code"),
         "ptopic": _values(topics, "product, ord, n, code"),
@@ -50,8 +57,8 @@ def views(d: Dialect) -> dict[str, str]:
         "raw": f"""(select d.doc_id as id, d.doc_id % 20 as source_id, 'x' || (d.doc_id % 700) as external_id, d.text, d.lang,
             case when d.doc_id % 100 >= 80 then d.doc_id - 20 end as supersedes, case when d.doc_id % 17 = 0 then null else {d.us('e.ts')} end as published_us,
             {d.us('e.ts')} as ingested_us, 'author ' || e.user_id as author
-            from (select *, (doc_id * 10 + 9) % (select count(*) from events) as ev from documents) d join events e on e.event_id = d.ev)""",
-        "succ": "(select distinct supersedes as id from raw where supersedes is not null)",
+            from (select *, (doc_id * 10 + 9) % {event_count} as ev from documents) d join events e on e.event_id = d.ev)""",
+        "succ": "(select distinct doc_id - 20 as id from documents where doc_id % 100 >= 80)",
         "item0": f"""(select r.*, s.id is not null as replaced, {d.pick('r.id % 7', V.PRODUCTS)} as product,
             case when r.id % 4 = 0 and r.id % 7 < 5 then {d.pick('r.id % 7', V.PRODUCTS[1:6])} end as product2,
             {d.pick('r.id % 12', PHRASES)} || ' ' || coalesce(r.text, '') as content
@@ -68,10 +75,10 @@ def views(d: Dialect) -> dict[str, str]:
             {d.pick('i.id % 7', ('patch_hotfix', 'esports_final', 'no_such_profile', 'riot_leak', 'media_release', 'unknown', 'leak_general'))} as importance_profile,
             case when i.id % 5 = 0 then 'title ' || i.id else '' end as title
             from item0 i join ptype t on t.product = i.product and t.ord = i.id % t.n join ptopic p on p.product = i.product and p.ord = (i.id * 3) % p.n)""",
-        "latest_us": f"(select max({d.us('ts')}) as as_of from events)",
+        "latest_us": f"(select {latest} as as_of)",
         "ment0": f"""(select e.event_id as id, e.event_id % {doc_count} as item_id, e.user_id as story, e.event_id as k, {d.us('e.ts')} as ts_us, e.event_type, e.props, e.user_id from events e
-            union all select 10000000000 + r.id, r.id, 100000 + r.id % 3, r.id, r.ingested_us, 'signup', null, r.id from raw r where r.ingested_us >= (select as_of from latest_us) - {24 * HOUR}
-            union all select 20000000000 + r.id, r.id, 200000, r.id * 4, r.ingested_us, 'view', null, r.id from raw r where r.ingested_us >= (select as_of from latest_us) - {24 * HOUR})""",
+            union all select n * 10000000000 + r.id, r.id, case n when 1 then 100000 + r.id % 3 else 200000 end, case n when 1 then r.id else r.id * 4 end, r.ingested_us, case n when 1 then 'signup' else 'view' end, null, r.id
+            from raw r cross join {_values([(1,), (2,)], 'n')} twice where r.ingested_us >= {latest} - {24 * HOUR})""",
         "mention_all": f"""(select m.id, m.story as event_id, m.item_id, 1 + (case when m.k % 29 = 28 then 1 else 0 end) as item_revision, m.k % 3 as mention_index, 'v1' as policy,
             case m.event_type when 'signup' then 'reports' when 'purchase' then 'confirms' when 'view' then 'supports' when 'click' then 'mentions'
                  else (case when m.user_id % 3 = 0 then 'denies' else 'corrects' end) end as relation,
@@ -108,4 +115,12 @@ DUCK_PREFIX = prefix(Dialect(spark=False))
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view of the news model as a DataFrame; Spark drops the views it does not need."""
     tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-    return spark.sql(prefix(Dialect(spark=True), tables) + f"\nselect * from {name}")
+    return spark.sql(prefix(Dialect(spark=True, known=_known(spark, sf_dir)), tables) + f"\nselect * from {name}")
+
+
+def _known(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    """Row counts and the latest time of the source tables, one small query for each read."""
+    d = Dialect(spark=True)
+    row = spark.sql(f"""select (select count(*) from parquet.`{sf_dir}/documents.parquet`) documents, n events, latest_us
+        from (select count(*) n, max({d.us('ts')}) latest_us from parquet.`{sf_dir}/events.parquet`)""").first()
+    return {k: v for k, v in row.asDict().items() if v is not None}

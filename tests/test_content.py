@@ -70,13 +70,13 @@ def test_blocks(spark):
     raw = [dict(type=" Video ", source_url="https://v/1"), dict(type="heading", text=" T ", level=9), dict(type="list", items=["a ", " "]), dict(type="paragraph", text="p\n")]
     rows = [tuple(b.get(c) for c in B.FIELDS) for b in raw]
     df = spark.createDataFrame([(rows,)], f"blocks array<{B.BLOCK}>")
-    r = df.select(B.first_error(F.col("blocks")).alias("e"), B.normalize_blocks(F.col("blocks")).alias("n")).first()
+    r = df.select(B.first_error(B.checked_blocks(F.col("blocks"))).alias("e"), B.normalize_blocks(F.col("blocks")).alias("n")).first()
     assert r.e is None and [(b.id, b.type) for b in r.n] == [("b0001", "embed"), ("b0002", "heading"), ("b0003", "list"), ("b0004", "paragraph")]
     assert r.n[0].embed_kind == "video" and r.n[1].level == 6
     n = df.select(B.normalize_blocks(F.col("blocks")).alias("b"))
     assert n.select(B.block_text(F.col("b"))).first()[0] == "T\n\na\n\np"
     bad = spark.createDataFrame([([tuple(dict(type="image").get(c) for c in B.FIELDS)],)], f"blocks array<{B.BLOCK}>")
-    assert bad.select(B.first_error(F.col("blocks"))).first()[0] == "source required"
+    assert bad.select(B.first_error(B.checked_blocks(F.col("blocks")))).first()[0] == "source required"
 
 
 def test_hash_ignores_local_copies(spark):
