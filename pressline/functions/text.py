@@ -15,8 +15,15 @@ def strip(x: Column) -> Column:
     return F.trim(x, F.lit(BLANKS))
 
 
+#: Character references that texts of pages hold (fixed values); the ampersand comes last.
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
 def clean_text(x: Column) -> Column:
-    """NULs dropped, blanks other than line feeds collapsed, trimmed."""
+    """Common character references resolved, NULs dropped, blanks other than line feeds
+    collapsed, trimmed."""
+    for name, sign in REFERENCES:
+        x = F.replace(x, F.lit(name), F.lit(sign))
     return strip(F.regexp_replace(F.regexp_replace(x, r"\x00", ""), r"[ \t\r\f\x0B]+", " "))
 
 

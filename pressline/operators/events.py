@@ -216,6 +216,25 @@ def restored_status(mentions: DataFrame, snapshots: DataFrame | None = None) ->
     return out.select("event_id", F.coalesce("snap", F.when(F.col("m"), "developing").otherwise("stale")).alias("status"))
 
 
+MENTION_KEY = ["event_id", "item_id", "item_revision", "mention_index", "policy"]
+
+
+def restored_projection(events: DataFrame, mentions: DataFrame, revisions: DataFrame) -> DataFrame:
+    """event_id, title, current_summary, lifecycle_status after evidence was removed: those
+    of the newest snapshot whose mention is still a material one. Newest is by the
+    mention's time, then its id, whatever the order of the revisions. Without a snapshot
+    an event keeps its texts and is developing if it has a material mention, else stale.
+    ``revisions``: event_id, the mention's key and snapshot (a struct, may be null)."""
+    material = mentions.where("materiality = 'material_update'").groupBy(*MENTION_KEY).agg(F.max("id").alias("id"), F.max_by("time_us", "id").alias("time_us"))
+    held = revisions.where("snapshot is not null").join(material, MENTION_KEY)
+    newest = held.groupBy("event_id").agg(F.max_by("snapshot", F.struct("time_us", "id", F.col("snapshot.title"))).alias("s"))
+    has = mentions.groupBy("event_id").agg(F.bool_or(F.col("materiality") == "material_update").alias("material"))
+    rows = events.join(newest, "event_id", "left").join(has, "event_id", "left")
+    own = lambda c: F.coalesce(F.when(F.length(f"s.{c}") > 0, F.col(f"s.{c}")), F.col(c)).alias(c)
+    status = F.when(F.col("s").isNotNull(), F.coalesce("s.lifecycle_status", F.lit("developing"))).when(F.coalesce("material", F.lit(False)), "developing").otherwise("stale")
+    return rows.select("event_id", own("title"), own("current_summary"), status.alias("lifecycle_status"))
+
+
 def lifecycle(status: Column, credibility_level: Column) -> Column:
     return (
         F.when((credibility_level == "officially_confirmed") & status.isin("unconfirmed", "developing", "disputed", "stale"), "confirmed")

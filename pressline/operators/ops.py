@@ -95,6 +95,19 @@ def membership_outcome(expected: Column, predicted: Column) -> Column:
     return F.aggregate(expected, start, step, lambda acc: F.struct(acc["missing"].alias("missing"), F.size(acc["left"]).alias("extra")))
 
 
+def membership_totals(items: DataFrame) -> DataFrame:
+    """One row of counts over messages (expected, predicted: arrays of memberships;
+    predicted null: no prediction): exact and mismatching messages, missed and extra
+    memberships, messages without a prediction."""
+    nothing = F.expr("cast(array() as array<struct<action:string,event_key:string,event_family:string,relation:string>>)")
+    o = items.select(membership_outcome(F.col("expected"), F.coalesce("predicted", nothing)).alias("o"), F.col("predicted").isNull().alias("none"))
+    missing, extra = F.col("o.missing"), F.col("o.extra")
+    return o.agg(
+        F.count("*").alias("item_count"), F.count_if((missing + extra) == 0).alias("exact"), F.count_if((missing + extra) > 0).alias("mismatch"),
+        F.sum(missing.cast("long")).alias("missed_membership"), F.sum(extra.cast("long")).alias("extra_membership"), F.count_if("none").alias("missing_prediction"),
+    )
+
+
 def evidence_projection(mentions: DataFrame) -> DataFrame:
     """Distinct and filtered aggregates of an event's evidence."""
     material = F.col("materiality") == "material_update"

@@ -11,6 +11,8 @@ from pressline.operators.events import level
 from pressline.operators.messages import event_category
 
 FEATURED_FROM = 0.75
+#: Columns that a text query looks at, those of the message, its author and its source.
+SEARCHED = ("title", "translated_title", "summary", "content", "translated_text", "author", "source_name")
 
 
 def civil_date(us: Column, zone: str = "Asia/Shanghai") -> Column:
@@ -20,7 +22,7 @@ def civil_date(us: Column, zone: str = "Asia/Shanghai") -> Column:
 
 def published_filter(
     product: str | None = None, message_type: str | None = None, topic: str | None = None, min_importance: float | None = None, featured: bool = False,
-    query: str | None = None, since_us: int | None = None, until_us: int | None = None, day: str | None = None, zone: str = "Asia/Shanghai", text_columns: tuple[str, ...] = ("title", "content", "author"),
+    query: str | None = None, since_us: int | None = None, until_us: int | None = None, day: str | None = None, zone: str = "Asia/Shanghai", text_columns: tuple[str, ...] = SEARCHED,
 ) -> Column:
     """The conjunction of the given predicates over published messages."""
     c = F.col("status") == "published"

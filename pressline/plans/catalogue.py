@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pressline.plans import events, ingest, layout, messages, sql_events, streams
+from pressline.plans import detail, events, ingest, layout, messages, sql_events, streams
 
-MODULES = (events, messages, ingest, streams, layout)
-SQL = (sql_events, messages, ingest, streams, layout)
+MODULES = (events, messages, ingest, streams, layout, detail)
+SQL = (sql_events, messages, ingest, streams, layout, detail)
 
 
 def queries() -> dict:

@@ -170,7 +170,7 @@ QUERIES = {
     "source_roles": lambda s, d: view(s, d, "mention_all").join(view(s, d, "item").select(F.col("id").alias("item_id"), "content_form", (F.col("id") % 6).isin(0, 3).alias("is_official")), "item_id").select("id", ops.verified_role(F.col("source_role"), F.col("content_form"), F.col("is_official")).alias("source_role")),
     "classification_source": lambda s, d: ops.classification_source(_reposts(s, d), s.createDataFrame(list(SITES), "site string, official boolean")),
     "ops_metrics_jobs": lambda s, d: ops.job_metrics(view(s, d, "job")),
-    "ops_metrics_batch": lambda s, d: ops.batch_status(view(s, d, "raw").select("id"), view(s, d, "job").where("raw_item_id % 4 > 0")),
+    "ops_metrics_batch": lambda s, d: ops.batch_status(view(s, d, "raw").select("id"), view(s, d, "job")),
     "review_stages": lambda s, d: ops.review_stages(view(s, d, "job")),
     "knowledge_conflicts": lambda s, d: ops.knowledge_conflicts(
         view(s, d, "raw").select("id", F.concat(F.lit("scope "), F.col("source_id")).alias("scope"), F.concat(F.lit(" Key"), F.col("id") % 300).alias("constraint_key"), F.concat(F.lit("Rule  "), F.floor(F.col("id") / 300) % 2).alias("rule_text"), (F.col("id") % 4 > 0).alias("active"))
@@ -184,7 +184,7 @@ QUERIES = {
     "memberships": memberships,
     "membership_conflicts": lambda s, d: ingest.membership_conflicts(view(s, d, "mention_all").select("item_id", "item_revision", "mention_index", "policy", F.lit("attach").alias("action"), "event_id")),
     "cursor_advance": cursor_advance,
-    "raw_item_status": lambda s, d: search.raw_status(view(s, d, "raw"), view(s, d, "item"), view(s, d, "run").where("raw_item_id % 3 > 0")),
+    "raw_item_status": lambda s, d: search.raw_status(view(s, d, "raw"), view(s, d, "item"), view(s, d, "run")),
     "published_labels": published_labels,
     "patch_previews": patch_previews,
     "schedule_next_run": schedule_next_run,
@@ -199,11 +199,12 @@ pf as (select * from (values {_pf}) v(p, f)), tf as (select * from (values {_tf}
 al as (select distinct i.id, pf.f, exists (select 1 from tf where tf.t = i.topic and tf.f = pf.f) routed from item i join pf on list_contains(i.products, pf.p)),
 fam as (select id, f from al a where routed or not exists (select 1 from al b where b.id = a.id and b.routed) union all select id, 'other_named_development' from item where products = ['unknown']),
 ne as (select * from story order by last_seen_us desc nulls first, id desc limit 500),
-e as (select n.*, {_words("title || ' ' || summary")} w from ne n where exists (select 1 from pf where pf.p = n.product and pf.f = n.event_family)),
-i as (select *, {_words("title || ' ' || content[1:4000]")} w from item where status = 'published'),
-c as (select i.id item_id, e.id event_id, 30.0::double + case when list_contains(i.products, e.product) then 20.0 else 0.0 end + 10 * ((i.id % 50 = e.id % 50)::int + (i.id % 7 = e.id % 3)::int)
-   + 30 * (len(list_intersect(i.w, e.w))::double / len(list_distinct(list_concat(i.w, e.w)))) + greatest(0.0, 20 * (1 - abs(i.seen_us - coalesce(e.last_seen_us, e.created_us)) / 86400000000.0::double / 60)) score
-   from i join fam on fam.id = i.id join e on e.event_family = fam.f and (list_contains(i.products, e.product) or i.products = ['unknown']) and (e.last_seen_us is null or e.last_seen_us >= i.seen_us - 60 * 86400000000)),
+e as (select n.*, {_words("title || ' ' || summary")} w from ne n where len(products) <> 1 or products = ['unknown'] or exists (select 1 from pf where pf.p = n.products[1] and pf.f = n.event_family)),
+i as (select *, {_words("concat_ws(' ', nullif(title, ''), nullif(summary, ''), content[1:4000])")} w from item where status = 'published'),
+c0 as (select i.id item_id, e.id event_id, list_has_any(i.products, e.products) same, (i.id % 50 = e.id % 50)::int + (i.id % 7 = e.id % 3)::int ents, len(list_intersect(i.w, e.w)) shared, len(list_distinct(list_concat(i.w, e.w))) total, i.seen_us, e.last_seen_us, e.created_us
+   from i join fam on fam.id = i.id join e on e.event_family = fam.f and (i.products = ['unknown'] or (len(e.products) = 1 and list_contains(i.products, e.products[1]))) and (e.last_seen_us is null or e.last_seen_us >= i.seen_us - 60 * 86400000000)),
+c as (select item_id, event_id, 30.0::double + case when same then 20.0 else 0.0 end + 10 * ents + 30 * (shared::double / total) + greatest(0.0, 20 * (1 - abs(seen_us - coalesce(last_seen_us, created_us)) / 86400000000.0::double / 60)) score,
+   'family_hint' || case when same then ',product_overlap' else '' end || case when ents > 0 then ',entity_overlap' else '' end || case when shared > 0 then ',text_overlap' else '' end || ',recent_activity' reasons from c0),
 r as (select *, row_number() over (partition by item_id order by score desc, event_id desc) as position from c)"""
 ARR = "with a as (select doc_id % 200 as key, doc_id arrival, sha256((doc_id % 200) || ':' || case when (doc_id // 200) % 4 in (1, 2) then 'b' else 'a' end) content_hash from documents), b as (select *, lag(content_hash) over (partition by key order by arrival) is distinct from content_hash c from a), r as (select *, sum(c::int) over (partition by key order by arrival)::bigint revision, last_value(case when c then arrival end ignore nulls) over (partition by key order by arrival rows between unbounded preceding and 1 preceding) prev from b)"
 BLK = r"""
@@ -222,12 +223,12 @@ _site = ", ".join(f"('{s}', {o})" for s, o in SITES)
 REP = "rp as (select i.id, i.content_form, i.source_id, i.id % 6 in (0, 3) is_official, p.url upstream from item i left join pages p on p.page_id = i.id % (select count(*) from pages))"
 _host = r"lower(regexp_extract(upstream, '^https?://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
 SQL = {
-    "raw_item_status": q("r as (select raw_item_id id, arg_max(status, id) st from run where raw_item_id % 3 > 0 group by 1)", "select w.id, case when st in ('running', 'awaiting_review', 'failed') then st when i.status = 'published' then 'analyzed' else 'pending' end status from raw w left join r on r.id = w.id left join item i on i.id = w.id"),
+    "raw_item_status": q("r as (select raw_item_id id, arg_max(status, id) st from run group by 1)", "select w.id, case when st in ('running', 'awaiting_review', 'failed') then st when i.status = 'published' then 'analyzed' else 'pending' end status from raw w left join r on r.id = w.id left join item i on i.id = w.id"),
     "published_labels": q("b as (select *, content_form in ('media_only', 'link_only') bare from item)", "select id, case when bare then 'unknown' else message_type end message_type, case when bare then 'unknown' else topic end topics, case when bare then 0 else importance_score end importance, case when bare then 0 else priority_score end priority from b"),
     "patch_previews": q("z as (select 1)", "select id from item where id % 2 = 0 and source_id % 2 = 0 and regexp_matches(lower(title || chr(10) || content), 'preview|micropatch|hotfix')"),
     "schedule_next_run": q("z as (select 1)", "select id, case when id % 10 > 0 then created_us + 60000000 * (case when status = 'completed' then (case when attempts = 0 then 1 else 30 end) else attempts * 5 end) end next_us from job"),
     "table_counts": q("z as (select 1)", "select 'raw' as \"table\", count(*) n from raw union all select 'item', count(*) from item union all select 'mention', count(*) from mention union all select 'story', count(*) from story"),
-    "candidate_recall": q(RECALL, "select item_id, event_id, round(score, 4) score, position from r where position <= 12"),
+    "candidate_recall": q(RECALL, "select item_id, event_id, round(score, 4) score, reasons, position from r where position <= 12"),
     "content_revisions": f"{ARR} select key, arrival, case when not c then 'skip' when revision = 1 then 'create' else 'revise' end as action, revision, case when c then prev end supersedes, content_hash from r",
     "supersede_cascade": q("o as (select distinct supersedes as id from raw where supersedes is not null), a as (select raw_item_id id, count(*) n from job where status in ('queued', 'running') group by 1)", "select o.id, case when i.status = 'withdrawn' then 'withdrawn' else 'superseded' end item_status, coalesce(a.n, 0) cancelled_jobs from o left join item i on i.id = o.id left join a on a.id = o.id"),
     "block_normalize": q(BLK, "select id, '' error, printf('b%04d', n) block_id, type, case when type = 'heading' then 6 end as level, case when type = 'list' then array_to_string(items, '|') else t end as text from l3"),
@@ -244,7 +245,7 @@ SQL = {
         "select h.id, case when content_form <> 'repost' then (case when is_official then 'official' else 'unofficial' end) when n = 1 then (case when up then 'official' else 'unofficial' end) else 'unknown' end source_kind, case when content_form <> 'repost' then 'current' when n = 1 then 'upstream' else 'unresolved' end basis from h left join m on m.id = h.id",
     ),
     "ops_metrics_jobs": q("z as (select 1)", "select stage, status, count(*) n, sum(recovery_count)::bigint recovered, min(case when status = 'queued' then created_us end) oldest_queued_us from job group by 1, 2"),
-    "ops_metrics_batch": q("j as (select raw_item_id id, arg_max(status, id) status from job where raw_item_id % 4 > 0 group by 1)", "select coalesce(j.status, 'missing') status, count(*) n from raw left join j on j.id = raw.id group by 1"),
+    "ops_metrics_batch": q("j as (select raw_item_id id, arg_max(status, id) status from job group by 1)", "select coalesce(j.status, 'missing') status, count(*) n from raw left join j on j.id = raw.id group by 1"),
     "review_stages": q("f as (select raw_item_id, stage, min(id) id from job group by 1, 2)", "select raw_item_id, string_agg(stage, ',' order by id) stages from f group by 1"),
     "knowledge_conflicts": q("k as (select id, 'scope ' || source_id as scope, lower('key' || id % 300) constraint_key, 'rule ' || (id // 300) % 2 said from raw where id % 4 > 0)", "select scope, constraint_key, count(distinct said) texts, string_agg(id, ',' order by id) ids from k group by 1, 2 having count(distinct said) > 1"),
     "reliability_calibration": q("z as (select 1)", "select id, (case when connector_type in ('riot_official', 'tencent_lol') then 1.0 when connector_type in ('weibo', 'x_twitter', 'baidu_tieba') then 0.55 else 0.5 end)::double reliability from src"),

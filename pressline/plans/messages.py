@@ -116,8 +116,9 @@ def language_detect(spark, d):
 
 
 def evidence_gate(spark, d):
-    short = F.when(F.col("id") % 6 == 0, F.substring("content", 1, 11)).otherwise(F.col("content"))  # some messages are short on purpose
-    return _items(spark, d).select("id", T.meaningful_chars(short).alias("n"), T.evidence_gate(F.lit(""), short, F.col("id") % 12 == 0).alias("decision"))
+    title, text = F.col("title"), F.col("content")
+    n = T.meaningful_chars(F.concat_ws("\n", title, text))
+    return _items(spark, d).select("id", n.alias("n"), T.evidence_gate(title, text, F.col("id") % 12 == 0).alias("decision"))
 
 
 QUERIES = {
@@ -153,7 +154,7 @@ QUERIES = {
     "daily_report_counts": daily_report_counts,
     "eligible_days": eligible_days,
     "latest_raw_items": lambda s, d: search.latest_raw(view(s, d, "raw")).select("id", "source_id", "ingested_us"),
-    "pending_raw_items": lambda s, d: search.pending_raw(view(s, d, "raw"), view(s, d, "item").where("id % 2 = 0"), view(s, d, "run").where("raw_item_id % 3 = 0")).select("id"),
+    "pending_raw_items": lambda s, d: search.pending_raw(view(s, d, "raw"), view(s, d, "item"), view(s, d, "run")).select("id"),
     "admin_status_page": lambda s, d: search.page(_admin(s, d).withColumn("seen_us", F.coalesce("published_us", "ingested_us")), ["seen_us", "id"], limit=100).select("id", "process_status", "seen_us"),
     "admin_status_counts": lambda s, d: search.status_counts(_admin(s, d)),
     "display_titles": display_titles,
@@ -269,13 +270,13 @@ SQL = {
     "event_admission": q("r as (select id, case when status <> 'published' then 'normalized item is not published' when content_form in ('media_only', 'link_only') or (trim(title) = '' and trim(content) = '') then 'normalized item has no semantic text' else 'semantic published message' end reason from item)", "select id, case when reason like 'semantic%' then 'process' else 'skip' end decision, reason from r"),
     "published_search_time": _psql("true", "seen_us"),
     "published_search_importance": _psql("true", "importance_score"),
-    "published_search_priority": _psql("(title ilike '%patch%' or content ilike '%patch%' or author ilike '%patch%')", "priority_score"),
+    "published_search_priority": _psql("concat_ws(chr(1), title, translated_title, summary, content, translated_text, author, source_name) ilike '%patch%'", "priority_score"),
     "published_featured": _psql("importance_score >= 0.75 and content_form <> 'repost'", "importance_score"),
     "published_by_product": _psql("list_contains(products, 'tft')", "seen_us"),
     "published_by_topic": _psql("topic = 'cosmetics'", "seen_us"),
     "published_by_id": _psql("id = 42", "seen_us"),
     "published_on_day": _psql(f"{_day.format('seen_us')} = date '2024-01-10'", "seen_us"),
-    "published_total": q("z as (select 1)", "select count(*) total from item where status = 'published' and (title ilike '%patch%' or content ilike '%patch%' or author ilike '%patch%')"),
+    "published_total": q("z as (select 1)", "select count(*) total from item where status = 'published' and concat_ws(chr(1), title, translated_title, summary, content, translated_text, author, source_name) ilike '%patch%'"),
     "published_days": q("z as (select 1)", f"select {_day.format('seen_us')}::varchar as day, count(*) n, max(seen_us) latest_us from item where status = 'published' group by 1 order by 1 desc limit 30"),
     "event_search_time": _esql("true"),
     "event_search_heat": _esql("category = 'esports'", "heat_score"),
@@ -292,7 +293,7 @@ SQL = {
     "daily_report_counts": q(REPORT, "select report_date, count(*) filter (section = 'lolpc') lolpc, count(*) filter (section = 'esports') esports, count(*) filter (section = 'tft') tft, count(*) filter (section = 'other') other from report group by 1"),
     "eligible_days": q(REPORT, "select report_date::varchar report_date, count(*) n from elig group by 1"),
     "latest_raw_items": q(LATEST, "select id, source_id, ingested_us from lat"),
-    "pending_raw_items": q(LATEST, "select id from lat where id not in (select raw_item_id from item where id % 2 = 0) and id not in (select raw_item_id from run where raw_item_id % 3 = 0)"),
+    "pending_raw_items": q(LATEST, "select id from lat where id not in (select raw_item_id from item) and id not in (select raw_item_id from run)"),
     "admin_status_page": q(ADMIN, "select id, process_status, seen_us from adm order by seen_us desc nulls first, id desc limit 100"),
     "admin_status_counts": q(ADMIN, "select count(*) as \"all\", count(*) filter (process_status = 'failed') failed, count(*) filter (process_status = 'processing') processing, count(*) filter (process_status = 'completed') completed, count(*) filter (process_status = 'pending') pending from adm"),
     "display_titles": q(
@@ -300,5 +301,5 @@ SQL = {
         "select id, case when v = '' then null when length(v) <= 500 then v else rtrim(v[1:499]) || '…' end display_title from t2",
     ),
     "language_detect": q(r"l as (select id, length(regexp_replace(content, '\s', '', 'g')) vis, length(regexp_replace(content, '[^一-鿿]', '', 'g')) han from item)", "select id, case when vis = 0 then 'unknown' when han / vis >= 0.1 then 'zh-CN' else 'en' end as language from l"),
-    "evidence_gate": q("g as (select id, length(regexp_replace(case when id % 6 = 0 then content[1:11] else content end, '[^A-Za-z0-9一-鿿]', '', 'g')) n from item)", "select id, n, case when n < 12 and id % 12 <> 0 then 'insufficient_evidence' else 'process' end decision from g"),
+    "evidence_gate": q("g as (select id, length(regexp_replace(title || chr(10) || content, '[^A-Za-z0-9一-鿿]', '', 'g')) n from item)", "select id, n, case when n < 12 and id % 12 <> 0 then 'insufficient_evidence' else 'process' end decision from g"),
 }

@@ -73,7 +73,9 @@ def views(d: Dialect) -> dict[str, str]:
             i.id % 9 = 0 as is_bulk_update, {d.pick('i.id % 6', ('international_only', 'cn', 'global', 'cn', 'unknown', 'global'))} as audience_region,
             (i.id * 37 % 101) / 100e0 as importance_score, (i.id * 53 % 97) / 97e0 as priority_score, 1 as current_revision,
             {d.pick('i.id % 7', ('patch_hotfix', 'esports_final', 'no_such_profile', 'riot_leak', 'media_release', 'unknown', 'leak_general'))} as importance_profile,
-            case when i.id % 5 = 0 then 'title ' || i.id else '' end as title
+            case when i.id % 5 = 0 then 'title ' || i.id else '' end as title, case when i.id % 3 = 0 then '' else 'summary of ' || p.code || ' ' || (i.id % 60) end as summary,
+            case when i.id % 9 = 4 then 'patch title ' || i.id end as translated_title, case when i.id % 9 = 5 then 'translated patch ' || i.id end as translated_text,
+            'source ' || i.source_id as source_name, {d.pick('i.source_id % 6', V.CONNECTORS)} as connector_type
             from item0 i join ptype t on t.product = i.product and t.ord = i.id % t.n join ptopic p on p.product = i.product and p.ord = (i.id * 3) % p.n)""",
         "latest_us": f"(select {latest} as as_of)",
         "ment0": f"""(select e.event_id as id, e.event_id % {doc_count} as item_id, e.user_id as story, e.event_id as k, {d.us('e.ts')} as ts_us, e.event_type, e.props, e.user_id from events e
@@ -90,7 +92,8 @@ def views(d: Dialect) -> dict[str, str]:
             coalesce(m.snapshot_us, i.published_us, i.ingested_us, m.added_us) as time_us, i.id % 6 = 2 as has_media
             from mention_all m join item i on i.id = m.item_id and i.status = 'published' and i.current_revision = m.item_revision)""",
         "story": f"""(select user_id as id, 'story ' || user_id as title, 'summary of ' || (user_id * 7 % 100) as summary, {d.pick('user_id % 16', V.EVENT_FAMILIES)} as event_family,
-            {d.pick('user_id % 6', V.PRODUCTS[:6])} as product, {d.pick('user_id % 7', V.LIFECYCLES)} as lifecycle, (user_id * 29 % 101) / 100e0 as importance_score,
+            {d.pick('user_id % 6', V.PRODUCTS[:6])} as product,
+            case when user_id % 11 = 10 then {d.array("'tft'", "'lol_pc'")} when user_id % 13 = 12 then {d.array("'unknown'")} else {d.array(d.pick('user_id % 6', V.PRODUCTS[:6]))} end as products, {d.pick('user_id % 7', V.LIFECYCLES)} as lifecycle, (user_id * 29 % 101) / 100e0 as importance_score,
             (user_id * 31 % 103) / 103e0 as heat_score, {d.pick('user_id % 6', V.CREDIBILITY_LEVELS)} as credibility_level,
             min({d.us('ts')}) as created_us, case when user_id % 3 = 0 then null else max({d.us('ts')}) end as last_seen_us,
             case when user_id % 2 = 0 then null else max({d.us('ts')}) - {HOUR} end as last_material_us from events group by user_id)""",
