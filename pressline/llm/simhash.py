@@ -179,11 +179,13 @@ SALTS, TASK_LINKS = 64, 200_000
 def _beside_minimum(pairs: DataFrame, tasks: int) -> DataFrame:
     """u, v, m: each pair beside the smallest v of its u. A node with very many
     neighbours is dealt in ``SALTS`` parts: minima of the parts first, and the minimum
-    goes back to those parts that have rows."""
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).repartition(tasks, "u", "salt")
-    parts = dealt.groupBy("u", "salt").agg(F.min("v").alias("m")).repartition(tasks, "u")
+    goes back to those parts that have rows. ``tasks`` is also what the steps between the
+    shuffles are kept to, as each of their tasks writes files of its own."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    dealt = salted.coalesce(tasks).repartition(tasks, "u", "salt")
+    parts = dealt.groupBy("u", "salt").agg(F.min("v").alias("m")).coalesce(tasks).repartition(tasks, "u")
     low = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
-    back = low.select("u", "m", F.explode("salts").alias("salt")).repartition(tasks, "u", "salt")
+    back = low.select("u", "m", F.explode("salts").alias("salt")).coalesce(tasks).repartition(tasks, "u", "salt")
     return dealt.join(back, ["u", "salt"]).select("u", "v", "m")
 
 
@@ -198,11 +200,12 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state, tasks = now, -(-now[0] // TASK_LINKS)
+        edges = edges.coalesce(tasks)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _beside_minimum(both, tasks).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         near = _beside_minimum(large, tasks)
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.where("v = m").select("u", "v"))
-        edges = cut_lineage(small.where("u <> v").repartition(tasks, "u", "v").distinct())
+        edges = cut_lineage(small.where("u <> v").coalesce(tasks).repartition(tasks, "u", "v").distinct().coalesce(tasks))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -517,7 +520,7 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int =
     alike = components(near).select(F.col("node").alias("fp"), F.col("root").alias("key"))
     by_component = nodes.join(alike, "fp", "left").select(F.coalesce("key", "fp").alias("key"), "node")
     more = _links_between(hot.unionByName(by_component), roots, nodes, shingles, similarity)
-    if more is not None:
+    if more is not None and not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     return found.join(roots, "node", "left").select("doc_id", *ROW_KEYS, "node", F.coalesce("root", "node").alias("root"))
 
