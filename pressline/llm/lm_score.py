@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut_lineage, find_words, mix64, table
 
-ORDER = 3
+ORDER = 2
 TEST_OF, TEST_IS, TUNE_IS = 10, 0, 9
 ALPHA = 0.1
 #: Characters of text in a block; a longer document is a block of its own.
