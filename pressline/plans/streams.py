@@ -24,9 +24,7 @@ def stream_rolling_24h(spark, d):
 def stream_ingest(spark, d):
     """Revisions of each user's state, taken in as a stream of events."""
     arrivals = jobs.event_stream(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").alias("arrival"), F.sha2("event_type", 256).alias("content_hash"))
-    table = jobs.shared_folder(spark)
-    jobs.run_available(arrivals, "append", jobs.ingest_stream(arrivals, table))
-    return spark.read.parquet(table).select("key", "arrival", F.col("revision").cast("long").alias("revision"))
+    return jobs.run_available(jobs.ingested(arrivals)).select("key", "arrival", "revision")
 
 
 QUERIES = {"stream_dedup": stream_dedup, "stream_civil_day": stream_civil_day, "stream_rolling_24h": stream_rolling_24h, "stream_ingest": stream_ingest}

@@ -4,12 +4,15 @@ compared with its batch twin."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from pressline.functions.lineage import shared_dir
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -41,9 +44,8 @@ def rolling_day(events: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A fresh folder under the shared one."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
@@ -68,27 +70,25 @@ def run_available(stream: DataFrame, mode: str = "append", each: Callable[[DataF
     return spark.read.schema(stream.schema).parquet(*([f"{base}/out/{max(seen)}"] if mode == "complete" else [f"{base}/out/{n}" for n in seen]))
 
 
-def ingest_stream(arrivals: DataFrame, table: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch body of the idempotent ingest into a parquet folder of revisions
-    (key, content_hash, revision, arrival): a row is appended if its content differs
-    from the latest revision of its key; a batch that is run again replaces itself."""
-    from pressline.operators.ingest import revisions
-
-    schema = "key bigint, arrival bigint, content_hash string, revision bigint, batch bigint"
-
-    def apply(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.schema(schema).parquet(table).where(F.col("batch") < n)
-        except Exception as e:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = spark.createDataFrame([], schema)
-        last = known.groupBy("key").agg(F.max_by("content_hash", "revision").alias("content_hash"), F.max("revision").alias("base"))
-        keys = batch.select("key").distinct()
-        first = last.join(keys, "key", "left_semi").select("key", F.lit(-1).cast("long").alias("arrival"), "content_hash")
-        grown = revisions(batch.select("key", "arrival", "content_hash").unionByName(first)).where("arrival >= 0 and action <> 'skip'")
-        out = grown.join(last.select("key", "base"), "key", "left").select("key", "arrival", "content_hash", F.when(F.col("base").isNull(), F.col("revision")).otherwise(F.col("base") + F.col("revision") - 1).cast("long").alias("revision"))
-        out.write.mode("overwrite").parquet(f"{table}/batch={n}")
-
-    return apply
+def ingested(arrivals: DataFrame) -> DataFrame:
+    """Idempotent ingest of a stream (key, arrival, content_hash): a row makes a revision
+    if its content differs from the latest one of its key. The latest hash and revision of
+    each key are state, so a batch reads nothing of what was taken in before, and a batch
+    that is run again starts from the state before it. Within a batch a key's rows go by
+    arrival."""
+
+    def run(key, frames, state):
+        last, revision = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(frames)).sort_values("arrival", kind="stable")
+        made = []
+        for arrival, content in zip(rows["arrival"], rows["content_hash"]):
+            if content != last:
+                last, revision = content, revision + 1
+                made.append((key[0], arrival, content, revision))
+        state.update((last, revision))
+        if made:
+            yield pd.DataFrame(made, columns=["key", "arrival", "content_hash", "revision"])
+
+    return arrivals.groupBy("key").applyInPandasWithState(
+        run, "key long, arrival long, content_hash string, revision long", "content_hash string, revision long", "append", GroupStateTimeout.NoTimeout
+    )
