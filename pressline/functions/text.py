@@ -103,10 +103,6 @@ def classification_url(url: Column) -> Column:
     return F.when(ok, F.regexp_extract(url, r"^(https?://[^/?#]+[^?#]*)", 1))
 
 
-def host_matches(h: Column, source_host: Column) -> Column:
-    return (h == source_host) | h.endswith(F.concat(F.lit("."), source_host))
-
-
 def mime_of(url: Column) -> Column:
     path = F.lower(F.regexp_extract(url, r"^([^?#]*)", 1))
     out = F.lit(None).cast("string")
@@ -117,7 +113,3 @@ def mime_of(url: Column) -> Column:
 
 def backoff_seconds(attempt: Column, table: tuple[int, ...] = (30, 120, 600)) -> Column:
     return F.element_at(F.array(*map(F.lit, table)), F.greatest(F.lit(1), F.least(attempt.cast("int"), F.lit(len(table)))))
-
-
-def cooldown_bucket(us: Column, seconds: int) -> Column:
-    return F.floor(us / F.lit(1_000_000 * seconds)).cast("long")

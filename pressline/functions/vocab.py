@@ -251,12 +251,5 @@ def legal_topics(product: str) -> list[str]:
     return [code for code, products, _ in TOPICS if product in products]
 
 
-def routes_table(spark: SparkSession) -> DataFrame:
-    """message_type, topic_family, ord, profile: one row per family of each route."""
-    families = sorted({f for _, _, f in TOPICS})
-    rows = [(t, f, i, p) for t, routes in PROFILE_ROUTES.items() for i, (names, p) in enumerate(routes) for f in (families if names == ANY else names.split())]
-    return spark.createDataFrame(rows, "message_type string, topic_family string, ord int, profile string")
-
-
 def bands_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p, *b) for p, b in SCORE_BANDS.items()], "profile string, base double, floor double, cap double")

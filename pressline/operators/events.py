@@ -49,11 +49,6 @@ def _marked(mentions: DataFrame) -> DataFrame:
     return first.withColumn("_kept", F.col("_first") & (last == 1)).drop("_fp", "_first")
 
 
-def distinct_evidence(mentions: DataFrame) -> DataFrame:
-    """The mentions that count, see ``_marked``."""
-    return _marked(mentions).where("_kept").drop("_kept")
-
-
 def base_weight() -> Column:
     return (
         F.when(F.col("content_form") == "repost", 0.25)

@@ -80,15 +80,6 @@ def delete_keys(table: DataFrame, keys: DataFrame, column: str) -> tuple[DataFra
     return table.join(k, column, "left_anti"), table.join(k, column, "left_semi").agg(F.count("*").alias("n"))
 
 
-def restart_checkpoint(checkpoints: DataFrame, stage_order: list[str], stage: str) -> DataFrame:
-    """Latest valid checkpoint of the stage before ``stage`` for each raw item."""
-    i = stage_order.index(stage)
-    if i == 0:
-        return checkpoints.limit(0)
-    valid = checkpoints.where((F.col("stage") == stage_order[i - 1]) & F.col("invalidated_us").isNull())
-    return valid.groupBy("raw_item_id").agg(F.max("id").alias("checkpoint_id"))
-
-
 def advance_cursor(batches: DataFrame) -> DataFrame:
     """The cursor of each source after all its batches, in batch order. A truncated
     batch keeps the watermark and gathers pending ids and their highest time; the next

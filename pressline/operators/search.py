@@ -66,6 +66,11 @@ def page(df: DataFrame, by: list[str], descending: bool = True, limit: int = 25,
     return df.orderBy(*_order(by, descending)).offset(offset).limit(limit)
 
 
+def _searched(items: DataFrame, filters: dict) -> dict:
+    """The filters, with the text columns that the messages have."""
+    return {"text_columns": tuple(c for c in SEARCHED if c in items.columns), **filters}
+
+
 PUBLISHED_SORTS = {"time": "seen_us", "importance": "importance_score", "priority": "priority_score", "intrinsic": "importance_score"}
 
 
@@ -73,13 +78,13 @@ def search_published(items: DataFrame, sort_by: str = "time", sort: str = "desc"
     """(page, total) of the published messages that match."""
     if sort_by not in PUBLISHED_SORTS:
         raise ValueError("unsupported sort")
-    found = items.where(published_filter(**filters))
+    found = items.where(published_filter(**_searched(items, filters)))
     return page(found, [PUBLISHED_SORTS[sort_by], "id"], sort != "asc", limit, offset), found.agg(F.count("*").alias("total"))
 
 
 def published_days(items: DataFrame, limit: int = 30, zone: str = "Asia/Shanghai", **filters) -> DataFrame:
     """Newest civil days with messages: day, count, latest. Aggregates before it cuts."""
-    days = items.where(published_filter(zone=zone, **filters)).groupBy(civil_date(F.col("seen_us"), zone).alias("day"))
+    days = items.where(published_filter(zone=zone, **_searched(items, filters))).groupBy(civil_date(F.col("seen_us"), zone).alias("day"))
     return days.agg(F.count("*").alias("n"), F.max("seen_us").alias("latest_us")).orderBy(F.col("day").desc()).limit(limit)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,17 +65,30 @@ def schema_difference(left: T.StructType, right: T.StructType, prefix: str = "")
     return out
 
 
+def _traces(snapshot: str | None) -> list[tuple[int, float]]:
+    """(tokens, latency) of the outermost objects with a model or prompt name, at any depth."""
+    found, left = [], [json.loads(snapshot) if snapshot else None]
+    while left:
+        value = left.pop()
+        if not isinstance(value, dict):
+            continue
+        if "model" in value or "prompt_name" in value:
+            usage = value.get("usage")
+            found.append((int(usage.get("total_tokens") or 0) if isinstance(usage, dict) else 0, float(value.get("latency_ms") or 0)))
+        else:
+            left += value.values()
+    return found
+
+
 def trace_totals(checkpoints: DataFrame, last: int = 1000) -> DataFrame:
-    """Calls, tokens and mean latency of the model traces in the newest checkpoints
-    (id, snapshot JSON). A trace is the outermost object with a model or prompt name,
-    at any depth that the walk below reaches (four levels)."""
-    newest = checkpoints.orderBy(F.col("id").desc()).limit(last).select("id", F.parse_json("snapshot").alias("v"))
-    is_trace = F.try_variant_get("v", "$.model", "string").isNotNull() | F.try_variant_get("v", "$.prompt_name", "string").isNotNull()
-    level, traces = newest, None
-    for _ in range(5):
-        found = level.where(is_trace)
-        traces = found if traces is None else traces.unionByName(found)
-        level = level.where(~F.coalesce(is_trace, F.lit(False))).where(F.schema_of_variant("v").startswith("OBJECT")).lateralJoin(checkpoints.sparkSession.tvf.variant_explode(F.col("v").outer())).select("id", F.col("value").alias("v"))
-    tokens = F.coalesce(F.try_variant_get("v", "$.usage.total_tokens", "bigint"), F.lit(0))
-    latency = F.coalesce(F.try_variant_get("v", "$.latency_ms", "double"), F.lit(0.0))
-    return traces.agg(F.count("*").alias("calls"), F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"), F.coalesce(F.avg(latency), F.lit(0.0)).alias("latency_ms"))
+    """Calls, tokens and mean latency of the model traces in the newest checkpoints (id,
+    snapshot JSON)."""
+    newest = checkpoints.orderBy(F.col("id").desc()).limit(last).select(F.col("snapshot").cast("string"))
+
+    def run(it):
+        for b in it:
+            rows = [t for x in b.column(0).to_pylist() for t in _traces(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], names=["tokens", "latency"])
+
+    traces = newest.mapInArrow(run, "tokens long, latency double")
+    return traces.agg(F.count("*").alias("calls"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.avg("latency"), F.lit(0.0)).alias("latency_ms"))

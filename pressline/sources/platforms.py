@@ -16,10 +16,6 @@ def _block(**fields: Column) -> Column:
     return F.struct(*(fields.get(n, F.lit(None)).cast("string").alias(n) for n in _FIELDS))
 
 
-def _many(xs: Column, make) -> Column:
-    return F.transform(F.coalesce(xs, F.array().cast("array<string>")) if isinstance(xs, str) else xs, make)
-
-
 def _or_empty(xs: Column) -> Column:
     empty = F.filter(F.array(_block(type=F.lit("x"))), lambda b: F.lit(False))
     return F.coalesce(xs, empty)

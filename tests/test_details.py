@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from pressline.functions import blocks as B
 from pressline.functions import text as T
 from pressline.operators import detail as D
 from pressline.operators import events as E
 from pressline.operators import ingest, search
+from pressline.sources import files
 
 
 def test_pending_raw(spark):
@@ -63,3 +65,23 @@ def test_platform_identity(spark):
     urls = ["https://www.x.com/Name/status/1", "https://weibo.com/u/123?x=1", "http://weibo.com/456/abc", "https://x.com/", "https://example.com/a", None]
     got = [r[0] and tuple(r[0]) for r in spark.createDataFrame([(u,) for u in urls], "u string").select(D.platform_identity(F.col("u"))).collect()]
     assert got == [("x_twitter", "Name"), ("weibo", "123"), ("weibo", "456"), None, None, None]
+
+
+def test_text_signs(spark):
+    df = spark.createDataFrame([("RT @a_b: x",), (" rt  @A : y",), ("see\n转发自 @a",), ("RT later",)], "x string")
+    assert [r[0] for r in df.select(T.repost_evidence(F.col("x"))).collect()] == [True, True, True, False]
+    df = spark.createDataFrame([("http://h/A.PNG?x=.gif",), ("/b.jpeg",), ("c.webp#d",), ("d.txt",)], "x string")
+    assert [r[0] for r in df.select(T.mime_of(F.col("x"))).collect()] == ["image/png", "image/jpeg", "image/webp", None]
+    assert [r[0] for r in spark.range(0, 5).select(T.backoff_seconds(F.col("id"))).collect()] == [30, 30, 120, 600, 600]
+    assert spark.range(1).select(T.clean_text(F.lit(" a&nbsp;&lt;b&gt; \t&amp;amp;\x00 c\n"))).first()[0] == "a <b> &amp; c"
+
+
+def test_quoted_post(spark):
+    df = spark.createDataFrame([([("embed", "quoted_post")],), ([("embed", "video"), ("image", "quoted_post")],), ([],)], "b array<struct<type:string,embed_kind:string>>")
+    assert [r[0] for r in df.select(B.has_quoted_post(F.col("b"))).collect()] == [True, False, False]
+
+
+def test_traces_at_any_depth(spark):
+    deep = '{"a":' * 40 + '{"model": "m", "usage": {"total_tokens": 5}, "latency_ms": 10, "x": {"model": "inner"}}' + "}" * 40
+    r = files.trace_totals(spark.createDataFrame([(1, deep), (2, '{"prompt_name": null, "usage": 3}'), (3, None), (4, "[1]")], "id int, snapshot string")).first()
+    assert tuple(r) == (2, 5, 5.0)
