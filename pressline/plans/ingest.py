@@ -233,6 +233,16 @@ SQL = {
     "supersede_cascade": q("o as (select distinct supersedes as id from raw where supersedes is not null), a as (select raw_item_id id, count(*) n from job where status in ('queued', 'running') group by 1)", "select o.id, case when i.status = 'withdrawn' then 'withdrawn' else 'superseded' end item_status, coalesce(a.n, 0) cancelled_jobs from o left join item i on i.id = o.id left join a on a.id = o.id"),
     "block_normalize": q(BLK, "select id, '' error, printf('b%04d', n) block_id, type, case when type = 'heading' then 6 end as level, case when type = 'list' then array_to_string(items, '|') else t end as text from l3"),
     "block_text": q(BLK, "select i.id, coalesce((select string_agg(case when type = 'list' then array_to_string(items, chr(10)) else t end, chr(10) || chr(10) order by n) from l3 where l3.id = i.id), '') as text from item i"),
+    "block_hash": q(
+        BLK + """,
+        j as (select id, n, '{"id":"' || printf('b%04d', n) || '",' || case type when 'list' then '"items":' || to_json(items)::varchar || ',"ordered":false,' when 'heading' then '"level":6,"text":' || to_json(t)::varchar || ',' else '"text":' || to_json(t)::varchar || ',' end || '"type":"' || type || '"}' x from l3)""",
+        "select i.id, sha256('[' || coalesce((select string_agg(x, ',' order by n) from j where j.id = i.id), '') || ']') content_hash from item i",
+    ),
+    "cursor_advance": """with recursive b as (select user_id % 10 source, event_id // 1000 as batch, list(event_id::varchar) ids, max(epoch_us(ts)) h from events group by 1, 2),
+        o as (select *, row_number() over (partition by source order by batch) n, (batch + source) % 3 <> 0 held from b),
+        w as (select distinct source, 0::bigint n, null::bigint watermark, null::bigint high, []::varchar[] pending from b
+          union all select o.source, o.n, case when held then watermark else greatest(watermark, high, h) end, case when held then greatest(high, h) end, case when held then list_distinct(list_concat(pending, ids)) else [] end from w join o on o.source = w.source and o.n = w.n + 1)
+        select source, watermark watermark_us, high pending_high_us, array_to_string(list_sort(pending), ',') pending_ids from w qualify row_number() over (partition by source order by n desc) = 1""",
     "entity_normalize": q(ENT, "select id, p pos, type, canonical_name, canonical_id, role from e6"),
     "anchors": q(ENT, "select id, case type when 'patch' then 'patch_version' else type end anchor, string_agg(canonical_id, ',' order by p) as \"values\" from e6 group by 1, 2"),
     "html_links": "select distinct page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) link from pages",
