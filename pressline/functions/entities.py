@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pressline.functions import text as T
 from pressline.functions import vocab as V
 
+# Aliases of entity types, competitions, and the patterns of team suffixes and codes.
 ALIASES = {"hero": "champion", "pro_player": "player", "professional_player": "player", "club": "team", "competition": "tournament", "event": "activity", "mode": "game_mode", "version": "patch"}
 COMPETITIONS = ("worlds", "cblol", "lpl", "lck", "lec", "lcs", "lcp", "pcs", "vcs", "lla", "msi", "ewc")
 TEAM_SUFFIX = r"(?:电子竞技俱乐部|电竞俱乐部|电子竞技战队|电竞战队|战队)$"

@@ -37,6 +37,7 @@ def pick_within(texts: Column, terms: Column, limit: int = 24_000) -> Column:
     return F.substring(F.array_join(F.transform(F.array_sort(kept), lambda x: x["t"]), "\n"), 1, limit)
 
 
+#: Words of errors that another try does not mend, and below those that tell a collection failure (fixed values).
 PERMANENT = ("no longer exists", "has been superseded", "manual processing run owns", "no longer available", "configuration", "unsupported")
 
 

@@ -179,37 +179,37 @@ EVENT_FAMILIES = (
     "esports_schedule", "roster_change", "esports_rules", "universe_release", "media_release", "corporate_change", "platform_service", "other_named_development",
 )
 TOPIC_EVENT_FAMILIES = {
-    "balance_gameplay": "gameplay_balance",
-    "champions": "gameplay_release gameplay_balance",
-    "items_runes_systems": "gameplay_balance",
-    "game_modes": "gameplay_release",
-    "gameplay": "gameplay_balance gameplay_release",
-    "service_technical": "service_incident platform_service",
-    "cosmetics": "cosmetic_release",
-    "shop_monetization": "commercial_offer",
-    "activities_rewards": "player_activity",
-    "security_fair_play": "security_enforcement",
-    "tft_gameplay": "gameplay_balance gameplay_release",
-    "esports_competition": "esports_rules esports_match",
-    "esports_schedule": "esports_schedule",
-    "esports_matches": "esports_match",
-    "esports_rosters": "roster_change",
-    "esports_analysis": "esports_match roster_change esports_rules",
-    "esports_broadcast": "media_release",
-    "esports_fandom_live": "player_activity",
-    "lore_universe": "universe_release",
-    "media_entertainment": "media_release universe_release",
-    "merchandise_collectibles": "commercial_offer media_release",
-    "corporate_partnerships": "corporate_change",
-    "platform_services": "platform_service",
+    "balance_gameplay": ("gameplay_balance",),
+    "champions": ("gameplay_release", "gameplay_balance"),
+    "items_runes_systems": ("gameplay_balance",),
+    "game_modes": ("gameplay_release",),
+    "gameplay": ("gameplay_balance", "gameplay_release"),
+    "service_technical": ("service_incident", "platform_service"),
+    "cosmetics": ("cosmetic_release",),
+    "shop_monetization": ("commercial_offer",),
+    "activities_rewards": ("player_activity",),
+    "security_fair_play": ("security_enforcement",),
+    "tft_gameplay": ("gameplay_balance", "gameplay_release"),
+    "esports_competition": ("esports_rules", "esports_match"),
+    "esports_schedule": ("esports_schedule",),
+    "esports_matches": ("esports_match",),
+    "esports_rosters": ("roster_change",),
+    "esports_analysis": ("esports_match", "roster_change", "esports_rules"),
+    "esports_broadcast": ("media_release",),
+    "esports_fandom_live": ("player_activity",),
+    "lore_universe": ("universe_release",),
+    "media_entertainment": ("media_release", "universe_release"),
+    "merchandise_collectibles": ("commercial_offer", "media_release"),
+    "corporate_partnerships": ("corporate_change",),
+    "platform_services": ("platform_service",),
 }
 PRODUCT_EVENT_FAMILIES = {
-    "lol_pc": "gameplay_balance gameplay_release cosmetic_release player_activity commercial_offer service_incident security_enforcement platform_service other_named_development",
-    "tft": "gameplay_balance gameplay_release cosmetic_release player_activity commercial_offer service_incident other_named_development",
-    "lol_esports": "esports_match esports_schedule roster_change esports_rules player_activity media_release other_named_development",
-    "lol_universe": "universe_release media_release player_activity other_named_development",
-    "other_lol_product": "gameplay_balance gameplay_release cosmetic_release player_activity commercial_offer service_incident universe_release media_release other_named_development",
-    "riot_ecosystem": "commercial_offer media_release corporate_change platform_service player_activity other_named_development",
+    "lol_pc": ("gameplay_balance", "gameplay_release", "cosmetic_release", "player_activity", "commercial_offer", "service_incident", "security_enforcement", "platform_service", "other_named_development"),
+    "tft": ("gameplay_balance", "gameplay_release", "cosmetic_release", "player_activity", "commercial_offer", "service_incident", "other_named_development"),
+    "lol_esports": ("esports_match", "esports_schedule", "roster_change", "esports_rules", "player_activity", "media_release", "other_named_development"),
+    "lol_universe": ("universe_release", "media_release", "player_activity", "other_named_development"),
+    "other_lol_product": ("gameplay_balance", "gameplay_release", "cosmetic_release", "player_activity", "commercial_offer", "service_incident", "universe_release", "media_release", "other_named_development"),
+    "riot_ecosystem": ("commercial_offer", "media_release", "corporate_change", "platform_service", "player_activity", "other_named_development"),
 }
 
 RELATIONS = ("reports", "supports", "confirms", "denies", "corrects", "mentions")

@@ -123,6 +123,7 @@ def published_labels(df: DataFrame) -> DataFrame:
     })
 
 
+#: The account whose pictures preview patches (fixed value).
 PREVIEW_ACCOUNT = "riotphroxzon"
 
 
@@ -207,10 +208,19 @@ def classification_catalogue(products: list[str], source_kind: str) -> tuple[lis
 # ---- event routing ----------------------------------------------------------------
 
 
+def event_admission(status: Column, content_form: Column, title: Column, text: Column) -> Column:
+    """(decision, reason): whether a message takes part in events, and why."""
+    nothing = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
+    blank = content_form.isin("media_only", "link_only") | (nothing(title) & nothing(text))
+    reason = F.when(~status.eqNullSafe(F.lit("published")), "normalized item is not published").when(blank, "normalized item has no semantic text").otherwise("semantic published message")
+    return F.struct(F.when(reason.startswith("semantic"), "process").otherwise("skip").alias("decision"), reason.alias("reason"))
+
+
+
 def event_families(products: Column, topics: Column) -> Column:
     """Families that a message may belong to, in catalogue order: those of its topics
     that its products allow, else all that they allow, else the residual family."""
-    lists = lambda table: F.create_map(*(x for k, v in table.items() for x in (F.lit(k), _literals(v.split()))))
+    lists = lambda table: F.create_map(*(x for k, v in table.items() for x in (F.lit(k), _literals(v))))
     collect = lambda xs, table: F.flatten(F.filter(F.transform(xs, lambda x: lists(table)[x]), lambda f: f.isNotNull()))
     known = F.filter(products, lambda p: p != "unknown")
     allowed, of_topics = collect(known, V.PRODUCT_EVENT_FAMILIES), collect(topics, V.TOPIC_EVENT_FAMILIES)

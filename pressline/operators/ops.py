@@ -34,7 +34,7 @@ def knowledge_conflicts(rules: DataFrame) -> DataFrame:
 
 
 def reliability(connector: Column, key: Column, name: Column) -> Column:
-    """Calibrated reliability of a source."""
+    """Calibrated reliability of a source; accounts, name parts and values are fixed."""
     official = connector.isin("riot_official", "tencent_lol") | F.lower(F.coalesce(key, F.lit(""))).isin("leagueoflegends", "lolesports", "5756404150", "5720474518")
     n = F.lower(name)
     return (

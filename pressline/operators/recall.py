@@ -32,7 +32,7 @@ def recall_candidates(items: DataFrame, events: DataFrame, limit: int = KEPT) ->
         F.col("id").alias("event_id"), F.col("products").alias("event_products"), single.alias("event_product"), "event_family", F.col("last_seen_us").alias("event_seen"),
         F.coalesce("last_seen_us", "created_us").alias("event_us"), F.col("anchors").alias("event_anchors"), T.word_set(F.concat_ws(" ", "title", "summary")).alias("event_words"),
     )
-    supports = F.create_map(*(x for p, fs in V.PRODUCT_EVENT_FAMILIES.items() for x in (F.lit(p), F.array(*map(F.lit, fs.split())))))
+    supports = F.create_map(*(x for p, fs in V.PRODUCT_EVENT_FAMILIES.items() for x in (F.lit(p), F.array(*map(F.lit, fs)))))
     e = e.where(F.col("event_product").isin("unknown", MIXED) | F.array_contains(supports[F.col("event_product")], F.col("event_family")))
     concrete = F.filter("products", lambda p: p != "unknown")
     every = F.array(*(F.lit(p) for p in (*V.PRODUCT_EVENT_FAMILIES, "unknown", MIXED)))

@@ -16,7 +16,7 @@ def _mentions(spark: SparkSession, d: str) -> DataFrame:
 
 def _snapshots(spark: SparkSession, d: str, mentions: DataFrame | None = None) -> DataFrame:
     status = F.element_at(F.array(*map(F.lit, ("confirmed", "resolved", "denied", None, "developing"))), (F.col("id") % 5 + 1).cast("int"))
-    return (_mentions(spark, d) if mentions is None else mentions).where("id % 3 = 0").select(F.col("id").alias("mention_id"), status.alias("lifecycle_status"))
+    return (_mentions(spark, d) if mentions is None else mentions).select(F.col("id").alias("mention_id"), status.alias("lifecycle_status"))
 
 
 def as_of(spark: SparkSession, d: str):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pressline.functions import blocks as B
 from pressline.functions import entities as N
+from pressline.functions import text as T
 from pressline.functions import vocab as V
 from pressline.operators import ingest, messages, ops, recall, search
 from pressline.plans.events import _mentions
@@ -25,10 +26,9 @@ def candidate_recall(spark, d):
 
 
 def _arrivals(spark, d):
-    """A history per key whose content goes a, b, b, a."""
-    docs = _table(spark, d, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(200)).alias("key"))
-    variant = F.when(F.floor(F.col("doc_id") / 200) % 4 < 1, "a").when(F.floor(F.col("doc_id") / 200) % 4 < 3, "b").otherwise("a")
-    return docs.select(F.col("key"), F.col("doc_id").alias("arrival"), F.sha2(F.concat_ws(":", F.col("key").cast("string"), variant), 256).alias("content_hash"))
+    """Documents that arrive under one of 200 keys; the content is the language of their whole text."""
+    docs = _table(spark, d, "documents").select("doc_id", F.pmod("doc_id", F.lit(200)).alias("key"), T.detect_language(F.coalesce("text", F.lit(""))).alias("said"), "lang")
+    return docs.select("key", F.col("doc_id").alias("arrival"), F.sha2(F.concat_ws(":", F.col("key").cast("string"), "said", F.coalesce("lang", F.lit(""))), 256).alias("content_hash"))
 
 
 def content_revisions(spark, d):
@@ -192,8 +192,8 @@ QUERIES = {
 }
 
 _words = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+|[一-鿿]'))"
-_pf = ", ".join(f"('{p}', '{f}')" for p, fs in V.PRODUCT_EVENT_FAMILIES.items() for f in fs.split())
-_tf = ", ".join(f"('{t}', '{f}')" for t, fs in V.TOPIC_EVENT_FAMILIES.items() for f in fs.split())
+_pf = ", ".join(f"('{p}', '{f}')" for p, fs in V.PRODUCT_EVENT_FAMILIES.items() for f in fs)
+_tf = ", ".join(f"('{t}', '{f}')" for t, fs in V.TOPIC_EVENT_FAMILIES.items() for f in fs)
 RECALL = f"""
 pf as (select * from (values {_pf}) v(p, f)), tf as (select * from (values {_tf}) v(t, f)),
 al as (select distinct i.id, pf.f, exists (select 1 from tf where tf.t = i.topic and tf.f = pf.f) routed from item i join pf on list_contains(i.products, pf.p)),
@@ -206,7 +206,10 @@ c0 as (select i.id item_id, e.id event_id, list_has_any(i.products, e.products)
 c as (select item_id, event_id, 30.0::double + case when same then 20.0 else 0.0 end + 10 * ents + 30 * (shared::double / total) + greatest(0.0, 20 * (1 - abs(seen_us - coalesce(last_seen_us, created_us)) / 86400000000.0::double / 60)) score,
    'family_hint' || case when same then ',product_overlap' else '' end || case when ents > 0 then ',entity_overlap' else '' end || case when shared > 0 then ',text_overlap' else '' end || ',recent_activity' reasons from c0),
 r as (select *, row_number() over (partition by item_id order by score desc, event_id desc) as position from c)"""
-ARR = "with a as (select doc_id % 200 as key, doc_id arrival, sha256((doc_id % 200) || ':' || case when (doc_id // 200) % 4 in (1, 2) then 'b' else 'a' end) content_hash from documents), b as (select *, lag(content_hash) over (partition by key order by arrival) is distinct from content_hash c from a), r as (select *, sum(c::int) over (partition by key order by arrival)::bigint revision, last_value(case when c then arrival end ignore nulls) over (partition by key order by arrival rows between unbounded preceding and 1 preceding) prev from b)"
+ARR = r"""with l as (select doc_id, coalesce(lang, '') lang, length(regexp_replace(coalesce(text, ''), '\s', '', 'g')) vis, length(regexp_replace(coalesce(text, ''), '[^一-鿿]', '', 'g')) han from documents),
+a as (select doc_id % 200 as key, doc_id arrival, sha256((doc_id % 200) || ':' || case when vis = 0 then 'unknown' when han / vis >= 0.1 then 'zh-CN' else 'en' end || ':' || lang) content_hash from l),
+b as (select *, lag(content_hash) over (partition by key order by arrival) is distinct from content_hash c from a),
+r as (select *, sum(c::int) over (partition by key order by arrival)::bigint revision, last_value(case when c then arrival end ignore nulls) over (partition by key order by arrival rows between unbounded preceding and 1 preceding) prev from b)"""
 BLK = r"""
 ln as (select id, unnest(list_zip(string_split(content, chr(10)), range(0, len(string_split(content, chr(10)))::bigint))) z from item),
 l1 as (select id, z[1] x, z[2] i from ln), l2 as (select id, i, case when i = 0 then 'heading' when i % 4 = 3 then 'list' else 'paragraph' end as type, trim(x) t, list_filter(list_transform(string_split(x, ', '), lambda v: trim(v)), lambda v: v <> '') items from l1),

@@ -35,7 +35,7 @@ def chunk_packing(spark, d):
 def weekly_lookup(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet").join(spark.read.parquet(f"{d}/lineitem.parquet"), F.col("o_orderkey") == F.col("l_orderkey"))
     issues = o.groupBy(F.col("o_orderkey").alias("issue")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"].cast("string")), " , ").alias("ids"))
-    names = spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey % 5 > 0").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("name"))
+    names = spark.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") * 2).alias("id"), F.concat(F.lit("s"), F.col("s_suppkey") * 2).alias("name"))
     return files.lookup_list(issues, names)
 
 
@@ -74,7 +74,7 @@ SQL = {
     "patch_sections": q(LINES, "select * from sec"),
     "patch_section_groups": q(LINES, "select image_id, g as \"group\", section_type, section_label, count(*) records, min(line) first_position from g2 group by 1, 2, 3, 4"),
     "patch_divider": q(LINES, "select t.image_id, case when b.n >= need then round(md)::int end divider_x, round(case when b.n >= need then least(1.0, b.n / 8) else coalesce(b.n / need, 0) end, 6) support from tot t left join bst b using (image_id)"),
-    "lookup_list": "with l as (select l_orderkey issue, l_linenumber pos, l_suppkey, case when l_suppkey % 5 > 0 and s_suppkey is not null then 's' || l_suppkey end nm from lineitem join orders on o_orderkey = l_orderkey left join supplier on s_suppkey = l_suppkey) select issue, coalesce(string_agg(nm, ',' order by pos, l_suppkey), '') \"names\", count(*) filter (nm is null) missing from l group by 1",
+    "lookup_list": "with l as (select l_orderkey issue, l_linenumber pos, l_suppkey, case when s_suppkey is not null then 's' || l_suppkey end nm from lineitem join orders on o_orderkey = l_orderkey left join supplier on 2 * s_suppkey = l_suppkey) select issue, coalesce(string_agg(nm, ',' order by pos, l_suppkey), '') \"names\", count(*) filter (nm is null) missing from l group by 1",
     "error_classes": """with e as (select event_id id, (['x_twitter', 'weibo', 'baidu_tieba', 'manual'])[event_id % 4 + 1] c, (['configuration', 'collection', 'lookup'])[event_id % 3 + 1] k, lower((['Missing cookie', 'was rate limited', 'request Rejected', 'page no longer exists', '登录', 'timeout', 'unsupported value'])[event_id % 7 + 1]) m from events where event_type = 'error')
       select id, case when k = 'configuration' and c = 'x_twitter' then (case when regexp_matches(m, 'cookie|auth|login|ct0|token') then 'authentication' else 'configuration' end) when k = 'configuration' and c = 'weibo' then (case when regexp_matches(m, 'login|profile|cookie|登录') then 'authentication' else 'configuration' end)
       when k = 'configuration' and c = 'baidu_tieba' then 'configuration' when c = 'x_twitter' then (case when m like '%rate limited%' then 'rate_limited' when regexp_matches(m, 'blocked|rejected') then 'upstream_rejected' else 'collection_failed' end) when c = 'weibo' and regexp_matches(m, 'reject|登录') then 'upstream_rejected' else 'collection_failed' end error_class,

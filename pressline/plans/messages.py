@@ -56,10 +56,8 @@ def event_family_routing(spark, d):
 
 
 def event_admission(spark, d):
-    """Why a message takes part in events or not."""
-    blank = F.col("content_form").isin("media_only", "link_only") | ((F.trim("title") == "") & (F.trim("content") == ""))
-    reason = F.when(F.col("status") != "published", "normalized item is not published").when(blank, "normalized item has no semantic text").otherwise("semantic published message")
-    return _items(spark, d).select("id", F.when(reason.startswith("semantic"), "process").otherwise("skip").alias("decision"), reason.alias("reason"))
+    e = messages.event_admission(F.col("status"), F.col("content_form"), F.col("title"), F.col("content"))
+    return _items(spark, d).select("id", e.alias("e")).select("id", "e.decision", "e.reason")
 
 
 def _page(sort_by, **filters):
@@ -215,8 +213,8 @@ cls as (select id, coalesce(case when len(pr) > 3 or len(list_distinct(pr)) < le
   when content_form in ('media_only', 'link_only') then (case when message_type <> 'unknown' or tps <> ['unknown'] then {E['form_type']} end)
   when message_type <> 'unknown' and not list_has_any(mps, pr) then {E['type_product']} when message_type <> 'unknown' and kind <> 'unknown' and side not in ('any', kind) then {E['type_source']}
   when stray is not null then replace({E['topic_product']}, '{{}}', stray) end, '') error from c2)"""
-_pf = ", ".join(f"('{p}', '{f}', {V.EVENT_FAMILIES.index(f)})" for p, fs in V.PRODUCT_EVENT_FAMILIES.items() for f in fs.split())
-_tf = ", ".join(f"('{t}', '{f}')" for t, fs in V.TOPIC_EVENT_FAMILIES.items() for f in fs.split())
+_pf = ", ".join(f"('{p}', '{f}', {V.EVENT_FAMILIES.index(f)})" for p, fs in V.PRODUCT_EVENT_FAMILIES.items() for f in fs)
+_tf = ", ".join(f"('{t}', '{f}')" for t, fs in V.TOPIC_EVENT_FAMILIES.items() for f in fs)
 ROUTING = f"""
 pf as (select * from (values {_pf}) v(p, f, o)), tf as (select * from (values {_tf}) v(t, f)),
 al as (select distinct i.id, pf.f, pf.o, exists (select 1 from tf where tf.t = i.topic and tf.f = pf.f) routed from item i join pf on list_contains(i.products, pf.p)),

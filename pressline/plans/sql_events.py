@@ -57,7 +57,7 @@ r2 as (select *, row_number() over (partition by event_id, relation in ({POSITIV
 refs as (select event_id, max(item_id) filter (materiality = 'material_update' and mo = 1) origin_item, max(item_id) filter (materiality = 'material_update' and ml = 1) latest_item,
    max(item_id) filter (relation in ({POSITIVE}) and pr = 1) primary_item, max(item_id) filter (has_media and me = 1) media_item from r2 group by 1)"""
 LIFE = """
-snap as (select id mention_id, case id % 5 when 0 then 'confirmed' when 1 then 'resolved' when 2 then 'denied' when 3 then null else 'developing' end st from mention where id % 3 = 0),
+snap as (select id mention_id, case id % 5 when 0 then 'confirmed' when 1 then 'resolved' when 2 then 'denied' when 3 then null else 'developing' end st from mention),
 l1 as (select m.event_id, coalesce(s.st, 'developing') st, row_number() over (partition by event_id order by time_us desc, id desc) rn from mention m join snap s on s.mention_id = m.id where materiality = 'material_update'),
 l2 as (select b.event_id, coalesce(l1.st, case when b.m then 'developing' else 'stale' end) status from (select event_id, bool_or(materiality = 'material_update') m from mention group by 1) b left join l1 on l1.event_id = b.event_id and rn = 1),
 life as (select l2.event_id, case when credibility_level = 'officially_confirmed' and status in ('unconfirmed', 'developing', 'disputed', 'stale') then 'confirmed' when credibility_level = 'denied' then 'denied' when credibility_level = 'disputed' then 'disputed'
