@@ -51,6 +51,8 @@ DEPTH = 3
 SENT_ANCHORS = 100_000
 #: Parts over which a map task deals the pieces of an anchor that it has seen before.
 SALTS = 64
+#: Occurrences of a piece that one row holds.
+ROW_OCCURRENCES = 1024
 #: Bytes of pieces in one suffix array.
 SHARD_BYTES = 1_200_000
 #: Occurrences folded at a time in a map task.
@@ -149,13 +151,16 @@ def occurrences(docs: DataFrame) -> DataFrame:
             anchor, piece, size, d, t, at = (np.concatenate(c) for c in zip(*held))
             order = np.lexsort((at, d, piece, anchor))
             anchor, piece, size, d, t, at = (x[order] for x in (anchor, piece, size, d, t, at))
-            first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])])
+            change = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])])
+            within = np.arange(len(d)) - np.repeat(change, np.diff(np.r_[change, len(d)]))
+            first = np.flatnonzero(within % ROW_OCCURRENCES == 0)  # a frequent piece takes several rows
             packed = np.empty(len(d), ROW)
             packed["d"], packed["t"], packed["at"] = d, t, at
             raw = packed.tobytes()
             ends = np.r_[first, len(anchor)] * ROW.itemsize
             heads = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-            salt = 1 + (piece[first].view(np.uint64) % np.uint64(SALTS - 1)).astype(np.int32)
+            part = (within[first] // ROW_OCCURRENCES).astype(np.uint64)
+            salt = 1 + (mix64(piece[first].view(np.uint64) + part) % np.uint64(SALTS - 1)).astype(np.int32)
             weight = np.full(len(first), 2, np.int32)
             at_head = np.searchsorted(first, heads)  # every anchor begins with a piece
             salt[at_head], weight[at_head] = 0, np.diff(np.r_[heads, len(anchor)])

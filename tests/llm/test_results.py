@@ -55,6 +55,16 @@ def test_suffix_dedup(spark, limits):
     assert got == [(i, *b) for i, b in enumerate(brute_dedup(texts))]
 
 
+def test_suffix_dedup_of_very_many_copies(spark):
+    """More copies in one task than one row of occurrences holds."""
+    rng = random.Random(12)
+    text, alone = ("".join(rng.choice("abcdef ghi") for _ in range(300)) for _ in range(2))
+    n = 2 * suffix_dedup.ROW_OCCURRENCES + 300
+    df = spark.createDataFrame([(i, text) for i in range(n)] + [(n, alone), (n + 1, text[:250])], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.dedup(df).collect()}
+    assert got == {**{i: (300, 1) for i in range(n)}, n: (0, 0), n + 1: (250, 1)}
+
+
 def test_secrets(spark):
     token = hashlib.sha256(b"1").hexdigest()
     rng = random.Random(1)
