@@ -39,7 +39,7 @@ SEED = 20240101
 #: Hash buckets that share the documents of one source and length.
 BUCKETS = 256
 #: Rows of the plan, one for each source and length, up to which it is sent to every task.
-SENT_ROWS = 500_000
+SENT_ROWS = 200_000
 #: The knapsack's budget, in lengths of the longest document.
 SLACK = 2
 
