@@ -116,37 +116,60 @@ def kind_of(doc_id) -> int:
     return 0 if r == TEST_IS else 2 if r == TUNE_IS else 1
 
 
-BLOCK_SCHEMA = "block string, kind int, ids array<long>, texts binary"
+BLOCK_SCHEMA = "block string, kind int, ids array<long>, size long, tokens binary"
+
+
+def pack_tokens(texts: list[str], cache: WordHashes) -> tuple[int, bytes]:
+    """Number of tokens, and the tokens of a block as its vocabulary of hashes and places in it, compressed."""
+    tokens, starts = token_hashes(texts, cache)
+    words, at, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")  # frequent words have low places, which compress well
+    place = np.empty(len(words), "<u4")
+    place[order] = np.arange(len(words))
+    words, at = words[order], place[at]
+    planes = at.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    raw = b"".join([np.array([len(starts), len(words), len(at)], "<i8").tobytes(), starts.astype("<i8").tobytes(), words.astype("<u8").tobytes(), planes.tobytes()])
+    return len(tokens), zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def unpack_tokens(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """As ``token_hashes``: hashes of all tokens, and where texts start."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n_starts, n_words, n = np.frombuffer(raw, "<i8", 3).tolist()
+    starts = np.frombuffer(raw, "<i8", n_starts, 24)
+    words = np.frombuffer(raw, "<u8", n_words, 24 + 8 * n_starts)
+    planes = np.frombuffer(raw, np.uint8, 4 * n, 24 + 8 * (n_starts + n_words))
+    return words[np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()], starts
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """Documents packed by kind, so that the held-out parts can be read alone."""
-    schema = pa.schema([("block", pa.string()), ("kind", pa.int32()), ("ids", pa.list_(pa.int64())), ("texts", pa.binary())])
+    """Documents packed by kind, so that the held-out parts can be read alone; texts are
+    cut into tokens here, once."""
+    schema = pa.schema([("block", pa.string()), ("kind", pa.int32()), ("ids", pa.list_(pa.int64())), ("size", pa.int64()), ("tokens", pa.binary())])
 
     def run(it):
         import os
 
-        held: list[tuple[list, list[bytes], int]] = [([], [], 0) for _ in KINDS]
-        pack = zstandard.ZstdCompressor(level=3)
+        held: list[tuple[list, list[str], int]] = [([], [], 0) for _ in KINDS]
+        cache = WordHashes()
 
         def row(kind):
             ids, texts, _ = held[kind]
             held[kind] = ([], [], 0)
-            sizes = np.array([len(x) for x in texts], "<i8").tobytes()
-            blob = pack.compress(np.array([len(texts)], "<i8").tobytes() + sizes + b"".join(texts))
-            return pa.RecordBatch.from_arrays([pa.array([os.urandom(12).hex()]), pa.array([kind], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([blob])], schema=schema)
+            n, blob = pack_tokens(texts, cache)
+            return pa.RecordBatch.from_arrays([pa.array([os.urandom(12).hex()]), pa.array([kind], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([n]), pa.array([blob])], schema=schema)
 
         for b in it:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 k = kind_of(doc_id)
                 ids, texts, size = held[k]
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                if ids and size + len(raw) > BLOCK_CHARS:
+                text = text or ""
+                if ids and size + len(text) > BLOCK_CHARS:
                     yield row(k)
                     ids, texts, size = held[k]
                 ids.append(doc_id)
-                texts.append(raw)
-                held[k] = (ids, texts, size + len(raw))
+                texts.append(text)
+                held[k] = (ids, texts, size + len(text))
         for k, (ids, _, _) in enumerate(held):
             if ids:
                 yield row(k)
@@ -154,14 +177,6 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCK_SCHEMA)
 
 
-def unpack_texts(blob: bytes) -> list[str]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    ends = np.cumsum(np.frombuffer(raw, "<i8", n, 8)) + 8 * (n + 1)
-    starts = np.concatenate([[8 * (n + 1)], ends[:-1]])
-    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist())]
-
-
 def _shard_cuts(shards: int) -> np.ndarray:
     """Lower ends of equal ranges of the hash, but for the first."""
     return (np.arange(1, shards, dtype=np.float64) * (2.0**64 / shards)).astype(np.uint64)
@@ -173,10 +188,10 @@ def requests(packed: DataFrame, order: int, shards: int) -> DataFrame:
     types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(it):
-        cuts, cache = _shard_cuts(shards), WordHashes()
+        cuts = _shard_cuts(shards)
         for b in it:
-            for block, kind, blob in zip(*(b.column(i).to_pylist() for i in (0, 1, 3))):
-                tokens, starts = token_hashes(unpack_texts(blob), cache)
+            for block, kind, blob in zip(*(b.column(i).to_pylist() for i in (0, 1, 4))):
+                tokens, starts = unpack_tokens(blob)
                 rows = []
                 for n, h in enumerate(gram_hashes(tokens, starts, order), 1):
                     u, c = np.unique(h, return_counts=True)
@@ -284,8 +299,8 @@ def _two_levels(asked: DataFrame, shards: int, parts: int) -> DataFrame:
 
 def exchange(packed: DataFrame, order: int, shard_entries: int, fan_in: int) -> DataFrame:
     """Each block's n-gram counts in the corpus, by shard and order."""
-    n_blocks, size = packed.agg(F.count("*"), F.sum(F.length("texts"))).first()
-    entries = (size or 0) * order / 4
+    n_blocks, tokens = packed.agg(F.count("*"), F.sum("size")).first()
+    entries = 0.6 * (tokens or 0) * order  # about so many are distinct in their blocks
     groups = max(1, math.ceil(n_blocks / fan_in))
     shards = max(1, math.ceil(entries / groups / shard_entries))
     asked = requests(packed, order, shards)
@@ -388,7 +403,7 @@ def model(packed: DataFrame, answers: DataFrame, order: int) -> tuple[np.ndarray
     sums = [f"s{k}" for k in range(order)]
 
     def tune(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        tokens, starts = token_hashes(unpack_texts(left.column("texts")[0].as_py()), WordHashes())
+        tokens, starts = unpack_tokens(left.column("tokens")[0].as_py())
         grams, contexts = counted(gram_hashes(tokens, starts, order), starts, right, "main")
         cells, n, p = histogram(_bucket(contexts, len(tokens)), estimates(grams, contexts, total_main, types_main)[:-1])
         return pa.table({"cell": pa.array(cells), "n": pa.array(n), **{c: pa.array(row) for c, row in zip(sums, p)}})
@@ -410,7 +425,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, shard_entries: int = SH
     def score(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("ids")[0].as_py()
         kind = left.column("kind")[0].as_py()
-        tokens, starts = token_hashes(unpack_texts(left.column("texts")[0].as_py()), WordHashes())
+        tokens, starts = unpack_tokens(left.column("tokens")[0].as_py())
         hashes = gram_hashes(tokens, starts, order)
         grams, contexts = counted(hashes, starts, right, "counts")
         known = grams[0]
