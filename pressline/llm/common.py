@@ -8,13 +8,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run without the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 find_words = re.compile(WORD_PATTERN).findall
 
+#: A word of the newer contracts: ASCII digits and small letters, and all that is not ASCII.
+ASCII_WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -81,3 +85,28 @@ def crc_bucket(doc_id: str, modulus: int):
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def ascii_lowered(text) -> Column:
+    """A-Z lower-cased and nothing else; ``lower`` does that for texts that are all ASCII, and sooner."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def ascii_words(text) -> Column:
+    """The words of ``ASCII_WORD_PATTERN`` of a text, A-Z lower-cased."""
+    return F.regexp_extract_all(ascii_lowered(text), F.lit(ASCII_WORD_PATTERN), F.lit(0))
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), k1, k2: 128 bits that tell rows of another id or text apart."""
+    d, t = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_or_empty()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.alias("text"), F.xxhash64(d, t).alias("k1"), F.xxhash64(t, d, F.lit(1)).alias("k2"))
+
+
+def unfolded(df: DataFrame, times: str, step: int = 65536, number: str | None = None) -> DataFrame:
+    """Each row as often as ``times`` says, in two steps, so that no array grows with it;
+    ``number``, if given, is a column that counts a row's copies from 0."""
+    blocks = df.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(step).cast("long"))))
+    copies = blocks.withColumn(number or "_at", F.explode(F.sequence("_from", F.least(F.col("_from") + step - 1, F.col(times) - 1))))
+    return copies.drop("_from", "_at", times)

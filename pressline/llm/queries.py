@@ -12,6 +12,7 @@ from .html_extract import op5_html_extraction
 from .language_id import op9_language_id
 from .token_counts import op10_token_counts
 from .suffix_dedup import op1_suffix_array_dedup
+from .license_scan import OP12_SQL, op12_license_scan
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
@@ -25,9 +26,11 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op12_license_scan": op12_license_scan,
 }
 
 ORACLE_SQL = {
     "op3_quality_rules": OP3_SQL,
     "quality_ablations": ABLATIONS_SQL,
+    "op12_license_scan": OP12_SQL,
 }
