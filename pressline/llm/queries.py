@@ -13,6 +13,7 @@ from .language_id import op9_language_id
 from .token_counts import op10_token_counts
 from .suffix_dedup import op1_suffix_array_dedup
 from .license_scan import OP12_SQL, op12_license_scan
+from .resample import OP13_SQL, op13_resampling
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
@@ -27,10 +28,12 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op12_license_scan": op12_license_scan,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLE_SQL = {
     "op3_quality_rules": OP3_SQL,
     "quality_ablations": ABLATIONS_SQL,
     "op12_license_scan": OP12_SQL,
+    "op13_resampling": OP13_SQL,
 }
