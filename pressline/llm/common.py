@@ -17,6 +17,7 @@ find_words = re.compile(WORD_PATTERN).findall
 
 #: A word of the newer contracts: ASCII digits and small letters, and all that is not ASCII.
 ASCII_WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+find_ascii_words = re.compile(ASCII_WORD_PATTERN).findall
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _LOWER = {c: c + 32 for c in range(65, 91)}

@@ -7,12 +7,13 @@ Votes are counted by diagonal; diagonals at most ``GAP`` apart, as they arise wh
 word was put in or left out, are merged into one span; a span is verified by the share
 of the template's words that its runs cover and by how densely they fill the span.
 
-Beside them stand phrases, found wherever their words follow each other.
+Beside them stand phrases of at most ``K`` words, found through the same join wherever
+their words follow each other.
 
-What crosses the network: the hits, which are few, and one narrow row per document. The
-template runs are a fixed table of some hundred rows, sent to every task. Rows of equal
-id and text are folded into one with a count before they are joined and unfolded after,
-so that a row repeated a million times is one row in the shuffle.
+Texts are read and cut into words once. What crosses the network are the hits, which are few,
+and one narrow row per document. The wanted runs are a fixed table of some hundred
+rows, sent to every task. Rows of equal id and text are folded into one with a count
+and unfolded at the end, so that a row repeated a million times is one row in the shuffle.
 
 Defined cases: a null text has no words, its labels are empty and its score 0; a text
 of fewer than ``K`` words has no runs, but may hold a phrase; a very long text is cut
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_WORD_PATTERN, LOWER, UPPER, ascii_words, row_keys, table, unfolded
+from .common import ASCII_WORD_PATTERN, LOWER, UPPER, ascii_lower, ascii_words, cut_lineage, find_ascii_words, row_keys, table, unfolded
 
 K = 3
 #: Words by which neighbouring diagonals may differ.
@@ -63,82 +64,96 @@ TEMPLATES = [
 ]
 
 
-def template_runs(spark: SparkSession, templates: list[tuple[str, str]], k: int) -> DataFrame:
-    """template (number), label, n_words, run, at: the runs of ``k`` words of each template."""
-    rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "template int, label string, text string")
-    words = rows.select("template", "label", ascii_words("text").alias("words"))
-    runs = words.select("template", "label", F.size("words").alias("n_words"), F.posexplode_outer(_runs("words", k)).alias("at", "run"))
-    return runs.where(F.col("at") <= F.col("n_words") - k)
-
-
-def _runs(words: str, k: int) -> Column:
-    """The run that starts at each word; the last ones are shorter and equal no template's."""
-    return F.transform(words, lambda w, i: F.concat_ws(" ", w, *(F.get(F.col(words), i + n) for n in range(1, k))))
-
-
-def phrase_places(words: str, phrases: dict[str, str]) -> Column:
-    """array<struct<at, label>>: where each phrase's words stand, in order."""
+HEADER = -1
+
+
+def wanted_runs(spark: SparkSession, templates: list[tuple[str, str]], phrases: dict[str, str], k: int) -> tuple[DataFrame, Column]:
+    """run, template, label, t_words, j: what rolling runs are joined to; and the key of
+    column ``run`` in that table. Templates are numbered from 0 and give their runs. The
+    empty run, template ``HEADER``, stands before each text, so that every row is met once.
+    Phrases follow the templates; one shorter than ``k`` words stands at the head of longer
+    runs, so such a run's key is the phrase, unless a template has that run, too."""
+    if any(len(p.split(" ")) > k for p in phrases):
+        raise ValueError(f"phrases have at most {k} words; longer ones are templates")
+    rows = [("", HEADER, "", 0, 0)]
+    for t, (label, text) in enumerate(templates):
+        words = find_ascii_words(ascii_lower(text))
+        rows += [(" ".join(words[j : j + k]), t, label, len(words), j) for j in range(len(words) - k + 1)]
+    own = {r[0] for r in rows} | set(phrases)
+    key = F.col("run")
+    for n, (phrase, label) in enumerate(sorted(phrases.items()), len(templates)):
+        begun = sorted(r for r in own if r.startswith(f"{phrase} "))
+        rows += [(r, n, label, len(phrase.split(" ")), 0) for r in [phrase, *begun]]
+        if len(phrase.split(" ")) < k:
+            key = F.when(F.col("run").startswith(f"{phrase} ") & ~F.col("run").isin(begun), phrase).otherwise(key)
+    return spark.createDataFrame(rows, "as_text string, template int, label string, t_words int, j int"), key
+
+
+def rolled(docs: DataFrame, k: int) -> DataFrame:
+    """k1, k2, doc_id, n_words, i, run: the run of ``k`` words at each word of every text (the
+    last ones are shorter and equal no template's), and the empty one at -1."""
+    words = docs.select("k1", "k2", "doc_id", ascii_words("text").alias("words"))
+    later = lambda i: (F.get(F.col("words"), i + n) for n in range(1, k))
+    runs = F.concat(F.array(F.lit("")), F.transform("words", lambda w, i: F.concat_ws(" ", w, *later(i))))
+    held = words.select("k1", "k2", "doc_id", F.size("words").alias("n_words"), runs.alias("runs"))
+    # outer, as a test for empty arrays would cut every text into words once more
+    return held.select("k1", "k2", "doc_id", "n_words", F.posexplode_outer("runs").alias("pos", "run")).withColumn("i", F.col("pos") - 1)
 
-    def stands(parts: list[str], i: Column) -> Column:
-        test = F.get(F.col(words), i) == parts[0]
-        for n, part in enumerate(parts[1:], 1):
-            test = test & (F.get(F.col(words), i + n) == part)
-        return F.coalesce(test, F.lit(False))
 
-    cut = [(p.split(" "), label) for p, label in sorted(phrases.items())]
-    firsts = sorted({parts[0] for parts, _ in cut})
-    maybe = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(firsts), i)))
-    found = F.transform(maybe, lambda i: F.array_compact(F.array(*(F.when(stands(parts, i), F.struct(i.alias("at"), F.lit(label).alias("label"))) for parts, label in cut))))
-    return F.flatten(found)
+def votes(docs: DataFrame, templates: list[tuple[str, str]], phrases: dict[str, str], k: int) -> DataFrame:
+    """By row, template and diagonal: the template positions that are hit (a set, which the
+    template's length bounds and repeated rows do not change), the first and last word of
+    the document and the number of hits. Texts are read once, for all of it."""
+    wanted, key = wanted_runs(docs.sparkSession, templates, phrases, k)
+    sent = F.broadcast(wanted.withColumn("h", F.xxhash64("as_text")))  # a fixed table of some hundred rows
+    hits = rolled(docs, k).withColumn("run", key).withColumn("h", F.xxhash64("run")).join(sent, "h").where(F.col("run") == F.col("as_text"))
+    of = ["k1", "k2", "doc_id", "n_words", "template", "label", "t_words", (F.col("i") - F.col("j")).alias("diagonal")]
+    return cut_lineage(hits.groupBy(*of).agg(F.collect_set("j").alias("at"), F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("times")))
 
 
-def spans(docs: DataFrame, runs: DataFrame, k: int, gap: int) -> DataFrame:
-    """k1, k2 (the row's keys), label, template, first, after (words), covered (share of
-    the template's words) and dense (share of the span that they fill) of each merged span.
-    ``docs`` has k1, k2 and text."""
-    grams = docs.select("k1", "k2", ascii_words("text").alias("words")).select("k1", "k2", _runs("words", k).alias("runs"))
-    # outer, as a test for empty arrays would cut every text into words once more
-    rolled = grams.select("k1", "k2", F.posexplode_outer("runs").alias("i", "run")).withColumn("h", F.xxhash64("run"))
-    sent = F.broadcast(runs.select(F.xxhash64("run").alias("h"), F.col("run").alias("as_text"), "template", "label", "n_words", F.col("at").alias("j")))
-    hits = rolled.join(sent, "h").where(F.col("run") == F.col("as_text"))
-    # sets of template positions, which a template's length bounds and repeated rows do not change
-    key = ["k1", "k2", "template", "label", "n_words"]
-    votes = hits.groupBy(*key, (F.col("i") - F.col("j")).alias("diagonal")).agg(F.collect_set("j").alias("at"), F.min("i").alias("first"), F.max("i").alias("last"))
+def spans(counted: DataFrame, k: int, gap: int) -> DataFrame:
+    """k1, k2, label, template, first, after (words), covered (share of the template's
+    words) and dense (share of the span that they fill) of each run of diagonals."""
     along = Window.partitionBy("k1", "k2", "template").orderBy("diagonal")
     fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > gap).cast("int"), F.lit(0))
-    chained = votes.withColumn("fresh", fresh).withColumn("chain", F.sum("fresh").over(along))
-    merged = chained.groupBy(*key, "chain").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.min("first").alias("first"), (F.max("last") + k).alias("after"))
+    chained = counted.withColumn("fresh", fresh).withColumn("chain", F.sum("fresh").over(along))
+    merged = chained.groupBy("k1", "k2", "template", "label", "t_words", "chain").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.min("first").alias("first"), (F.max("last") + k).alias("after"))
     words = F.size(F.array_distinct(F.flatten(F.transform("at", lambda j: F.sequence(j, j + k - 1)))))
-    return merged.select("k1", "k2", "label", "template", "first", "after", (words / F.col("n_words")).alias("covered"), (words / (F.col("after") - F.col("first"))).alias("dense"))
+    return merged.select("k1", "k2", "label", "template", "first", "after", (words / F.col("t_words")).alias("covered"), (words / (F.col("after") - F.col("first"))).alias("dense"))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, k: int = K, gap: int = GAP, covered: float = COVERED, dense: float = DENSE) -> DataFrame:
     """doc_id, n_words, places (array of phrase places), spans (array of the verified spans
     with label, first, after, covered) and score of every row: the largest share of a
     template that any span covers, 1 where a phrase stands."""
-    keyed = row_keys(docs)
-    found = spans(keyed, template_runs(docs.sparkSession, templates, k), k, gap)
+    counted = votes(row_keys(docs), templates, phrases, k)
+    rows = counted.where(F.col("template") == HEADER).select("k1", "k2", "doc_id", "n_words", "times")
+    found = spans(counted.where(F.col("template").between(0, len(templates) - 1)), k, gap)
     verified = (F.col("covered") >= covered) & (F.col("dense") >= dense)
     span = F.when(verified, F.struct("first", "after", "label", "covered"))
     by_row = found.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(span)).alias("spans"), F.max("covered").alias("best"))
-    narrow = keyed.select("k1", "k2", "doc_id", ascii_words("text").alias("words")).select("k1", "k2", "doc_id", F.size("words").alias("n_words"), phrase_places("words", phrases).alias("places"))
-    folded = narrow.groupBy("k1", "k2").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("doc_id", "n_words", "places")))
-    rows = unfolded(folded.join(by_row, ["k1", "k2"], "left"), "times")
-    score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
-    none = F.array().cast("array<struct<first:int,after:int,label:string,covered:double>>")
-    return rows.select("doc_id", "n_words", "places", F.coalesce("spans", none).alias("spans"), score.alias("score"))
+    place = F.struct(F.col("first").alias("at"), "label")
+    places = counted.where(F.col("template") >= len(templates)).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(place)).alias("places"))
+    joined = unfolded(rows.join(by_row, ["k1", "k2"], "left").join(places, ["k1", "k2"], "left"), "times")
+    score = F.when(F.col("places").isNotNull(), F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
+    none = lambda fields: F.array().cast(f"array<struct<{fields}>>")
+    return joined.select("doc_id", "n_words", F.coalesce("places", none("at:int,label:string")).alias("places"), F.coalesce("spans", none("first:int,after:int,label:string,covered:double")).alias("spans"), score.alias("score"))
 
 
-def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op12_columns(found: DataFrame) -> DataFrame:
     base, own = F.col("places")["label"], F.col("spans")["label"]
     at = F.transform("places", lambda p: p["at"].cast("long"))
     named = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    return scan(table(spark, sf_dir, "documents")).select(
+    return found.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
         named(base).alias("base_labels"), named(F.concat(base, own)).alias("labels"), F.round("score", 6).alias("score"),
     )
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_columns(scan(table(spark, sf_dir, "documents")))
+
+
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 

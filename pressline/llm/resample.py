@@ -30,11 +30,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_WORD_PATTERN, LOWER, UPPER, ascii_lower, cut_lineage, table, unfolded
+from .common import ASCII_WORD_PATTERN, LOWER, UPPER, ascii_lower, cut_lineage, find_ascii_words, table, unfolded
 
 NGRAMS = 1
 BUCKETS = 10_000
@@ -46,9 +45,6 @@ RANGES = 512
 #: Words whose bucket a task remembers.
 REMEMBERED = 500_000
 
-_words = re.compile(ASCII_WORD_PATTERN).findall
-
-
 class Buckets(dict):
     """Bucket of each run of words, remembered."""
 
@@ -65,7 +61,7 @@ class Buckets(dict):
 
 def features(text: str | None, ngrams: int, cache: Buckets) -> tuple[int, np.ndarray]:
     """Number of words, and the bucket of every run of one to ``ngrams`` words."""
-    words = _words(ascii_lower(text)) if text else []
+    words = find_ascii_words(ascii_lower(text)) if text else []
     runs = words if ngrams == 1 else [" ".join(words[i : i + n]) for n in range(1, ngrams + 1) for i in range(len(words) - n + 1)]
     return len(words), np.fromiter(map(cache.__getitem__, runs), np.int64, len(runs))
 
