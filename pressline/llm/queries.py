@@ -12,6 +12,7 @@ from .html_extract import op5_html_extraction
 from .language_id import op9_language_id
 from .token_counts import op10_token_counts
 from .suffix_dedup import op1_suffix_array_dedup
+from .divergence import OP11_SQL, op11_source_divergence
 from .license_scan import OP12_SQL, op12_license_scan
 from .resample import OP13_SQL, op13_resampling
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op11_source_divergence": op11_source_divergence,
     "op12_license_scan": op12_license_scan,
     "op13_resampling": op13_resampling,
 }
@@ -34,6 +36,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_quality_rules": OP3_SQL,
     "quality_ablations": ABLATIONS_SQL,
+    "op11_source_divergence": OP11_SQL,
     "op12_license_scan": OP12_SQL,
     "op13_resampling": OP13_SQL,
 }
