@@ -41,7 +41,7 @@ from .common import LOWER, UPPER, ascii_lower, cut_lineage, table
 MIN_DOCUMENTS = 10
 TOP = 10
 #: Terms that a map task folds at a time.
-FOLD_TERMS = 2_000_000
+FOLD_TERMS = 5_000_000
 #: Sources of one block, on average.
 BLOCK = 256
 #: Kept counts that one part should hold.
@@ -68,8 +68,9 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-RUNS = "lang string, term string, source string, document long, documents long, n long"
-_NAMES = ["lang", "term", "source", "document", "documents", "n"]
+#: ``word`` is the lang, a NUL and the term, which holds none: one column that sorts by both.
+RUNS = "word string, source string, document long, documents long, n long"
+_NAMES = ["word", "source", "document", "documents", "n"]
 
 
 def local_runs(docs: DataFrame, fold_terms: int) -> DataFrame:
@@ -92,11 +93,13 @@ def local_runs(docs: DataFrame, fold_terms: int) -> DataFrame:
             pair, document = np.divmod(key[at], len(texts))
             runs = _starts(pair)
             group, term = np.divmod(pair[runs], len(words))
-            names, spelled = list(groups), np.array(list(words), object)
-            lang, source = (np.array([g[k] for g in names], object)[group] for k in (0, 1))
-            out = [lang, spelled[term], source, first + done + document[runs], np.diff(np.r_[runs, len(pair)]), np.add.reduceat(times, runs)]
+            names, spelled = list(groups), pa.array(list(words), pa.string())
+            lang, source = (pa.array([g[k] for g in names], pa.string()) for k in (0, 1))
+            out = [first + done + document[runs], np.diff(np.r_[runs, len(pair)]), np.add.reduceat(times, runs)]
             for lo in range(0, len(runs), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in out], names=_NAMES)
+                g, t = (pa.array(x[lo : lo + 50_000]) for x in (group, term))
+                word = pc.binary_join_element_wise(lang.take(g), spelled.take(t), "\0")
+                yield pa.RecordBatch.from_arrays([word, source.take(g), *(pa.array(c[lo : lo + 50_000]) for c in out)], names=_NAMES)
 
         for b in it:
             for lang, source, text in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -121,13 +124,13 @@ def _added_up(it):
     def rows(batch, at):
         sums = [pa.array(np.add.reduceat(batch.column(c).to_numpy(), at)) for c in ("documents", "n")]
         heads = batch.take(pa.array(at))
-        return pa.RecordBatch.from_arrays([*(heads.column(c) for c in _NAMES[:4]), *sums], names=_NAMES)
+        return pa.RecordBatch.from_arrays([*(heads.column(c) for c in _NAMES[:3]), *sums], names=_NAMES)
 
     def runs(batch):
         new = np.ones(batch.num_rows, bool)
         n = batch.num_rows - 1
-        different = [pc.not_equal(c.slice(1), c.slice(0, n)).to_numpy(zero_copy_only=False) for c in (batch.column(x) for x in ("lang", "term", "source"))]
-        new[1:] = different[0] | different[1] | different[2]
+        different = [pc.not_equal(c.slice(1), c.slice(0, n)).to_numpy(zero_copy_only=False) for c in (batch.column(x) for x in ("word", "source"))]
+        new[1:] = different[0] | different[1]
         return np.flatnonzero(new)
 
     carried = None
@@ -147,12 +150,14 @@ def _added_up(it):
 def kept_counts(docs: DataFrame, min_documents: int, fold_terms: int) -> DataFrame:
     """lang, term, source, n, total (of the lang), head (first source of its term): the
     counts of terms in at least ``min_documents`` documents of their lang."""
-    dealt = local_runs(docs, fold_terms).repartition("lang", "term", "source").sortWithinPartitions("lang", "term", "source", "document")
+    dealt = local_runs(docs, fold_terms).repartition("word", "source").sortWithinPartitions("word", "source", "document")
     sums = dealt.mapInArrow(_added_up, RUNS)
-    run = Window.partitionBy("lang", "term").orderBy("source")
+    run = Window.partitionBy("word").orderBy("source")
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counted = sums.select("lang", "term", "source", "n", F.sum("documents").over(whole).alias("frequency"), F.sum("n").over(whole).alias("total"), (F.row_number().over(run) == 1).alias("head"))
-    return cut_lineage(counted.where(F.col("frequency") >= min_documents).drop("frequency"))
+    counted = sums.select("word", "source", "n", F.sum("documents").over(whole).alias("frequency"), F.sum("n").over(whole).alias("total"), (F.row_number().over(run) == 1).alias("head"))
+    term = F.substring_index("word", "\0", -1)
+    lang = F.expr("left(word, length(word) - length(term) - 1)")
+    return cut_lineage(counted.where(F.col("frequency") >= min_documents).select(term.alias("term"), "word", "source", "n", "total", "head").select(lang.alias("lang"), "term", "source", "n", "total", "head"))
 
 
 # ---- distances --------------------------------------------------------------------
