@@ -24,7 +24,9 @@ other by binary search.
 
 Defined cases: null text counts as empty, texts under 200 bytes have no window; a very
 long text is scanned stretch by stretch and whole; nothing matches across documents;
-repeated rows are each other's copies; ids may repeat or be null; an empty table gives
+repeated rows are each other's copies, and their pieces are fetched once; ids may
+repeat or be null: rows are told apart by the id and a 64-bit hash of the text, without an id
+by two such hashes; an empty table gives
 an empty result; further columns are ignored, whatever their names.
 """
 
@@ -133,8 +135,8 @@ def piece_hashes(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
 
 
 OCCURRENCES = "anchor long, piece long, size int, rows binary, salt int, weight int"
-#: One occurrence: the document's two keys and the place, as 16 bytes.
-ROW = np.dtype([("d", ">i8"), ("t", ">i4"), ("at", ">i4")])
+#: One occurrence: the document's two keys and the place, as 20 bytes.
+ROW = np.dtype([("d", ">i8"), ("t", ">i8"), ("at", ">i4")])
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -344,7 +346,12 @@ _RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def _shard(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """A shard, or a pair of sub-shards (sides 0 and 1) of one hot anchor."""
+    """A shard, or a pair of sub-shards (sides 0 and 1) of one hot anchor. A piece that
+    came several times counts once."""
+    named = list(zip(group.column("anchor").to_pylist(), group.column("piece").to_pylist()))
+    first = {k: i for i, k in reversed(list(enumerate(named)))}
+    if len(first) < len(named):
+        group = group.take(pa.array(sorted(first.values())))
     side = group.column("side").to_numpy()
     windows = group.column("size").to_numpy().astype(np.int64)
     copies = group.column("copies").to_numpy()
@@ -373,16 +380,38 @@ def _shard(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
 # ---- the job ------------------------------------------------------------------
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, d, t, z: the texts compressed, as they are shuffled."""
+class Seen:
+    """Which rows (d and t) a task has had, to pass repeated rows once."""
+
+    #: Keys that are remembered; later ones may come twice, which no result depends on.
+    LIMIT = 2_000_000
+
+    def __init__(self):
+        self.keys: set[tuple[int, int]] = set()
+
+    def fresh(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for i, k in enumerate(zip(batch.column("d").to_pylist(), batch.column("t").to_pylist())):
+            if k not in self.keys:
+                keep.append(i)
+                if len(self.keys) < self.LIMIT:
+                    self.keys.add(k)
+        return batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
+
+
+def packed(docs: DataFrame, once: bool = False) -> DataFrame:
+    """doc_id, d, t, z: the texts compressed, as they are shuffled; with ``once``, of equal
+    rows in a task the first."""
 
     def run(it):
-        z = zstandard.ZstdCompressor(level=3)
+        z, seen = zstandard.ZstdCompressor(level=3), Seen()
         for b in it:
+            if once:
+                b = seen.fresh(b)
             texts = [z.compress(x.encode("utf-8", "surrogatepass")) for x in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(texts, pa.binary())], names=["doc_id", "d", "t", "z"])
 
-    return docs.select("doc_id", "d", "t", "text").mapInArrow(run, "doc_id long, d long, t int, z binary")
+    return docs.select("doc_id", "d", "t", "text").mapInArrow(run, "doc_id long, d long, t long, z binary")
 
 
 def _spread(runs: DataFrame) -> DataFrame:
@@ -395,27 +424,30 @@ def _spread(runs: DataFrame) -> DataFrame:
                 r = np.frombuffer(rows, ROW)
                 for x in found:
                     at = r["at"].astype(np.int64)
-                    for c, v in zip(out, (r["d"].astype(np.int64), r["t"].astype(np.int32), at + x["a"], at + x["b"] + LENGTH - 1)):
+                    for c, v in zip(out, (r["d"].astype(np.int64), r["t"].astype(np.int64), at + x["a"], at + x["b"] + LENGTH - 1)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["d", "t", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], names=["d", "t", "a", "b"])
 
-    return runs.select("rows", "runs").mapInArrow(run, "d long, t int, a long, b long")
+    return runs.select("rows", "runs").mapInArrow(run, "d long, t long, a long, b long")
 
 
 def _fetch(reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The bytes of one occurrence of each piece, cut out of its document."""
+    """The bytes of one occurrence of each piece, cut out of its document. Of equal rows one
+    is cut, but for copies that different tasks have: a piece may still come several times."""
     wanted = reps.groupBy("d", "t").agg(F.collect_list(F.struct("at", "size", "anchor", "piece", "copies")).alias("cuts"))
 
     def run(it):
+        seen = Seen()
         for b in it:
             rows = []
+            b = seen.fresh(b)
             for text, cuts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 data = zstandard.ZstdDecompressor().decompress(text)
                 rows += [(c["anchor"], c["piece"], c["size"], c["copies"], data[c["at"] : c["at"] + c["size"] + LENGTH - 1]) for c in cuts]
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["anchor", "piece", "size", "copies", "bytes"])
 
-    return packed(docs).join(wanted, ["d", "t"]).select("z", "cuts").mapInArrow(run, PIECES)
+    return packed(docs, once=True).join(wanted, ["d", "t"]).select("z", "cuts", "d", "t").mapInArrow(run, PIECES)
 
 
 PIECES = "anchor long, piece long, size int, copies long, bytes binary"
@@ -453,7 +485,7 @@ def _repeated(pieces: DataFrame, frequent: DataFrame, max_pieces: int, shard_byt
     pieces = cut_lineage(pieces)
     sent = F.broadcast(frequent) if n <= SENT_ANCHORS else frequent
     rare = pieces.join(sent, "anchor", "left_anti").withColumn("parts", F.lit(1))
-    many = pieces.join(sent, "anchor")
+    many = pieces.join(sent, "anchor").dropDuplicates(["anchor", "piece"])
     if depth == DEPTH:
         return _by_shards(rare.unionByName(many.withColumn("parts", F.ceil(F.col("kinds") / F.lit(max_pieces)).cast("int")).drop("kinds")), shards)
     cut = cut_lineage(many.select("anchor", "piece", "size", "copies", "bytes").mapInArrow(_cut_again(depth + 1), CUT))
@@ -479,14 +511,14 @@ def _by_shards(pieces: DataFrame, shards: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, max_pieces: int = MAX_PIECES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """d, t, spans: for every document with repeated bytes, the spans [a, b) they fill.
-    ``docs`` has doc_id, d and t (the id and a hash of the text) and text."""
+    ``docs`` has doc_id, d and t (the row's keys, see ``keyed``) and text."""
     spread = occurrences(docs).repartition("anchor", "salt")
     together = Window.partitionBy("anchor", "salt")
     number = F.expr(f"cast(length(rows) div {ROW.itemsize} as bigint)")
     several = cut_lineage(spread.withColumn("total", F.sum("weight").over(together)).where("total > 1").select("anchor", "piece", "size", "rows"))
     reps = several.groupBy("anchor", "piece").agg(F.min(F.substring("rows", 1, ROW.itemsize)).alias("r"), F.first("size").alias("size"), F.sum(number).alias("copies"))
     part = lambda at, n, kind: F.expr(f"cast(conv(hex(substring(r, {at}, {n})), 16, -10) as {kind})")
-    located = reps.select("anchor", "piece", "size", "copies", part(1, 8, "bigint").alias("d"), part(9, 4, "int").alias("t"), part(13, 4, "int").alias("at"))
+    located = reps.select("anchor", "piece", "size", "copies", part(1, 8, "bigint").alias("d"), part(9, 8, "bigint").alias("t"), part(17, 4, "int").alias("at"))
     size = several.agg(F.sum(F.lit(LENGTH) + F.col("size"))).first()[0] or 0
     found = _repeated(_fetch(located, docs), _frequent(reps, max_pieces), max_pieces, shard_bytes, max(1, math.ceil(size / shard_bytes)), 0)
     spans = _spread(several.join(found, ["anchor", "piece"]))
@@ -504,12 +536,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), d, t: the id, or without one a hash of the text, and
+    another hash of the text. Rows of equal keys have the same id and text, and so the same result."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.select("doc_id", "text", F.coalesce("doc_id", F.xxhash64("text", F.lit("second"))).alias("d"), F.xxhash64("text").alias("t"))
+
+
 def dedup(docs: DataFrame, keep_text: bool = False, **limits) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with
     ``keep_text`` the spans and the remaining bytes."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = keyed.withColumn("d", F.coalesce("doc_id", F.lit(-1).cast("long"))).withColumn("t", F.expr("cast(xxhash64(text) & 2147483647 as int)"))
-    marked = packed(keyed).join(repeated_runs(keyed, **limits), ["d", "t"], "left")
+    rows = keyed(docs)
+    marked = packed(rows).join(repeated_runs(rows, **limits), ["d", "t"], "left")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans", "kept"] if keep_text else [])]
     types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.list_(pa.int64())), pa.binary()]
 

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from pressline.llm import divergence, license_scan, resample
+from pressline.llm import divergence, license_scan, resample, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -192,3 +192,32 @@ def test_repeated_rows(spark):
     drawn = resample.resample(both, spark.createDataFrame([("word",)], "text string")).where("rank is not null")
     assert sorted(r[0] for r in drawn.select("rank").collect()) == list(range(1, 100_001 * 10 // 100 + 1))
     assert {(r.source, r.part) for r in divergence.divergence(both).collect()} >= {("a", "pair"), ("b", "pair")}
+
+
+# ---- suffix-array dedup on rows that are hard to tell apart
+
+
+def test_suffix_dedup_of_clashing_null_ids(spark):
+    """Different texts without ids that agree in 31 bits of their hash, one of them with a copy."""
+    texts = spark.range(300_000).select(F.concat_ws("", *(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f":{i}")), 256) for i in range(5))).alias("text"))
+    short = texts.withColumn("h", F.expr("xxhash64(text) & 2147483647"))
+    clashing = short.groupBy("h").agg(F.collect_list("text").alias("ts")).where("size(ts) > 1").limit(25).collect()
+    assert len(clashing) >= 10
+    rows = [(None, t) for r in clashing for t in r.ts[:2]] + [(5, r.ts[0]) for r in clashing] + [(6, t) for r in clashing[:5] for t in r.ts[:2]]
+    got = Counter(tuple(r)[:4] for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    times = Counter(t for _, t in rows)
+    assert got == Counter((d, 320, 320 if times[t] > 1 else 0, int(times[t] > 1)) for d, t in rows)
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_pieces": 3}])
+def test_suffix_dedup_of_repeated_rows(spark, limits):
+    """Very many rows of equal id and text; work is in proportion to them."""
+    import time
+
+    rng = random.Random(8)
+    text, other = ("".join(rng.choice("abcdef ghi") for _ in range(2000)) for _ in range(2))
+    docs = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(8, other), (9, text[:500] + other[:150]), (None, other[:199])], "doc_id long, text string"))
+    began = time.time()
+    got = {(r.doc_id, r.n_removed, r.n_spans): r["count"] for r in suffix_dedup.dedup(docs, **limits).groupBy("doc_id", "n_removed", "n_spans").count().collect()}
+    assert got == {(7, 2000, 1): 20_000, (8, 0, 0): 1, (9, 500, 1): 1, (None, 0, 0): 1}
+    assert time.time() - began < 60
