@@ -7,6 +7,13 @@ replaced) for the host. Spark adds up the votes per host and path, and every pag
 is extracted again from the containers on its host's winning path. A page without
 that path uses its own best container.
 
+The best container is often the inner part of an article. Before it votes it is
+widened to the nearest article element, or else to the outermost container around it
+that says to be the main part and is mostly this text. A heading of the first level that stands
+before a container without one belongs to it. Where the winning path of a host holds less
+than ``LEAST_SHARE`` of what the page's own best container has, it met a teaser and the
+page's own is taken.
+
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are left out by their element, or by a class, id or role all of
 whose words say so: ``comment-list`` is left out, ``social-history`` is not. The
@@ -96,6 +103,9 @@ DECAY = (1.0, 0.75, 0.55, 0.4, 0.25, 0.15)
 #: Labels of a path that are written out; the key tells longer ones apart.
 SHOWN = 32
 
+#: Share of the own best container's text below which a host's path is not believed.
+LEAST_SHARE = 0.1
+
 KEPT, IN_FORM, LEFT_OUT = 0, 1, 2
 
 
@@ -109,10 +119,11 @@ class Node:
     """An element: its place (key, a hash of the labels from the root), whether its text
     is left out, and what its children inherit."""
 
-    __slots__ = ("tag", "parent", "label", "key", "state", "main", "article", "block", "in_paragraph", "in_quote", "linked", "score", "hit")
+    __slots__ = ("tag", "parent", "label", "key", "state", "main", "article", "block", "in_paragraph", "in_quote", "linked", "score", "hit", "total", "links")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.label, self.main, self.score, self.hit = tag, parent, tag, tag in MAIN, 0.0, False
+        self.total = self.links = 0  # characters of kept text inside, and of those in links
         self.block = self if tag in BLOCK or parent is None else parent.block
         self.linked = tag == "a" or (parent is not None and parent.linked and self.block is not self)
         self.in_paragraph = tag == "p" or (parent is not None and parent.in_paragraph and tag not in SCOPE)
@@ -249,9 +260,11 @@ class Page:
                 return
 
     def best(self) -> Node | None:
-        """The container with the highest score; the first of equals."""
+        """The container with the highest score, the first of equals, widened."""
         first: Node | None = None
         for holder, text, linked in self.blocks:
+            holder.total += len(text)
+            holder.links += min(linked, len(text))
             worth = max(len(text) - linked, 0)
             node = holder.parent if holder.tag in LINES and holder.parent is not None else holder
             for d in DECAY:
@@ -259,17 +272,36 @@ class Page:
                     break
                 node.score += d * worth * (1.5 if node.main else 1.0)
                 node = node.parent
+        for node in reversed(self.nodes):  # children come after their parents
+            if node.parent is not None:
+                node.parent.total += node.total
+                node.parent.links += node.links
         for node in self.nodes:
             if node.block is node and node.score and (first is None or node.score > first.score):
                 first = node
-        return first
+        return self._widened(first) if first is not None else None
+
+    def _widened(self, node: Node) -> Node:
+        wider, around = node, node
+        while around is not None and around.tag not in ("body", "html", "#root"):
+            if around.tag == "article":
+                return around
+            if around.main and around.total <= 2 * node.total and 2 * around.links <= around.total:
+                wider = around
+            around = around.parent
+        return wider
 
     def text_of(self, key: int) -> str | None:
-        """Blocks inside the containers with that key; None if the page has none."""
+        """Blocks inside the containers with that key, and the heading before them; None
+        if the page has none."""
         for node in self.nodes:  # parents come before their children
             node.hit = node.key == key or (node.parent is not None and node.parent.hit)
-        out = [text for holder, text, _ in self.blocks if holder.hit]
-        return "\n".join(out) if out else None
+        at = [i for i, (holder, _, _) in enumerate(self.blocks) if holder.hit]
+        if not at:
+            return None
+        if not any(self.blocks[i][0].tag == "h1" for i in at):
+            at = [*[i for i in range(at[0]) if self.blocks[i][0].tag == "h1"][-1:], *at]
+        return "\n".join(self.blocks[i][1] for i in at)
 
 
 def _signed(key: int) -> int:
@@ -279,15 +311,16 @@ def _signed(key: int) -> int:
 def vote(source: str | None) -> tuple[int | None, str | None, float]:
     """Key, path and score of the page's best container."""
     best = Page(source or "").best()
-    return (_signed(best.key), best.path(), best.score) if best is not None and best.score > 0 else (None, None, 0.0)
+    return (_signed(best.key), best.path(), float(best.total)) if best is not None and best.total > 0 else (None, None, 0.0)
 
 
 def extract(source: str | None, key: int | None) -> str:
     page = Page(source or "")
+    best = page.best()
+    own = page.text_of(best.key) if best is not None else None
     text = page.text_of(key & 0xFFFFFFFFFFFFFFFF) if key is not None else None
-    if text is None:
-        best = page.best()
-        text = page.text_of(best.key) if best is not None else None
+    if text is None or (own is not None and len(text) < LEAST_SHARE * len(own)):
+        text = own
     return text or ""
 
 

@@ -24,6 +24,11 @@ CASES = {
     "code comment": ('<article><pre>x = 1 <span class="comment"># why</span></pre></article>', "x = 1 # why"),
     "advert in a line": ('<article><p>a <span class="ad">buy</span>b</p></article>', "a b"),
     "unknown elements": ("<article><p>a <x-y>b</x-y> c</p></article>", "a b c"),
+    "title beside content": ('<article><h1>Head</h1><div class="content"><p>One long paragraph of the article.</p><p>And another one.</p></div></article>', "Head\nOne long paragraph of the article.\nAnd another one."),
+    "title before content": ('<body><div class="page"><header>site</header><h1>Head</h1><div class="content"><p>One long paragraph.</p></div><div class="more"><p>x</p></div></div></body>', "Head\nOne long paragraph."),
+    "lead plus body": ('<body><div class="story"><div class="lead"><p>Lead text.</p></div><div class="body"><p>The body of the story, which is longer.</p></div></div><div class="other"><p>z</p></div></body>', "Lead text.\nThe body of the story, which is longer."),
+    "lead in an article": ('<main><article><p class="lead">Lead.</p><div class="entry-content"><p>The body of the article goes on for longer than that.</p></div><aside>no</aside></article><div><p>Next story</p></div></main>', "Lead.\nThe body of the article goes on for longer than that."),
+    "main with links": ('<main><div class="text"><p>Story text here.</p></div><ul><li><a href="/1">Another story with a long name</a></li><li><a href="/2">And yet another story</a></li></ul></main>', "Story text here."),
     "references and spaces": ("<article><p>a&nbsp;&amp;\n\t b<br>c</p>\n<p> &#233;​ </p></article>", "a & b c\né​"),
 }
 
@@ -76,3 +81,12 @@ def test_paths_vote_by_host(spark):
     rows = [(i, "http://www.h.org/1", usual.format("word " * 30)) for i in range(3)] + [(9, "https://h.org/2", odd), (10, "http://other.org", odd)]
     got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[9] == "short" and got[10] == "much longer than the story itself"
+
+
+def test_winning_path_that_meets_a_teaser(spark):
+    """A host's path that holds but a teaser on one page gives way to the page's own best."""
+    usual = '<body><div class="box"><p>{}</p></div></body>'
+    odd = '<body><div class="box"><p>Read on</p></div><article><h1>Title</h1><p>{}</p></article></body>'
+    rows = [(i, "http://h.org/1", usual.format("word " * 60)) for i in range(5)] + [(9, "http://h.org/2", odd.format("text " * 100))]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == "Title\n" + ("text " * 100).strip() and got[0] == ("word " * 60).strip()
