@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressline.functions import text as T
@@ -26,14 +26,17 @@ def canonical_type(kind: Column) -> Column:
 
 
 def fold_width(x: Column) -> Column:
-    """Full-width ASCII and the wide space to their plain forms, the part of
-    compatibility folding that names of this kind need."""
+    """Full-width ASCII and the wide space to their plain forms, the part of compatibility
+    folding that an expression can do; ``compatible_entities`` does the whole."""
     wide = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
     return T.strip(F.translate(x, wide, "".join(map(chr, range(0x21, 0x7F))) + " "))
 
 
 def canonical_name(kind: Column, name: Column) -> Column:
-    n = fold_width(F.coalesce(name, F.lit("")))
+    return T.let(fold_width(F.coalesce(name, F.lit(""))), lambda n: _canonical(kind, n))
+
+
+def _canonical(kind: Column, n: Column) -> Column:
     low = F.lower(n)
     latin = F.regexp_extract_all(low, F.lit(LATIN), F.lit(1))
     code = F.lit(None).cast("string")
@@ -51,7 +54,7 @@ def canonical_name(kind: Column, name: Column) -> Column:
 
 def normalize_entities(entities: Column) -> Column:
     """array<struct<type,name,role>> with canonical types, names and ids; the first of
-    each (type, key) stays, empty keys go."""
+    each (type, key) stays, empty keys go. ``compatible_entities`` comes before."""
 
     def one(e):
         kind = canonical_type(e["type"])
@@ -67,6 +70,13 @@ def normalize_entities(entities: Column) -> Column:
     return F.filter(rows, lambda e, i: F.array_position(ids, e["canonical_id"]) == i + 1)
 
 
+def compatible_entities(rows: DataFrame, column: str = "entities") -> DataFrame:
+    """``rows`` with the names of an entity column in their compatible form (NFKC), so that
+    ligatures, full-width and half-width forms of a name are one name."""
+    composed = rows.withColumn("_names", T.compatible(F.transform(column, lambda e: e["name"])))
+    return composed.withColumn(column, F.transform(column, lambda e, i: e.withField("name", F.get(F.col("_names"), i)))).drop("_names")
+
+
 def anchors(entities: Column) -> Column:
     """map of anchor key -> distinct ids, in order of appearance."""
     table = _table(V.ENTITY_ANCHORS)

@@ -1,9 +1,13 @@
-"""Text, URL and language expressions; all stay in the JVM."""
+"""Text, URL and language expressions; all but compatibility composition stay in the JVM."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 MEANINGFUL = r"[A-Za-z0-9一-鿿]"
 #: White space of Unicode and the separators among the control characters (fixed values).
@@ -27,6 +31,43 @@ def clean_text(x: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(x, r"\x00", ""), r"[ \t\r\f\x0B]+", " "))
 
 
+def let(x: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+#: Characters whose case folding is not their lower case, by the Unicode tables of Python.
+FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0x110000)) if c.casefold() != c.lower()}
+
+
+def casefold(x: Column) -> Column:
+    """Full case folding, as for comparisons without regard to case. Most texts are all
+    ASCII or have none of the few characters that lower case does not fold."""
+    odd = f"[{''.join(FOLDED)}]"
+    single = {c: f for c, f in FOLDED.items() if len(f) == 1}
+
+    def fold(v: Column) -> Column:
+        out = F.translate(v, "".join(single), "".join(single.values()))
+        for c, f in FOLDED.items():
+            if len(f) > 1:
+                out = F.replace(out, F.lit(c), F.lit(f))
+        return F.when((F.octet_length(v) > F.char_length(v)) & v.rlike(odd), F.lower(out)).otherwise(F.lower(v))
+
+    return let(x, fold)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _compatible(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in xs])
+
+
+def compatible(names: Column) -> Column:
+    """Compatibility composition (NFKC) of each text of an array. Only arrays that hold
+    anything but ASCII leave the JVM, in Arrow batches."""
+    plain = F.forall(names, lambda x: F.coalesce(F.octet_length(x) == F.char_length(x), F.lit(True)))
+    return F.when(plain, names).otherwise(_compatible(F.when(~plain, names)))
+
+
 def word_set(x: Column) -> Column:
     """Distinct lower-cased latin words and single Han characters."""
     return F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"([a-z0-9]+|[一-鿿])"), F.lit(1)))
@@ -83,8 +124,8 @@ def strip_handle(author: Column) -> Column:
 
 
 def key_token(x: Column) -> Column:
-    """Lower-cased word key, other characters as single dashes, at most 80 long."""
-    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), r"(?U)[^\w]+", "-"), r"^-+|-+$", ""), 1, 80)
+    """Case-folded word key, other characters as single dashes, at most 80 long."""
+    return F.substring(F.regexp_replace(F.regexp_replace(casefold(F.trim(x)), r"(?U)[^\w]+", "-"), r"^-+|-+$", ""), 1, 80)
 
 
 def host(url: Column) -> Column:

@@ -139,25 +139,25 @@ SCORE_BANDS = {
 }
 
 ANY = "*"
-_PROMOTION = (("activity commerce", "promotion_activity"), ("cosmetics", "promotion_cosmetic"), ("gameplay tft", "promotion_gameplay"), ("community guide media", "promotion_community"), (ANY, "promotion_general"))
-#: message type: (topic families, profile) in order of precedence
+_PROMOTION = ((("activity", "commerce"), "promotion_activity"), (("cosmetics",), "promotion_cosmetic"), (("gameplay", "tft"), "promotion_gameplay"), (("community", "guide", "media"), "promotion_community"), (ANY, "promotion_general"))
+#: message type: (topic families, profile) in order of precedence (fixed values)
 PROFILE_ROUTES = {
     "game_patch_notes": ((ANY, "patch_official_notes"),),
-    "game_official_preview": (("gameplay tft", "official_gameplay_preview"), (ANY, "official_content_preview")),
+    "game_official_preview": ((("gameplay", "tft"), "official_gameplay_preview"), (ANY, "official_content_preview")),
     "game_announcement": (
-        ("security", "security_notice"), ("service", "service_notice"), ("activity", "activity_announcement"), ("commerce", "commerce_announcement"),
-        ("cosmetics", "cosmetic_announcement"), ("tft", "tft_announcement"), ("gameplay", "gameplay_announcement"), (ANY, "game_announcement_general"),
+        (("security",), "security_notice"), (("service",), "service_notice"), (("activity",), "activity_announcement"), (("commerce",), "commerce_announcement"),
+        (("cosmetics",), "cosmetic_announcement"), (("tft",), "tft_announcement"), (("gameplay",), "gameplay_announcement"), (ANY, "game_announcement_general"),
     ),
-    "game_notice": (("security", "security_notice"), (ANY, "service_notice")),
+    "game_notice": ((("security",), "security_notice"), (ANY, "service_notice")),
     "game_promotion_interaction": _PROMOTION,
-    "game_community_notice": (("commerce", "shop_daily_standard"), ("activity", "free_reward"), ("service security", "community_service_notice"), ("gameplay tft cosmetics", "community_game_notice"), (ANY, "community_notice_general")),
+    "game_community_notice": ((("commerce",), "shop_daily_standard"), (("activity",), "free_reward"), (("service", "security"), "community_service_notice"), (("gameplay", "tft", "cosmetics"), "community_game_notice"), (ANY, "community_notice_general")),
     "game_community_promotion_interaction": _PROMOTION,
-    "game_leak": (("gameplay tft service security", "leak_gameplay"), ("cosmetics commerce activity", "leak_content"), (ANY, "leak_general")),
-    "game_community_discussion": (("guide", "gameplay_guide"), (ANY, "game_discussion")),
-    "esports_announcement": (("esports_matches", "esports_regular"), ("esports_schedule", "esports_schedule"), ("esports_rosters", "roster_announcement"), (ANY, "esports_announcement_general")),
+    "game_leak": ((("gameplay", "tft", "service", "security"), "leak_gameplay"), (("cosmetics", "commerce", "activity"), "leak_content"), (ANY, "leak_general")),
+    "game_community_discussion": ((("guide",), "gameplay_guide"), (ANY, "game_discussion")),
+    "esports_announcement": ((("esports_matches",), "esports_regular"), (("esports_schedule",), "esports_schedule"), (("esports_rosters",), "roster_announcement"), (ANY, "esports_announcement_general")),
     "esports_promotion_interaction": ((ANY, "esports_promotion"),),
     "esports_rumor_speculation": ((ANY, "esports_rumor"),),
-    "esports_community_discussion": (("esports_analysis", "esports_analysis"), (ANY, "esports_discussion")),
+    "esports_community_discussion": ((("esports_analysis",), "esports_analysis"), (ANY, "esports_discussion")),
     "esports_community_promotion_interaction": ((ANY, "esports_promotion"),),
     "lol_universe_announcement": ((ANY, "universe_announcement"),),
     "lol_universe_promotion_interaction": ((ANY, "universe_promotion"),),
@@ -167,7 +167,7 @@ PROFILE_ROUTES = {
     "other_lol_product_promotion_interaction": ((ANY, "other_product_promotion"),),
     "other_lol_product_leak": ((ANY, "other_product_leak"),),
     "other_lol_product_community_discussion": ((ANY, "other_product_discussion"),),
-    "riot_ecosystem_announcement": (("merchandise", "merch_release"), ("corporate", "partnership"), ("media", "media_release"), (ANY, "riot_announcement")),
+    "riot_ecosystem_announcement": ((("merchandise",), "merch_release"), (("corporate",), "partnership"), (("media",), "media_release"), (ANY, "riot_announcement")),
     "riot_ecosystem_promotion_interaction": ((ANY, "riot_promotion"),),
     "riot_ecosystem_leak": ((ANY, "riot_leak"),),
     "riot_ecosystem_community_discussion": ((ANY, "riot_discussion"),),

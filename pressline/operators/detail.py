@@ -84,7 +84,7 @@ def clip_or(x: Column, n: int, fallback: str | None = "-") -> Column:
 
 
 def featured_payload(items: DataFrame, origin: str = "") -> DataFrame:
-    """What a push of a featured message holds. ``items``: id, status, content_form,
+    """What a push of a featured message holds; lengths and counts are fixed values. ``items``: id, status, content_form,
     importance_score, title, translated_title, summary, source_name, connector_type,
     products, message_type, topics, author, seen_us."""
     featured = (F.col("status") == "published") & (F.col("importance_score") >= 0.75) & (F.col("content_form") != "repost")
@@ -137,6 +137,8 @@ def platform_identity(url: Column) -> Column:
 
 # ---- work that is due, stages and restarts -----------------------------------------------------
 
+# The stages in order, the checkpoint that each restart builds on, and the fields
+# that a correction of a stage may change.
 STAGES = ("relevance", "ocr", "translation", "analysis", "importance", "publish")
 BEFORE = {"ocr": "relevance", "translation": "ocr", "analysis": "translation", "importance": "analysis"}
 
@@ -174,6 +176,7 @@ def restart_from(checkpoints: DataFrame, stage: str) -> DataFrame:
     return valid.groupBy("raw_item_id").agg(F.max("id").alias("checkpoint_id"))
 
 
+#: Fixed values, see above.
 ALLOWED = {"relevance": ("decision",), "message_analysis": ("products", "content_form"), "importance": ("message_type", "topics", "importance_score")}
 
 
@@ -207,6 +210,10 @@ SECTIONS = {
 }
 
 
+#: Title of a preview without one (fixed value).
+UNTITLED = "Patch Preview"
+
+
 def section_type(given: Column, label: Column) -> Column:
     """A legal section type: the given one, or what the label says; null if neither."""
     letters = F.regexp_replace(F.upper(F.coalesce(label, F.lit(""))), "[^A-Z]", "")
@@ -221,7 +228,7 @@ def preview_entries(documents: DataFrame) -> DataFrame:
     entries of patch previews. ``documents``: id, title, sections (array of section_type,
     label, records (array of target, raw_changes))."""
     titles = F.filter(F.transform(F.split(F.replace(F.coalesce("title", F.lit("")), F.lit("\u00a0"), F.lit(" ")), r"\r\n|[\n\r]"), strip), lambda x: x != "")
-    title = F.coalesce(F.get(titles, F.lit(0)), F.lit("Patch Preview"))
+    title = F.coalesce(F.get(titles, F.lit(0)), F.lit(UNTITLED))
     patch = F.regexp_extract(title, r"\b(\d{1,2}\.\d{1,2})\b", 1)
     rows = documents.select("id", title.alias("title"), F.posexplode("sections").alias("section", "s"))
     kind = section_type(F.col("s.section_type"), F.col("s.label"))

@@ -89,3 +89,80 @@ def visual_rows(lines: DataFrame, key: list[str]) -> DataFrame:
     folded = cells.withColumn("rows", F.aggregate("ls", start, step(F.col("tol"))))
     text = lambda r: F.array_join(F.filter(F.transform(F.array_sort(r["items"]), lambda i: F.trim(i["text"])), lambda t: t != ""), "  ")
     return folded.select(*key, F.posexplode(F.transform("rows", text)).alias("row", "text"))
+
+
+# ---- cells ----------------------------------------------------------------------------
+
+#: Height in pixels of the bins by which bands and lines meet.
+BIN = 64
+
+
+def bands(boundaries: DataFrame, lines: DataFrame) -> DataFrame:
+    """image_id, y0, y1, section_type, section_label: the stretches between neighbouring
+    boundaries (image_id, y) that are high enough, under the last heading above their middle."""
+    size = lines.groupBy("image_id").agg(F.max("height").alias("height"))
+    along = Window.partitionBy("image_id").orderBy("y")
+    cut = boundaries.select("image_id", "y").distinct().withColumn("y1", F.lead("y").over(along)).join(size, "image_id")
+    high = cut.where(F.col("y1") - F.col("y") >= F.greatest(F.lit(7), F.bround(F.col("height") * 0.008).cast("int"))).select("image_id", F.col("y").alias("y0"), "y1")
+    heads = lines.withColumn("section_type", section_type(F.col("text"))).where("section_type is not null")
+    marks = heads.select("image_id", center_y().alias("at"), F.lit(1).alias("kind"), "line", "section_type", F.col("text").alias("section_label"), *(F.lit(None).cast("int").alias(c) for c in ("y0", "y1")))
+    middles = high.select("image_id", ((F.col("y0") + F.col("y1")) / 2).alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("int").alias("line"), *(F.lit(None).cast("string").alias(c) for c in ("section_type", "section_label")), F.col("y0").cast("int"), F.col("y1").cast("int"))
+    # a heading at the very middle comes after it; of headings at one height the last line counts
+    before = Window.partitionBy("image_id").orderBy("at", "kind", "line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("kind") == 1, F.struct("section_type", "section_label")), ignorenulls=True).over(before)
+    return marks.unionByName(middles).withColumn("head", last).where("kind = 0 and head is not null").select("image_id", "y0", "y1", "head.section_type", "head.section_label")
+
+
+def decorations(lines: DataFrame) -> DataFrame:
+    """image_id, line: short lines left of a heading, on its height and close to it."""
+    box = lambda side: [F.col(c).alias(f"{side}{c}") for c in ("x0", "y0", "x1", "y1")]
+    heads = lines.where(section_type(F.col("text")).isNotNull()).select("image_id", *box("h"))
+    short = lines.where((F.length(F.trim("text")) <= 3) & section_type(F.col("text")).isNull()).select("image_id", "line", *box(""))
+    head_height, height = F.greatest(F.lit(1.0), F.col("hy1") - F.col("hy0")), F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))
+    shared = F.greatest(F.lit(0.0), F.least("y1", "hy1") - F.greatest("y0", "hy0")) / F.least(height, head_height)
+    gap = F.col("hx0") - F.col("x1")
+    near = (F.col("x0") < F.col("hx0")) & (F.col("x1") - F.col("x0") <= head_height * 1.5) & (shared >= 0.55) & gap.between(-head_height * 0.25, head_height)
+    return short.join(heads, "image_id").where(near).select("image_id", "line").distinct()
+
+
+def cells(lines: DataFrame, boundaries: DataFrame, dividers: DataFrame, full: bool = True) -> DataFrame:
+    """image_id, y0, y1, section_type, section_label, target, raw_changes, confidence: the
+    records of patch tables. A line lies in the band that holds its centre: both are dealt
+    by bins of their heights, so the interval join is an equality join. Left of the
+    divider (image_id, divider_x; null: none) stands the target, right of it the changes."""
+    plain = lines.where(section_type(F.col("text")).isNull()).join(decorations(lines), ["image_id", "line"], "left_anti").withColumn("cy", center_y())
+    placed = plain.withColumn("bin", F.floor(F.col("cy") / BIN))
+    spread = bands(boundaries, lines).withColumn("bin", F.explode(F.sequence(F.floor(F.col("y0") / BIN), F.floor((F.col("y1") - 1) / BIN))))
+    inside = placed.withColumnsRenamed({"y0": "ly0", "y1": "ly1"}).join(spread, ["image_id", "bin"]).where((F.col("cy") >= F.col("y0")) & (F.col("cy") < F.col("y1"))).join(dividers.select("image_id", "divider_x"), "image_id", "left")
+    tolerance = F.greatest(F.lit(4.0), F.bround(F.col("width") * 0.008))
+    cell = ["image_id", "y0", "y1", "section_type", "section_label"]
+    sided = inside.withColumn("left", F.coalesce(F.col("x0") < F.col("divider_x") - tolerance, F.lit(True)))
+    item = F.when(F.col("left"), F.struct("ly0", "x0", "line", F.trim("text").alias("text")))
+    records = sided.groupBy(*cell).agg(F.array_sort(F.collect_list(item)).alias("target"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"))
+    records = records.withColumn("target", F.array_join(F.filter(F.transform("target", lambda t: t["text"]), lambda t: t != ""), " ")).where("target <> ''")
+    none = F.array().cast("array<string>")
+    if not full:
+        return records.withColumn("raw_changes", none).select(*cell, "target", "raw_changes", "confidence")
+    right = sided.where("not left").select("image_id", F.col("y0").alias("band"), "x0", F.col("ly0").alias("y0"), F.col("ly1").alias("y1"), "text", "height")
+    rows = visual_rows(right, ["image_id", "band"]).groupBy("image_id", F.col("band").alias("y0")).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "text"))), lambda r: r["text"]).alias("raw_changes"))
+    return records.join(rows, ["image_id", "y0"], "left").select(*cell, "target", F.coalesce("raw_changes", none).alias("raw_changes"), "confidence")
+
+
+def structure_confidence(records: DataFrame, boundaries: DataFrame, dividers: DataFrame, full: bool = True) -> DataFrame:
+    """image_id, records, sections, paired, confidence: how sure the structure of each image's
+    table is, from its ``cells``, boundaries and divider (divider_x, support); at most 0.35
+    for a full table without a divider."""
+    groups = section_groups(records.withColumn("position", F.col("y0"))).groupBy("image_id").agg(F.count("*").alias("sections"))
+    counts = records.groupBy("image_id").agg(F.count("*").alias("records"), F.sum((F.size("raw_changes") > 0).cast("int")).alias("paired"))
+    edges = boundaries.select("image_id", "y").distinct().groupBy("image_id").agg(F.count("*").alias("edges"))
+    rows = edges.join(counts, "image_id", "left").join(groups, "image_id", "left").join(dividers.select("image_id", "divider_x", "support"), "image_id", "left").na.fill(0, ["records", "paired", "sections"])
+    n = F.col("records")
+    edge = F.least(F.lit(1.0), F.col("edges") / F.greatest(F.lit(4), n + 1))
+    section = F.least(F.lit(1.0), F.col("sections") / 3)
+    pairing = F.when(n > 0, F.col("paired") / n).otherwise(0.0)
+    if full:
+        sure = 0.35 * F.coalesce("support", F.lit(0.0)) + 0.25 * edge + 0.3 * pairing + 0.1 * section
+        sure = F.when(F.col("divider_x").isNull(), F.least(sure, F.lit(0.35))).otherwise(sure)
+    else:
+        sure = 0.55 * edge + 0.35 * section + F.when(n > 0, 0.1).otherwise(0.0)
+    return rows.select("image_id", "records", "sections", "paired", F.round(sure, 6).alias("confidence"))

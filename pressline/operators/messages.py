@@ -69,7 +69,7 @@ def importance_profile(df: DataFrame) -> DataFrame:
     for t, rs in V.PROFILE_ROUTES.items():
         out = None
         for names, profile in reversed(rs):
-            out = F.lit(profile) if names == V.ANY else F.when(F.arrays_overlap(F.col("_families"), F.array(*map(F.lit, names.split()))), profile).otherwise(out)
+            out = F.lit(profile) if names == V.ANY else F.when(F.arrays_overlap(F.col("_families"), F.array(*map(F.lit, names))), profile).otherwise(out)
         routes[t] = out
     routed = F.lit(None).cast("string")
     for t, c in routes.items():

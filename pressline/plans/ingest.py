@@ -26,9 +26,12 @@ def candidate_recall(spark, d):
 
 
 def _arrivals(spark, d):
-    """Documents that arrive under one of 200 keys; the content is the language of their whole text."""
-    docs = _table(spark, d, "documents").select("doc_id", F.pmod("doc_id", F.lit(200)).alias("key"), T.detect_language(F.coalesce("text", F.lit(""))).alias("said"), "lang")
-    return docs.select("key", F.col("doc_id").alias("arrival"), F.sha2(F.concat_ws(":", F.col("key").cast("string"), "said", F.coalesce("lang", F.lit(""))), 256).alias("content_hash"))
+    """Documents that arrive under one of 200 keys, a third of them twice; the content is
+    the whole text and its language."""
+    text, lang = F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))
+    content = F.sha2(F.concat_ws("\n", T.detect_language(text), lang, text), 256)
+    docs = _table(spark, d, "documents").select(F.pmod("doc_id", F.lit(200)).alias("key"), content.alias("content_hash"), F.explode(F.when(F.col("doc_id") % 3 == 0, F.array(F.col("doc_id") * 2, F.col("doc_id") * 2 + 1)).otherwise(F.array(F.col("doc_id") * 2))).alias("arrival"))
+    return docs.select("key", "arrival", "content_hash")
 
 
 def content_revisions(spark, d):
@@ -70,7 +73,8 @@ def _entities(spark, d):
     """Six entities per document, types and names by its id, some aliased, equal or empty."""
     kinds, names = F.array(*map(F.lit, _TYPES)), F.array(*map(F.lit, _NAMES))
     one = lambda i: F.struct(F.element_at(kinds, (i % 6 + 1).cast("int")).alias("type"), F.element_at(names, ((F.col("id") + i) % 8 + 1).cast("int")).alias("name"), F.when(i % 2 == 0, "CORE").alias("role"))
-    return view(spark, d, "raw").select("id", N.normalize_entities(F.transform(F.sequence(F.col("id") % 3, F.col("id") % 3 + 5), one)).alias("entities"))
+    rows = view(spark, d, "raw").select("id", F.transform(F.sequence(F.col("id") % 3, F.col("id") % 3 + 5), one).alias("entities"))
+    return N.compatible_entities(rows).select("id", N.normalize_entities(F.col("entities")).alias("entities"))
 
 
 def entity_normalize(spark, d):
@@ -206,8 +210,8 @@ c0 as (select i.id item_id, e.id event_id, list_has_any(i.products, e.products)
 c as (select item_id, event_id, 30.0::double + case when same then 20.0 else 0.0 end + 10 * ents + 30 * (shared::double / total) + greatest(0.0, 20 * (1 - abs(seen_us - coalesce(last_seen_us, created_us)) / 86400000000.0::double / 60)) score,
    'family_hint' || case when same then ',product_overlap' else '' end || case when ents > 0 then ',entity_overlap' else '' end || case when shared > 0 then ',text_overlap' else '' end || ',recent_activity' reasons from c0),
 r as (select *, row_number() over (partition by item_id order by score desc, event_id desc) as position from c)"""
-ARR = r"""with l as (select doc_id, coalesce(lang, '') lang, length(regexp_replace(coalesce(text, ''), '\s', '', 'g')) vis, length(regexp_replace(coalesce(text, ''), '[^一-鿿]', '', 'g')) han from documents),
-a as (select doc_id % 200 as key, doc_id arrival, sha256((doc_id % 200) || ':' || case when vis = 0 then 'unknown' when han / vis >= 0.1 then 'zh-CN' else 'en' end || ':' || lang) content_hash from l),
+ARR = r"""with l as (select doc_id, coalesce(lang, '') lang, coalesce(text, '') as body, length(regexp_replace(coalesce(text, ''), '\s', '', 'g')) vis, length(regexp_replace(coalesce(text, ''), '[^一-鿿]', '', 'g')) han from documents),
+a as (select doc_id % 200 as key, unnest(case when doc_id % 3 = 0 then [doc_id * 2, doc_id * 2 + 1] else [doc_id * 2] end) arrival, sha256(case when vis = 0 then 'unknown' when han / vis >= 0.1 then 'zh-CN' else 'en' end || chr(10) || lang || chr(10) || body) content_hash from l),
 b as (select *, lag(content_hash) over (partition by key order by arrival) is distinct from content_hash c from a),
 r as (select *, sum(c::int) over (partition by key order by arrival)::bigint revision, last_value(case when c then arrival end ignore nulls) over (partition by key order by arrival rows between unbounded preceding and 1 preceding) prev from b)"""
 BLK = r"""

@@ -169,7 +169,7 @@ def _routes() -> str:
     out = []
     for t, routes in V.PROFILE_ROUTES.items():
         for names, profile in routes:
-            cond = f"message_type = '{t}'" + ("" if names == V.ANY else " and fam in (" + ", ".join(f"'{n}'" for n in names.split()) + ")")
+            cond = f"message_type = '{t}'" + ("" if names == V.ANY else " and fam in (" + ", ".join(f"'{n}'" for n in names) + ")")
             out.append(f"when {cond} then '{profile}'")
     return " ".join(out)
 

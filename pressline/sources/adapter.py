@@ -6,6 +6,8 @@ engine and its oracle see the same rows. Times are microseconds since the epoch.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pressline.functions import vocab as V
@@ -115,15 +117,37 @@ def prefix(d: Dialect, tables: dict[str, str] | None = None) -> str:
 DUCK_PREFIX = prefix(Dialect(spark=False))
 
 
+def _needed(name: str, sql: dict[str, str]) -> list[str]:
+    """The views that a view reads, in the order in which they are defined, itself last."""
+    found, todo = set(), [name]
+    while todo:
+        v = todo.pop()
+        if v in sql and v not in found:
+            found.add(v)
+            todo += re.findall(r"\b(?:from|join)\s+(\w+)", sql[v])
+    return [v for v in sql if v in found]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view of the news model as a DataFrame; Spark drops the views it does not need."""
-    tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-    return spark.sql(prefix(Dialect(spark=True, known=_known(spark, sf_dir)), tables) + f"\nselect * from {name}")
+    """A view of the news model as a DataFrame, over the views and tables it needs."""
+    sql = views(Dialect(spark=True, known=_known(spark, sf_dir)))
+    needed = _needed(name, sql)
+    text = " ".join(sql[v] for v in needed)
+    tables = [f"{t} as (select * from parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES if re.search(rf"\b(?:from|join)\s+{t}\b", text)]
+    return spark.sql("with " + ",\n".join([*tables, *(f"{v} as {sql[v]}" for v in needed)]) + f"\nselect * from {name}")
+
+
+#: Counts by session and folder.
+_COUNTED: dict[tuple[str, str], dict[str, int]] = {}
 
 
 def _known(spark: SparkSession, sf_dir: str) -> dict[str, int]:
-    """Row counts and the latest time of the source tables, one small query for each read."""
-    d = Dialect(spark=True)
-    row = spark.sql(f"""select (select count(*) from parquet.`{sf_dir}/documents.parquet`) documents, n events, latest_us
-        from (select count(*) n, max({d.us('ts')}) latest_us from parquet.`{sf_dir}/events.parquet`)""").first()
-    return {k: v for k, v in row.asDict().items() if v is not None}
+    """Row counts and the latest time of the source tables, one small query for each
+    folder that a session reads."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _COUNTED:
+        d = Dialect(spark=True)
+        row = spark.sql(f"""select (select count(*) from parquet.`{sf_dir}/documents.parquet`) documents, n events, latest_us
+            from (select count(*) n, max({d.us('ts')}) latest_us from parquet.`{sf_dir}/events.parquet`)""").first()
+        _COUNTED[key] = {k: v for k, v in row.asDict().items() if v is not None}
+    return _COUNTED[key]

@@ -112,7 +112,7 @@ def test_cursor_fold_equals_steps(spark):
 
 def test_replay_source(spark, tmp_path):
     for n, truncated in enumerate((True, False)):
-        (tmp_path / f"{n:06d}.json").write_text(json.dumps({"truncated": truncated, "records": [{"id": f"{n}-{i}", "published_us": n * 10 + i} for i in range(3)]}))
+        cursor.Recording(str(tmp_path)).add(n, [{"id": f"{n}-{i}", "published_us": n * 10 + i} for i in range(3)], truncated)
     cursor.register(spark)
     got = jobs.run_available(spark.readStream.format("replay").option("path", str(tmp_path)).load())
     assert sorted(r.external_id for r in got.collect()) == ["0-0", "0-1", "0-2", "1-0", "1-1", "1-2"]
@@ -132,7 +132,7 @@ def test_membership_match(spark):
 
 def test_html_blocks():
     got = html_blocks.page_blocks("<h2>T &amp; x</h2><p>a <b>b</b><p>c<ul><li>1<li>2</ul><img data-src='/i.png'><blockquote><p>q</p></blockquote><script>p</script>", "https://h/d/")
-    assert [(b["type"], b["text"] or b["items"] or b["source_url"]) for b in got] == [("heading", "T & x"), ("paragraph", "a b"), ("paragraph", "c"), ("list", ["1", "2"]), ("image", "https://h/i.png"), ("quote", "q")]
+    assert [(b["type"], b.get("text") or b.get("items") or b["source_url"]) for b in got] == [("heading", "T & x"), ("paragraph", "a b"), ("paragraph", "c"), ("list", ["1", "2"]), ("image", "https://h/i.png"), ("quote", "q")]
     assert html_blocks.page_blocks(None, None) == []
 
 
@@ -140,7 +140,7 @@ def test_platform_records(spark):
     tweet = {"id_str": "1", "url": "u", "date": "2024-01-02 03:04:05", "rawContent": "see https://t.co/a https://t.co/b", "user": {"username": "n"}, "media": {"photos": [{"url": "p"}]}, "links": [{"url": "https://x.y/z", "tcourl": "https://t.co/a"}], "quotedTweet": {"url": "q"}}
     df = spark.createDataFrame([(json.dumps(tweet),), ("{broken",)], "value string")
     a, b = platforms.tweets(df).collect()
-    assert [(x.type, x.text or x.source_url) for x in a.blocks] == [("paragraph", "see https://x.y/z"), ("image", "p"), ("embed", "q")] and not a.rejected and b.rejected
+    assert [(x.type, x.text or x.source_url) for x in a.blocks] == [("paragraph", "see x.y"), ("image", "p"), ("embed", "引用推文"), ("embed", "外部链接")] and not a.rejected and b.rejected
     post = {"mid": "9", "mblogid": "M", "created_at": "Tue Jan 02 03:04:05 +0800 2024", "text_raw": " t ", "user": {"id": 5, "screen_name": "s"}, "pic_ids": ["k"]}
     w = platforms.weibo_posts(spark.createDataFrame([(json.dumps(post),)], "value string")).first()
     assert w.url == "https://weibo.com/5/M" and str(w.published_at) == "2024-01-01 19:04:05" and len(w.blocks) == 2
