@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressline.functions import vocab as V
+from pressline.functions.lineage import materialised
 from pressline.operators.messages import report_section
 from pressline.operators.search import civil_date
 
@@ -23,34 +24,38 @@ def eligible_days(items: DataFrame) -> DataFrame:
     return eligible(items).groupBy("report_date").agg(F.count("*").alias("n"))
 
 
+def greedy_disjoint(rows: DataFrame, links: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The rows of a greedy choice within each key: by falling ``order`` (unique in a key) a
+    row is taken unless it shares a link with one taken before. ``rows``: key, id, order;
+    ``links``: key, id, order and link.
+
+    Works in rounds: a row that comes first in all its links is taken, whatever shares one of
+    them leaves, and what is left goes on. Rows without a link that another one has are
+    taken at once. So a key is never walked by one task; a round costs windows by
+    link and by row, over the rows that are still open alone."""
+    by_link, by_row = Window.partitionBy(*key, "link"), Window.partitionBy(*key, "id")
+    shared = links.withColumn("n", F.count("*").over(by_link)).withColumn("most", F.max("n").over(by_row))
+    open_ = materialised(shared.where("most > 1").select(*key, "id", order, "link"))
+    lost = None
+    while not open_.isEmpty():
+        first = open_.withColumn("first", F.col(order) == F.max(order).over(by_link)).withColumn("taken", F.min("first").over(by_row))
+        met = first.withColumn("closed", F.max("taken").over(by_link)).withColumn("leaves", F.max("closed").over(by_row))
+        judged = materialised(met.select(*key, "id", order, "link", "taken", "leaves"))
+        gone = judged.where("leaves and not taken").select(*key, "id").distinct()
+        lost = gone if lost is None else lost.unionByName(gone)
+        open_ = judged.where("not leaves").select(*key, "id", order, "link")
+    return rows if lost is None else rows.join(lost, [*key, "id"], "left_anti")
+
+
 def daily_report(items: DataFrame, mentions: DataFrame) -> DataFrame:
     """report_date, section, position, id. Within a day, messages in falling (score,
     time, id) are taken unless one of their events was taken before; a message that is
-    left out blocks nothing. The scan of a day's messages is a fold over one array,
-    whose length is a day's eligible messages, and which takes nothing more once all
-    sections are full; ranks then cut the sections."""
-    able = eligible(items)
-    events = mentions.join(able.select(F.col("id").alias("item_id")), "item_id", "left_semi").groupBy("item_id").agg(F.collect_set("event_id").alias("event_ids"))
-    rows = able.join(events, F.col("id") == F.col("item_id"), "left").select(
-        "report_date", F.col("importance_score").alias("score"), "published_us", "id", report_section(F.col("products")).alias("section"),
-        F.coalesce("event_ids", F.expr("cast(array() as array<bigint>)")).alias("event_ids"),
-    )
-    days = rows.groupBy("report_date").agg(F.sort_array(F.collect_list(F.struct("score", "published_us", "id", "section", "event_ids")), asc=False).alias("day"))
-    start = F.expr("named_struct('seen', cast(array() as array<bigint>), 'kept', cast(array() as array<struct<id:bigint,section:string>>))")
-
-    def full(acc):
-        taken = F.transform(acc["kept"], lambda k: k["section"])
-        held = F.lit(True)
-        for section, most in V.REPORT_SECTIONS.items():
-            held &= F.size(F.array_remove(taken, section)) <= F.size(taken) - most
-        return held
-
-    def step(acc, x):
-        take = F.struct(F.array_union(acc["seen"], x["event_ids"]).alias("seen"), F.concat(acc["kept"], F.array(F.struct(x["id"].alias("id"), x["section"].alias("section")))).alias("kept"))
-        return F.when(full(acc) | F.arrays_overlap(acc["seen"], x["event_ids"]), acc).otherwise(take)
-
-    kept = days.select("report_date", F.posexplode(F.aggregate("day", start, step)["kept"]).alias("ord", "k")).select("report_date", "ord", "k.id", "k.section")
-    ranked = kept.withColumn("position", F.row_number().over(Window.partitionBy("report_date", "section").orderBy("ord")))
+    left out blocks nothing. Ranks then cut the sections."""
+    able = eligible(items).select("report_date", "id", F.struct(F.col("importance_score").alias("score"), "published_us", "id").alias("rank"), report_section(F.col("products")).alias("section"))
+    able = materialised(able)
+    links = mentions.select(F.col("item_id").alias("id"), F.col("event_id").alias("link")).distinct().join(able.select("report_date", "id", "rank"), "id")
+    kept = greedy_disjoint(able, links, ["report_date"], "rank")
+    ranked = kept.withColumn("position", F.row_number().over(Window.partitionBy("report_date", "section").orderBy(F.desc("rank"))))
     limit = F.create_map(*(F.lit(x) for kv in V.REPORT_SECTIONS.items() for x in kv))[F.col("section")]
     return ranked.where(F.col("position") <= limit).select("report_date", "section", "position", "id")
 

@@ -154,6 +154,9 @@ ERRORS = {
     "type_product": "message_type 不适用于所选 products",
     "type_source": "message_type 不适用于当前信源性质",
     "topic_product": "topic={} 不适用于所选 products",
+    "bare_content": "纯媒体或纯链接消息的摘要和实体必须为空",
+    "title": "可处理消息必须生成标题",
+    "summary": "可处理消息必须生成摘要",
 }
 
 
@@ -161,6 +164,28 @@ def _literals(xs) -> Column:
     return F.array(*map(F.lit, xs))
 
 
+def _content_rules(products: Column, content_form: Column, e: dict[str, Column]) -> Column:
+    n = F.coalesce(F.size(products), F.lit(0))
+    return (
+        F.when((n < 1) | (n > 3) | (F.size(F.array_distinct(products)) < n), e["product_count"])
+        .when(F.size(F.array_except(products, _literals(V.PRODUCTS))) > 0, e["product_value"])
+        .when(F.filter(_literals(V.PRODUCTS), lambda c: F.array_contains(products, c)) != products, e["product_order"])
+        .when(F.array_contains(products, "unknown") & (n > 1), e["product_unknown"])
+        .when(~F.coalesce(content_form.isin(*V.CONTENT_FORMS), F.lit(False)), e["form_value"])
+        .when(content_form.isin("media_only", "link_only") & (products != F.array(F.lit("unknown"))), e["form_products"])
+    )
+
+
+def content_error(products: Column, content_form: Column, title: Column, summary: Column, n_entities: Column) -> Column:
+    """The first rule that an analysis violates, or null: products and form, then what a
+    message of that form must say and must not."""
+    e = {k: F.lit(v) for k, v in ERRORS.items()}
+    says = lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""
+    bare = content_form.isin("media_only", "link_only")
+    rest = F.when(bare, F.when(says(summary) | (F.coalesce(n_entities, F.lit(0)) > 0), e["bare_content"])).when(~says(title), e["title"]).when(~says(summary), e["summary"])
+    return F.coalesce(_content_rules(products, content_form, e), rest)
+
+
 def classification_error(products: Column, content_form: Column, message_type: Column, topics: Column, source_kind: Column) -> Column:
     """The first violated rule, or null; rules are checked in a fixed order."""
     e = {k: F.lit(v) for k, v in ERRORS.items()}
@@ -197,14 +222,6 @@ def classification_error(products: Column, content_form: Column, message_type: C
     )
 
 
-def classification_catalogue(products: list[str], source_kind: str) -> tuple[list[str], list[str]]:
-    """Legal message types and topics for a product set and a source side."""
-    sides = {"official", "unofficial", "any"} if source_kind == "unknown" else {source_kind, "any"}
-    chosen = set(products)
-    types = [t for t, ps, s in V.MESSAGE_TYPES if t == "unknown" or (chosen & set(ps) and s in sides)]
-    return types, [t for t, ps, _ in V.TOPICS if t == "unknown" or chosen & set(ps)]
-
-
 # ---- event routing ----------------------------------------------------------------
 
 

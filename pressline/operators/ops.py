@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressline.functions import text as T
+from pressline.operators.detail import platform_identity
 
 
 def job_metrics(jobs: DataFrame) -> DataFrame:
@@ -52,16 +53,26 @@ def verified_role(role: Column, content_form: Column, is_official: Column) -> Co
     return F.when(role != "responsible_official", role).when(content_form == "repost", "republisher").when(~is_official, "unknown").otherwise(role)
 
 
-def classification_source(messages: DataFrame, sites: DataFrame) -> DataFrame:
-    """id, source_kind, basis. A repost takes the side of the one known site whose host
-    is its upstream's or a parent of it; with none or several it is unknown. Parent
-    hosts are spelled out, so that the suffix match is an equality join.
-    ``messages``: id, content_form, is_official, upstream; ``sites``: site, official."""
-    m = messages.withColumn("h", F.regexp_replace(T.host(T.classification_url(F.col("upstream"))), r"^www\.", ""))
+def classification_source(messages: DataFrame, sites: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+    """id, source_kind, basis. A repost takes the side of its upstream. An upstream that
+    names an account of a platform is looked up among ``accounts`` (connector_type,
+    external_key, official; case does not count), any other among ``sites`` (site, official)
+    by its host or a parent of it. With no or several matches the side is unknown. Parent
+    hosts are spelled out, so that the suffix match is an equality join, too.
+    ``messages``: id, content_form, is_official, upstream."""
+    m = messages.withColumn("h", F.regexp_replace(T.host(T.classification_url(F.col("upstream"))), r"^www\.", "")).withColumn("account", platform_identity(T.classification_url(F.col("upstream"))))
+    reposts = m.where("content_form = 'repost'")
+    if accounts is None:
+        reposts = reposts.withColumn("account", F.lit(None).cast("struct<connector_type:string,external_key:string>"))
     parts = F.split("h", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    hosts = m.where("content_form = 'repost' and length(h) > 0").select("id", F.explode(parents).alias("site"))
-    hit = hosts.join(sites, "site").groupBy("id").agg(F.count("*").alias("n"), F.bool_or("official").alias("up"))
+    hosts = reposts.where("length(h) > 0 and account is null").select("id", F.explode(parents).alias("site"))
+    sides = hosts.join(sites, "site").select("id", "official")
+    if accounts is not None:
+        key = lambda c: F.lower(F.col(c)).alias("key")
+        named = reposts.where("account is not null").select("id", "account.connector_type", key("account.external_key"))
+        sides = sides.unionByName(named.join(accounts.select("connector_type", key("external_key"), "official"), ["connector_type", "key"]).select("id", "official"))
+    hit = sides.groupBy("id").agg(F.count("*").alias("n"), F.bool_or("official").alias("up"))
     joined = m.join(hit.where("n = 1"), "id", "left")
     kind = lambda c: F.when(c, "official").otherwise("unofficial")
     repost = F.col("content_form") == "repost"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pressline.plans import detail, events, ingest, layout, mechanisms, messages, sites, sql_events, streams
+from pressline.plans import detail, events, ingest, layout, mechanisms, messages, reviews, sites, sql_events, streams
 
-MODULES = (events, messages, ingest, streams, layout, detail, sites, mechanisms)
-SQL = (sql_events, messages, ingest, streams, layout, detail, sites, mechanisms)
+MODULES = (events, messages, ingest, streams, layout, detail, sites, mechanisms, reviews)
+SQL = (sql_events, messages, ingest, streams, layout, detail, sites, mechanisms, reviews)
 
 
 def queries() -> dict:

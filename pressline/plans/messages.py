@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pressline.functions import text as T
 from pressline.functions import vocab as V
-from pressline.operators import daily, messages, search
+from pressline.operators import daily, messages, reviews, search
 from pressline.plans.events import _mentions
 from pressline.plans.sql_events import level, q
 from pressline.sources.adapter import view
@@ -42,13 +42,11 @@ def classification_errors(spark, d):
 
 
 def classification_catalogue(spark, d):
-    """Legal types and topics of each product and source side."""
-    rows = []
-    for p in V.PRODUCTS:
-        for s in V.SOURCE_KINDS:
-            types, topics = messages.classification_catalogue([p], s)
-            rows += [(p, s, "type", t) for t in types] + [(p, s, "topic", t) for t in topics]
-    return spark.createDataFrame(rows, "product string, source_kind string, kind string, code string")
+    """Legal types and topics of each product on each side that messages of it come from."""
+    rows = view(spark, d, "item").select("product", _side().alias("source_kind")).distinct()
+    legal = rows.select("product", "source_kind", reviews.legal_labels(F.array("product"), F.col("source_kind")).alias("l"))
+    coded = lambda kind, codes: F.transform(codes, lambda c: F.struct(F.lit(kind).alias("kind"), c.alias("code")))
+    return legal.select("product", "source_kind", F.explode(F.concat(coded("type", F.col("l.types")), coded("topic", F.col("l.topics")))).alias("x")).select("product", "source_kind", "x.kind", "x.code")
 
 
 def event_family_routing(spark, d):
@@ -254,16 +252,16 @@ def _esql(where: str, order: str = "time_us") -> str:
     return q(EV, f"select id, category, importance_level, heat_level, time_us from ev where {where} order by {order} desc nulls first, time_us desc nulls first, id desc limit 100")
 
 
-_catalogue = [(p, s, k, c) for p in V.PRODUCTS for s in V.SOURCE_KINDS for k, cs in zip(("type", "topic"), M.classification_catalogue([p], s)) for c in cs]
 SQL = {
     "importance_profile": q(PROFILE, "select id, profile from prof"),
     "message_importance": q(PROFILE, "select id, profile, modifier_total, profile_score, round(greatest(0, least(1, profile_score + case when content_form = 'repost' then -0.08 else 0 end)), 4) importance from scored"),
     "message_priority": q("z as (select 1)", "select id, round(greatest(0, least(1, importance_score + (case when content_form = 'quote' then -0.02 else 0 end)::double + (case when audience_region = 'international_only' then -0.12 else 0 end)::double)), 4) priority from item"),
     "classification_errors": q(CLASSIFY, "select * from cls"),
-    "classification_catalog": f"""with mt as (select * from (values {_types}) v(code, ps, side)), tp as (select * from (values {_topics}) v(code, ps, ord)),
-      pr as (select unnest({_list(V.PRODUCTS)}) product), sk as (select unnest({_list(V.SOURCE_KINDS)}) source_kind)
-      select product, source_kind, 'type' kind, code from pr, sk, mt where code = 'unknown' or (list_contains(ps, product) and (source_kind = 'unknown' or side in ('any', source_kind)))
-      union all select product, source_kind, 'topic', code from pr, sk, tp where code = 'unknown' or list_contains(ps, product)""",
+    "classification_catalog": q(
+        f"mt as (select * from (values {_types}) v(code, ps, side)), tp as (select * from (values {_topics}) v(code, ps, ord)), pk as (select distinct product, ({_list(V.SOURCE_KINDS)})[id % 3 + 1] source_kind from item)",
+        """select product, source_kind, 'type' kind, code from pk, mt where code = 'unknown' or (list_contains(ps, product) and (source_kind = 'unknown' or side in ('any', source_kind)))
+      union all select product, source_kind, 'topic', code from pk, tp where code = 'unknown' or list_contains(ps, product)""",
+    ),
     "event_family_routing": q(ROUTING, "select * from fam"),
     "event_admission": q("r as (select id, case when status <> 'published' then 'normalized item is not published' when content_form in ('media_only', 'link_only') or (trim(title) = '' and trim(content) = '') then 'normalized item has no semantic text' else 'semantic published message' end reason from item)", "select id, case when reason like 'semantic%' then 'process' else 'skip' end decision, reason from r"),
     "published_search_time": _psql("true", "seen_us"),

@@ -42,10 +42,20 @@ def overwrite_days(df: DataFrame, path: str, column: str = "report_date") -> Non
 
 
 def markdown_table(df: DataFrame, limit: int = 100) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(limit).collect()
+    """A result as a Markdown table of at most ``limit`` rows, for readers; a last line
+    says so if there are more. ``write_report`` keeps all rows."""
+    rows = df.limit(limit + 1).collect()
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
-    return "\n".join([head, *("| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows)])
+    shown = ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows[:limit]]
+    return "\n".join([head, *shown, *([f"\nThe first {limit} rows; there are more."] if len(rows) > limit else [])])
+
+
+def write_report(df: DataFrame, path: str, title: str, limit: int = 100) -> None:
+    """A report of a result: all rows as JSON lines under ``path``/rows, and a page for readers
+    under ``path``/page, both by Spark and replacing an earlier report."""
+    df.write.mode("overwrite").json(f"{path}/rows")
+    page = f"# {title}\n\n{markdown_table(df, limit)}\n"
+    df.sparkSession.createDataFrame([(page,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/page")
 
 
 def schema_difference(left: T.StructType, right: T.StructType, prefix: str = "") -> list[str]:
