@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from html import unescape
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,21 +22,59 @@ def strip(x: Column) -> Column:
     return F.trim(x, F.lit(BLANKS))
 
 
-#: Character references that texts of pages hold (fixed values); the ampersand comes last.
-REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+def let(x: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
-def clean_text(x: Column) -> Column:
-    """Common character references resolved, NULs dropped, blanks other than line feeds
-    collapsed, trimmed."""
-    for name, sign in REFERENCES:
-        x = F.replace(x, F.lit(name), F.lit(sign))
-    return strip(F.regexp_replace(F.regexp_replace(x, r"\x00", ""), r"[ \t\r\f\x0B]+", " "))
+#: Names of character references that texts of records hold (fixed values).
+COMMON = (
+    "amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "trade", "hellip", "mdash", "ndash", "lsquo", "rsquo", "sbquo", "ldquo", "rdquo", "bdquo", "laquo", "raquo",
+    "bull", "middot", "euro", "pound", "yen", "cent", "sect", "para", "deg", "times", "divide", "plusmn", "frac12", "larr", "rarr", "ensp", "emsp", "thinsp", "zwnj", "zwj", "shy",
+)
+#: Numbers below 160 that stand for something else than themselves, by the rules of HTML.
+_ODD = json.dumps({str(n): unescape(f"&#{n};") for n in range(160) if unescape(f"&#{n};") != chr(n)})
+_PIECE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)|[^&]+|&"
 
 
-def let(x: Column, use) -> Column:
-    """``use`` of a value that is worked out once, however often it is named there."""
-    return F.get(F.transform(F.array(x), use), F.lit(0))
+def _by_number(n: Column) -> Column:
+    """The character of a code point in decimal text; of an illegal one what HTML says."""
+    odd = F.from_json(F.lit(_ODD), "map<string,string>")
+    cp = F.when(F.length(F.ltrim(n, F.lit("0"))) > 9, F.lit(0x110000).cast("long")).otherwise(n.cast("long"))
+    wrong = lambda c: c.between(0xD800, 0xDFFF) | (c > 0x10FFFF)
+    none = lambda c: c.between(0xFDD0, 0xFDEF) | (c.bitwiseAND(F.lit(0xFFFE).cast("long")) == 0xFFFE)
+    plain = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+    return let(cp, lambda c: F.coalesce(F.try_element_at(odd, c.cast("string")), F.when(wrong(c), "\ufffd").when(none(c), "").otherwise(plain(c))))
+
+
+def unescaped(x: Column, names: dict[str, str] = html5) -> Column:
+    """Character references of HTML resolved: by number, by name, and the old names that go
+    without a semicolon, of which the longest counts. Texts without & are left alone. The
+    table of all names is large: it belongs on a column, not inside a larger expression."""
+    table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+    lengths = sorted({len(n) for n in names if not n.endswith(";")}, reverse=True)
+
+    def by_name(p: Column) -> Column:
+        name = F.substring(p, 2, 64)
+        cut = [F.struct(name.alias("n"), F.lit("").alias("rest")), *(F.struct(F.when(F.length(name) >= n, F.substring(name, 1, n)).alias("n"), F.substr(name, F.lit(n + 1)).alias("rest")) for n in lengths)]
+        found = F.transform(F.filter(F.array(*cut), lambda c: c["n"].isNotNull()), lambda c: F.concat(F.try_element_at(table, c["n"]), c["rest"]))
+        return F.coalesce(F.get(F.array_compact(found), F.lit(0)), p)
+
+    def one(p: Column) -> Column:
+        digits, hexed = F.regexp_extract(p, r"^&#([0-9]+)", 1), F.regexp_extract(p, r"^&#[xX]0*([0-9a-fA-F]+)", 1)
+        number = F.when(digits != "", digits).when(F.length(hexed) > 8, F.lit("9999999")).otherwise(F.conv(hexed, 16, 10))
+        return F.when(~p.startswith("&") | (F.length(p) < 2), p).when(p.startswith("&#"), _by_number(number)).otherwise(by_name(p))
+
+    return let(x, lambda v: F.when(F.contains(v, F.lit("&")), F.array_join(F.transform(F.regexp_extract_all(v, F.lit(_PIECE), F.lit(0)), one), "")).otherwise(v))
+
+
+_SHORT = {n: html5[n] for c in COMMON for n in (f"{c};", c) if n in html5}
+
+
+def clean_text(x: Column) -> Column:
+    """References by number and by the common names resolved, NULs dropped, blanks other
+    than line feeds collapsed, trimmed. Pages, which may hold any reference, are read by a parser."""
+    return strip(F.regexp_replace(F.regexp_replace(unescaped(x, _SHORT), r"\x00", ""), r"[ \t\r\f\x0B]+", " "))
 
 
 #: Characters whose case folding is not their lower case, by the Unicode tables of Python.

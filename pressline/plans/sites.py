@@ -91,10 +91,11 @@ def news_articles(spark, d):
 
 
 NEWS_ARTICLES_SQL = r"""
-with p as (select page_id, html, regexp_extract(url, '^([a-z]+://)', 1) || lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') || '/' canonical_url,
-    regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) head,
-    case when contains(html, '<article') then regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) when contains(html, '<main') then regexp_extract(html, '(?s)<main[^>]*>(.*?)</main>', 1) else regexp_extract(html, '(?s)<body[^>]*>(.*?)</body>', 1) end body from pages)
-select page_id, sha256(canonical_url) external_id, canonical_url, head as title, body from p
+with p as (select page_id, regexp_extract(url, '^([a-z]+://)', 1) || lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') || '/' canonical_url,
+    regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) head, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) body from pages),
+w as (select *, list_filter(list_transform(regexp_split_to_array(body, '<p(?: [^>]*)?>')[2:], lambda x: trim(regexp_replace(regexp_replace(x, '(?s)<script.*?</script>', '', 'g'), '<[^>]*>', '', 'g'))), lambda x: x <> '') ps from p)
+select page_id, sha256(canonical_url) external_id, canonical_url, replace(replace(replace(trim(regexp_replace(regexp_replace(head, '<[^>]*>', '', 'g'), '[ \t]+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') title, null::varchar as error,
+    len(regexp_extract_all(body, '<h[1-6][ >]')) headings, len(ps) paragraphs from w
 """
 
 # ---- envelopes
@@ -163,4 +164,4 @@ select event_id, t || case when n > 0 then '|' || n else '' end || '|x|deep' ||
 """
 
 QUERIES = {"joined_urls": joined_urls, "news_list": news_list, "news_articles": news_articles, "answer_articles": answer_articles, "json_leaves": json_leaves}
-SQL = {"joined_urls": JOINED_SQL, "news_list": NEWS_LIST_SQL, "answer_articles": ANSWERS_SQL, "json_leaves": LEAVES_SQL}
+SQL = {"joined_urls": JOINED_SQL, "news_list": NEWS_LIST_SQL, "news_articles": NEWS_ARTICLES_SQL, "answer_articles": ANSWERS_SQL, "json_leaves": LEAVES_SQL}

@@ -280,6 +280,20 @@ def test_decorations(spark):
 # ---- names
 
 
+def test_character_references_against_the_standard_library(spark):
+    import html
+    from html.entities import html5
+
+    numbers = [*range(0, 300), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFFFD, 0xFFFE, 0x1F600, 0x1FFFF, 0x10FFFD, 0x10FFFF, 0x110000, 10**12, 10**30]
+    said = [f"&{n}" for n in html5] + [f"a&{n}b" for n in html5] + [f"x&#{n};&#x{n:x}y&#X0{n:X};" for n in numbers] + ["&", "&&amp;", "&;", "&#;", "&#x;", "a & b", "&notit;", "&ampamp;", "&nosuch;", "&AMP", "no", "&#12a;", "", "&amp;lt;", "é&eacute;&#233"]
+    got = {r.x: r.u for r in spark.createDataFrame([(x,) for x in said], "x string").select("x", T.unescaped(F.col("x")).alias("u")).collect()}
+    wrong = {x: (u, html.unescape(x)) for x, u in got.items() if u != html.unescape(x)}
+    assert not wrong, list(wrong.items())[:10]
+    short = {f"a &{n}; &{n} b": html.unescape(f"a &{n}; &{n} b") for n in T.COMMON} | {"&#233;&#x4e2d;\x00\t x &amp;lt; &nosuch; ": "é中 x &lt; &nosuch;"}
+    got = {r.x: r.u for r in spark.createDataFrame([(x,) for x in short], "x string").select("x", T.clean_text(F.col("x")).alias("u")).collect()}
+    assert got == {x: " ".join(u.split(" ")).strip() for x, u in short.items()}
+
+
 def test_names_compare_by_compatible_and_folded_forms(spark):
     names = ["Straße", "ﬁnal", "ｶﾞｽﾄ", "Ｔ１", "ΣΑΣ", "İstanbul", "Ⅷ", "é", "ŉ", None, "plain", "ΐ"]
     df = spark.createDataFrame([(names,), (["Abc", None],), ([],), (None,)], "names array<string>")
