@@ -30,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, mix64, table
@@ -49,6 +49,8 @@ MISMATCH = 4
 BROADCAST_TOKENS = 2_000_000
 #: Diagonals of one document and item that are verified in one row of the join's result.
 DIAGONALS = 1 << 16
+#: Size of the bit table that is sent to test seeds by, at most (64 MB), and items that a fetched document meets at a time.
+TABLE_BITS, FETCHED = 29, 500
 
 _HIT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_tokens", pa.int64()), ("n_matched", pa.int64()), ("first_token", pa.int64()), ("item_tokens", pa.int64())])
 HIT_SCHEMA = "doc_id long, item_id long, n_tokens long, n_matched long, first_token long, item_tokens long"
@@ -208,45 +210,83 @@ def _by_broadcast(docs: DataFrame, items: list[tuple[int, str | None]]) -> DataF
     return docs.mapInArrow(run, HIT_SCHEMA)
 
 
+def _bit_table(seeded: DataFrame) -> np.ndarray:
+    """One bit for each leading part of a hash that an item's seed has, packed: what the
+    documents' seeds are tested by before they are shuffled. It has eight bits a seed or more,
+    up to 2**TABLE_BITS (then more seeds pass, and none is lost); ranges of it are made by tasks."""
+    n = seeded.count()
+    bits = max(16, min(TABLE_BITS, n.bit_length() + 3))
+    ranges = 1 << min(8, bits - 3)
+
+    def fill(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        h = group.column("h").to_numpy().view(np.uint64)
+        part = np.zeros((1 << bits) // ranges, bool)
+        part[(h >> np.uint64(64 - bits)) & np.uint64(len(part) - 1)] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bytes": pa.array([np.packbits(part).tobytes()], pa.binary())})
+
+    part = F.shiftrightunsigned("h", 64 - (ranges.bit_length() - 1)).cast("int")
+    made = seeded.select("h").distinct().groupBy(part.alias("part")).applyInArrow(fill, "part int, bytes binary").collect()  # at most 2**TABLE_BITS bits
+    table = np.zeros((ranges, (1 << bits) // ranges // 8), np.uint8)
+    for r in made:
+        table[r.part] = np.frombuffer(r.bytes, np.uint8)
+    return table.ravel()
+
+
+def _known(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    at = h >> np.uint64(64 - (len(table) * 8).bit_length() + 1)
+    return (table[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
+
+
 def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same through an equality join on the seed hashes, with the document's row key (row)."""
+    """The same through an equality join on the seed hashes, with the document's row key
+    (row). Of a document's seeds those are shuffled that a bit table of the items' seeds
+    knows. The hits are grouped by document, and each document is fetched once (once
+    for every ``FETCHED`` items that it meets)."""
     seeded = "id long, row long, h long, pos long"
     lengths = [r[0] for r in items.select(F.explode(_short_lengths()(F.col("text"))).alias("n")).distinct().collect()]  # under SPAN rows
 
-    def emit(of_item: bool):
+    def emit(of_item: bool, sent=None):
         def run(it):
             hashes = TokenHashes()
             for b in it:
                 for i, row, text in zip(*(b.column(k).to_pylist() for k in range(3))):
                     t = hashes.of(text)
                     for h in seeds(t, item_masks(len(t)) if of_item else document_masks(len(t), sorted(lengths))):
-                        if len(h):
-                            yield pa.RecordBatch.from_arrays([pa.array([i] * len(h), pa.int64()), pa.array([row] * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(np.arange(len(h)))], names=["id", "row", "h", "pos"])
+                        at = np.arange(len(h)) if sent is None else np.flatnonzero(_known(h, sent.value))
+                        if len(at):
+                            yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), pa.int64()), pa.array([row] * len(at), pa.int64()), pa.array(h[at].view(np.int64)), pa.array(at)], names=["id", "row", "h", "pos"])
 
         return run
 
     keyed = lambda df: df.withColumn("row", F.xxhash64("id", "text")).select("id", "row", "text")
     d, t = keyed(docs.toDF("id", "text")), keyed(items.toDF("id", "text"))
-    left, right = d.mapInArrow(emit(False), seeded).alias("d"), t.mapInArrow(emit(True), seeded).alias("t")
+    right = cut_lineage(t.mapInArrow(emit(True), seeded))
+    table = docs.sparkSession.sparkContext.broadcast(_bit_table(right))
+    left = d.mapInArrow(emit(False, table), seeded)
     diagonal = F.col("d.pos") - F.col("t.pos")
     by = [F.col("d.id").alias("id"), F.col("d.row").alias("row"), F.col("t.id").alias("item_id"), F.col("t.row").alias("item_row"), F.floor(diagonal / DIAGONALS).alias("part")]
-    hits = left.join(right, "h").groupBy(*by).agg(F.collect_set(diagonal).alias("diagonals"))
-    hits = cut_lineage(hits)
+    hits = left.alias("d").join(right.alias("t"), "h").groupBy(*by).agg(F.collect_set(diagonal).alias("diagonals"))
+    item_texts = t.dropDuplicates(["id", "row"]).select(F.col("id").alias("t_id"), F.col("row").alias("t_row"), F.col("text").alias("item_text"))
+    met = hits.join(item_texts, F.col("item_id").eqNullSafe(F.col("t_id")) & (F.col("item_row") == F.col("t_row"))).select("id", "row", "item_id", "item_row", "item_text", "diagonals")
+    turn = F.floor(F.row_number().over(Window.partitionBy("id", "row").orderBy("item_row")) / FETCHED)
+    wanted = met.withColumn("turn", turn).groupBy("id", "row", "turn").agg(F.collect_list(F.struct("item_id", "item_text", "diagonals")).alias("items"))
+    wanted = cut_lineage(wanted)
     texts = d.dropDuplicates(["id", "row"])
-    item_texts = t.dropDuplicates(["id", "row"]).select(F.col("id").alias("item_id"), F.col("row").alias("item_row"), F.col("text").alias("item_text"))
-    joined = hits.join(texts, (hits.row == texts.row) & hits.id.eqNullSafe(texts.id)).select(hits.id, hits.row, "text", "item_id", "item_row", "diagonals").join(item_texts, ["item_id", "item_row"])
+    joined = wanted.join(texts, (wanted.row == texts.row) & wanted.id.eqNullSafe(texts.id)).select(wanted.id, wanted.row, "text", "items")
 
     def check(it):
         hashes = TokenHashes()
         for b in it:
             rows = []
-            for doc_id, row, item_id, text, item_text, diagonals in zip(*(b.column(k).to_pylist() for k in range(6))):
-                item = hashes.of(item_text)
-                if found := verified(hashes.of(text), item, diagonals):
-                    rows.append((doc_id, item_id, *found, len(item), row))
+            for doc_id, row, text, found in zip(*(b.column(k).to_pylist() for k in range(4))):
+                doc = hashes.of(text)
+                for x in found:
+                    item = hashes.of(x["item_text"])
+                    if best := verified(doc, item, x["diagonals"]):
+                        rows.append((doc_id, x["item_id"], *best, len(item), row))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * (len(_HIT) + 1))], names=[*_HIT.names, "row"])
 
-    return joined.select("id", "row", "item_id", "text", "item_text", "diagonals").mapInArrow(check, HIT_SCHEMA + ", row long")
+    return joined.mapInArrow(check, HIT_SCHEMA + ", row long")
 
 
 def _short_lengths():

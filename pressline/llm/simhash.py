@@ -236,6 +236,8 @@ COMPARED = 32
 HUBS, STRETCH = 4, 2048
 #: Bytes of shingle sets, and texts, of a block of a large key (on average; blocks are dealt by hash).
 BLOCK_BYTES, BLOCK_NODES = 4 << 20, 1024
+#: Members outside the commonest class beyond which a group is cut by prefixes first.
+WIDE = 4096
 
 
 def shingle_hashes(text: str | None) -> np.ndarray:
@@ -449,27 +451,56 @@ def _block_links(similarity: float):
     return run
 
 
-def _links_between(groups: DataFrame, roots: DataFrame, nodes: DataFrame, shingles: DataFrame, similarity: float, block: tuple[int, int] = (BLOCK_BYTES, BLOCK_NODES)) -> DataFrame | None:
+def _by_prefix(groups: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """(key, node): the groups cut into smaller ones, by prefix filtering. Sets of at least
+    the similarity share a member of their prefixes, the first members in a common order that
+    are too many to be left out. The order begins with the rarest members, so that texts
+    that share a frame alone do not meet, and pairs that are alike are not lost."""
+
+    def members(it):
+        for b in it:
+            sets = [np.frombuffer(x, np.uint32) for x in b.column(1).to_pylist()]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            least = np.ceil(similarity * sizes - 1e-9).astype(np.int64)
+            cat = np.concatenate(sets) if sets else np.zeros(0, np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(cat.astype(np.int64)), pa.array(np.repeat(sizes - least + 1, sizes))], names=["node", "member", "prefix"])
+
+    mine = shingles.join(groups.select("node").distinct(), "node", "left_semi").select("node", "shingles")
+    spread = cut_lineage(mine.mapInArrow(members, "node long, member long, prefix long"))
+    times = spread.groupBy("member").agg(F.count("*").alias("times"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("times", "member"))
+    first = spread.join(times, "member").withColumn("place", place).where("place <= prefix")
+    return groups.join(first.select("node", "member"), "node").select(F.xxhash64("key", "member").alias("key"), "node")
+
+
+def _links_between(groups: DataFrame, roots: DataFrame, nodes: DataFrame, shingles: DataFrame, similarity: float, block: tuple[int, int] = (BLOCK_BYTES, BLOCK_NODES), wide: int | None = WIDE) -> DataFrame | None:
     """a, b: links within the groups (key, node) that join what ``roots`` (node, root)
     has not joined, as a set that spans them; None if every group is joined. The members
     outside the commonest root of their group meet all members of the group: both are
     dealt into blocks by hash, and each pair of blocks is a unit of work of its own. So
-    a large group that is joined but for a few members costs in proportion to its size."""
+    a large group that is joined but for a few members costs in proportion to its size.
+    A group with more than ``wide`` members outside, texts that share a frame and are
+    not alike, is cut by prefixes of the sets first, as its blocks would be too many."""
     members = groups.join(roots, "node", "left").join(nodes.select("node", "size"), "node")
     members = members.select("key", "node", F.coalesce("root", "node").alias("root"), "size")
     by_root = members.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     commonest = F.max_by("root", F.struct("n", F.col("root")))
     parts = lambda size, n: F.greatest(F.ceil(size * 4 / block[0]), F.ceil(n / block[1])).cast("long")
     keys = by_root.groupBy("key").agg(commonest.alias("common"), F.sum("n").alias("n"), F.sum("size").alias("s"), F.max("n").alias("n0"), F.max_by("size", F.struct("n", "root")).alias("s0"))
-    keys = keys.where("n > n0").select("key", "common", parts(F.col("s"), F.col("n")).alias("whole"), parts(F.col("s") - F.col("s0"), F.col("n") - F.col("n0")).alias("outside"))
+    keys = keys.where("n > n0").select("key", "common", parts(F.col("s"), F.col("n")).alias("whole"), parts(F.col("s") - F.col("s0"), F.col("n") - F.col("n0")).alias("outside"), (F.col("n") - F.col("n0")).alias("open"))
     dealt = cut_lineage(members.join(keys, "key").withColumn("h", F.xxhash64("node")))
     if dealt.isEmpty():
         return None
+    cut = None
+    if wide is not None and not dealt.where(F.col("open") > wide).isEmpty():
+        cut = _links_between(_by_prefix(dealt.where(F.col("open") > wide).select("key", "node"), shingles, similarity), roots, nodes, shingles, similarity, block, None)
+        dealt = dealt.where(F.col("open") <= wide)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     all_ = dealt.select("key", upto("outside").alias("i"), F.pmod("h", "whole").alias("j"), F.lit(0).alias("side"), "node", "root")
     outside = dealt.where("root <> common").select("key", F.pmod("h", "outside").alias("i"), upto("whole").alias("j"), F.lit(1).alias("side"), "node", "root")
     rows = all_.unionByName(outside).join(shingles, "node").select("key", "i", "j", "side", "node", "root", "shingles")
-    return cut_lineage(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_block_links(similarity), "a long, b long"))
+    found = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_block_links(similarity), "a long, b long")
+    return cut_lineage(found if cut is None else found.unionByName(cut))
 
 
 def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int = COMPARED) -> DataFrame:

@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from pressline.llm import divergence, license_scan, resample, suffix_dedup
+from pressline.llm import decontaminate, divergence, license_scan, resample, simhash, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -221,3 +221,49 @@ def test_suffix_dedup_of_repeated_rows(spark, limits):
     got = {(r.doc_id, r.n_removed, r.n_spans): r["count"] for r in suffix_dedup.dedup(docs, **limits).groupBy("doc_id", "n_removed", "n_spans").count().collect()}
     assert got == {(7, 2000, 1): 20_000, (8, 0, 0): 1, (9, 500, 1): 1, (None, 0, 0): 1}
     assert time.time() - began < 60
+
+
+# ---- joins of many test items, and wide groups of texts that share a frame
+
+
+@pytest.mark.parametrize("bits,fetched", [(29, 500), (10, 2)])
+def test_decontamination_paths_agree(spark, monkeypatch, bits, fetched):
+    """The join finds what the broadcast does, also with a bit table that is too small and documents fetched in turns."""
+    monkeypatch.setattr(decontaminate, "TABLE_BITS", bits)
+    monkeypatch.setattr(decontaminate, "FETCHED", fetched)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(3, 60)))) for i in range(150)] + [(None, "a b c d e f g h i j k l"), (7, None), (8, "common seed here " * 5)]
+    docs = []
+    for i in range(80):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            t = rng.choice([x for _, x in items if x]).split()
+            for _ in range(rng.randint(0, len(t) // 5)):
+                t[rng.randrange(len(t))] = "zz"
+            parts += [*rng.choices(words, k=rng.randint(0, 10)), *t]
+        docs.append((i, " ".join(parts)))
+    docs += [(None, items[3][1]), (5, docs[5][1]), (6, None)]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    sent, joined = (sorted(map(str, decontaminate.contaminated(d, t, n).collect())) for n in (2_000_000, 0))
+    assert sent == joined and len(sent) > 60
+    kept, left = (sorted(str(r.text) for r in decontaminate.clean(d, t, n).collect()) for n in (2_000_000, 0))
+    assert kept == left
+
+
+def test_wide_groups_are_cut_by_prefixes(spark):
+    """Very many texts under one key that share half their shingles: none meets all others, and the alike are found."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n, frame = 20_000, rng.integers(0, 1 << 31, 40, dtype=np.uint32)
+    sets = [np.unique(np.concatenate([frame, rng.integers(0, 1 << 31, 40, dtype=np.uint32)])) for _ in range(n)]
+    twins = {(i, n + i): np.unique(np.concatenate([sets[i][3:], rng.integers(0, 1 << 31, 3, dtype=np.uint32)])) for i in range(50)}
+    rows = [(i, s.tobytes(), len(s)) for i, s in enumerate(sets)] + [(b, s.tobytes(), len(s)) for (_, b), s in twins.items()]
+    df = spark.createDataFrame(rows, "node long, shingles binary, size long").repartition(4)
+    groups, roots = df.select(F.lit(1).cast("long").alias("key"), "node"), spark.createDataFrame([], "node long, root long")
+    cut = simhash._by_prefix(groups, df.select("node", "shingles"), 0.8)
+    sizes = cut.groupBy("key").count().where("count > 1").agg(F.max("count"), F.sum("count")).first()
+    assert sizes[0] < 100 and sizes[1] < 20 * n
+    links = simhash._links_between(groups, roots, df.select("node", "size"), df.select("node", "shingles"), 0.8)
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in links.collect()} == set(twins)
