@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressline.functions import vocab as V
@@ -65,6 +65,16 @@ def report_counts(report: DataFrame) -> DataFrame:
     return report.groupBy("report_date").agg(*(one(s) for s in V.REPORT_SECTIONS))
 
 
+def scheduled_instant(report_date: Column, zone: str = "Asia/Shanghai") -> Column:
+    """When a day's report is due, in microseconds: as the next day begins in the zone."""
+    return F.unix_micros(F.to_utc_timestamp(F.date_add(F.to_date(report_date), 1).cast("timestamp"), zone))
+
+
+def due_report_date(now_us: Column, zone: str = "Asia/Shanghai") -> Column:
+    """The day whose report is due at a time: the last one that is over in the zone."""
+    return F.date_sub(civil_date(now_us, zone), 1)
+
+
 def needs_regeneration(reports: DataFrame, updates: DataFrame, grace_us: int) -> DataFrame:
     """Days whose report is to be written again: last written before its schedule, or
     an eligible row changed later and within the grace after it; never withdrawn ones.

@@ -84,15 +84,15 @@ def advance_cursor(batches: DataFrame) -> DataFrame:
     """The cursor of each source after all its batches, in batch order. A truncated
     batch keeps the watermark and gathers pending ids and their highest time; the next
     complete one promotes the highest time seen and forgets them. ``batches``: source,
-    batch, truncated, ids (array), high_us (highest time of the batch, may be null)."""
-    rows = batches.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("batch", "truncated", "ids", "high_us"))).alias("b"))
-    start = F.expr("named_struct('watermark', cast(null as bigint), 'high', cast(null as bigint), 'pending', cast(array() as array<string>))")
-
-    def step(acc, x):
-        high = F.greatest(acc["high"], x["high_us"])
-        held = F.struct(acc["watermark"].alias("watermark"), high.alias("high"), F.array_sort(F.array_union(acc["pending"], x["ids"])).alias("pending"))
-        done = F.struct(F.greatest(acc["watermark"], high).alias("watermark"), F.lit(None).cast("bigint").alias("high"), F.expr("cast(array() as array<string>)").alias("pending"))
-        return F.when(x["truncated"], held).otherwise(done)
-
-    c = F.aggregate("b", start, step)
-    return rows.select("source", c["watermark"].alias("watermark_us"), c["high"].alias("pending_high_us"), F.array_join(c["pending"], ",").alias("pending_ids"))
+    batch, truncated, ids (array), high_us (highest time of the batch, may be null), and if
+    there is one, skipped (ids that were looked at and are not to be fetched again).
+
+    The last complete batch tells all: times up to it make the watermark, what comes
+    behind it is pending. So batches are aggregated and never walked one after another."""
+    ids = F.concat("ids", F.coalesce("skipped", F.array().cast("array<string>"))) if "skipped" in batches.columns else F.col("ids")
+    last = batches.where(~F.col("truncated")).groupBy("source").agg(F.max("batch").alias("_last"))
+    rows = batches.select("source", "batch", "high_us", ids.alias("ids")).join(last, "source", "left")
+    done = F.coalesce(F.col("batch") <= F.col("_last"), F.lit(False))
+    sums = rows.groupBy("source").agg(F.max(F.when(done, F.col("high_us"))).alias("watermark_us"), F.max(F.when(~done, F.col("high_us"))).alias("pending_high_us"))
+    pending = rows.where(~done).select("source", F.explode("ids").alias("id")).distinct().groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("pending_ids"))
+    return sums.join(pending, "source", "left").select("source", "watermark_us", "pending_high_us", F.coalesce("pending_ids", F.lit("")).alias("pending_ids"))

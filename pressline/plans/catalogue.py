@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pressline.plans import detail, events, ingest, layout, mechanisms, messages, records, reviews, sites, sql_events, streams
+from pressline.plans import detail, events, ingest, layout, lists, mechanisms, messages, records, reviews, sites, sql_events, streams
 
-MODULES = (events, messages, ingest, streams, layout, detail, sites, mechanisms, reviews, records)
-SQL = (sql_events, messages, ingest, streams, layout, detail, sites, mechanisms, reviews, records)
+MODULES = (events, messages, ingest, streams, layout, detail, sites, mechanisms, reviews, records, lists)
+SQL = (sql_events, messages, ingest, streams, layout, detail, sites, mechanisms, reviews, records, lists)
 
 
 def queries() -> dict:

@@ -8,7 +8,7 @@ from pressline.functions import text as T
 from pressline.functions import vocab as V
 from pressline.operators import detail as D
 from pressline.operators import events as E
-from pressline.operators import ingest, ops, search
+from pressline.operators import daily, ingest, ops, search
 from pressline.plans.events import _mentions, as_of
 from pressline.plans.sql_events import HEAT, q
 from pressline.sources.adapter import view
@@ -189,8 +189,9 @@ def preview_entries(spark, d):
 
 def report_due(spark, d):
     """The report day that is due at each event's time, with how many events say so."""
-    day = F.date_sub(search.civil_date(F.unix_micros(F.col("ts").cast("timestamp"))), 1).cast("string")
-    return _table(spark, d, "events").groupBy(day.alias("report_date")).agg(F.count("*").alias("n"))
+    day = daily.due_report_date(F.unix_micros(F.col("ts").cast("timestamp"))).cast("string")
+    due = _table(spark, d, "events").groupBy(day.alias("report_date")).agg(F.count("*").alias("n"))
+    return due.withColumn("scheduled_us", daily.scheduled_instant(F.col("report_date")))
 
 
 def upsert_sources(spark, d):
@@ -314,7 +315,7 @@ SQL = {
         y as (select x.*, v.section, v.target, case v.section when 0 then {_at('x.id', tuple(D.SECTIONS))} else {_at('x.id', ('champion_buff', 'system_nerf', 'champion_adjustment'))} end kind from x, lateral (values (0, 'target ' || x.id % 5), (0, 'target ' || x.id % 3), (1, 'target ' || x.id % 7)) v(section, target))""",
         r"select id, nullif(regexp_extract(title, '\b(\d{1,2}\.\d{1,2})\b', 1), '') patch, title, section, kind section_type, label, target, target_type, '+' || id % 9 changes from y join k using (kind)",
     ),
-    "report_due": f"select ({_day.format('epoch_us(ts)')} - 1)::date::varchar report_date, count(*) n from events group by 1",
+    "report_due": f"select d::date::varchar report_date, count(*) n, epoch_us(((d + 1)::date)::timestamp) - 28800000000 scheduled_us from (select ({_day.format('epoch_us(ts)')} - 1)::date d from events) group by d",
     "upsert_sources": "select o_custkey * 2 id, 'new' as name from orders group by 1 union all select c_custkey, 'old' from customer where c_custkey not in (select o_custkey * 2 from orders)",
     "delete_keys": q("g as (select count(*) filter (i.status = 'published' or i.id is null) l, count(*) filter (i.status <> 'published') r from mention_all m left join item i on i.id = m.item_id)", "select 'left' what, l n from g union all select 'removed', r from g"),
     "featured_payloads": q(

@@ -214,7 +214,7 @@ def report_close(spark, d):
 
 CLOSE_SQL = """
 with e as (select epoch_us(ts) us, ((epoch_us(ts) + 28800000000) // 86400000000 - case when user_id % 7 = 0 then 1 else 0 end)::int dn from events),
-s as (select *, (dn + 1)::bigint * 86400000000 due from e),
+s as (select *, (dn + 1)::bigint * 86400000000 - 28800000000 due from e),
 d as (select dn, due, count(*) filter (us <= due) n, count(*) filter (us > due and us <= due + 900000000) g, ((select max(us) from e) - 3600000000) // 1000 as now from s group by 1, 2)
 select (date '1970-01-01' + dn)::varchar report_date, 'closed' as "action", due at_us, n updates from d where due // 1000 <= now
 union all select (date '1970-01-01' + dn)::varchar, 'regenerated', due + 900000000, n + g from d where g > 0 and (due + 900000000) // 1000 <= now

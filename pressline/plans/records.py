@@ -141,7 +141,18 @@ def payload_defaults(spark, d):
     return e.select("event_id", provider.alias("provider"), F.get_json_object("payload", "$.k").alias("k")).orderBy(F.desc("event_id")).limit(500)
 
 
+def platform_times(spark, d):
+    """Times of events as platforms write them, read back; some are no times."""
+    k, ts = F.col("event_id"), F.col("ts").cast("timestamp")
+    local = F.from_utc_timestamp(ts, "Asia/Shanghai")
+    connector = _pick(k, ("weibo", "baidu_tieba", "tencent_lol", "x_twitter"))
+    text = _pick(k, (F.date_format(ts, "EEE MMM dd HH:mm:ss '+0000' yyyy"), F.unix_timestamp(ts).cast("string"), F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    text = F.when(k % 9 == 8, _pick(k, ("soon", "0", "2024-01-01", " "))).otherwise(text)
+    return _table(spark, d, "events").select("event_id", platforms.platform_micros(connector, text).alias("us"))
+
+
+TIMES_SQL = "select event_id, case when event_id % 9 = 8 then null else epoch_us(ts) // 1000000 * 1000000 end us from events"
 DEFAULTS_SQL = "select event_id, coalesce(nullif((['', 'p1', 'p2'])[event_id % 3 + 1], ''), 'default') provider, json_extract_string(props, '$.k') k from events order by event_id desc limit 500"
 
-QUERIES = {"tweet_records": tweet_records, "weibo_records": weibo_records, "thread_floors": thread_floors, "case_files": case_files, "stored_report": stored_report, "trace_sums": trace_sums, "payload_defaults": payload_defaults}
-SQL = {"tweet_records": TWEETS_SQL, "weibo_records": WEIBO_SQL, "thread_floors": FLOORS_SQL, "case_files": CASES_SQL, "stored_report": STORED_SQL, "trace_sums": TRACES_SQL, "payload_defaults": DEFAULTS_SQL}
+QUERIES = {"tweet_records": tweet_records, "weibo_records": weibo_records, "thread_floors": thread_floors, "case_files": case_files, "stored_report": stored_report, "trace_sums": trace_sums, "payload_defaults": payload_defaults, "platform_times": platform_times}
+SQL = {"tweet_records": TWEETS_SQL, "weibo_records": WEIBO_SQL, "thread_floors": FLOORS_SQL, "case_files": CASES_SQL, "stored_report": STORED_SQL, "trace_sums": TRACES_SQL, "payload_defaults": DEFAULTS_SQL, "platform_times": TIMES_SQL}

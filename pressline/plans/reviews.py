@@ -212,7 +212,7 @@ def report_regeneration(spark, d):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     day = search.civil_date(us)
     updates = _table(spark, d, "events").where("user_id % 7 = 0").select(F.date_sub(day, 1).cast("string").alias("report_date"), us.alias("updated_us"))
-    due = F.unix_micros(F.to_utc_timestamp(F.date_add(day, 1).cast("timestamp"), "Asia/Shanghai")) + 8 * 3_600_000_000
+    due = daily.scheduled_instant(day)
     n = F.dayofmonth(day)
     days = _table(spark, d, "events").select(day.cast("string").alias("report_date"), due.alias("scheduled_us"), (due + F.when(n % 5 == 0, -60_000_000).otherwise(120_000_000)).alias("written_us"), (n % 6 == 0).alias("withdrawn")).distinct()
     return daily.needs_regeneration(days, updates, 15 * 60_000_000)
@@ -220,7 +220,7 @@ def report_regeneration(spark, d):
 
 REGENERATION_SQL = """
 with e as (select epoch_us(ts) us, user_id, ((epoch_us(ts) + 28800000000) // 86400000000)::int dn from events),
-d as (select distinct dn, (dn + 1)::bigint * 86400000000 due, day(date '1970-01-01' + dn) n from e),
+d as (select distinct dn, (dn + 1)::bigint * 86400000000 - 28800000000 due, day(date '1970-01-01' + dn) n from e),
 w as (select *, due + case when n % 5 = 0 then -60000000 else 120000000 end written from d where n % 6 <> 0),
 u as (select dn - 1 dn, max(us) us from e where user_id % 7 = 0 group by 1)
 select (date '1970-01-01' + w.dn)::varchar report_date from w left join u using (dn) where written < due or (u.us > written and u.us <= due + 900000000)

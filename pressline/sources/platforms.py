@@ -45,6 +45,19 @@ def _distinct_by_url(xs: Column) -> Column:
     return F.filter(xs, lambda x, i: F.array_position(links, x["url"]) == i + 1)
 
 
+def platform_micros(connector: Column, value: Column) -> Column:
+    """Microseconds of a time as each platform writes it: ISO, the mail form, seconds since
+    the epoch, or Shanghai's clock; null for anything else, and for zero seconds."""
+    mail = F.try_to_timestamp(F.regexp_replace(value, r"^\w+,? ", ""), F.lit("MMM dd HH:mm:ss Z yyyy"))
+    seconds = F.when(value.rlike(r"^\s*\d{1,12}\s*$"), F.trim(value).cast("long"))
+    clock = F.when(value.rlike(r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"), value)
+    shanghai = F.unix_micros(F.to_utc_timestamp(F.try_to_timestamp(clock, F.lit("yyyy-M-d H:m:s")), "Asia/Shanghai"))
+    return (
+        F.when(connector == "weibo", F.unix_micros(mail)).when(connector == "baidu_tieba", F.when(seconds > 0, seconds * 1_000_000)).when(connector == "tencent_lol", shanghai)
+        .otherwise(F.unix_micros(F.try_to_timestamp(F.nullif(F.trim(value), F.lit("")))))
+    )
+
+
 # ---- X / Twitter
 
 

@@ -13,19 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from pressline.operators.daily import scheduled_instant
 from pressline.operators.search import civil_date
 
 GRACE_US = 15 * 60_000_000
-SCHEDULE_US = 8 * 3_600_000_000  # after the day's end
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "report_date string, action string, at_us long, updates long"
 
 
-def scheduled(report_date) -> F.Column:
-    """When the report of a Shanghai day is due: eight hours into the next one."""
-    return F.unix_micros(F.to_utc_timestamp(F.date_add(F.to_date(report_date), 1).cast("timestamp"), "Asia/Shanghai")) + SCHEDULE_US
-
-
 def _row(report_date: str, action: str, at_us: int, updates: int) -> pd.DataFrame:
     return pd.DataFrame({"report_date": pd.Series([report_date], dtype=object), "action": pd.Series([action], dtype=object), "at_us": [at_us], "updates": [updates]})
 
@@ -75,13 +70,13 @@ class Closing(StatefulProcessor):
 def closing_stream(updates: DataFrame, late: str = "1 hour", grace_us: int = GRACE_US) -> DataFrame:
     """report_date, action (closed or regenerated), at_us, updates of a stream of updates
     (report_date, ts). The session's state store must be RocksDB, see ``with_rocks``."""
-    rows = updates.withWatermark("ts", late).select("report_date", "ts", F.unix_micros("ts").alias("updated_us"), scheduled("report_date").alias("scheduled_us"))
+    rows = updates.withWatermark("ts", late).select("report_date", "ts", F.unix_micros("ts").alias("updated_us"), scheduled_instant(F.col("report_date")).alias("scheduled_us"))
     return rows.groupBy("report_date").transformWithStateInPandas(Closing(grace_us), OUT, "Append", "EventTime")
 
 
 def closing_table(updates: DataFrame, late_us: int = 3_600_000_000, grace_us: int = GRACE_US) -> DataFrame:
     """The same of a table, as of its newest update less the allowed lateness."""
-    rows = updates.select("report_date", F.unix_micros("ts").alias("updated_us"), scheduled("report_date").alias("scheduled_us"))
+    rows = updates.select("report_date", F.unix_micros("ts").alias("updated_us"), scheduled_instant(F.col("report_date")).alias("scheduled_us"))
     now = rows.agg(F.floor((F.max("updated_us") - late_us) / 1000)).scalar()
     count = lambda test: F.sum(F.when(test, 1).otherwise(0))
     day = rows.groupBy("report_date", "scheduled_us").agg(count(F.col("updated_us") <= F.col("scheduled_us")).alias("before"), count((F.col("updated_us") > F.col("scheduled_us")) & (F.col("updated_us") <= F.col("scheduled_us") + grace_us)).alias("grace"))

@@ -1,6 +1,7 @@
 """Messages, reports, blocks, entities, sources and cursors on small fixtures."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,13 @@ def test_cursor_fold_equals_steps(spark):
     assert c == {"watermark": 30, "high": None, "pending": ["d"]}
     r = ingest.advance_cursor(spark.createDataFrame([(1, *s) for s in steps], "source int, batch int, truncated boolean, ids array<string>, high_us long")).first()
     assert (r.watermark_us, r.pending_high_us, r.pending_ids) == (30, None, "d")
+    rng = random.Random(3)
+    steps = [(s, n, rng.random() < 0.7, [f"{s}-{n}", "same"], rng.choice([None, rng.randrange(99)]), [f"skip{n}"] if rng.random() < 0.3 else None) for s in range(20) for n in range(rng.randint(1, 9))]
+    folded: dict = {}
+    for s, _, truncated, ids, high, skipped in steps:
+        folded[s] = cursor.next_cursor(folded.get(s, {}), ids, [high] if high is not None else [], truncated, skipped or [])
+    got = ingest.advance_cursor(spark.createDataFrame(steps, "source int, batch int, truncated boolean, ids array<string>, high_us long, skipped array<string>")).collect()
+    assert {r.source: (r.watermark_us, r.pending_high_us, r.pending_ids) for r in got} == {s: (c["watermark"], c["high"], ",".join(c["pending"])) for s, c in folded.items()}
     assert cursor.since({"watermark": 100_000_000}, None, 1) == 40_000_000
 
 

@@ -106,7 +106,7 @@ def test_counters_of_a_failing_run(spark, tmp_path):
 
 
 def test_days_close_reopen_and_close(spark, tmp_path):
-    due = 1_704_067_200_000_000 + 8 * 3_600_000_000 - 8 * 3_600_000_000  # 2023-12-31 is due at 08:00 on the first in Shanghai
+    due = 1_704_067_200_000_000 - 8 * 3_600_000_000  # 2023-12-31 is due as the first of January begins in Shanghai
     minute = lambda m: due + m * MINUTE
     schema = "report_date string, us long"
     batches = [[("2023-12-31", minute(-100)), ("2023-12-31", minute(-1)), ("2024-01-01", minute(-50))], [("2023-12-31", minute(10)), ("2024-01-01", minute(12))], [("2024-01-01", minute(90))], [("2023-12-31", minute(14)), ("2024-01-02", minute(1500))], [("2024-01-03", minute(6000))]]
@@ -306,3 +306,26 @@ def test_names_compare_by_compatible_and_folded_forms(spark):
     same = [[("team", a, "core"), ("team", b, "core")] for a, b in (("Straße", "STRASSE"), ("ﬁnal", "Final"), ("ｶﾞｽﾄ", "ガスト"), ("Ｔ１", "t1"))]
     df = spark.createDataFrame([(x,) for x in same], "e array<struct<type:string,name:string,role:string>>")
     assert [len(r.n) for r in N.compatible_entities(df, "e").select(N.normalize_entities(F.col("e")).alias("n")).collect()] == [1, 1, 1, 1]
+
+
+# ---- bulk collection
+
+
+def test_bulk_collection_goes_on_where_it_stopped(spark, tmp_path):
+    from pressline.streaming.collect import Collection
+
+    recording = cursor.Recording(str(tmp_path / "in"))
+    us = 1_700_000_000_000_000
+    for n in range(6):
+        new = {"id": f"m{n}", "external_id": f"m{n}", "title": f"t{n}", "content": f"text {n}", "published_us": us + n * MINUTE, "published_at": f"2024-01-01T00:0{n}:00Z"}
+        again = {"id": f"m{n - 1}", "external_id": f"m{n - 1}", "title": f"t{n - 1} new", "content": "again", "published_us": us + (n - 1) * MINUTE} if n else {"id": "bad", "published_us": us}
+        recording.add(n, [new, again])
+    c = Collection("manual", 7, str(tmp_path / "in"), str(tmp_path / "out"), overlap_minutes=5, batches_per_trigger=2)
+    first = c.run(spark, most_triggers=1).collect()
+    assert 0 < sum(r.discovered for r in first) < 12
+    summary = c.run(spark).collect()
+    assert sum(r.discovered for r in summary) == 12 and sum(r.accepted for r in summary) == 11 and sum(r.rejected for r in summary) == 1
+    got = {r.external_id: r.native_title for r in c.candidates(spark).collect()}
+    assert set(got) == {f"m{n}" for n in range(6)} and got["m5"] == "t5" and got["m1"] == "t1 new"  # batches 1 and 2 come in different triggers
+    assert [r.error for r in c.rejects(spark).collect()] == ["no content blocks"]
+    assert sum(r.discovered for r in c.run(spark).collect()) == 12

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pressline.operators import daily, ops, reviews
+from pressline.operators import daily, lists, ops, reviews
 from pressline.sources import connectors, files, platforms
 
 TWEET = {
@@ -132,3 +132,15 @@ def test_reports_keep_all_rows(spark, tmp_path):
     page = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/page").collect())
     assert spark.read.json(f"{tmp_path}/rows").count() == 120 and page.startswith("# Rows") and "there are more" in page and "a\\|99" in page and "a\\|100" not in page
     assert "more" not in files.markdown_table(df.limit(100), 100)
+
+
+def test_lists(spark):
+    runs = spark.createDataFrame([(i, i % 3, "failed" if i % 2 else "completed", i * 10) for i in range(30)], "id int, source_id int, status string, started_us long")
+    page, total = lists.run_page(runs, 1, "all", False, 3, 2)
+    assert [r.id for r in page.collect()] == [7, 10, 13] and total.first().total == 10
+    for bad in ({"status": "odd"}, {"limit": 0}, {"limit": 101}):
+        with pytest.raises(ValueError):
+            lists.run_page(runs, **bad)
+    ids = spark.createDataFrame([(3,), (3,), (99,), (None,)], "x int")
+    assert [r.id for r in lists.by_ids(runs, ids).collect()] == [3]
+    assert lists.newest(spark.range(600).withColumn("at", F.col("id")), "jobs", "at").count() == 500
