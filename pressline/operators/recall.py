@@ -37,10 +37,13 @@ def recall_candidates(items: DataFrame, events: DataFrame, limit: int = KEPT) ->
     concrete = F.filter("products", lambda p: p != "unknown")
     every = F.array(*(F.lit(p) for p in (*V.PRODUCT_EVENT_FAMILIES, "unknown", MIXED)))
     text = F.concat_ws(" ", *(F.when(F.length(c) > 0, F.col(c)) for c in ("title", "summary")), F.substring("content", 1, TEXT))
-    i = items.select(
+    # words and families of a message are worked out before it is dealt over products and families
+    said = items.select(
         F.col("id").alias("item_id"), "products", "seen_us", "anchors", T.word_set(text).alias("words"),
-        F.explode(F.when(F.size(concrete) > 0, concrete).otherwise(every)).alias("event_product"), event_families(F.col("products"), F.col("topics")).alias("families"),
-    ).withColumn("event_family", F.explode("families"))
+        F.when(F.size(concrete) > 0, concrete).otherwise(every).alias("of"), event_families(F.col("products"), F.col("topics")).alias("families"),
+    )
+    own = ["item_id", "products", "seen_us", "anchors", "words"]
+    i = said.select(*own, "families", F.explode("of").alias("event_product")).select(*own, "event_product", F.explode("families").alias("event_family"))
     joined = i.join(F.broadcast(e), ["event_product", "event_family"]).where(F.col("event_seen").isNull() | (F.col("event_seen") >= F.col("seen_us") - WINDOW_DAYS * DAY))
     # each part of the score once; a candidate pair is scored before it is ranked
     same, overlap, alike = F.arrays_overlap("products", "event_products"), F.size(F.array_intersect("anchors", "event_anchors")), T.jaccard(F.col("words"), F.col("event_words"))

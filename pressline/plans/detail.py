@@ -11,7 +11,7 @@ from pressline.operators import events as E
 from pressline.operators import daily, ingest, ops, search
 from pressline.plans.events import _mentions, as_of
 from pressline.plans.sql_events import HEAT, q
-from pressline.sources.adapter import view
+from pressline.sources.adapter import known, view
 
 
 def _table(spark, d, name):
@@ -31,7 +31,7 @@ def _pick(x, values):
 
 def _assets(spark, d):
     """Media of messages: published, servable and private ones by the event's id."""
-    i, n = F.col("event_id"), _table(spark, d, "documents").count()
+    i, n = F.col("event_id"), known(spark, d)["documents"]
     path = F.concat(_pick(i, ("/media/x/", "/media/private/", "/api/", "/media/w/")), i.cast("string"))
     return _table(spark, d, "events").select(i.alias("asset_id"), (i % n).alias("raw_item_id"), F.floor(i / n % 4).cast("int").alias("block_index"), F.when(i % 5 == 0, F.concat(F.lit("/media/public/"), i.cast("string"))).alias("public_path"), path.alias("storage_path"))
 
@@ -121,7 +121,7 @@ def claimable_jobs(spark, d):
 
 def stale_events(spark, d):
     events = view(spark, d, "story").select("id", F.col("last_seen_us").alias("calculated_us"))
-    return D.stale_events(events, view(spark, d, "latest_us").first()[0], ttl_s=86_400)
+    return D.stale_events(events, known(spark, d)["latest_us"], ttl_s=86_400)
 
 
 def ttl_refresh(spark, d):
@@ -215,7 +215,7 @@ def recent_alerts(spark, d):
         F.col("event_id").alias("id"), F.concat(F.lit("collection_failure:"), (F.col("user_id") % 20).cast("string"), F.lit(":network:"), F.col("event_id").cast("string")).alias("dedupe_key"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("created_us"), _pick(F.col("event_id"), ("pending", "sent", "dead", "failed")).alias("status"),
     )
-    return D.recently_sent(e, "collection_failure:7:network:", view(spark, d, "latest_us").first()[0], 10 * 86_400).select("id", "status")
+    return D.recently_sent(e, "collection_failure:7:network:", known(spark, d)["latest_us"], 10 * 86_400).select("id", "status")
 
 
 QUERIES = {

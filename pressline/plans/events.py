@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pressline.functions.lineage import materialised
 from pressline.operators import events as E
-from pressline.sources.adapter import view
+from pressline.sources.adapter import known, view
 
 
 def _mentions(spark: SparkSession, d: str) -> DataFrame:
@@ -21,7 +21,7 @@ def _snapshots(spark: SparkSession, d: str, mentions: DataFrame | None = None) -
 
 def as_of(spark: SparkSession, d: str):
     """The reference time as a literal: the latest event."""
-    return F.lit(view(spark, d, "latest_us").first()[0])
+    return F.lit(known(spark, d).get("latest_us")).cast("long")
 
 
 def heat_contributions(spark, d):

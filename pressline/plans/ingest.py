@@ -90,7 +90,7 @@ def anchors(spark, d):
 def _reposts(spark, d):
     """Messages beside a page's url as their upstream."""
     pages = _table(spark, d, "pages").select(F.col("page_id").alias("_p"), F.col("url").alias("upstream"))
-    n = pages.count()
+    n = pages.agg(F.count("*")).scalar()
     items = view(spark, d, "item").select("id", "content_form", "source_id", (F.col("id") % 6).isin(0, 3).alias("is_official"), (F.col("id") % n).alias("_p"))
     return items.join(pages, "_p", "left")
 

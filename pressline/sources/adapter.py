@@ -130,7 +130,7 @@ def _needed(name: str, sql: dict[str, str]) -> list[str]:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view of the news model as a DataFrame, over the views and tables it needs."""
-    sql = views(Dialect(spark=True, known=_known(spark, sf_dir)))
+    sql = views(Dialect(spark=True, known=known(spark, sf_dir)))
     needed = _needed(name, sql)
     text = " ".join(sql[v] for v in needed)
     tables = [f"{t} as (select * from parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES if re.search(rf"\b(?:from|join)\s+{t}\b", text)]
@@ -141,7 +141,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _COUNTED: dict[tuple[str, str], dict[str, int]] = {}
 
 
-def _known(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+def known(spark: SparkSession, sf_dir: str) -> dict[str, int]:
     """Row counts and the latest time of the source tables, one small query for each
     folder that a session reads."""
     key = (spark.sparkContext.applicationId, sf_dir)
