@@ -74,6 +74,13 @@ SQL = {
     "patch_sections": q(LINES, "select * from sec"),
     "patch_section_groups": q(LINES, "select image_id, g as \"group\", section_type, section_label, count(*) records, min(line) first_position from g2 group by 1, 2, 3, 4"),
     "patch_divider": q(LINES, "select t.image_id, case when b.n >= need then round(md)::int end divider_x, round(case when b.n >= need then least(1.0, b.n / 8) else coalesce(b.n / need, 0) end, 6) support from tot t left join bst b using (image_id)"),
+    "patch_rows": q(LINES, "select image_id, (dense_rank() over (partition by image_id order by line // 2) - 1)::int as \"row\", coalesce(string_agg(trim(text, ' '), '  ' order by x0, text) filter (trim(text, ' ') <> ''), '') as text from typed group by image_id, line // 2"),
+    "chunk_packing": q(
+        """t as (select id, unnest(list_zip(range(1, len(string_split(text, chr(10)))::bigint + 1), string_split(text, chr(10)))) z from raw),
+        p as (with recursive w as (select distinct id, 0::bigint i, 0::bigint n, 0::bigint c, 0 k from t union all select t.id, w.i + 1, case when f.y then 1 else n + 1 end, case when f.y then length(z[2]) + 80 else c + length(z[2]) + 80 end, case when f.y then k + 1 else k end
+            from w join t on t.id = w.id and t.z[1] = w.i + 1, lateral (select w.n > 0 and (w.n >= 5 or w.c + length(z[2]) + 80 > 800) y) f) select * from w where i > 0)""",
+        "select id, k chunk, count(*) blocks from p group by 1, 2",
+    ),
     "lookup_list": "with l as (select l_orderkey issue, l_linenumber pos, l_suppkey, case when s_suppkey is not null then 's' || l_suppkey end nm from lineitem join orders on o_orderkey = l_orderkey left join supplier on 2 * s_suppkey = l_suppkey) select issue, coalesce(string_agg(nm, ',' order by pos, l_suppkey), '') \"names\", count(*) filter (nm is null) missing from l group by 1",
     "error_classes": """with e as (select event_id id, (['x_twitter', 'weibo', 'baidu_tieba', 'manual'])[event_id % 4 + 1] c, (['configuration', 'collection', 'lookup'])[event_id % 3 + 1] k, lower((['Missing cookie', 'was rate limited', 'request Rejected', 'page no longer exists', '登录', 'timeout', 'unsupported value'])[event_id % 7 + 1]) m from events where event_type = 'error')
       select id, case when k = 'configuration' and c = 'x_twitter' then (case when regexp_matches(m, 'cookie|auth|login|ct0|token') then 'authentication' else 'configuration' end) when k = 'configuration' and c = 'weibo' then (case when regexp_matches(m, 'login|profile|cookie|登录') then 'authentication' else 'configuration' end)

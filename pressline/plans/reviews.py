@@ -236,6 +236,14 @@ def quoted_posts(spark, d):
     return i.select("id", B.has_quoted_post(blocks).alias("quoted"), F.length(picked).alias("picked"))
 
 
+QUOTED_SQL = q(
+    """l as (select id, unnest(list_zip(range(0, len(string_split(content, chr(10)))::bigint), string_split(content, chr(10)))) z from item),
+    o as (select id, trim(z[2], ' ') t, row_number() over (partition by id order by contains(lower(z[2]), 'patch')::int + contains(lower(z[2]), 'free')::int desc, z[1]) n from l where trim(z[2], ' ') <> ''),
+    p as (with recursive w as (select id, 0::bigint n, 0::bigint used from item union all select o.id, o.n, case when used < 300 then used + least(length(t), 300 - used) + 1 else used end from w join o on o.id = w.id and o.n = w.n + 1) select id, max(used) used from w group by 1)""",
+    "select id, id % 3 = 0 quoted, greatest(used - 1, 0)::int picked from p",
+)
+
+
 def manual_imports(spark, d):
     """Documents handed in by hand, as candidates."""
     k = F.col("doc_id")
@@ -257,5 +265,5 @@ QUERIES = {
 }
 SQL = {
     "review_corrections": CORRECTIONS_SQL, "legal_label_sets": LEGAL_SQL, "ordered_topics": TOPICS_SQL, "claim_fingerprints": CLAIMS_SQL, "messages_without_type": TYPES_SQL, "repost_accounts": ACCOUNTS_SQL, "message_children": CHILDREN_SQL,
-    "alert_cards": CARDS_SQL, "text_marks": MARKS_SQL, "search_between": BETWEEN_SQL, "report_regeneration": REGENERATION_SQL, "manual_imports": MANUAL_SQL,
+    "alert_cards": CARDS_SQL, "text_marks": MARKS_SQL, "search_between": BETWEEN_SQL, "report_regeneration": REGENERATION_SQL, "quoted_posts": QUOTED_SQL, "manual_imports": MANUAL_SQL,
 }
