@@ -24,6 +24,8 @@ whatever their names. Where spans of one label tie, the label counts once.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,7 +88,9 @@ def wanted_runs(spark: SparkSession, templates: list[tuple[str, str]], phrases:
         rows += [(r, n, label, len(phrase.split(" ")), 0) for r in [phrase, *begun]]
         if len(phrase.split(" ")) < k:
             key = F.when(F.col("run").startswith(f"{phrase} ") & ~F.col("run").isin(begun), phrase).otherwise(key)
-    return spark.createDataFrame(rows, "as_text string, template int, label string, t_words int, j int"), key
+    fields = {"as_text": "string", "template": "int", "label": "string", "t_words": "int", "j": "int"}
+    literal = F.from_json(F.lit(json.dumps([dict(zip(fields, r)) for r in rows])), f"array<struct<{','.join(f'{n}:{t}' for n, t in fields.items())}>>")
+    return spark.range(1).select(F.inline(literal)), key
 
 
 def rolled(docs: DataFrame, k: int) -> DataFrame:
