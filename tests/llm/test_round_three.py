@@ -267,3 +267,52 @@ def test_wide_groups_are_cut_by_prefixes(spark):
     assert sizes[0] < 100 and sizes[1] < 20 * n
     links = simhash._links_between(groups, roots, df.select("node", "size"), df.select("node", "shingles"), 0.8)
     assert {(min(r.a, r.b), max(r.a, r.b)) for r in links.collect()} == set(twins)
+
+
+# ---- language machines against independent forms
+
+
+def test_machines_reach_the_optimum():
+    """Accelerated descent against Newton's method on the same objective."""
+    import numpy as np
+
+    from pressline.llm import language_id
+
+    rng = np.random.default_rng(4)
+    for n, m in ((60, 30), (200, 20), (30, 300)):
+        x = rng.normal(size=(n + m, 12))
+        x[:n] += 0.4
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = np.r_[np.ones(n), -np.ones(m)]
+        each = np.where(y > 0, 0.5 / n, 0.5 / m)
+        one = np.column_stack([x, np.ones(n + m)])
+        objective = lambda w: (each * np.maximum(0, 1 - y * (one @ w)) ** 2).sum() + language_id.L2 / 2 * w @ w
+        best = np.zeros(13)
+        for _ in range(200):
+            active = 1 - y * (one @ best) > 0
+            a = one[active]
+            new = np.linalg.solve(2 * (a * each[active, None]).T @ a + language_id.L2 * np.eye(13), 2 * a.T @ (each * y)[active])
+            best = min((best + s * (new - best) for s in (1, 0.5, 0.25, 0.1, 0.01)), key=objective)
+        w, offset = language_id.train_pair(x.astype(np.float32), y.astype(np.float32))
+        assert objective(np.r_[w, offset]) <= 1.02 * objective(best) + 1e-4
+
+
+def test_duels_counted_by_hand():
+    import itertools
+
+    from pressline.llm import language_id
+
+    c = language_id.Classifier({"families": {}, "machines": {}})
+    rng = random.Random(2)
+    for size in (1, 2, 3, 5):
+        for _ in range(50):
+            names = [f"l{i}" for i in range(size)]
+            margins = {("lang", a, b): rng.choice([-1.0, -0.25, 0.0, 0.25, 1.5]) for a, b in itertools.combinations(names, 2)}
+            of = lambda a, b: margins["lang", a, b] if (("lang", a, b) in margins) else -margins["lang", b, a]
+            table = []
+            for a in names:
+                won = sum(of(a, b) > 0 or (of(a, b) == 0 and a < b) for b in names if b != a)
+                table.append((-won, -sum(of(a, b) for b in names if b != a), a))
+            best = min(table)[2]
+            got, confidence = c._choose("lang", names, margins)
+            assert got == best and confidence == pytest.approx(min([1.0, *(1 / (1 + math.exp(-4 * of(best, b))) for b in names if b != best)]))
