@@ -316,3 +316,50 @@ def test_duels_counted_by_hand():
             best = min(table)[2]
             got, confidence = c._choose("lang", names, margins)
             assert got == best and confidence == pytest.approx(min([1.0, *(1 / (1 + math.exp(-4 * of(best, b))) for b in names if b != best)]))
+
+
+# ---- the randomness battery against a slow form
+
+
+def slow_randomness(token, alphabet):
+    from itertools import groupby
+
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    k, n = len(alphabet), len(token)
+    values = [alphabet.index(c) for c in token]
+    if len(set(values)) == 1:
+        return 0.0
+    chi = sum((values.count(s) - n / k) ** 2 / (n / k) for s in range(k))
+    ps = [tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))]
+    kind = lambda c: "digit" if c.isdigit() else "upper" if c.isupper() else "lower" if c.islower() else "other"
+    expected = {x: n * sum(kind(c) == x for c in alphabet) / k for x in {kind(c) for c in alphabet}}
+    expected = {x: e for x, e in expected.items() if e / n > 0.05}
+    chi, df = sum((sum(kind(c) == x for c in token) - e) ** 2 / e for x, e in expected.items()), len(expected) - 1
+    # tails of the chi-squared distribution with one and two degrees of freedom
+    ps.append(1.0 if df < 1 else math.exp(-chi / 2) if df == 2 else math.erfc(math.sqrt(chi / 2)))
+    high = [v >= k / 2 for v in values]
+    runs, n1 = len(list(groupby(high))), sum(high)
+    n0 = n - n1
+    if n0 and n1:
+        mean = 2 * n1 * n0 / n + 1
+        var = 2 * n1 * n0 * (2 * n1 * n0 - n) / (n * n * (n - 1))
+        ps.append(2 * tail(abs(runs - mean) / math.sqrt(var)) if var > 0 else 1.0)
+    else:
+        ps.append(2.0 ** (1 - n))
+    middle = (k - 1) / 2
+    r = sum((a - middle) * (b - middle) for a, b in zip(values, values[1:])) / sum((v - middle) ** 2 for v in values)
+    ps.append(2 * tail(abs(r) * math.sqrt(n)))
+    h = -sum(math.log(min(1.0, max(p, 1e-300))) for p in ps)
+    return min(1.0, math.exp(-h) * sum(h**i / math.factorial(i) for i in range(4)))
+
+
+def test_randomness_against_a_slow_form():
+    from pressline.llm import secret_scan
+
+    rng = random.Random(6)
+    for e, (name, alphabet) in enumerate(secret_scan.ENCODINGS):
+        for _ in range(40):
+            n = rng.randint(20, 90)
+            few = alphabet if rng.random() < 0.5 else "".join(rng.sample(alphabet, rng.randint(1, min(6, len(alphabet)))))
+            token = "".join(rng.choice(few) for _ in range(n)) if rng.random() < 0.8 else "".join(sorted(rng.choice(alphabet) for _ in range(n)))
+            assert secret_scan.randomness(token, e) == pytest.approx(slow_randomness(token, alphabet), rel=1e-6, abs=1e-12), (name, token)
