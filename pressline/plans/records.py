@@ -127,11 +127,11 @@ def trace_sums(spark, d):
     """Calls, tokens and latency of the traces in the newest thousand checkpoints, at any depth."""
     n, part = F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")
     text = F.concat(F.lit('{"a":{"b":{"model":"m","usage":{"total_tokens":'), part, F.lit('},"in":{"model":"not outermost"}}},"c":{"prompt_name":"p","latency_ms":'), n, F.lit('},"d":[{"model":"in a list"}]}'))
-    rows = _table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), text.alias("snapshot"))
+    rows = _table(spark, d, "lineitem").select(((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")).alias("id"), text.alias("snapshot"))
     return files.trace_totals(rows).withColumn("latency_ms", F.round("latency_ms", 6))
 
 
-TRACES_SQL = "with n as (select l_partkey, l_linenumber from lineitem order by l_orderkey * 8 + l_linenumber desc limit 1000) select count(*) * 2 calls, sum(l_partkey)::bigint tokens, round(sum(l_linenumber) / (2 * count(*)), 6) latency_ms from n"
+TRACES_SQL = "with n as (select l_partkey, l_linenumber from lineitem order by (l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey desc limit 1000) select count(*) * 2 calls, sum(l_partkey)::bigint tokens, round(sum(l_linenumber) / (2 * count(*)), 6) latency_ms from n"
 
 
 def payload_defaults(spark, d):
