@@ -104,7 +104,7 @@ DECAY = (1.0, 0.75, 0.55, 0.4, 0.25, 0.15)
 SHOWN = 32
 
 #: Share of the own best container's text below which a host's path is not believed.
-LEAST_SHARE = 0.1
+LEAST_SHARE = 0.05
 
 KEPT, IN_FORM, LEFT_OUT = 0, 1, 2
 
