@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Iterator
@@ -70,6 +71,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_files(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are written and gone. It does
+    so when the driver's memory is swept, Python's references first; a job of very many small
+    shuffles would otherwise hold their files until that happens by itself."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: spreads every input bit over the 64-bit word."""
     h = h ^ (h >> np.uint64(30))

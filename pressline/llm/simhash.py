@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from .common import ascii_lower, cut_lineage, find_words, table
+from .common import ascii_lower, cut_lineage, find_words, release_files, table
 
 SEED = 42
 SHINGLE = 3
@@ -206,6 +206,8 @@ def components(edges: DataFrame) -> DataFrame:
         near = _beside_minimum(large, tasks)
         small = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.where("v = m").select("u", "v"))
         edges = cut_lineage(small.where("u <> v").coalesce(tasks).repartition(tasks, "u", "v").distinct().coalesce(tasks))
+        del both, large, near, small
+        release_files(edges.sparkSession)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -521,6 +523,8 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int =
     same = nodes.join(by_fp, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     by_bands, hot = _copy_candidates(nodes, compared)
     candidates = cut_lineage(by_bands.unionByName(by_bits).unionByName(same).distinct())
+    del by_bands, by_bits, same
+    release_files(docs.sparkSession)
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).unionByName(hot.select("node")).distinct()
 
     def sets(it):
@@ -532,6 +536,7 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int =
     chosen = found.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id")).alias("c")).join(wanted, "node").select(F.col("c.doc_id").alias("_c"), F.col("node").alias("_n"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen.select("_c").distinct(), F.col("doc_id").eqNullSafe(F.col("_c")), "left_semi").select("text")
     shingles = cut_lineage(texts.mapInArrow(sets, "node long, shingles binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    release_files(docs.sparkSession)
     left = shingles.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = shingles.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
 
@@ -548,6 +553,7 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY, compared: int =
 
     linked = candidates.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
     roots = cut_lineage(components(linked))
+    release_files(docs.sparkSession)
     alike = components(near).select(F.col("node").alias("fp"), F.col("root").alias("key"))
     by_component = nodes.join(alike, "fp", "left").select(F.coalesce("key", "fp").alias("key"), "node")
     more = _links_between(hot.unionByName(by_component), roots, nodes, shingles, similarity)
