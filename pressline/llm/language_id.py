@@ -6,7 +6,9 @@ and then the language within it, where close relatives only compete with each
 other. Each pair of classes is trained in its own Spark task on a sample of at most
 ``SAMPLE`` labelled documents per class, chosen by the hash of the id; a family's share
 is divided evenly among its languages. So a task holds at most twice ``SAMPLE`` vectors,
-however many languages there are.
+however many languages there are; they are dealt out ``STEP`` at a time. The vectors stay on
+the executors' disks until the machines are there: files of the checkpoint folder would be as
+many as the shuffle has partitions, nearly all of them empty.
 
 Defined cases: a null text and one without letters (Unicode categories L*) are ``und``
 with score 0; so is every text if nothing can be learned; with a single language that
@@ -20,21 +22,25 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, cut_lineage, table
+from .common import crc_bucket, table
 
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
 #: Bound of the labelled documents per class (language or family) that a machine is fitted on.
 SAMPLE = 1000
 DIM = 1 << 13
+#: Vectors in one Arrow batch (4 MB).
+STEP = 256
 EPOCHS = 150
 L2 = 1e-4
 #: Characters counted at a time; whole texts are counted piece by piece.
@@ -88,19 +94,20 @@ def features(text: str | None) -> np.ndarray | None:
 
 def train_pair(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and offset of a linear support vector machine (squared hinge loss,
-    classes weighted alike), by accelerated gradient descent."""
-    x = np.column_stack([x, np.ones(len(x), np.float32)]).astype(np.float32)
+    classes weighted alike), by accelerated gradient descent. ``x`` is not copied; the
+    offset is the last weight, that of a column of ones."""
     each = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
+    w = np.zeros(x.shape[1] + 1, np.float32)
     ahead, t = w.copy(), 1.0
     step = 1.0 / (2 * 2.0 + L2)
     for _ in range(EPOCHS):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        gradient = -2 * x.T @ (each * y * slack) + L2 * ahead
-        new = ahead - step * gradient
+        slack = np.maximum(0, 1 - y * (x @ ahead[:-1] + ahead[-1]))
+        pull = -2 * each * y * slack
+        gradient = np.append(x.T @ pull, pull.sum()) + L2 * ahead
+        new = (ahead - step * gradient).astype(np.float32)
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead = new + (t - 1) / t_new * (new - w)
-        w, t = new.astype(np.float32), t_new
+        ahead = (new + (t - 1) / t_new * (new - w)).astype(np.float32)
+        w, t = new, t_new
     return w[:-1], float(w[-1])
 
 
@@ -120,7 +127,14 @@ def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """The model: languages by family, and the machine of each pair of families and
     of each pair of languages in a family."""
-    examples = cut_lineage(_vectors(labelled_sample(docs, sample)))
+    examples = _vectors(labelled_sample(docs, sample)).persist(StorageLevel.DISK_ONLY)
+    try:
+        return _fitted(examples, sample)
+    finally:
+        examples.unpersist()
+
+
+def _fitted(examples: DataFrame, sample: int) -> dict:
     langs = sorted(r["lang"] for r in examples.select("lang").distinct().collect())
     families: dict[str, list[str]] = {}
     for lang in langs:
@@ -139,28 +153,39 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
                 limit = sample if level == "lang" else -(-sample // len(families[name]))
                 wanted[lang].append((limit, (level, a, b, 1 if name == a else -1)))
 
-    def deal(it):
-        for batch in it:
-            rows = [(*w, x) for lang, rank, x in zip(*(batch.column(i).to_pylist() for i in range(3))) for limit, w in wanted[lang] if rank <= limit]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary()))] if rows else [pa.array([], t) for t in (pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary())], names=["level", "a", "b", "y", "x"])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.frombuffer(v, np.float16) for v in pdf["x"]]).astype(np.float32)
-        w, offset = train_pair(x, pdf["y"].to_numpy(np.float32))
-        first = pdf.iloc[0]
-        return pd.DataFrame({"level": [first["level"]], "a": [first["a"]], "b": [first["b"]], "w": [w.tobytes()], "offset": [offset]})
+    def fit(group: pa.Table) -> pa.Table:
+        x = np.empty((group.num_rows, DIM), np.float32)
+        for row, v in zip(x, group.column("x")):
+            row[:] = np.frombuffer(v.as_buffer(), np.float16)
+        w, offset = train_pair(x, group.column("y").to_numpy().astype(np.float32))
+        return pa.Table.from_arrays([*(group.column(c).slice(0, 1) for c in ("level", "a", "b")), pa.array([w.tobytes()], pa.binary()), pa.array([offset])], names=["level", "a", "b", "w", "offset"])
 
-    dealt = examples.mapInArrow(deal, "level string, a string, b string, y int, x binary")
-    for r in dealt.groupBy("level", "a", "b").applyInPandas(fit, "level string, a string, b string, w binary, offset double").collect():
+    dealt = examples.mapInArrow(lambda it: deal(it, wanted), "level string, a string, b string, y int, x binary")
+    for r in dealt.groupBy("level", "a", "b").applyInArrow(fit, "level string, a string, b string, w binary, offset double").collect():
         model["machines"][r["level"], r["a"], r["b"]] = (np.frombuffer(bytes(r["w"]), np.float32), r["offset"])
     return model
 
 
+def deal(it: Iterator[pa.RecordBatch], wanted: dict) -> Iterator[pa.RecordBatch]:
+    """The vectors of each duel that ``wanted`` has for their language, at most ``STEP`` in a batch."""
+    for batch in it:
+        for at in range(0, batch.num_rows, STEP):
+            part = batch.slice(at, STEP)
+            for lang in part.column(0).unique().to_pylist():
+                own = part.filter(pc.equal(part.column(0), lang))
+                for limit, (level, a, b, y) in wanted[lang]:
+                    x = own.filter(pc.less_equal(own.column(1), limit)).column(2)
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([*(pa.repeat(c, len(x)) for c in (level, a, b, pa.scalar(y, pa.int32()))), x], names=["level", "a", "b", "y", "x"])
+
+
 def _vectors(texts: DataFrame) -> DataFrame:
     def run(it):
-        for b in it:
-            x = [None if f is None else f.astype(np.float16).tobytes() for f in map(features, b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], names=["lang", "rank", "x"])
+        for batch in it:
+            for at in range(0, batch.num_rows, STEP):
+                b = batch.slice(at, STEP)
+                x = [None if f is None else f.astype(np.float16).tobytes() for f in map(features, b.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], names=["lang", "rank", "x"])
 
     return texts.mapInArrow(run, "lang string, rank int, x binary").where("x is not null")
 

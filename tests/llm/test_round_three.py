@@ -318,6 +318,65 @@ def test_duels_counted_by_hand():
             assert got == best and confidence == pytest.approx(min([1.0, *(1 / (1 + math.exp(-4 * of(best, b))) for b in names if b != best)]))
 
 
+def test_a_machine_copies_no_vectors():
+    import tracemalloc
+
+    import numpy as np
+
+    from pressline.llm import language_id
+
+    x = np.random.default_rng(1).random((400, language_id.DIM), np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.where(np.arange(400) % 2, 1, -1).astype(np.float32)
+    tracemalloc.start()
+    language_id.train_pair(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.2 * x.nbytes
+
+
+def test_vectors_dealt_in_small_batches():
+    import pyarrow as pa
+
+    from pressline.llm import language_id
+
+    rows = [("ab" if i < 600 else "c", i % 600 + 1, bytes([i % 251])) for i in range(1000)]
+    wanted = {"ab": [(100, ("family", "a", "b", 1))] + [(600, ("lang", "ab", f"x{k}", 1)) for k in range(30)], "c": [(50, ("family", "a", "b", -1))], "x": []}
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary()))], names=["lang", "rank", "x"])
+    dealt = list(language_id.deal(iter([batch, batch.slice(0, 0)]), wanted))
+    assert max(b.num_rows for b in dealt) <= language_id.STEP
+    expected = [(*duel, x) for lang, rank, x in rows for limit, duel in wanted[lang] if rank <= limit]
+    assert sorted(tuple(r.values()) for b in dealt for r in b.to_pylist()) == sorted(expected)
+
+
+def test_training_writes_no_file_for_each_partition(spark):
+    """Each file of the checkpoint folder is a process started beside the executor."""
+    import os
+
+    from pressline.llm import language_id
+
+    def files():
+        top = spark.sparkContext.getCheckpointDir()
+        return sum(len(names) for _, _, names in os.walk(top.removeprefix("file:"))) if top else 0
+
+    words = {"en": "the house and the garden of this town", "de": "das haus und der garten dieser stadt", "fr": "la maison et le jardin de cette ville"}
+    docs = spark.createDataFrame([(i, f"{words[lang]} {i}", lang) for i in range(60) for lang in [sorted(words)[i % 3]]], "doc_id long, text string, lang string")
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    usual = {k: spark.conf.get(k) for k in held}
+    before, kept = files(), spark.sparkContext._jsc.getPersistentRDDs().size()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        model = language_id.train(docs)
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    assert sorted(model["machines"]) == [("family", "germanic", "romance"), ("lang", "de", "en")]
+    assert [language_id.Classifier(model).predict(t)[0] for t in words.values()] == list(words)
+    assert files() - before < 10
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+
+
 # ---- the randomness battery against a slow form
 
 
