@@ -7,18 +7,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressline.functions.text import let
+
 SUBJECTS = ("CHAMPION", "SYSTEM", "ITEM", "RUNE")
 CHANGES = {"BUFF": "buff", "NERF": "nerf", "ADJUST": "adjustment"}
 
 
 def section_type(text: Column) -> Column:
-    """The section that a heading line opens; null for other lines."""
-    t = F.regexp_replace(F.upper(F.replace(text, F.lit("’"), F.lit("'"))), r"(?U)\s+", " ")
-    out = F.lit(None).cast("string")
-    for s in reversed(SUBJECTS):
-        for c, name in reversed(CHANGES.items()):
-            out = F.when(t.contains(s) & t.contains(c), f"{s.lower()}_{name}").otherwise(out)
-    return out
+    """The section that a heading line opens; null for other lines. The words sought hold
+    no blank and no apostrophe, so neither need be normalised; the capitals are made once."""
+
+    def first(t: Column, words: dict[str, str]) -> Column:
+        out = F.lit(None).cast("string")
+        for word, name in reversed(words.items()):
+            out = F.when(t.contains(word), name).otherwise(out)
+        return out
+
+    return let(F.upper(text), lambda t: F.concat(first(t, {s: f"{s.lower()}_" for s in SUBJECTS}), first(t, CHANGES)))
 
 
 def center_y(y0: str = "y0", y1: str = "y1") -> Column:
