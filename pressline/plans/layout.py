@@ -13,9 +13,18 @@ from pressline.sources.adapter import view
 _HEADS = ("CHAMPION BUFFS", "Item  nerfs", "RUNE ADJUSTMENTS", "SYSTEM BUFF")
 
 
+def _texts(spark, d):
+    """Id and text of the raw records. Which records there are is found by ids alone, so that
+    each text moves once, to where its image is put together."""
+    documents = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    counts = documents.groupBy("id").agg(F.count("*").alias("own"))
+    times = view(spark, d, "raw").groupBy("id").agg(F.count("*").alias("all")).join(counts, "id").select("id", F.expr("all div own").alias("times"))
+    return documents.join(times, "id").select("id", "text", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("id", "text")
+
+
 def _lines(spark, d):
     """The lines of each document as recognised lines of an image: every seventh a heading."""
-    words = view(spark, d, "raw").select(F.col("id").alias("image_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    words = _texts(spark, d).select(F.col("id").alias("image_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
     i, n = F.col("line"), F.col("image_id")
     head = F.element_at(F.array(*map(F.lit, _HEADS)), (F.floor((n + i) / 7) % 4 + 1).cast("int"))
     x0 = F.when(i % 3 == 0, 20 + n % 5).otherwise(180 + (n + i) % 9)

@@ -118,8 +118,8 @@ def _table_lines(spark, d):
 def _boundaries(lines):
     """A boundary every 40 pixels down to the lowest line, and one close behind another."""
     low = lines.groupBy("image_id").agg(F.max("y1").alias("low"))
-    every = low.select("image_id", F.explode(F.sequence(F.lit(0), F.col("low") + 40, F.lit(40))).alias("y"))
-    return every.unionByName(low.select("image_id", F.lit(45).alias("y"))).select("image_id", F.col("y").cast("int"))
+    every = F.concat(F.sequence(F.lit(0), F.col("low") + 40, F.lit(40)), F.array(F.lit(45).cast("long")))
+    return low.select("image_id", F.explode(F.transform(every, lambda y: y.cast("int"))).alias("y"))
 
 
 def _cells(spark, d):
