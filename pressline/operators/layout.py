@@ -66,9 +66,10 @@ def divider(lines: DataFrame) -> DataFrame:
     stretch agree within a tolerance; of equal clusters the one further left. Edges are
     scaled by the tolerance, so that one range frame serves images of every width. Lines
     of one edge are counted first; a cluster is a run of the sorted edges, so its median
-    is found by rank, and of equally large runs the first has the least median."""
+    is found by rank, and of equally large runs the first has the least median. The row that comes of an image
+    is dealt once more, by the hint, so that two uses share the work."""
     tolerance = F.greatest(F.lit(4.0), F.col("width") * 0.008)
-    inner = section_type(F.col("text")).isNull() & F.col("x0").between(F.col("width") * 0.12, F.col("width") * 0.35)
+    inner = F.col("x0").between(F.col("width") * 0.12, F.col("width") * 0.35) & section_type(F.col("text")).isNull()
     edges = lines.select("image_id", F.when(inner, F.struct((F.col("x0") / tolerance).alias("scaled"), "x0")).alias("e")).groupBy("image_id", "e").agg(F.count("*").alias("n"))
     whole, along = Window.partitionBy("image_id"), Window.partitionBy("image_id").orderBy("e.scaled")
     own = F.when(F.col("e").isNotNull(), F.col("n"))  # lines elsewhere count in the total only
@@ -78,7 +79,7 @@ def divider(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("b", F.max(F.when(F.col("e").isNotNull(), F.struct("size", (-F.col("before")).alias("m")))).over(whole))
     at = lambda rank: F.max(F.when((F.col("seen") - own < rank - F.col("b.m")) & (rank - F.col("b.m") <= F.col("seen")), F.col("e.x0")))
     size = F.col("b.size")
-    joined = rows.groupBy("image_id").agg(F.max("total").alias("n"), F.max(size).alias("size"), at(((size + 1) / 2).cast("long")).alias("low"), at((size / 2).cast("long") + 1).alias("high"))
+    joined = rows.groupBy("image_id").agg(F.max("total").alias("n"), F.max(size).alias("size"), at(((size + 1) / 2).cast("long")).alias("low"), at((size / 2).cast("long") + 1).alias("high")).hint("rebalance", "image_id")
     need = F.greatest(F.lit(3), F.round(F.col("n") * 0.07).cast("int"))
     enough = F.coalesce(F.col("size") >= need, F.lit(False))
     middle = (F.col("low") + F.col("high")) / 2

@@ -116,10 +116,11 @@ def _table_lines(spark, d):
 
 
 def _boundaries(lines):
-    """A boundary every 40 pixels down to the lowest line, and one close behind another."""
+    """A boundary every 40 pixels down to the lowest line, and one close behind another;
+    dealt by the hint, so that two uses share them."""
     low = lines.groupBy("image_id").agg(F.max("y1").alias("low"))
     every = F.concat(F.sequence(F.lit(0), F.col("low") + 40, F.lit(40)), F.array(F.lit(45).cast("long")))
-    return low.select("image_id", F.explode(F.transform(every, lambda y: y.cast("int"))).alias("y"))
+    return low.select("image_id", F.explode(F.transform(every, lambda y: y.cast("int"))).alias("y")).hint("rebalance", "image_id")
 
 
 def _cells(spark, d):

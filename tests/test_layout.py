@@ -8,6 +8,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from pressline.operators import layout
+from pressline.plans import mechanisms
 
 
 def test_section_type_is_worked_out_once(spark):
@@ -44,3 +45,12 @@ def test_divider_against_a_slow_form(spark):
         near = [[y for y in inner if abs(y - x) <= 8] for x in inner]
         need, best = max(3, math.floor(len(xs) * 0.07 + 0.5)), max(((len(c), -statistics.median(c)) for c in near), default=(0, 0))
         assert got[n] == (math.floor(-best[1] + 0.5), min(1.0, best[0] / 8)) if best[0] >= need else got[n] == (None, round(best[0] / need, 9))
+
+
+def test_confidence_shares_dividers_and_boundaries(spark):
+    """What the cells and the confidence both use is worked out once."""
+    df = mechanisms.patch_confidence(spark, "/root/testdata/sf0.001")
+    assert df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    shared = re.findall(r"ReusedExchange \[image_id#\d+L?, (\w+)#", plan)
+    assert sorted(set(shared)) == ["n", "y"], shared
